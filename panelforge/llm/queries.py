@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from . import mixing, secrets
 from .chat import op1_chat_formatting
 from .fingerprint import op5_document_fingerprints
+from .html import op3_html_extraction
+from .linededup import op10_line_dedup
 from .quality import op9_quality_classifier
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_toxicity": op2_toxicity,
+    "op3_html_extraction": op3_html_extraction,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op7_secret_scans": secrets.op7_secret_scans,
+    "op8_source_mixing": mixing.op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_secret_scans": secrets.ORACLE,
+    "op8_source_mixing": mixing.ORACLE,
+}
