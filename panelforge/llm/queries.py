@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import mixing, secrets
 from .chat import op1_chat_formatting
+from .decontam import op4_benchmark_decontamination
 from .fingerprint import op5_document_fingerprints
 from .html import op3_html_extraction
 from .linededup import op10_line_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_toxicity": op2_toxicity,
     "op3_html_extraction": op3_html_extraction,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_source_mixing": mixing.op8_source_mixing,
