@@ -7,6 +7,7 @@ from .chat import op1_chat_formatting
 from .decontam import op4_benchmark_decontamination
 from .fingerprint import op5_document_fingerprints
 from .html import op3_html_extraction
+from .jaccard import op6_ngram_jaccard_join
 from .linededup import op10_line_dedup
 from .quality import op9_quality_classifier
 from .toxicity import op2_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
