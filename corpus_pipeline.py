@@ -1,7 +1,73 @@
-"""Five stages over the documents table."""
-STAGES = []
+"""Five stages over the documents table: quality, repeated lines, near copies, benchmark leaks, source mix.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir), docs being
+all that its predecessor kept, and returns a DataFrame: documents without those
+that the stage rejects, with the columns of documents. The last one adds size,
+source_size, target, taken and copies. run() writes the result of each stage as
+Parquet to the shared folder and reads it back as the next one's documents.
+
+Every stage keeps clean documents as they are. ORACLE_SQL is None, as SQL has no
+zstandard dictionaries; tests compare the stages with brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm.common import stored, table
+from panelforge.llm.decontam import decontaminate
+from panelforge.llm.jaccard import without_near_copies
+from panelforge.llm.linededup import dedup_lines
+from panelforge.llm.mixing import mixed
+from panelforge.llm.quality import THRESHOLD, fit_quality, quality_score
+
+#: Near copies: shingles of five words, similarity of 4/5 or more.
+SHINGLE_WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least the threshold."""
+    model = fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return docs.withColumn("_score", quality_score(model)).where(F.col("_score") >= THRESHOLD).drop("_score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_near_copies(docs, SHINGLE_WORDS, NUMERATOR, DENOMINATOR)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes at least once (and those without words), with how often they are taken."""
+    taken = mixed(docs, table(spark, sf_dir, "labels"))
+    # mixed() gives a row for each row of docs; rows with one id are told apart by their size only
+    per_id = taken.groupBy("doc_id", "size").agg(*[F.max(c).alias(c) for c in ("source_size", "target", "taken")]).withColumnRenamed("doc_id", "_id")
+    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+    joined = sized.join(per_id, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size"))).drop("_id", "_size")
+    copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("long")).otherwise(1)
+    return joined.withColumn("copies", copies).where("copies > 0")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mix),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs
