@@ -116,14 +116,18 @@ def r10(d: Data):
     return s.select("code", "date", *[(roll(F.stddev_samp, "r", n) * math.sqrt(252)).alias(f"vol_{n}") for n in (5, 20, 60)], "ewm_var")
 
 
+def _positive(x: str) -> str:
+    return f"(CASE WHEN ({x}) IS NOT NULL THEN greatest({x}, 0) END)"
+
+
 N = 20
 K = 0.34 / (1.34 + (N + 1) / (N - 1))
 
 
 @query("r11_range_vols", "code date", "parkinson rogers_satchell yang_zhang vol_of_vol",
        f"""q AS (SELECT *, ln(high / low) * ln(high / low) AS hl, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs, ln(open / {slag('close')}) AS o, ln(close / open) AS c FROM bars),
-v AS (SELECT code, date, sqrt(({slroll('avg', 'hl', 20, 10)}) / {4 * math.log(2)!r}) AS parkinson, sqrt(greatest({slroll('avg', 'rs', 20, 10)}, 0)) AS rogers_satchell,
-sqrt(greatest(({slroll('var_samp', 'o', 20, 10)}) + {K!r} * ({slroll('var_samp', 'c', 20, 10)}) + {1 - K!r} * ({slroll('avg', 'rs', 20, 10)}), 0)) AS yang_zhang FROM q) ;;
+v AS (SELECT code, date, sqrt(({slroll('avg', 'hl', 20, 10)}) / {4 * math.log(2)!r}) AS parkinson, sqrt({_positive(slroll('avg', 'rs', 20, 10))}) AS rogers_satchell,
+sqrt({_positive('(' + slroll('var_samp', 'o', 20, 10) + ') + ' + repr(K) + ' * (' + slroll('var_samp', 'c', 20, 10) + ') + ' + repr(1 - K) + ' * (' + slroll('avg', 'rs', 20, 10) + ')')}) AS yang_zhang FROM q) ;;
 SELECT *, {slroll('stddev_samp', 'yang_zhang', 20, 10)} AS vol_of_vol FROM v""")
 def r11(d: Data):
     ln = lambda a, b: F.log(F.col(a) / F.col(b))
@@ -140,7 +144,7 @@ def r11(d: Data):
 @query("r12_index_vols", "code date", "gk park rs",
        f"""m AS (SELECT market AS code, date, avg(open) AS open, avg(high) AS high, avg(low) AS low, avg(close) AS close FROM panel GROUP BY market, date),
 q AS (SELECT *, ln(high / low) * ln(high / low) AS hl, ln(close / open) * ln(close / open) AS co, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS r FROM m) ;;
-SELECT code, date, sqrt(greatest({sroll('avg', f'(0.5 * hl - {2 * math.log(2) - 1!r} * co)', 20, 10)}, 0)) AS gk, sqrt(({sroll('avg', 'hl', 20, 10)}) / {4 * math.log(2)!r}) AS park, sqrt(greatest({sroll('avg', 'r', 20, 10)}, 0)) AS rs FROM q""", "panel")
+SELECT code, date, sqrt({_positive(sroll('avg', f'(0.5 * hl - {2 * math.log(2) - 1!r} * co)', 20, 10))}) AS gk, sqrt(({sroll('avg', 'hl', 20, 10)}) / {4 * math.log(2)!r}) AS park, sqrt({_positive(sroll('avg', 'r', 20, 10))}) AS rs FROM q""", "panel")
 def r12(d: Data):
     m = d.panel.groupBy(F.col("market").alias("code"), "date").agg(*[F.avg(c).alias(c) for c in ("open", "high", "low", "close")])
     ln = lambda a, b: F.log(F.col(a) / F.col(b))
