@@ -77,6 +77,15 @@ def rank01(x: Column | str, *keys: str) -> Column:
     return F.when(r.isNotNull() & (n == 1), F.lit(0.5)).otherwise((r - 1) / F.nullif(n - 1, F.lit(0)))
 
 
+def correlation(x: Column | str, y: Column | str, over: WindowSpec | None = None) -> Column:
+    """Correlation of the rows that have both; null where a side does not vary (corr() itself fails there)."""
+    x, y = col(x), col(y)
+    px, py = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = [F.covar_pop(px, py), F.stddev_pop(px), F.stddev_pop(py)]
+    cov, sx, sy = (p.over(over) for p in parts) if over is not None else parts
+    return F.when((sx > 1e-12) & (sy > 1e-12), F.try_divide(cov, sx * sy))
+
+
 def normal_cdf(x: Column | str) -> Column:
     """Normal distribution function by a rational approximation (error below 1e-7)."""
     x = col(x)

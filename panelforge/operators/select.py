@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_DATE, average_rank
+from ..functions.kernels import BY_DATE, correlation
 
 
 def ranked(df: DataFrame, score: str) -> DataFrame:
@@ -44,11 +44,30 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, "_row.*")
 
 
+def global_rank(df: DataFrame, column: str, name: str, slices: int = 256) -> DataFrame:
+    """df with the average rank of column over all rows, without a sort in one task.
+
+    Distinct values are counted, cut into slices by approximate quantiles,
+    ranked within their slice and shifted by what lies in the slices below.
+    """
+    cuts = sorted(set(df.approxQuantile(column, [i / slices for i in range(1, slices)], 0.2 / slices)))
+    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    slice_ = F.size(F.filter(bounds, lambda c: c <= F.col("_v")))
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_slice", slice_)
+    below = values.groupBy("_slice").agg(F.sum("_n").alias("_m"))  # one row for each slice
+    below = below.select("_slice", F.coalesce(F.sum("_m").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    inside = F.sum("_n").over(Window.partitionBy("_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = values.join(F.broadcast(below), "_slice").select("_v", (F.col("_below") + inside - (F.col("_n") - 1) / 2).alias(name))
+    return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
+
+
 def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Spearman correlation of every pair of columns, in one aggregate."""
-    ranks = df.withColumn("_all", F.lit(1)).select(*[average_rank(c, "_all").alias(c) for c in columns])
+    """Spearman correlation of every pair of columns, in one aggregate over the ranks."""
+    ranks = df.select(*columns)
+    for c in columns:
+        ranks = global_rank(ranks, c, f"rank_{c}")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = ranks.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("rho")).alias(f"{a}_{b}") for a, b in pairs])
+    row = ranks.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(f"rank_{a}", f"rank_{b}").alias("rho")).alias(f"{a}_{b}") for a, b in pairs])
     return row.select(F.explode(F.array(*row.columns)).alias("p")).select("p.*")
 
 

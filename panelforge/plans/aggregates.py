@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_DATE, clip, lag, normal_cdf
+from ..functions.kernels import BY_DATE, clip, correlation, normal_cdf
 from ..operators import select
 from ..sources.tables import Data
 from .registry import query
@@ -53,7 +53,7 @@ def a6(d: Data):
 
 @query("a7_correlation", "sector", "c", "SELECT sector, corr(close, volume) AS c FROM panel GROUP BY sector", "panel")
 def a7(d: Data):
-    return d.panel.groupBy("sector").agg(F.corr("close", "volume").alias("c"))
+    return d.panel.groupBy("sector").agg(correlation("close", "volume").alias("c"))
 
 
 @query("a8_pivot", "sector", "m0 m1 m2 m3 m4", "SELECT sector, " + ", ".join(f"sum(turnover) FILTER (year(date) % 5 = {k}) AS m{k}" for k in range(5)) + " FROM panel GROUP BY sector", "panel")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_CODE, EPS, average_rank, clip, frame, lag, lroll, rank01, ratio, roll, zscore
+from ..functions.kernels import BY_CODE, EPS, average_rank, clip, correlation, frame, lag, lroll, rank01, ratio, roll, zscore
 from ..operators import recursive, runs
 from ..operators.recursive import span
 from ..sources.tables import Data
@@ -347,7 +347,7 @@ def r29(d: Data):
 SELECT code, date, trend_r2, CASE WHEN vp IS NULL OR trend_r2 IS NULL THEN NULL WHEN vp >= 0.5 AND trend_r2 >= 0.5 THEN 3 WHEN vp >= 0.5 THEN 2 WHEN trend_r2 >= 0.5 THEN 1 ELSE 0 END AS regime FROM p""")
 def r30(d: Data):
     w = frame(-20, 0)
-    v = numbered(d.bars).withColumns({"trend_r2": F.when(F.count("close").over(w) == 21, F.pow(F.corr("close", "n").over(w), 2)), "s": roll(F.stddev_samp, "close", 21)})
+    v = numbered(d.bars).withColumns({"trend_r2": F.when(F.count("close").over(w) == 21, F.pow(correlation("close", "n", w), 2)), "s": roll(F.stddev_samp, "close", 21)})
     v = v.withColumn("vp", rank01("s", "code"))
     high, trend = F.col("vp") >= 0.5, F.col("trend_r2") >= 0.5
     return v.withColumn("regime", F.when(high & trend, 3).when(high & ~trend, 2).when(~high & trend, 1).when(~high & ~trend, 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_CODE, EPS, clip, frame, lag, lead, lroll, ratio, ret, roll, zscore
+from ..functions.kernels import BY_CODE, EPS, clip, correlation, frame, lag, lead, lroll, ratio, ret, roll, zscore
 from ..operators import runs
 from ..sources.tables import Data
 from .registry import query
@@ -406,4 +406,4 @@ def w37(d: Data):
     both = F.col("r").isNotNull() & F.col("mr").isNotNull()
     b = b.withColumns({"x": F.when(both, F.col("r")), "y": F.when(both, F.col("mr"))})
     o = frame(-19, 0)
-    return b.select("code", "date", F.when(F.count("x").over(o) >= 20, F.corr("x", "y").over(o)).alias("corr20"), (F.col("r") - F.col("mr")).alias("excess"))
+    return b.select("code", "date", F.when(F.count("x").over(o) >= 20, correlation("x", "y", o)).alias("corr20"), (F.col("r") - F.col("mr")).alias("excess"))
