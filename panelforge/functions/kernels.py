@@ -6,41 +6,50 @@ from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-12
-BY_CODE = Window.partitionBy("code").orderBy("date")
-BY_DATE = Window.partitionBy("date")
-BY_SECTOR = Window.partitionBy("date", "sector")
+
+
+def by_code():
+    return Window.partitionBy("code").orderBy("date")
+
+
+def by_date():
+    return Window.partitionBy("date")
+
+
+def by_sector():
+    return Window.partitionBy("date", "sector")
 
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def frame(first: int, last: int, w: WindowSpec = BY_CODE) -> WindowSpec:
-    return w.rowsBetween(first, last)
+def frame(first: int, last: int, w: WindowSpec | None = None) -> WindowSpec:
+    return (w or by_code()).rowsBetween(first, last)
 
 
 def _enough(value: Column, x: Column, least: int, over: WindowSpec) -> Column:
     return F.when(F.count(x).over(over) >= least, value)
 
 
-def roll(f, x: Column | str, n: int, least: int | None = None, w: WindowSpec = BY_CODE) -> Column:
+def roll(f, x: Column | str, n: int, least: int | None = None, w: WindowSpec | None = None) -> Column:
     """f over the last n rows, null with fewer than least (n) values."""
     over, x = frame(-(n - 1), 0, w), col(x)
     return _enough(f(x).over(over), x, n if least is None else least, over)
 
 
-def lroll(f, x: Column | str, n: int, least: int | None = None, w: WindowSpec = BY_CODE) -> Column:
+def lroll(f, x: Column | str, n: int, least: int | None = None, w: WindowSpec | None = None) -> Column:
     """f over the n rows before the current one."""
     over, x = frame(-n, -1, w), col(x)
     return _enough(f(x).over(over), x, n if least is None else least, over)
 
 
-def lag(x: Column | str, n: int = 1, w: WindowSpec = BY_CODE) -> Column:
-    return F.lag(col(x), n).over(w)
+def lag(x: Column | str, n: int = 1, w: WindowSpec | None = None) -> Column:
+    return F.lag(col(x), n).over(w or by_code())
 
 
-def lead(x: Column | str, n: int = 1, w: WindowSpec = BY_CODE) -> Column:
-    return F.lead(col(x), n).over(w)
+def lead(x: Column | str, n: int = 1, w: WindowSpec | None = None) -> Column:
+    return F.lead(col(x), n).over(w or by_code())
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:

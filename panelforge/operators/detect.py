@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_ID = Window.partitionBy("id").orderBy("ts", "eid")
+
+def by_id():
+    return Window.partitionBy("id").orderBy("ts", "eid")
 
 
 def sigmoid(x):
@@ -18,7 +20,7 @@ def sigmoid(x):
 
 def mean_shift(o: DataFrame, n: int) -> DataFrame:
     """How much the mean of the n rows after a row differs from that of the n before, in pooled deviations."""
-    left, right = BY_ID.rowsBetween(-n, -1), BY_ID.rowsBetween(1, n)
+    left, right = by_id().rowsBetween(-n, -1), by_id().rowsBetween(1, n)
     pooled = F.sqrt((F.var_pop("x").over(left) + F.var_pop("x").over(right)) / 2)
     shift = F.abs(F.avg("x").over(right) - F.avg("x").over(left)) / (pooled + 1e-9)
     full = (F.count(F.lit(1)).over(left) == n) & (F.count(F.lit(1)).over(right) == n)
@@ -27,7 +29,7 @@ def mean_shift(o: DataFrame, n: int) -> DataFrame:
 
 def residual_score(f: DataFrame, n: int, least: int) -> DataFrame:
     """Residuals r in deviations (by medians) from the median of the last n rows."""
-    w = BY_ID.rowsBetween(-(n - 1), 0)
+    w = by_id().rowsBetween(-(n - 1), 0)
     m = f.select("id", "eid", "r", F.percentile("r", 0.5).over(w).alias("med"), F.sort_array(F.collect_list("r").over(w)).alias("a"))
     dev = F.sort_array(F.transform("a", lambda x: F.abs(x - F.col("med"))))
     m = m.withColumn("d", dev).withColumn("k", F.size("d"))
@@ -53,12 +55,12 @@ def spectral_residual(o: DataFrame) -> DataFrame:
 
 
 def numbered(o: DataFrame) -> DataFrame:
-    return o.withColumn("i", F.row_number().over(BY_ID))
+    return o.withColumn("i", F.row_number().over(by_id()))
 
 
 def runs_of(flagged: DataFrame, least: int) -> DataFrame:
     """(id, a, b, n, top): runs of consecutive numbers i among the rows that are left."""
-    g = flagged.withColumn("_island", F.col("i") - F.row_number().over(BY_ID))
+    g = flagged.withColumn("_island", F.col("i") - F.row_number().over(by_id()))
     return g.groupBy("id", "_island").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.count(F.lit(1)).alias("n"), F.max("x").alias("top")).where(F.col("n") >= least).drop("_island")
 
 

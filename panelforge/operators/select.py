@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_DATE, correlation
+from ..functions.kernels import by_date, correlation
 
 
 def ranked(df: DataFrame, score: str) -> DataFrame:
-    return df.withColumns({"rank": F.row_number().over(BY_DATE.orderBy(F.desc(score), "code")), "n": F.count(F.lit(1)).over(BY_DATE)})
+    return df.withColumns({"rank": F.row_number().over(by_date().orderBy(F.desc(score), "code")), "n": F.count(F.lit(1)).over(by_date())})
 
 
 def top_k(df: DataFrame, score: str, k: int | None = None, ratio: float = 0.1) -> DataFrame:
@@ -26,12 +26,12 @@ def above_percentile(df: DataFrame, score: str, ratio: float, least: int) -> Dat
     """Rows at or above the (1 - ratio) quantile of their date; the best ones where those are too few."""
     cuts = df.groupBy("date").agg(F.percentile(score, 1 - ratio).alias("cut"))
     r = ranked(df, score).join(cuts, "date").withColumn("above", F.col(score) >= F.col("cut"))
-    return r.withColumn("m", F.count_if("above").over(BY_DATE)).where(F.when(F.col("m") >= least, F.col("above")).otherwise(F.col("rank") <= least))
+    return r.withColumn("m", F.count_if("above").over(by_date())).where(F.when(F.col("m") >= least, F.col("above")).otherwise(F.col("rank") <= least))
 
 
 def long_short(df: DataFrame, score: str, ratio: float) -> DataFrame:
     """The best share of a date long, the worst short, equally weighted on each side."""
-    r = ranked(df, score).withColumn("low", F.row_number().over(BY_DATE.orderBy(score, "code")))
+    r = ranked(df, score).withColumn("low", F.row_number().over(by_date().orderBy(score, "code")))
     k = F.greatest(F.lit(1), F.floor(F.lit(ratio) * F.col("n")))
     r = r.withColumn("side", F.when(F.col("rank") <= k, "long").when(F.col("low") <= k, "short")).where("side is not null")
     return r.withColumn("weight", F.when(F.col("side") == "long", 1.0).otherwise(-1.0) / F.count(F.lit(1)).over(Window.partitionBy("date", "side")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_DATE, clip, correlation, normal_cdf
+from ..functions.kernels import by_date, clip, correlation, normal_cdf
 from ..operators import select
 from ..sources.tables import Data
 from .registry import query

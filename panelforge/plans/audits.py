@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_CODE, correlation, frame, lag, lead, lroll
+from ..functions.kernels import by_code, correlation, frame, lag, lead, lroll
 from ..operators import audit, runs
 from ..sources.tables import Data
 from .crosssection import P as PANEL
@@ -93,7 +93,7 @@ def y10(d: Data):
 
 @query("y11_validity_filter", "code date n", "close", "i AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS n FROM bars) ;; SELECT code, date, n, close FROM i WHERE n >= 60 AND volume > 0 AND turnover > 0")
 def y11(d: Data):
-    i = d.bars.withColumn("n", F.row_number().over(BY_CODE))
+    i = d.bars.withColumn("n", F.row_number().over(by_code()))
     flags = i.withColumns({"valid_history": F.col("n") >= 60, "valid_trade": (F.col("volume") > 0) & (F.col("turnover") > 0)})
     return flags.where("valid_history and valid_trade")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_DATE, BY_SECTOR, EPS, average_rank, clip, frame, lag, lead, lroll, rank01, ratio, roll
+from ..functions.kernels import by_date, by_sector, EPS, average_rank, clip, frame, lag, lead, lroll, rank01, ratio, roll
 from ..sources.tables import Data
 from .registry import query
 from .sql import average_rank as saverage_rank
@@ -35,12 +35,12 @@ def x1(d: Data):
 
 @query("x2_cross_z", "code date", "z", P + " ;; SELECT code, date, (r - avg(r) OVER d) / nullif(stddev_samp(r) OVER d, 0) AS z FROM p WINDOW d AS (PARTITION BY date)", "panel")
 def x2(d: Data):
-    return panel(d).select("code", "date", ratio(F.col("r") - F.avg("r").over(BY_DATE), F.stddev_samp("r").over(BY_DATE)).alias("z"))
+    return panel(d).select("code", "date", ratio(F.col("r") - F.avg("r").over(by_date()), F.stddev_samp("r").over(by_date())).alias("z"))
 
 
 @query("x3_cross_z_safe", "code date", "z", P + f" , q AS (SELECT code, date, (r - avg(r) OVER d) / ((stddev_samp(r) OVER d) + 1e-8) AS z0 FROM p WINDOW d AS (PARTITION BY date)) ;; SELECT code, date, coalesce({sclip('z0', -5, 5)}, 0) AS z FROM q", "panel")
 def x3(d: Data):
-    z = (F.col("r") - F.avg("r").over(BY_DATE)) / (F.stddev_samp("r").over(BY_DATE) + 1e-8)
+    z = (F.col("r") - F.avg("r").over(by_date())) / (F.stddev_samp("r").over(by_date()) + 1e-8)
     return panel(d).select("code", "date", F.coalesce(clip(z, -5.0, 5.0), F.lit(0.0)).alias("z"))
 
 
@@ -48,7 +48,7 @@ def x3(d: Data):
        """q AS (SELECT code, date, row_number() OVER (PARTITION BY date ORDER BY close DESC, code) AS rank, count(*) OVER (PARTITION BY date) AS n FROM bars) ;;
 SELECT code, date, rank, rank / n::DOUBLE AS pct, rank / n::DOUBLE <= 0.2 AS top20, rank / n::DOUBLE > 0.8 AS bottom20 FROM q""")
 def x4(d: Data):
-    q = d.bars.withColumns({"rank": F.row_number().over(BY_DATE.orderBy(F.desc("close"), "code")), "n": F.count(F.lit(1)).over(BY_DATE)}).withColumn("pct", F.col("rank") / F.col("n"))
+    q = d.bars.withColumns({"rank": F.row_number().over(by_date().orderBy(F.desc("close"), "code")), "n": F.count(F.lit(1)).over(by_date())}).withColumn("pct", F.col("rank") / F.col("n"))
     return q.withColumns({"top20": F.col("pct") <= 0.2, "bottom20": F.col("pct") > 0.8})
 
 
@@ -107,7 +107,8 @@ def x10(d: Data):
 GROUP = "(PARTITION BY date, sector)"
 
 
-def loo_mean(x: str, w=BY_SECTOR):
+def loo_mean(x: str, w=None):
+    w = w or by_sector()
     return F.when(F.count(x).over(w) > 1, ratio(F.sum(x).over(w) - F.col(x), F.count(x).over(w) - 1))
 
 
@@ -123,14 +124,17 @@ def x11(d: Data):
        P + f""", q AS (SELECT *, count(r) OVER g - 1 AS n, sum(r) OVER g - r AS s, sum(r * r) OVER g - r * r AS ss FROM p WINDOW g AS {GROUP}), m AS (SELECT *, s / nullif(n, 0) AS peer_mean, sqrt(greatest((ss - s * s / nullif(n, 0)) / nullif(n - 1, 0), 0)) AS sd FROM q) ;;
 SELECT code, date, peer_mean, CASE WHEN n > 1 AND r IS NOT NULL THEN sd END AS peer_std, r - peer_mean AS diff, r / nullif(peer_mean, 0) AS ratio FROM m""", "panel")
 def x12(d: Data):
-    q = panel(d).withColumns({"n": F.count("r").over(BY_SECTOR) - 1, "s": F.sum("r").over(BY_SECTOR) - F.col("r"), "ss": F.sum(F.col("r") * F.col("r")).over(BY_SECTOR) - F.col("r") * F.col("r")})
+    q = panel(d).withColumns({"n": F.count("r").over(by_sector()) - 1, "s": F.sum("r").over(by_sector()) - F.col("r"), "ss": F.sum(F.col("r") * F.col("r")).over(by_sector()) - F.col("r") * F.col("r")})
     m = q.withColumn("peer_mean", ratio("s", "n"))
     var = ratio(F.col("ss") - ratio(F.col("s") * F.col("s"), "n"), F.col("n") - 1)
     return m.select("code", "date", "peer_mean", F.when((F.col("n") > 1) & F.col("r").isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))).alias("peer_std"), (F.col("r") - F.col("peer_mean")).alias("diff"), ratio("r", "peer_mean").alias("ratio"))
 
 
 SECTOR = P + ", g AS (SELECT date, sector, median(r) AS s1, count(*) AS members, avg(r) AS eq, sum(r * turnover) / nullif(sum(CASE WHEN r IS NOT NULL THEN turnover END), 0) AS cw FROM p GROUP BY date, sector)"
-BYS = Window.partitionBy("sector").orderBy("date")
+
+
+def by_sector_series():
+    return Window.partitionBy("sector").orderBy("date")
 
 
 def sectors(d: Data):
@@ -143,8 +147,8 @@ def sectors(d: Data):
 SELECT code, p.date, members, members < 3 AS small, s1, s_mom, s_vol, s_z, r - s1 AS rel FROM p JOIN h ON p.date = h.date AND p.sector = h.sector""", "panel")
 def x13(d: Data):
     h = sectors(d).withColumns({
-        "s_mom": roll(F.sum, "s1", 20, 10, BYS), "s_vol": roll(F.stddev_samp, "s1", 20, 10, BYS),
-        "s_z": (F.col("s1") - roll(F.avg, "s1", 252, 60, BYS)) / (roll(F.stddev_samp, "s1", 252, 60, BYS) + 1e-8),
+        "s_mom": roll(F.sum, "s1", 20, 10, by_sector_series()), "s_vol": roll(F.stddev_samp, "s1", 20, 10, by_sector_series()),
+        "s_z": (F.col("s1") - roll(F.avg, "s1", 252, 60, by_sector_series())) / (roll(F.stddev_samp, "s1", 252, 60, by_sector_series()) + 1e-8),
     })
     return panel(d).join(h, ["date", "sector"]).withColumns({"small": F.col("members") < 3, "rel": F.col("r") - F.col("s1")})
 
@@ -156,15 +160,15 @@ def x14(d: Data):
     j = panel(d).join(sectors(d).select("date", "sector", "eq"), ["date", "sector"])
     m = lambda c: roll(F.avg, c, 60, 30)
     b = j.withColumn("beta", (m(F.col("r") * F.col("eq")) - m("r") * m("eq")) / (m(F.col("eq") * F.col("eq")) - m("eq") * m("eq") + EPS))
-    return b.select("code", "date", "beta", ((F.col("beta") - F.avg("beta").over(BY_SECTOR)) / (F.stddev_samp("beta").over(BY_SECTOR) + 1e-8)).alias("z"))
+    return b.select("code", "date", "beta", ((F.col("beta") - F.avg("beta").over(by_sector())) / (F.stddev_samp("beta").over(by_sector()) + 1e-8)).alias("z"))
 
 
 @query("x15_within_sector", "code date valid", "demeaned z rank",
        P + f", l AS (SELECT *, {slag('r')} AS x FROM p) ;; SELECT code, date, x - avg(x) OVER {GROUP} AS demeaned, (x - avg(x) OVER {GROUP}) / (stddev_samp(x) OVER {GROUP} + 1e-8) AS z, {srank01('x', 'date, sector')} AS rank, CAST(count(x) OVER {GROUP} >= 2 AS INT) AS valid FROM l", "panel")
 def x15(d: Data):
     l = panel(d).withColumn("x", lag("r"))  # noqa: E741
-    centred = F.col("x") - F.avg("x").over(BY_SECTOR)
-    return l.select("code", "date", centred.alias("demeaned"), (centred / (F.stddev_samp("x").over(BY_SECTOR) + 1e-8)).alias("z"), rank01("x", "date", "sector").alias("rank"), (F.count("x").over(BY_SECTOR) >= 2).cast("int").alias("valid"))
+    centred = F.col("x") - F.avg("x").over(by_sector())
+    return l.select("code", "date", centred.alias("demeaned"), (centred / (F.stddev_samp("x").over(by_sector()) + 1e-8)).alias("z"), rank01("x", "date", "sector").alias("rank"), (F.count("x").over(by_sector()) >= 2).cast("int").alias("valid"))
 
 
 @query("x16_group_relative", "code date", "rel mom_lag",
@@ -181,7 +185,7 @@ def x16(d: Data):
 @query("x17_sector_series", "date sector", "eq cw eq_mom cw_mom",
        SECTOR + f" ;; SELECT date, sector, eq, cw, {sroll('sum', 'eq', 20, 10, by='sector')} AS eq_mom, {sroll('sum', 'cw', 20, 10, by='sector')} AS cw_mom FROM g", "panel")
 def x17(d: Data):
-    return sectors(d).withColumns({"eq_mom": roll(F.sum, "eq", 20, 10, BYS), "cw_mom": roll(F.sum, "cw", 20, 10, BYS)})
+    return sectors(d).withColumns({"eq_mom": roll(F.sum, "eq", 20, 10, by_sector_series()), "cw_mom": roll(F.sum, "cw", 20, 10, by_sector_series())})
 
 
 @query("x18_sector_encoding", "code date kept other", "frequency",
@@ -192,13 +196,13 @@ def x18(d: Data):
     total = p.agg(F.count(F.lit(1)).alias("n"))
     shares = p.groupBy("sector").agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(total)).select("sector", (F.col("m") / F.col("n")).alias("share"))
     counts = F.count(F.lit(1))
-    return p.join(shares, "sector").select("code", "date", F.when(F.col("share") >= 0.05, F.col("sector")).alias("kept"), (F.col("share") < 0.05).cast("int").alias("other"), (counts.over(BY_SECTOR) / counts.over(BY_DATE)).alias("frequency"))
+    return p.join(shares, "sector").select("code", "date", F.when(F.col("share") >= 0.05, F.col("sector")).alias("kept"), (F.col("share") < 0.05).cast("int").alias("other"), (counts.over(by_sector()) / counts.over(by_date())).alias("frequency"))
 
 
 @query("x19_relative_to_sector", "code date", "rel z", P + f" ;; SELECT code, date, r - avg(r) OVER {GROUP} AS rel, (r - avg(r) OVER {GROUP}) / (stddev_pop(r) OVER {GROUP} + 1e-8) AS z FROM p", "panel")
 def x19(d: Data):
-    rel = F.col("r") - F.avg("r").over(BY_SECTOR)
-    return panel(d).select("code", "date", rel.alias("rel"), (rel / (F.stddev_pop("r").over(BY_SECTOR) + 1e-8)).alias("z"))
+    rel = F.col("r") - F.avg("r").over(by_sector())
+    return panel(d).select("code", "date", rel.alias("rel"), (rel / (F.stddev_pop("r").over(by_sector()) + 1e-8)).alias("z"))
 
 
 @query("x20_target_encoding", "code date fold", "encoded",
@@ -230,7 +234,7 @@ FEATURES = ("close", "volume", "turnover")
 @query("x21_sector_mean_relative", "code date", " ".join(f"{c}_mean {c}_rel" for c in FEATURES),
        "SELECT code, date, " + ", ".join(f"avg({c}) OVER {GROUP} AS {c}_mean, {c} - avg({c}) OVER {GROUP} AS {c}_rel" for c in FEATURES) + " FROM panel", "panel")
 def x21(d: Data):
-    means = {c: F.avg(c).over(BY_SECTOR) for c in FEATURES}
+    means = {c: F.avg(c).over(by_sector()) for c in FEATURES}
     return d.panel.select("code", "date", *[x for c, m in means.items() for x in (m.alias(f"{c}_mean"), (F.col(c) - m).alias(f"{c}_rel"))])
 
 

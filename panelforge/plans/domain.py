@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_SECTOR, EPS, average_rank, clip, frame, lag, lead, lroll, normal_cdf, rank01, ratio, roll, zscore
+from ..functions.kernels import by_sector, EPS, average_rank, clip, frame, lag, lead, lroll, normal_cdf, rank01, ratio, roll, zscore
 from ..operators import calendar, select
 from ..operators.asof import asof_join
 from ..sources.tables import Data
@@ -307,14 +307,17 @@ def d25(d: Data):
 
 
 SFLOW = "sw AS (SELECT published AS date, code % 3 AS section, priority AS who, sum(CASE WHEN rec % 2 = 0 THEN amount ELSE -amount END) AS net, sum(amount) AS gross FROM snapshots GROUP BY ALL), sf2 AS (SELECT date, section, sum(net) AS net, sum(gross) AS gross, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS breadth FROM sw GROUP BY ALL)"
-BYSEC = Window.partitionBy("section").orderBy("date")
+
+
+def by_section():
+    return Window.partitionBy("section").orderBy("date")
 
 
 @query("d26_flow_by_section", "date section shock", "net_ratio breadth z52",
        SFLOW + f", z AS (SELECT date, section, net / gross AS net_ratio, breadth, (net - ({sroll('avg', 'net', 52, 10, by='section')})) / (({sroll('stddev_samp', 'net', 52, 10, by='section')}) + 1e-8) AS z52 FROM sf2) ;; SELECT *, coalesce(abs(z52) > 2, false) AS shock FROM z", "snapshots")
 def d26(d: Data):
     f = flows(d, (F.col("code") % 3).alias("section"))
-    z = (F.col("net") - roll(F.avg, "net", 52, 10, BYSEC)) / (roll(F.stddev_samp, "net", 52, 10, BYSEC) + 1e-8)
+    z = (F.col("net") - roll(F.avg, "net", 52, 10, by_section())) / (roll(F.stddev_samp, "net", 52, 10, by_section()) + 1e-8)
     return f.withColumns({"net_ratio": F.col("net") / F.col("gross"), "z52": z}).withColumn("shock", F.coalesce(F.abs("z52") > 2, F.lit(False)))
 
 
@@ -322,8 +325,8 @@ def d26(d: Data):
        SFLOW + f" ;; SELECT date, section, net - {slag('net', 5, by='section')} AS wow, (net - ({slroll('avg', 'net', 20, 10, by='section')})) / (({slroll('stddev_samp', 'net', 20, 10, by='section')}) + 1e-8) AS z20, coalesce(sign(net) <> sign({slag('net', by='section')}), false) AS turned, date - {slag('date', by='section')} AS staleness FROM sf2", "snapshots")
 def d27(d: Data):
     f = flows(d, (F.col("code") % 3).alias("section"))
-    z = (F.col("net") - lroll(F.avg, "net", 20, 10, BYSEC)) / (lroll(F.stddev_samp, "net", 20, 10, BYSEC) + 1e-8)
-    return f.withColumns({"wow": F.col("net") - lag("net", 5, BYSEC), "z20": z, "turned": F.coalesce(F.signum("net") != F.signum(lag("net", 1, BYSEC)), F.lit(False)), "staleness": F.datediff("date", lag("date", 1, BYSEC))})
+    z = (F.col("net") - lroll(F.avg, "net", 20, 10, by_section())) / (lroll(F.stddev_samp, "net", 20, 10, by_section()) + 1e-8)
+    return f.withColumns({"wow": F.col("net") - lag("net", 5, by_section()), "z20": z, "turned": F.coalesce(F.signum("net") != F.signum(lag("net", 1, by_section())), F.lit(False)), "staleness": F.datediff("date", lag("date", 1, by_section()))})
 
 
 # Contracts: the records of a code and day by the fifth part that they belong to are contracts of different months.
@@ -550,7 +553,7 @@ def d46(d: Data):
     t = with_market(d).join(d.dim.select("code", "sector"), "code")
     beta = (m(F.col("r") * F.col("mr")) - m("r") * m("mr")) / (m(F.col("mr") * F.col("mr")) - m("mr") * m("mr") + EPS)
     s = t.withColumn("signal", beta * F.col("mr"))
-    return s.select("code", "date", "signal", zscore("signal", 20, 10, left=True).alias("z"), (F.col("signal") - F.avg("signal").over(BY_SECTOR)).alias("rel"))
+    return s.select("code", "date", "signal", zscore("signal", 20, 10, left=True).alias("z"), (F.col("signal") - F.avg("signal").over(by_sector())).alias("rel"))
 
 
 @query("d47_event_flags", "code date flag", "",

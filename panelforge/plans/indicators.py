@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_CODE, EPS, average_rank, clip, correlation, frame, lag, lroll, rank01, ratio, roll, zscore
+from ..functions.kernels import by_code, EPS, average_rank, clip, correlation, frame, lag, lroll, rank01, ratio, roll, zscore
 from ..operators import recursive, runs
 from ..operators.recursive import span
 from ..sources.tables import Data
@@ -30,6 +30,11 @@ def r1(d: Data):
     return recursive.smooth(d.bars, {f"ema_{n}": ("close", span(n)) for n in SPANS})
 
 
+@query("w9_left_closed_ema", "code date", "ewm_20", f"l AS (SELECT code, date, {slag('close')} AS x FROM bars), " + smooth("l", {"ewm_20": ("x", span(20))}) + " ;; SELECT * FROM sm")
+def w9(d: Data):
+    return recursive.smooth(d.bars.select("code", "date", lag("close").alias("x")), {"ewm_20": ("x", span(20))})
+
+
 def _adjusted(source: str, out: str, x: str, a: float, name: str) -> str:
     """Adjusted exponential mean: weighted sums and their weights, both by recursion."""
     return f"""{name}_n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS rn FROM {source}),

@@ -11,13 +11,17 @@ from ..sources.tables import Data
 from .registry import query
 from .sql import average_rank as saverage_rank
 
-SET = Window.partitionBy("set", "date")
+
+def set_dates():
+    return Window.partitionBy("set", "date")
+
+
 RANKED = f"rk AS (SELECT *, {saverage_rank('score', 'set, date')} AS rs, {saverage_rank('label', 'set, date')} AS rl, count(*) OVER (PARTITION BY set, date) AS n FROM pred)"
 
 
 def ranked(d: Data):
     """Predictions with the average ranks of score and label by set and date."""
-    return d.pred.withColumns({"rs": average_rank("score", "set", "date"), "rl": average_rank("label", "set", "date"), "n": F.count(F.lit(1)).over(SET)})
+    return d.pred.withColumns({"rs": average_rank("score", "set", "date"), "rl": average_rank("label", "set", "date"), "n": F.count(F.lit(1)).over(set_dates())})
 
 
 def summary(ic, name: str, *keys: str):
@@ -46,7 +50,7 @@ def m2(d: Data):
 @query("m3_spearman_formula", "set date", "rho",
        "r AS (SELECT set, date, row_number() OVER (PARTITION BY set, date ORDER BY score, code) - row_number() OVER (PARTITION BY set, date ORDER BY label, code) AS dd FROM pred) ;; SELECT set, date, 1 - 6 * sum(dd * dd) / nullif(count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1), 0) AS rho FROM r GROUP BY set, date", "pred")
 def m3(d: Data):
-    diff = F.row_number().over(SET.orderBy("score", "code")) - F.row_number().over(SET.orderBy("label", "code"))
+    diff = F.row_number().over(set_dates().orderBy("score", "code")) - F.row_number().over(set_dates().orderBy("label", "code"))
     n = F.count(F.lit(1)).cast("double")
     return d.pred.select("set", "date", diff.alias("dd")).groupBy("set", "date").agg((1 - ratio(6 * F.sum(F.col("dd") * F.col("dd")), n * (n * n - 1))).alias("rho"))
 
@@ -65,7 +69,7 @@ ORDERS = "o AS (SELECT *, row_number() OVER (PARTITION BY set, date ORDER BY sco
 
 
 def orders(d: Data):
-    return d.pred.withColumns({"rs": F.row_number().over(SET.orderBy(F.desc("score"), "code")), "rl": F.row_number().over(SET.orderBy(F.desc("label"), "code")), "n": F.count(F.lit(1)).over(SET)})
+    return d.pred.withColumns({"rs": F.row_number().over(set_dates().orderBy(F.desc("score"), "code")), "rl": F.row_number().over(set_dates().orderBy(F.desc("label"), "code")), "n": F.count(F.lit(1)).over(set_dates())})
 
 
 @query("m5_precision_at_k", "set date", "precision baseline", ORDERS + " ;; SELECT set, date, avg(CASE WHEN label > 0 THEN 1.0 ELSE 0.0 END) FILTER (rs <= 5) AS precision, avg(CASE WHEN label > 0 THEN 1.0 ELSE 0.0 END) AS baseline FROM o GROUP BY set, date", "pred")

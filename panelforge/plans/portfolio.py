@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_DATE, EPS, average_rank, clip, correlation, ratio, roll
+from ..functions.kernels import by_date, EPS, average_rank, clip, correlation, ratio, roll
 from ..operators import book, select
 from ..sources.tables import Data
 from .registry import query
@@ -13,7 +13,9 @@ from .sql import average_rank as saverage_rank
 from .sql import over
 from .sql import roll as sroll
 
-BYSET = Window.partitionBy("set").orderBy("date")
+
+def by_set():
+    return Window.partitionBy("set").orderBy("date")
 
 
 @query("p1_mean_ensemble", "date code", "score", "SELECT date, code, avg(score) AS score FROM pred GROUP BY date, code HAVING count(*) = 3", "pred")
@@ -159,7 +161,7 @@ def p14(d: Data):
 
 @query("p15_portfolio_value", "set date", "net value", WEIGHTS + " ;; SELECT set, date, net, exp(sum(ln(1 + greatest(net, -0.99))) OVER (PARTITION BY set ORDER BY date)) AS value FROM dy", "pred")
 def p15(d: Data):
-    return daily(d).withColumn("value", F.exp(F.sum(F.log(1 + F.greatest(F.col("net"), F.lit(-0.99)))).over(BYSET)))
+    return daily(d).withColumn("value", F.exp(F.sum(F.log(1 + F.greatest(F.col("net"), F.lit(-0.99)))).over(by_set())))
 
 
 METRICS = WEIGHTS + """, x AS (SELECT set, date, greatest(net, -0.99) AS r, turnover, exp(sum(ln(1 + greatest(net, -0.99))) OVER w) AS v FROM dy WINDOW w AS (PARTITION BY set ORDER BY date)), y AS (SELECT *, ln(v) - ln(greatest(1, max(v) OVER (PARTITION BY set ORDER BY date))) AS dd FROM x)"""
@@ -169,8 +171,8 @@ PMS = """count(*) AS days, exp(sum(ln(1 + r)) * 252 / count(*)) - 1 AS annual, a
 
 def valued(d: Data):
     x = daily(d).withColumn("r", F.greatest(F.col("net"), F.lit(-0.99)))
-    x = x.withColumn("lv", F.sum(F.log(1 + F.col("r"))).over(BYSET))
-    return x.withColumn("dd", F.col("lv") - F.greatest(F.lit(0.0), F.max("lv").over(BYSET)))
+    x = x.withColumn("lv", F.sum(F.log(1 + F.col("r"))).over(by_set()))
+    return x.withColumn("dd", F.col("lv") - F.greatest(F.lit(0.0), F.max("lv").over(by_set())))
 
 
 @query("p16_portfolio_metrics", "set days", "annual sharpe sortino max_drawdown win_rate mean_turnover", METRICS + f" ;; SELECT set, {PMS} FROM y GROUP BY set", "pred")
@@ -197,7 +199,7 @@ def p18(d: Data):
 @query("p19_history_regime", "set date regime", "mean vol",
        WEIGHTS + f", h AS (SELECT set, date, {sroll('avg', 'net', 20, 10, by='set')} AS mean, {sroll('stddev_samp', 'net', 20, 10, by='set')} AS vol FROM dy) ;; SELECT set, date, mean, vol, CASE WHEN mean IS NULL THEN 'unknown' WHEN vol > 1 THEN 'stress' WHEN mean > 0 THEN 'good' ELSE 'poor' END AS regime FROM h", "pred")
 def p19(d: Data):
-    h = daily(d).select("set", "date", roll(F.avg, "net", 20, 10, BYSET).alias("mean"), roll(F.stddev_samp, "net", 20, 10, BYSET).alias("vol"))
+    h = daily(d).select("set", "date", roll(F.avg, "net", 20, 10, by_set()).alias("mean"), roll(F.stddev_samp, "net", 20, 10, by_set()).alias("vol"))
     return h.withColumn("regime", F.when(F.col("mean").isNull(), "unknown").when(F.col("vol") > 1, "stress").when(F.col("mean") > 0, "good").otherwise("poor"))
 
 
@@ -234,5 +236,5 @@ def p23(d: Data):
 @query("p24_vol_targeting", "set date", "scale scaled",
        WEIGHTS + f""", v AS (SELECT set, date, net, {sroll('stddev_samp', 'net', 20, 10, by='set')} AS s FROM dy), k AS (SELECT *, CASE WHEN s IS NOT NULL THEN greatest(0.1, least(3.0, 0.01 / (s + 1e-12))) END AS c FROM v), l AS (SELECT set, date, net, coalesce(lag(c) OVER (PARTITION BY set ORDER BY date), 1) AS scale FROM k) ;; SELECT set, date, scale, scale * net AS scaled FROM l""", "pred")
 def p24(d: Data):
-    v = daily(d).withColumn("c", clip(0.01 / (roll(F.stddev_samp, "net", 20, 10, BYSET) + EPS), 0.1, 3.0))
-    return v.withColumn("scale", F.coalesce(F.lag("c").over(BYSET), F.lit(1.0))).withColumn("scaled", F.col("scale") * F.col("net"))
+    v = daily(d).withColumn("c", clip(0.01 / (roll(F.stddev_samp, "net", 20, 10, by_set()) + EPS), 0.1, 3.0))
+    return v.withColumn("scale", F.coalesce(F.lag("c").over(by_set()), F.lit(1.0))).withColumn("scaled", F.col("scale") * F.col("net"))

@@ -85,7 +85,10 @@ def q7(d: Data):
 
 
 EV = "e AS (SELECT id, eid, ts, value AS x FROM ev)"
-BYID = Window.partitionBy("id").orderBy("ts", "eid")
+
+
+def by_id():
+    return Window.partitionBy("id").orderBy("ts", "eid")
 
 
 def observations(d: Data):
@@ -107,7 +110,7 @@ z AS (SELECT *, list_aggregate(list_transform(a, lambda x: abs(x - med)), 'media
 @query("n2_residual_score", "id eid", "score", _n2(), "ev")
 def n2(d: Data):
     # the forecast is the last value
-    f = observations(d).withColumn("r", F.col("x") - F.lag("x").over(BYID))
+    f = observations(d).withColumn("r", F.col("x") - F.lag("x").over(by_id()))
     return detect.residual_score(f, 21, 5)
 
 
@@ -161,7 +164,7 @@ def n7b(d: Data):
 @query("n8_champion_challenger", "model n promoted", "mae rmse mape",
        "f AS (SELECT id, eid, value AS y, lag(value) OVER w AS a, avg(value) OVER (PARTITION BY id ORDER BY ts, eid ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b FROM ev WINDOW w AS (PARTITION BY id ORDER BY ts, eid)), l AS (SELECT 'champion' AS model, y, a AS p FROM f WHERE a IS NOT NULL UNION ALL SELECT 'challenger', y, b FROM f WHERE b IS NOT NULL), m AS (SELECT model, count(*) AS n, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p) / (abs(y) + 1e-9)) AS mape FROM l GROUP BY model) ;; SELECT model, n, mae, rmse, mape, model = 'challenger' AND mae < 0.98 * (SELECT mae FROM m WHERE model = 'champion') AS promoted FROM m", "ev")
 def n8(d: Data):
-    f = observations(d).select(F.col("x").alias("y"), F.lag("x").over(BYID).alias("champion"), F.avg("x").over(BYID.rowsBetween(-5, -1)).alias("challenger"))
+    f = observations(d).select(F.col("x").alias("y"), F.lag("x").over(by_id()).alias("champion"), F.avg("x").over(by_id().rowsBetween(-5, -1)).alias("challenger"))
     m = detect.model_errors(f.unpivot(["y"], ["champion", "challenger"], "model", "p").where("p is not null"))
     champion = m.where("model = 'champion'").select(F.col("mae").alias("_base"))  # one row
     return m.join(F.broadcast(champion)).withColumn("promoted", (F.col("model") == "challenger") & (F.col("mae") < 0.98 * F.col("_base")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BY_CODE, EPS, clip, correlation, frame, lag, lead, lroll, ratio, ret, roll, zscore
+from ..functions.kernels import by_code, EPS, clip, correlation, frame, lag, lead, lroll, ratio, ret, roll, zscore
 from ..operators import runs
 from ..sources.tables import Data
 from .registry import query
@@ -234,7 +234,7 @@ IDX = "i AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS n
 
 
 def numbered(df):
-    return df.withColumn("n", F.row_number().over(BY_CODE))
+    return df.withColumn("n", F.row_number().over(by_code()))
 
 
 def last_at(flag, value="n"):
