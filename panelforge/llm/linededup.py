@@ -125,7 +125,8 @@ def _by_document(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _joined(docs: DataFrame, per_document: DataFrame, how: str) -> DataFrame:
-    return docs.join(per_document, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), how).drop("_id", "_text")
+    # by merge at every size: a list for each document is no side to broadcast
+    return docs.join(per_document.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), how).drop("_id", "_text")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     repeats = stored(found.join(twice, "_key"))
     marked = _joined(_identified(docs.select("doc_id", "text").where("text is not null")), _by_document(repeats, "_chunks"), "inner")
     bodies = chunk_texts(marked).groupBy("_key", "_body").agg(F.count(F.lit(1)).alias("_n"))
-    differing = bodies.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
+    differing = stored(bodies.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"))
     return repeats.where(place != F.col("_first")).join(differing, "_key", "left_anti").select("doc_id", "_hash", "_chunk")
 
 
