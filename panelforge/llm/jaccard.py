@@ -9,8 +9,8 @@ prefix tokens, pairs that size and positions rule out are dropped, and the
 members of the remaining group pairs are verified on their whole sets.
 
 No posting list is turned into all of its pairs at once. First every group is
-compared with the first group of its list and size class (a star) and every
-member with the first of its group; what that links is one component, and only
+compared with a few central groups of its list and of its size class (stars) and
+every member with the first of its group; what that links is one component, and only
 pairs of different components are then compared. A list of near copies thus
 costs as many pairs as it has members. The result has all links between
 different components, so components are exact.
@@ -43,6 +43,8 @@ from .shingles import overlap, shingle_set
 COUNT_BUCKETS = 1 << 20
 _SLICE = 1 << 16
 CELLS = 64
+#: Centres of a posting list that all its groups are compared with first.
+CENTRES = 3
 NULL_ID = -(2**63)
 
 
@@ -211,15 +213,21 @@ def node_components(profile: DataFrame, docs: DataFrame, n: int, num: int, den:
     members = stored(nodes.join(crowded, ["size", "prefix"]).select("node", "group"))
 
     posting = groups.select("group", "size", F.posexplode("prefix").alias("pos", "token"))
-    shared = posting.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("token")
+    shared = posting.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     lists = stored(posting.join(shared, "token"))
 
-    # Stars: every group with the first one of its list and size class, every member with the first one of its group.
+    # Stars: every group with some centres of its list, and with one of its list and size class. Centres
+    # are groups whose tokens many others share: texts that others are edited copies of, where there are such.
+    shares = lists.groupBy("group").agg(F.sum("_n").alias("shares"))
     of_class = F.floor(F.log(F.col("size").cast("double")) / float(np.log(den / num))) if num < den else F.col("size")
-    classed = lists.withColumn("class", of_class)
-    first = classed.groupBy("token", "class").agg(F.min(F.struct("group", "size", "pos")).alias("_f"))
-    star = classed.join(first, ["token", "class"]).where("group <> _f.group")
-    star = star.select(F.struct("group", "size", "pos").alias("x"), F.col("_f").alias("y")).where(_passes("x", "y", num, den))
+    classed = lists.join(shares, "group").withColumn("class", of_class)
+    row = F.struct("shares", "group", "size", "pos")
+    part = F.pmod(F.xxhash64("group"), F.lit(CENTRES))
+    of = classed.groupBy("token", "class").agg(F.max(row).alias("own"), *[F.max(F.when(part == i, row)).alias(f"c{i}") for i in range(CENTRES)])
+    of_token = of.groupBy("token").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(CENTRES)])
+    star = classed.join(of.select("token", "class", "own"), ["token", "class"]).join(of_token, "token")
+    centres = F.filter(F.array_distinct(F.array("own", *[f"c{i}" for i in range(CENTRES)])), lambda c: c.isNotNull() & (c["group"] != F.col("group")))
+    star = star.select(F.struct("group", "size", "pos").alias("x"), F.explode(centres).alias("y")).where(_passes("x", "y", num, den))
     stars = star.select(F.col("x.group").alias("a"), F.col("y.group").alias("b"))
     inside = members.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
     ordered = stored(stars.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
