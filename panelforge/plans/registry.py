@@ -19,8 +19,8 @@ MODULES = ("aggregates", "windows", "indicators", "crosssection", "joins", "keys
 
 
 def finished(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Keys as they are, numbers rounded to six places."""
-    return df.select(*keys, *[(F.round(F.col(v).cast("double"), 6) + F.lit(0.0)).alias(v) for v in values])
+    """Keys as they are, numbers rounded to six places (a little shifted: engines treat decimal ties differently)."""
+    return df.select(*keys, *[(F.round(F.col(v).cast("double") + sql.SHIFT, 6) + F.lit(0.0)).alias(v) for v in values])
 
 
 def query(name: str, keys: str, values: str = "", oracle: str | None = None, uses: str = "bars"):

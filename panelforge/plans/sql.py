@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+#: Added before numbers are rounded to six places, so that no value stands on a decimal tie.
+SHIFT = 1.7e-9
+
 FRAMES = {
     "trades": ("""SELECT l_suppkey AS code, l_partkey AS part, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS price,
   l_quantity AS quantity, l_extendedprice AS amount, l_orderkey * 10 + l_linenumber AS seq FROM lineitem""", ()),
@@ -39,7 +42,7 @@ def frames(names: list[str]) -> str:
 
 def whole(body: str, keys: list[str], values: list[str], uses: list[str]) -> str:
     """The oracle of a body: a SELECT, or further frames before it, each 'name AS (...),'. Numbers are rounded to six places."""
-    picked = ", ".join([*keys, *[f"round(CAST({v} AS DOUBLE), 6) + 0.0 AS {v}" for v in values]])
+    picked = ", ".join([*keys, *[f"round(CAST({v} AS DOUBLE) + {SHIFT!r}, 6) + 0.0 AS {v}" for v in values]])
     body = re.sub(r";;\s*,", ",", body.strip())
     before, _, last = body.rpartition(";;")
     parts = [p for p in (frames([u for u in uses if u in FRAMES]), before.strip().rstrip(",")) if p]
