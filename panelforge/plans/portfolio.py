@@ -211,11 +211,11 @@ def p20(d: Data):
 
 
 @query("p21_run_comparison", "days", "mean_diff corr better",
-       WEIGHTS + ", c AS (SELECT a.net AS x, b.net AS y FROM dy a JOIN dy b ON a.date = b.date AND a.set = 1 AND b.set = 2) ;; SELECT count(*) AS days, avg(x - y) AS mean_diff, corr(x, y) AS corr, avg(CASE WHEN x > y THEN 1.0 ELSE 0.0 END) AS better FROM c", "pred")
+       WEIGHTS + ", c AS (SELECT a.net AS x, b.net AS y FROM dy a JOIN dy b ON a.date = b.date AND a.set = 1 AND b.set = 2) ;; SELECT count(*) AS days, avg(x - y) AS mean_diff, corr(x, y) AS corr, avg(CASE WHEN round(x - y, 9) > 0 THEN 1.0 ELSE 0.0 END) AS better FROM c", "pred")
 def p21(d: Data):
     # both runs side by side from one pass
     c = daily(d).where("set < 3").groupBy("date").pivot("set", [1, 2]).agg(F.max("net")).where("`1` is not null and `2` is not null").select(F.col("1").alias("x"), F.col("2").alias("y"))
-    return c.agg(F.count(F.lit(1)).alias("days"), F.avg(F.col("x") - F.col("y")).alias("mean_diff"), correlation("x", "y").alias("corr"), F.avg(F.when(F.col("x") > F.col("y"), 1.0).otherwise(0.0)).alias("better"))
+    return c.agg(F.count(F.lit(1)).alias("days"), F.avg(F.col("x") - F.col("y")).alias("mean_diff"), correlation("x", "y").alias("corr"), F.avg(F.when(F.round(F.col("x") - F.col("y"), 9) > 0, 1.0).otherwise(0.0)).alias("better"))
 
 
 @query("p22_volatility_index", "date", "vix p10 p90",
