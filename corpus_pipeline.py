@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import stored, table
 from panelforge.llm.decontam import decontaminate
 from panelforge.llm.jaccard import without_near_copies
-from panelforge.llm.linededup import dedup_lines
+from panelforge.llm.linededup import dedup_passages
 from panelforge.llm.mixing import mixed
 from panelforge.llm.quality import THRESHOLD, fit_quality, quality_score
 
@@ -33,7 +33,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs)
+    return dedup_passages(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -341,6 +341,39 @@ def test_line_dedup_equals_brute_force(spark, sf):
     assert {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()} == expected
 
 
+def test_every_repeated_run_of_lines_goes_whole(spark, sf):
+    """Over plain lines, without chunks(): runs of over 50 words that stand earlier leave no line."""
+    rng = random.Random(5)
+    short = [prose(600 + k, rng.randrange(1, 14)) for k in range(60)]
+    rows = [(0, "\n".join(short)), (1, "\n".join([prose(700, 8), *short[7:21], prose(701, 9)])), (2, "\n".join([*short[30:41], prose(702, 30), *short[30:41]])), (3, "\n".join(["a b"] * 80)), (None, "\n".join([prose(703, 7), *short[50:], prose(704, 8)])), (5, "\n".join(short[3:5]))]
+    rows += [(10 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 80").collect()]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    places, gone, cut = collections.defaultdict(list), {}, [text.split("\n") for _, text in order]
+    for d, (i, text) in enumerate(order):
+        lines, gone[i] = cut[d], set()
+        for a, line in enumerate(lines):
+            for e, f in places[line]:
+                if e == d and f >= a:
+                    continue
+                other, k, words = cut[e], 0, 0
+                while a + k < len(lines) and f + k < len(other) and lines[a + k] == other[f + k] and not (e == d and f + k >= a):
+                    words += len(lines[a + k].encode().split())
+                    k += 1
+                if words > 50:
+                    gone[i] |= set(range(a, a + k))
+            places[line].append((d, a))
+    got = {r.doc_id: r.text for r in linededup.dedup_passages(documents(spark, rows)).collect()}
+    assert len(gone[1]) == 14 and len(gone[2]) == 22 and gone[3] and gone[0] and not gone[5] and not gone[None]
+    for i, text in order:
+        left, lines = got[i].split("\n") if i in got else [], text.split("\n")
+        removed = [line for k, line in enumerate(lines) if k in gone[i]]
+        kept = collections.Counter(lines) - collections.Counter(left)
+        assert not collections.Counter(removed) - kept, i  # whole runs go; the rest is for repeated chunks only
+        assert not collections.Counter(left) - collections.Counter(lines)
+    for i in (None, 1, 2, 3, 5):
+        assert got.get(i, "") == "\n".join(line for k, line in enumerate(dict(rows)[i].split("\n")) if k not in gone[i])
+
+
 # pipeline
 
 def test_pipeline(spark, sf):
