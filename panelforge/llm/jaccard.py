@@ -105,7 +105,7 @@ def _keys(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(id, size, k1, k2, prefix, cells) of every row of docs; the keys are null without shingles."""
+    """(id, hash, size, k1, k2, prefix, cells) of every row of docs; hash is that of the text, the keys are null without shingles."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(bucket_counts(docs, n))  # COUNT_BUCKETS * 4 bytes
 
@@ -131,12 +131,12 @@ def profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 prefixes.append(_signed(tokens[order]))
                 cells.append(_cells(tokens))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(cells, pa.binary())],
-                names=["id", "size", "k1", "k2", "prefix", "cells"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(cells, pa.binary())],
+                names=["id", "hash", "size", "k1", "k2", "prefix", "cells"],
             )
 
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id")
-    return stored(docs.select(ids, "text").mapInArrow(run, "id long, size long, k1 long, k2 long, prefix array<long>, cells binary"))
+    return stored(docs.select(ids, "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "id long, hash long, size long, k1 long, k2 long, prefix array<long>, cells binary"))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -161,8 +161,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: i
 
     # the sets are made anew from the text of one document of each node that is left
     left_over = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    owners = left_over.join(nodes.select("node", F.col("owner").alias("_id")), "node")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), "text").where("text is not null")
+    owners = left_over.join(nodes.select("node", F.col("owner").alias("_id"), F.col("owner_hash").alias("_hash")), "node")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_hash"), "text").where("text is not null")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: i
                     found.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(found, pa.binary())], names=["node", "tokens"])
 
-    made = stored(texts.join(owners, "_id").select("node", "text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"]))
+    made = stored(texts.join(owners, ["_id", "_hash"]).select("node", "text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"]))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,8 +203,8 @@ def node_components(profile: DataFrame, docs: DataFrame, n: int, num: int, den:
     nodes = stored(
         profile.where("size > 0")
         .groupBy("k1", "k2", "size")
-        .agg(F.min("id").alias("owner"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
-        .select(F.col("k1").alias("node"), "size", "owner", "prefix", "cells")
+        .agg(F.min(F.struct("id", "hash")).alias("owner"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
+        .select(F.col("k1").alias("node"), "size", F.col("owner.id").alias("owner"), F.col("owner.hash").alias("owner_hash"), "prefix", "cells")
     )
     # Groups: nodes with equal prefix and size.
     grouped = nodes.groupBy("size", "prefix").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("_members"))
@@ -282,11 +282,21 @@ def document_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
 
 
 def without_near_copies(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id (of its rows, one)."""
-    kept = document_components(docs, n, num, den).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return found.withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*docs.columns)
+    """docs with one row of each component: the one with the smallest id, and of its texts one.
+
+    Rows are told apart by id and text, so different texts with null or equal ids
+    stay; texts without shingles link with nothing; repeated rows (id and text)
+    are one.
+    """
+    profile = profiles(docs, n, num, den)
+    nodes, labels = node_components(profile, docs, n, num, den)
+    named = nodes.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), F.struct(F.col("owner").alias("_id"), F.col("node"), F.col("owner_hash").alias("_hash")).alias("row"))
+    chosen = named.groupBy("label").agg(F.min("row").alias("row")).select("row._id", "row._hash")
+    bare = profile.where("size = 0").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    kept = chosen.unionByName(bare).distinct()
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_hash": F.xxhash64("text")})
+    once = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64(*docs.columns))
+    return keyed.join(kept, ["_id", "_hash"]).withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,14 @@ def test_one_document_of_each_component_stays(spark):
     assert jaccard.document_components(documents(spark, [])).count() == 0
 
 
+def test_null_and_repeated_ids_with_different_texts_stay(spark):
+    a, b, c, d, e = (prose(k, 70) for k in range(20, 25))
+    rows = [(None, a), (None, b), (None, b), (None, "x"), (None, None), (4, c), (4, d), (4, ""), (7, a), (8, e), (9, e + " tail"), (4, e)]
+    kept = jaccard.without_near_copies(documents(spark, rows)).collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted([(None, a), (None, b), (None, "x"), (None, None), (4, c), (4, d), (4, ""), (4, e)], key=key)
+
+
 def test_sets_ignore_only_ascii_space_and_case():
     assert len(shingle_set("a b C", 1)) == 2 and len(shingle_set("É é", 1)) == 2
     assert overlap(shingle_set("a b c", 1), shingle_set("C x A", 1)) == 2
