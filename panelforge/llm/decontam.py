@@ -10,6 +10,10 @@ value of the item always stands for one value of the document, so that a
 re-parameterised copy passes and an accidental template does not. A document
 leaks an item if a consistent run covers LEAST_WORDS words, or the whole item.
 
+Beside the templates, windows of the words as written (but for case) are joined
+and form runs of their own, so exact copies are found however many numbers and
+names they have. Only template windows need LEAST_LITERALS other words.
+
 Numbers are words with a digit. Names are capitalised words that follow a
 lower-case word or a comma; the benchmark's windows are kept with and without
 placeholders for names, so copies in one case are found too. Units are the fixed
@@ -31,7 +35,7 @@ from .common import stored, table
 
 WINDOW = 8
 LEAST_WORDS = 13
-#: Words of a window that must not be placeholders.
+#: Words of a template window that must not be placeholders.
 LEAST_LITERALS = 4
 #: Up to so many benchmark windows (24 bytes each) are broadcast; beyond, windows are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
@@ -65,6 +69,25 @@ def values(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(rf"{NUMBER}|[{_IN}]++"), F.lit(0)), F.lower)
 
 
+def written(text: Column) -> Column:
+    """The words of a text as values() has them; cut faster where no number can hold its signs together."""
+    clean = F.when(text.rlike(f"[{NUM}{NAME}{UNIT}]"), F.regexp_replace(text, f"[{NUM}{NAME}{UNIT}]", " ")).otherwise(text)
+    return F.when(text.rlike(r"\p{N}"), values(clean)).otherwise(_cut(F.lower(clean)))
+
+
+def forms_of(text: Column) -> list[Column]:
+    """The word lists whose windows a document is searched by: as written, and with placeholders."""
+    return [written(text), template(text)]
+
+
+def distinct_windows(hashes: list[Column]) -> Column:
+    """The distinct hashes of the forms at each position."""
+    found = F.transform(hashes[0], lambda h: F.array(h))
+    for more in hashes[1:]:
+        found = F.zip_with(found, more, lambda x, h: F.when(h.isNull() | F.coalesce(F.array_contains(x, h), F.lit(False)), x).when(x.isNull(), F.array(h)).otherwise(F.concat(x, F.array(h))))
+    return found
+
+
 def windows(words: Column, length: int) -> Column:
     """Hashes of all windows of length words (none if there are fewer words)."""
     hashed = F.transform(words, lambda w: F.xxhash64(w))
@@ -75,15 +98,17 @@ def windows(words: Column, length: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(hash, item_id, item_words, at, length): windows of the items, with and without placeholders for names."""
+    """(hash, item_id, item_words, at, length, exact): windows of the items, as written and with placeholders, those for names or not."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    forms = items.select("item_id", template(F.col("text")).alias("words")).unionByName(items.select("item_id", template(F.col("text"), names=False).alias("words")))
+    form = lambda words, exact: items.select("item_id", words.alias("words"), F.lit(exact).alias("exact"))
+    text = F.col("text")
+    forms = form(template(text), False).unionByName(form(template(text, names=False), False)).unionByName(form(written(text), True))
     sized = forms.withColumn("item_words", F.size("words")).where("item_words > 0").withColumn("length", F.least(F.col("item_words"), F.lit(WINDOW)))
-    rows = sized.select("item_id", "item_words", "length", "words", F.explode(F.sequence(F.lit(1), F.col("item_words") - F.col("length") + 1)).alias("at"))
+    rows = sized.select("item_id", "item_words", "length", "exact", "words", F.explode(F.sequence(F.lit(1), F.col("item_words") - F.col("length") + 1)).alias("at"))
     part = F.slice("words", F.col("at"), F.col("length"))
     literals = F.size(F.filter(part, lambda w: ~w.isin(NUM, NAME, UNIT)))
-    rows = rows.where(literals >= F.least(F.lit(LEAST_LITERALS), F.col("length")))
-    return rows.select(F.xxhash64(F.transform(part, lambda w: F.xxhash64(w))).alias("hash"), "item_id", "item_words", F.col("at").cast("int").alias("at"), "length").distinct()
+    rows = rows.where(F.col("exact") | (literals >= F.least(F.lit(LEAST_LITERALS), F.col("length"))))
+    return rows.select(F.xxhash64(F.transform(part, lambda w: F.xxhash64(w))).alias("hash"), "item_id", "item_words", F.col("at").cast("int").alias("at"), "length", "exact").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -91,18 +116,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stored(item_windows(benchmark))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # WINDOW numbers at most
     texts = docs.select("doc_id", F.col("text")).where("text is not null")
-    cut = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("words"))
+    forms = forms_of(F.col("text"))
+    names = [f"_words{k}" for k in range(len(forms))]
+    cut = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), *[words.alias(name) for words, name in zip(forms, names, strict=True)])
     small = items.count() <= BROADCAST_WINDOWS
     side = items.withColumnRenamed("length", "_length")
     found = None
     for length in lengths:
         of = side.where(F.col("_length") == length)
-        rows = cut.select("doc_id", "text_hash", F.posexplode(windows(F.col("words"), length)).alias("pos", "hash"))
+        hashed = cut.select("doc_id", "text_hash", *[windows(F.col(name), length).alias(name) for name in names])
+        placed = hashed.select("doc_id", "text_hash", F.posexplode(distinct_windows([F.col(name) for name in names])).alias("pos", "_each"))
+        rows = placed.select("doc_id", "text_hash", "pos", F.explode("_each").alias("hash"))
         hits = rows.join(F.broadcast(of) if small else of, "hash")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return _no_leaks(docs, benchmark)
-    key = ["doc_id", "text_hash", "item_id", "item_words", "shift"]
+    key = ["doc_id", "text_hash", "item_id", "item_words", "shift", "exact"]
     runs = found.withColumn("shift", F.col("pos") + 1 - F.col("at")).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("at", "_length"))).alias("parts"))
     covered = F.aggregate(
         "parts",
@@ -120,8 +149,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slotted = slotted.select("item_id", template(F.col("text")).alias("_t"), values(F.col("text")).alias("_v"))
     slotted = slotted.select("item_id", F.filter(F.transform("_t", lambda t, i: F.struct((i + 1).alias("at"), F.get("_v", i).alias("value"), t.isin(NUM, NAME, UNIT).alias("slot"))), lambda x: x["slot"]).alias("slots"))
     slotted = slotted.where(F.size("slots") > 0)
-    plain = checked.join(slotted.select("item_id"), "item_id", "left_anti")
-    open_ = checked.join(slotted, "item_id")
+    # exact runs need no check
+    plain = checked.where("exact").unionByName(checked.where("not exact").join(slotted.select("item_id"), "item_id", "left_anti"))
+    open_ = checked.where("not exact").join(slotted, "item_id")
     sources = texts.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
     open_ = open_.join(sources, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     inside = F.filter("slots", lambda s: F.exists("parts", lambda p: (s["at"] >= p["at"]) & (s["at"] < p["at"] + p["_length"])))
@@ -129,8 +159,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     consistent = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["item"]))) == F.size(F.array_distinct("_pairs"))
     open_ = open_.withColumn("_words", values(F.col("text"))).withColumn("_pairs", pairs).where(consistent)
     every = plain.select(*key, "covered_words").unionByName(open_.select(*key, "covered_words"))
-    best = F.max(F.struct("covered_words", (-F.col("shift")).alias("_s")))
-    return every.groupBy("doc_id", "text_hash", "item_id", "item_words").agg(best.alias("_best")).select("doc_id", "text_hash", "item_id", "item_words", F.col("_best.covered_words").alias("covered_words"), (-F.col("_best._s")).alias("position"))
+    best = F.max(F.struct("covered_words", (-F.col("shift")).alias("_s"), "item_words"))
+    return every.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("_best")).select("doc_id", "text_hash", "item_id", F.col("_best.item_words").alias("item_words"), F.col("_best.covered_words").alias("covered_words"), (-F.col("_best._s")).alias("position"))
 
 
 def _no_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

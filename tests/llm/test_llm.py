@@ -173,6 +173,16 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert {r.doc_id for r in decontam.leaks(documents(spark, rows), bench).collect()} == {1}
 
 
+def test_exact_copies_of_items_with_few_words_beside_numbers_leak(spark):
+    items = {1: "What is 12 + 7?", 2: "2 4 8 16 32 64 128 256 512 1024 2048 then", 3: "Add the rows below for me 1 2 3 4 5 6 7 8 9 10 and report the total of them"}
+    rows = [(k, f"{prose(k, 20)}. {t} {prose(k + 9, 20)}") for k, t in items.items()]
+    rows += [(11, f"{prose(11, 20)}. What is 13 + 8? {prose(12, 20)}"), (12, "2 4 8 16 32 64 128 256 512 1024 2049 then"), (13, "x. " + items[3].replace("5 6", "6 5") + " y")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(documents(spark, rows), bench).collect()}
+    assert {(1, 1), (2, 2), (3, 3)} <= set(got) and not set(got) & {(11, 1), (12, 2)}
+    assert all(got[k, k].covered_words == got[k, k].item_words for k in items)
+
+
 def test_leaks_equal_brute_force(spark, sf):
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op4_benchmark_decontamination"](spark, sf).collect()}
     flat = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
