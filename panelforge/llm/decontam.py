@@ -15,8 +15,9 @@ and form runs of their own, so exact copies are found however many numbers and
 names they have. Only template windows need LEAST_LITERALS other words.
 
 Numbers are words with a digit. Names are capitalised words that follow a
-lower-case word or a comma; the benchmark's windows are kept with and without
-placeholders for names, so copies in one case are found too. Units are the fixed
+lower-case word or a comma; windows of items and documents are kept with and
+without placeholders for names, so copies in one case, or in the midst of a
+sentence, are found too. Units are the fixed
 words below after a number.
 
 Edge cases: null and empty texts have no window; a document without any leak has
@@ -76,8 +77,8 @@ def written(text: Column) -> Column:
 
 
 def forms_of(text: Column) -> list[Column]:
-    """The word lists whose windows a document is searched by: as written, and with placeholders."""
-    return [written(text), template(text)]
+    """The word lists whose windows a document is searched by: as written, and with placeholders, those for names or not."""
+    return [written(text), template(text, names=False), template(text)]
 
 
 def distinct_windows(hashes: list[Column]) -> Column:

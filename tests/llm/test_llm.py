@@ -183,6 +183,14 @@ def test_exact_copies_of_items_with_few_words_beside_numbers_leak(spark):
     assert all(got[k, k].covered_words == got[k, k].item_words for k in items)
 
 
+def test_short_items_in_the_midst_of_a_sentence_leak(spark):
+    item = "Sam sells 5 red apples and 3 green pears to Ann today"
+    rows = [(1, "we saw that " + item), (2, "we saw that " + item.replace("5", "9").replace("3", "4")), (3, "we saw that Sam sells 9 red apples")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.covered_words for r in decontam.leaks(documents(spark, rows), bench).collect()}
+    assert got == {1: 12, 2: 12}
+
+
 def test_leaks_equal_brute_force(spark, sf):
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op4_benchmark_decontamination"](spark, sf).collect()}
     flat = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
