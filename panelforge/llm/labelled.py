@@ -11,30 +11,25 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_docs: int, max_chars: int) -> list[tuple[int, str, int]]:
-    """At most max_docs (hash, text, label) rows, chosen by a hash of the id, so that reruns agree.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_docs: int) -> DataFrame:
+    """(_h, _t, _y) of at most max_docs labelled rows with their whole texts, chosen by a hash of the id, so that reruns agree.
 
     keep filters the label rows (held-out rows go before anything is learned).
-    A training text longer than max_chars is represented by max_chars
-    characters from a hashed offset, which bounds what reaches the driver by
-    max_docs * max_chars; scoring always reads whole texts.
+    Rows without id, label or text are left out; of several labels of one id the
+    largest counts; equal rows stay one.
     """
-    order = F.xxhash64(F.col("doc_id"), F.lit(11))
     picked = (
         labels.where(keep & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("_y"))
-        .withColumn("_h", order)
+        .withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit(11)))
         .orderBy("_h", "doc_id")
         .limit(max_docs)
     )
-    length = F.length("text")
-    offset = 1 + F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.lit(1), length - max_chars))
-    rows = (
-        docs.select("doc_id", "text")
-        .where("text is not null")
-        .join(F.broadcast(picked), "doc_id")  # max_docs rows of three numbers
-        .select("_h", F.when(length > max_chars, F.expr("text").substr(offset.cast("int"), F.lit(max_chars))).otherwise(F.col("text")).alias("_t"), "_y")
-        .collect()
-    )
-    return sorted({(r["_h"], r["_t"], r["_y"]) for r in rows})
+    texts = docs.select("doc_id", F.col("text").alias("_t")).where("_t is not null")
+    return texts.join(F.broadcast(picked), "doc_id").select("_h", "_t", "_y").distinct()  # max_docs rows of three numbers
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_docs: int) -> list[tuple[int, str, int]]:
+    """The rows of labelled() on the driver: at most max_docs texts."""
+    return sorted(tuple(r) for r in labelled(docs, labels, label, keep, max_docs).collect())

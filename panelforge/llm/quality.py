@@ -29,8 +29,8 @@ from .logistic import Logistic, quadratic
 LEVEL = 3
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_BYTES = 512
-#: Bounds of the fit: labelled rows, and characters of one of them.
-MAX_DOCS, MAX_CHARS = 8000, 16_384
+#: Bound of the fit: labelled rows.
+MAX_DOCS = 8000
 THRESHOLD = 0.3
 
 
@@ -86,9 +86,9 @@ def fit(sample: list[tuple[int, str, int]]) -> QualityModel:
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_docs: int = MAX_DOCS) -> QualityModel:
     keep = remainder("doc_id", 5) != 0 if keep is None else keep
-    return fit(labelled_sample(docs, labels, "quality", keep, max_docs, max_chars))
+    return fit(labelled_sample(docs, labels, "quality", keep, max_docs))
 
 
 def quality_score(model: QualityModel, text: str = "text") -> Column:

@@ -1,22 +1,24 @@
 """Toxicity by compression distance: windows of a text under two dictionaries.
 
-Two zstandard dictionaries hold the same frequent ordinary words; the toxic one
-also holds, nearest to the window, the segments of toxic labelled text that are
-over-represented there against ordinary text. A window of words is compressed
-with both. What the toxic dictionary saves is about zero bytes on ordinary
-windows and several bytes where a window repeats toxic segments. The savings of
-all windows of a text, counted above byte thresholds, enter a calibration fitted
-on labelled texts that the dictionaries have not seen.
+The ordinary dictionary holds the words of most ordinary texts, the toxic one the
+same and, nearest to the window, the segments of toxic texts that are
+over-represented there against ordinary texts. Every window of words of a text is
+compressed with both. What the toxic dictionary saves is about zero bytes on
+ordinary windows and several bytes where a window repeats toxic segments. The
+savings of all windows of a text, counted above byte thresholds, enter a
+calibration fitted on labelled texts that its dictionaries have not seen: the
+sample, of whose near copies one stays, is cut into FOLDS parts, each measured
+with dictionaries made of the others; the final ones come from all of it. (Why
+they are not made by zstandard's own trainer: see the README.)
 
 Every window starts with a fixed anchor that both dictionaries contain: without
 it zstandard stores most such short windows raw and the lengths say nothing.
-The most frequent ordinary words are left out of the windows, which halves their
-number.
 
 Edge cases: null and empty texts have no window and get the score of no saving;
-equal texts get equal scores; an empty table gives an empty result; without
-labels of both classes every score is the smoothed share of label 1. Only
-doc_id and text are read, so further columns never matter.
+equal texts get equal scores; very long texts are cut into windows like others;
+an empty table gives an empty result; without labels of both classes every score
+is the smoothed share of label 1. Only doc_id and text are read, so further
+columns never matter.
 """
 
 from __future__ import annotations
@@ -27,24 +29,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .labelled import labelled_sample, remainder
+from .common import stored, table
+from .labelled import labelled, remainder
 from .logistic import Logistic
+from .shingles import shingle_set
 
 WINDOW_WORDS = 12
-SKIPPED_WORDS = 200
 BASE_WORDS = 3000
 TOXIC_SEGMENTS = 400
 PREFIXES = (4, 5, 6, 7, 8, 9)
 ANCHOR = b"0123456789 zqjxkv anchor of every window 98765 "
 PUNCTUATION = b".,;:!?|%*$&#\"'()"
 LEVEL = 9
-#: Bounds of the fit: labelled rows, and characters of one of them.
-MAX_DOCS, MAX_CHARS = 12_000, 8192
+FOLDS = 3
+#: Bytes saved by a window, from which on it counts.
+STEPS = (2, 3, 4, 5, 7)
+#: Bound of the fit: labelled rows.
+MAX_DOCS = 12_000
 THRESHOLD = 0.3
 
 
@@ -52,40 +58,23 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
-def segments(text: str) -> set[bytes]:
-    """Words without punctuation, and their beginnings: what can mark a word as toxic."""
-    found = set()
+def segments(text: str) -> dict[bytes, bool]:
+    """Words without punctuation (True) and beginnings of words that are none of them (False): what can mark a word as toxic."""
+    found = {}
     for word in set(words(text)):
         word = word.strip(PUNCTUATION)
         if len(word) >= 3:
-            found.add(word)
-            found.update(word[:k] for k in PREFIXES if len(word) > k)
+            found[word] = True
+            for k in PREFIXES:
+                if len(word) > k:
+                    found.setdefault(word[:k], False)
     return found
 
 
-def over_represented(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Segments by rising significance of their larger document frequency in toxic texts."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for text in toxic:
-        in_toxic.update(segments(text))
-    for text in ordinary:
-        in_ordinary.update(segments(text))
-    n, m = max(1, len(toxic)), max(1, len(ordinary))
-    z = {}
-    for s, c in in_toxic.items():
-        if c >= 3:
-            p = (c + in_ordinary[s]) / (n + m)
-            z[s] = (c / n - in_ordinary[s] / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-    least = max(4.0, max(z.values(), default=0.0) / 5)
-    best = sorted((s for s in z if z[s] >= least), key=lambda s: (z[s], s))[-TOXIC_SEGMENTS:]
-    return [s for s in best if not any(t != s and t.startswith(s) and z[t] >= 0.9 * z[s] for t in best)]
-
-
 @dataclass
 class ToxicityModel:
     toxic: bytes
     ordinary: bytes
-    skipped: frozenset[bytes]
     calibration: Logistic
 
     def _sizers(self):
@@ -103,15 +92,15 @@ class ToxicityModel:
     def savings(self, text: str | None) -> np.ndarray:
         """Bytes that the toxic dictionary saves, for every window of the whole text."""
         plain, toxic = self._sizers()
-        kept = [w for w in words(text or "") if w not in self.skipped]
-        windows = (ANCHOR + b" ".join(kept[i : i + WINDOW_WORDS]) + b" " for i in range(0, len(kept), WINDOW_WORDS))
+        found = words(text or "")
+        windows = (ANCHOR + b" ".join(found[i : i + WINDOW_WORDS]) + b" " for i in range(0, len(found), WINDOW_WORDS))
         return np.array([len(plain(w)) - len(toxic(w)) for w in windows] or [0], dtype=float)
 
     def features(self, texts) -> np.ndarray:
-        rows = np.empty((len(texts), 16))
+        rows = np.empty((len(texts), 6 + 2 * len(STEPS)))
         for i, text in enumerate(texts):
             s = np.sort(self.savings(text))[::-1]
-            over = [(s >= t).sum() for t in (2, 3, 4, 5, 7)]
+            over = [(s >= t).sum() for t in STEPS]
             rows[i] = [s[0], s[:3].mean(), s[:8].mean(), s.mean(), np.log1p(max(0.0, s.sum())), np.log(len(s)), *np.log1p(over), *(np.array(over) / len(s))]
         return rows
 
@@ -122,26 +111,86 @@ class ToxicityModel:
         return {k: v for k, v in self.__dict__.items() if k != "_made"}
 
 
-def fit(sample: list[tuple[int, str, int]]) -> ToxicityModel:
-    """sample: (hash, text, label). Two thirds of it make the dictionaries, the rest (4000 texts at most) the calibration."""
-    learn = [(t, y) for i, (_, t, y) in enumerate(sample) if i % 3 != 2]
-    rest = [(t, y) for i, (_, t, y) in enumerate(sample) if i % 3 == 2][:4000]
-    toxic, ordinary = (list(dict.fromkeys(t for t, y in learn if y == k)) for k in (1, 0))
-    frequent = Counter()
-    for text in ordinary:
-        frequent.update(words(text))
-    ranked = sorted(frequent, key=lambda w: (-frequent[w], w))
-    base = b" ".join(ranked[:BASE_WORDS][::-1]) + b" "
-    marks = b" ".join(over_represented(toxic, ordinary)) + b" "
-    model = ToxicityModel(base + marks + ANCHOR, base + ANCHOR, frozenset(ranked[:SKIPPED_WORDS]), Logistic())
-    x = model.features([t for t, _ in rest]) if rest else np.zeros((0, 16))
-    model.calibration.fit(x, np.array([float(y) for _, y in rest]))
+def segment_counts(rows: DataFrame) -> DataFrame:
+    """(segment, whole, toxic, ordinary) of rows(_fold, _t, _y): arrays of the numbers of texts in each fold that have the segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counter()
+        for batch in batches:
+            for fold, text, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                counts.update((s, whole, fold, y) for s, whole in segments(text).items())
+            if len(counts) > 500_000:
+                yield listed(counts)
+                counts = Counter()
+        yield listed(counts)
+
+    def listed(counts: Counter) -> pa.RecordBatch:
+        columns = [[k[i] for k in counts] for i in range(4)]
+        types = (pa.binary(), pa.bool_(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(list(counts.values()), pa.int64())], names=["segment", "whole", "fold", "y", "n"])
+
+    found = rows.select("_fold", "_t", "_y").mapInArrow(run, "segment binary, whole boolean, fold int, y int, n long")
+    of = lambda y: F.array(*[F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)) for k in range(FOLDS)])
+    counted = found.groupBy("segment", "whole").agg(of(1).alias("toxic"), of(0).alias("ordinary"))
+    # segments of toxic texts, and words that may be among the frequent ones
+    return counted.where("aggregate(toxic, 0L, (a, x) -> a + x) >= 3 or (whole and aggregate(ordinary, 0L, (a, x) -> a + x) >= 3)")
+
+
+def dictionaries(counts: DataFrame, n_toxic: list[int], n_ordinary: list[int], without: int | None) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) of the texts of all folds but one: segments by rising significance of their larger share in toxic texts, behind the frequent words."""
+    folds = [k for k in range(FOLDS) if k != without]
+    total = lambda name: sum((F.col(name)[k] for k in folds), F.lit(0))
+    n, m = (float(max(1, sum(c[k] for k in folds))) for c in (n_toxic, n_ordinary))
+    rows = counts.select("segment", "whole", total("toxic").alias("a"), total("ordinary").alias("b"))
+    frequent = [bytes(r[0]) for r in rows.where("whole and b > 0").orderBy(F.desc("b"), "segment").limit(BASE_WORDS).select("segment").collect()]
+    p = (F.col("a") + F.col("b")) / (n + m)
+    z = (F.col("a") / n - F.col("b") / m) / F.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
+    # words and equal beginnings are one segment; a text has it as one of the two
+    merged = rows.groupBy("segment").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3").withColumn("z", z).where("z >= 4")
+    best = [(bytes(r["segment"]), r["z"]) for r in merged.orderBy(F.desc("z"), "segment").limit(TOXIC_SEGMENTS).collect()]
+    least = best[0][1] / 5 if best else 0.0
+    best = sorted(((s, v) for s, v in best if v >= least), key=lambda x: (x[1], x[0]))
+    marks = [s for s, v in best if not any(t != s and t.startswith(s) and w >= 0.9 * v for t, w in best)]
+    base = b" ".join(frequent[::-1]) + b" "
+    return base + b" ".join(marks) + b" " + ANCHOR, base + ANCHOR
+
+
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """One of the labelled texts with one smallest shingle hash: (near) copies would make their words look toxic or ordinary."""
+
+    @F.pandas_udf("long")
+    def smallest(texts: pd.Series) -> pd.Series:
+        sets = (shingle_set(t, 3) for t in texts)
+        return pd.Series([int(s[0].astype(np.int64)) if len(s) else 0 for s in sets], dtype="int64")
+
+    first = rows.groupBy(smallest("_t").alias("_m")).agg(F.min(F.struct("_h", "_t", "_y")).alias("_r"))
+    return first.select("_r.*")
+
+
+def fit(rows: DataFrame) -> ToxicityModel:
+    """The model of labelled rows(_h, _t, _y): texts stay in the tasks, the driver gets segments and features."""
+    sample = stored(_without_copies(rows).withColumn("_fold", F.pmod(F.xxhash64("_h", F.lit(3)), F.lit(FOLDS)).cast("int")))
+    sizes = {(r["_fold"], r["_y"]): r["count"] for r in sample.groupBy("_fold", "_y").count().collect()}
+    n_toxic, n_ordinary = ([sizes.get((k, y), 0) for k in range(FOLDS)] for y in (1, 0))
+    counts = stored(segment_counts(sample))
+    of_fold = [ToxicityModel(*dictionaries(counts, n_toxic, n_ordinary, k), Logistic()) for k in range(FOLDS)]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            made = [of_fold[k].features([t])[0].tolist() for k, t in zip(folds, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(made, pa.list_(pa.float64()))], names=["h", "y", "x"])
+
+    measured = sample.select("_fold", "_t", "_h", "_y").mapInArrow(measure, "h long, y int, x array<double>").collect()  # a row of numbers for each text of the sample
+    measured.sort()
+    model = ToxicityModel(*dictionaries(counts, n_toxic, n_ordinary, None), Logistic())
+    model.calibration.fit(np.array([r["x"] for r in measured]).reshape(len(measured), 6 + 2 * len(STEPS)), np.array([float(r["y"]) for r in measured]))
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_docs: int = MAX_DOCS) -> ToxicityModel:
     keep = remainder("doc_id", 4) != 2 if keep is None else keep
-    return fit(labelled_sample(docs, labels, "toxic", keep, max_docs, max_chars))
+    return fit(labelled(docs, labels, "toxic", keep, max_docs))
 
 
 def toxicity_score(model: ToxicityModel, text: str = "text") -> Column:

@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import chat, decontam, fingerprint, html, jaccard, linededup, mixing, quality, queries, secrets, toxicity
 from panelforge.llm.components import components
+from panelforge.llm.labelled import labelled_sample
 from panelforge.llm.shingles import overlap, shingle_set
 from tests.compare import oracle_rows, rows_of
 
@@ -86,7 +89,7 @@ def test_quality_model_on_held_out_texts():
     assert 0 <= model.score([""])[0] <= 1 and model.score([None])[0] == model.score([""])[0]
 
 
-def test_toxicity_model_on_held_out_texts():
+def toxic_rows(n):
     rng = random.Random(4)
 
     def text(i, toxic):
@@ -95,16 +98,36 @@ def test_toxicity_model_on_held_out_texts():
             words[rng.randrange(len(words))] = rng.choice(["scoundrel", "blockhead", "numbskull"])
         return " ".join(words)
 
-    sample = [(i, text(i, int(i % 4 == 0)), int(i % 4 == 0)) for i in range(900)]
-    model = toxicity.fit(sample[:700])
-    assert held_out(model, sample[700:]) > 0.9
-    assert 0 <= model.score([None])[0] <= 1
+    return [(i, text(i, int(i % 4 == 0)), int(i % 4 == 0)) for i in range(n)]
 
 
-@pytest.mark.parametrize("fit", [quality.fit, toxicity.fit])
-def test_models_without_labels_or_with_one_class(fit):
-    assert list(fit([]).score(["a", ""])) == [0.5, 0.5]
-    assert fit([(i, prose(i, 20), 1) for i in range(20)]).score(["a"])[0] > 0.5
+def test_toxicity_model_on_held_out_texts(spark):
+    rows = toxic_rows(900)
+    copies = [(1000 + i, rows[4][1] + f" tail{i}", 1) for i in range(200)]  # near copies of one toxic text teach nothing more
+    model = toxicity.fit(spark.createDataFrame(rows[:700] + copies, "_h long, _t string, _y int"))
+    assert held_out(model, rows[700:]) > 0.9
+    assert b"scoundrel" in model.toxic and b"scoundrel" not in model.ordinary
+    assert 0 <= model.score([None])[0] <= 1 and model.score([""])[0] == model.score([None])[0]
+    docs = documents(spark, ODD)
+    for score in (toxicity.toxicity_score(model), quality.quality_score(quality.fit(rows[:400]))):
+        got = [(r.doc_id, r.s) for r in docs.select("doc_id", score.alias("s")).collect()]
+        assert len(got) == len(ODD) and all(0 <= s <= 1 for _, s in got)
+        assert len({s for i, s in got if i == 6}) == 1 and len({s for i, s in got if i in (1, 2)}) == 1
+
+
+def test_models_without_labels_or_with_one_class(spark):
+    one = [(i, prose(i, 20), 1) for i in range(20)]
+    frame = lambda rows: spark.createDataFrame(rows, "_h long, _t string, _y int")
+    for none, single in ((quality.fit([]), quality.fit(one)), (toxicity.fit(frame([])), toxicity.fit(frame(one)))):
+        assert list(none.score(["a", ""])) == [0.5, 0.5] and single.score(["a"])[0] > 0.5
+
+
+def test_labelled_rows_are_whole_and_bounded(spark):
+    docs = documents(spark, [(1, prose(1, 30_000)), (2, "x"), (3, None), (4, "y"), (None, "z")])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, None), (None, 1)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", F.lit(True), 10)
+    assert sorted((len(t), y) for _, t, y in got) == [(1, 0), (len(prose(1, 30_000)), 1)]
+    assert len(labelled_sample(docs, labels, "toxic", F.lit(True), 1)) <= 1
 
 
 def test_classifier_queries_hold_out_the_right_rows(spark, sf):
@@ -114,12 +137,6 @@ def test_classifier_queries_hold_out_the_right_rows(spark, sf):
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
 
 
-def test_scores_of_odd_documents(spark):
-    docs = documents(spark, ODD)
-    for score in (quality.quality_score(quality.fit([])), toxicity.toxicity_score(toxicity.fit([]))):
-        assert [r.s for r in docs.select(score.alias("s")).collect()] == [0.5] * len(ODD)
-
-
 # pages
 
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li>Menu</ul></nav>
@@ -135,19 +152,85 @@ def test_main_text():
     assert html.main_text("a < b") == "a < b" and html.main_text("<p>x") == "x"
 
 
+PAGES = "page_id long, url string, html string, text int"
+
+
 def test_style_tree_cuts_what_pages_of_a_host_share(spark):
+    """No article element, no telling names: what pages repeat goes, wherever it stands, on hosts with few pages as with many."""
+
     def page(i):
-        return f"<body><div class='box'>same on every page</div><div class='story'>{prose(i, 30)}</div></body>"
+        return f"<body><div class='wrap'><div class='top'><a href='/'>one</a> <a href='/x'>two</a></div><div class='box'>same on every page</div><div class='story'><h2>{prose(i, 3)}</h2><p>{prose(i, 30)}</p></div><div class='end'>the end</div></div></body>"
 
-    rows = [(i, "http://h.example/x", page(i), 0) for i in range(8)] + [(90, None, None, 0), (91, "odd", "", 0)]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
-    assert got[3] == prose(3, 30) and got[90] == "" and got[91] == ""
-    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    for n in (8, 150):
+        rows = [(i, "http://h.example/x", page(i), 0) for i in range(n)] + [(1000, None, None, 0), (1001, "odd", "", 0)]
+        got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+        assert all(got[i] == f"{prose(i, 3)}\n\n{prose(i, 30)}" for i in range(n)) and got[1000] == "" and got[1001] == ""
+    assert html.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_tree_decides_inside_and_outside_of_articles(spark):
+    def page(i):
+        return f"<nav>home about</nav><article><h1>{prose(i, 4)}</h1><p>{prose(i, 30)}<p>{prose(i + 900, 9 + i % 5)}</article><div class='story'>{prose(i + 300, 20)}</div><section id=comments>{prose(i + 600, 9)}</section><footer>us</footer>"
+
+    rows = [(i, "http://h.example/x", page(i), 0) for i in range(120)]
+    pages = spark.createDataFrame(rows, PAGES)
+    expected = {i: "\n\n".join([prose(i, 4), prose(i, 30), prose(i + 900, 9 + i % 5), prose(i + 300, 20)]) for i in range(120)}
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == expected
+    assert {r.page_id: r.text for r in html.extract(pages, broadcast_paths=0).collect()} == expected
+
+
+def brute_tree(pages):
+    """The importance of every path, from plain counts."""
+    once = {(h, str(n)): n for h, s in pages for n in [html.style_nodes(s, h)]}
+    found = collections.defaultdict(list)
+    for nodes in once.values():
+        for n in nodes:
+            found[n[0]].append(n)
+    own = {}
+    for path, ns in found.items():
+        m, shapes, texts = len(ns), collections.Counter(n[3] for n in ns), collections.Counter(n[4] for n in ns if n[4] is not None)
+        entropy = lambda c: -sum(v / sum(c.values()) * math.log(v / sum(c.values())) for v in c.values())
+        presentation = entropy(shapes) / math.log(m) if m > 1 else 1.0
+        content = math.exp(entropy(texts)) / sum(texts.values()) if texts else 0.0
+        chars = sum(n[5] for n in ns)
+        own[path] = html.own_importance(m, presentation, len(shapes), content, sum(n[6] for n in ns) / chars if chars else 0.0)
+    result = {}
+    for path, ns in found.items():
+        tree = max([own[path]] + [own[u] * html.INHERITED ** (k + 1) for k, u in enumerate(ns[0][2])])
+        prior, weight = html.PRIOR[ns[0][1]]
+        result[path] = (len(ns), (len(ns) * tree + weight * prior) / (len(ns) + weight))
+    return result
+
+
+def test_style_tree_equals_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    hosts = [(r.h, r.html) for r in pages.select(html._host().alias("h"), "html").collect()]
+    expected = brute_tree(hosts)
+    got = {r.path: (r.n_pages, r.importance) for r in html.style_tree(pages.unionByName(pages)).collect()}  # copies count once
+    assert got.keys() == expected.keys() and all(got[p][0] == m and abs(got[p][1] - v) < 1e-9 for p, (m, v) in expected.items())
+
+
+def test_tree_changes_most_pages(spark):
+    """Without the tree (nothing cut), and with names that say nothing, the pages of sf0.01."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", html._host().alias("h"), "html").collect()
+    tree = brute_tree([(r.h, r.html) for r in rows])
+    cut = {p for p, (_, v) in tree.items() if v < html.LEAST_IMPORTANCE}
+    assert sum(html.main_text(r.html, cut, r.h) != html.main_text(r.html, frozenset(), r.h) for r in rows) > len(rows) / 2
+    assert all(html.main_text(r.html, cut, r.h).split("\n\n")[0] == re.search(r"<h1>(.*?)</h1>", r.html)[1].replace("&amp;", "&").replace("&quot;", '"').strip() for r in rows if "<h1>" in r.html)
+
+
+@pytest.mark.parametrize("source", ["<a " * 100_000, "<b>" * 5000 + "x", "<p>x<span class='ad'>" + "<b>" * 5000 + "y", '<a "' * 50_000 + ">", "<div>" * 5000 + "<p>" * 5000 + "z", "<!--" * 50_000, "<li><div>" * 4000 + "</li>" * 4000, "<p>" + "word " * 200_000, "<" * 500_000])
+def test_hostile_pages_take_time_in_proportion(source):
+    began = time.time()
+    html.main_text(source)
+    html.style_nodes(source)
+    assert time.time() - began < 5
 
 
 def test_repeated_articles_are_kept(spark):
-    rows = [(i, "http://h.example/x", "<article><p>the same article</p></article>") for i in range(6)]
-    assert {r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"the same article"}
+    for n in (6, 200):
+        rows = [(i, "http://h.example/x", f"<nav>menu {i % 3}</nav><article><p>the same article</p></article>") for i in range(n)]
+        assert {r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"the same article"}
 
 
 # decontamination
