@@ -63,7 +63,7 @@ def costs(df: DataFrame, amount: Column, adv: Column) -> DataFrame:
     return c.withColumn("round_trip", 2 * F.col("total"))
 
 
-def performance() -> list[Column]:
+def performance(cost: float = 0.0010) -> list[Column]:
     """Aggregates over r (return), dd (log drawdown) and turnover."""
     n = F.count(F.lit(1))
     down = F.least(F.col("r"), F.lit(0.0))
@@ -76,6 +76,9 @@ def performance() -> list[Column]:
         (1 - F.exp(F.min("dd"))).alias("max_drawdown"),
         F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
         F.avg("turnover").alias("mean_turnover"),
+        (F.exp(F.sum(F.log(1 + F.col("r")))) - 1).alias("total"),
+        F.try_divide(F.exp(F.sum(F.log(1 + F.col("r"))) * 252 / n) - 1, 1 - F.exp(F.min("dd"))).alias("calmar"),
+        (cost * F.sum("turnover")).alias("cost"),
     ]
 
 

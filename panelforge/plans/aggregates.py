@@ -77,10 +77,10 @@ def a9(d: Data):
 PROFILED = ("close", "volume", "turnover")
 
 
-@query("a10_profile", "name rows nulls", "mean std p50",
-       " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS nulls, avg({c}) AS mean, stddev_samp({c}) AS std, median({c}) AS p50 FROM bars" for c in PROFILED))
+@query("a10_profile", "name rows nulls", "mean std p01 p50 p99",
+       " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS nulls, avg({c}) AS mean, stddev_samp({c}) AS std, quantile_cont({c}, 0.01) AS p01, median({c}) AS p50, quantile_cont({c}, 0.99) AS p99 FROM bars" for c in PROFILED))
 def a10(d: Data):
-    stats = [F.struct(F.lit(c).alias("name"), F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count(c)).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.median(c).alias("p50")).alias(c) for c in PROFILED]
+    stats = [F.struct(F.lit(c).alias("name"), F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count(c)).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.percentile(c, 0.01).alias("p01"), F.median(c).alias("p50"), F.percentile(c, 0.99).alias("p99")).alias(c) for c in PROFILED]
     return d.bars.agg(*stats).select(F.explode(F.array(*PROFILED)).alias("s")).select("s.*")
 
 

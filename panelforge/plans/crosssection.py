@@ -71,7 +71,7 @@ def x6(d: Data):
     return p.join(s, "date", "left").join(F.broadcast(g)).select("code", "date", clip(z, -5.0, 5.0).alias("z"))  # g is one row
 
 
-@query("x7_winsorise_sigma", "code date", "w", P + f", g AS (SELECT avg(r) AS m, stddev_samp(r) AS s FROM p WHERE date < {CUT}) ;; SELECT code, date, CASE WHEN r IS NOT NULL THEN greatest(m - 2 * s, least(m + 2 * s, r)) END AS w FROM p, g", "panel")
+@query("x7_winsorise_sigma", "code date", "w", P.replace("p AS (", "p AS MATERIALIZED (", 1) + f", g AS (SELECT avg(r) AS m, stddev_samp(r) AS s FROM p WHERE date < {CUT}) ;; SELECT code, date, CASE WHEN r IS NOT NULL THEN greatest(m - 2 * s, least(m + 2 * s, r)) END AS w FROM p, g", "panel")
 def x7(d: Data):
     p = panel(d)
     g = p.where(_train()).agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
@@ -79,7 +79,7 @@ def x7(d: Data):
 
 
 @query("x8_quantile_clip", "code date", "clipped anomaly",
-       P + ", g AS (SELECT quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi, avg(r) AS m, stddev_samp(r) AS s FROM p) ;; SELECT code, date, CASE WHEN r IS NOT NULL THEN greatest(lo, least(hi, r)) END AS clipped, abs((r - m) / (s + 1e-8)) AS anomaly FROM p, g", "panel")
+       P.replace("p AS (", "p AS MATERIALIZED (", 1) + ", g AS (SELECT quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi, avg(r) AS m, stddev_samp(r) AS s FROM p) ;; SELECT code, date, CASE WHEN r IS NOT NULL THEN greatest(lo, least(hi, r)) END AS clipped, abs((r - m) / (s + 1e-8)) AS anomaly FROM p, g", "panel")
 def x8(d: Data):
     p = panel(d)
     g = p.agg(F.percentile("r", F.array(F.lit(0.01), F.lit(0.99))).alias("q"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))

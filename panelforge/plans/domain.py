@@ -78,11 +78,11 @@ def d5(d: Data):
     return q.select("code", "date", F.sum("amount").over(year).alias("sum12"), lead("amount").alias("next_amount"), (F.col("amount") > 2 * lag("amount")).alias("special"), F.datediff("date", lag("date")).alias("stale"))
 
 
-EX = SNAP + ", ex AS (SELECT code, date + 10 AS date, max(amount) / 100000 AS dps FROM sn WHERE rec % 5 = 0 GROUP BY ALL), j AS (SELECT b.*, ex.date AS ex_date, dps FROM bars b ASOF LEFT JOIN ex ON b.code = ex.code AND b.date <= ex.date)"
+EX = SNAP + ", ex AS (SELECT code, date + 10 AS date, max(amount) / 100000 AS dps FROM sn GROUP BY ALL), j AS (SELECT b.*, ex.date AS ex_date, dps FROM bars b ASOF LEFT JOIN ex ON b.code = ex.code AND b.date <= ex.date)"
 
 
 def ex_dates(d: Data):
-    ex = daily_snapshots(d).where("rec % 5 = 0").groupBy("code", F.date_add("date", 10).alias("date")).agg((F.max("amount") / 100000).alias("dps"))
+    ex = daily_snapshots(d).groupBy("code", F.date_add("date", 10).alias("date")).agg((F.max("amount") / 100000).alias("dps"))
     return asof_join(d.bars, ex.withColumn("ex_date", F.col("date")), ["code"], "date", ["ex_date", "dps"], forward=True)
 
 
@@ -557,9 +557,9 @@ def d46(d: Data):
 
 
 @query("d47_event_flags", "code date flag", "",
-       "e AS (SELECT DISTINCT CASE WHEN rec % 20 = 0 THEN NULL ELSE code END AS code, published AS date FROM snapshots WHERE rec % 4 = 0) ;; SELECT b.code, b.date, CAST(o.code IS NOT NULL OR w.date IS NOT NULL AS INT) AS flag FROM bars b LEFT JOIN (SELECT * FROM e WHERE code IS NOT NULL) o ON o.code = b.code AND o.date = b.date LEFT JOIN (SELECT DISTINCT date FROM e WHERE code IS NULL) w ON w.date = b.date", "bars snapshots")
+       "e AS (SELECT DISTINCT CASE WHEN rec % 20 = 0 THEN NULL ELSE code END AS code, published AS date FROM snapshots) ;; SELECT b.code, b.date, CAST(o.code IS NOT NULL OR w.date IS NOT NULL AS INT) AS flag FROM bars b LEFT JOIN (SELECT * FROM e WHERE code IS NOT NULL) o ON o.code = b.code AND o.date = b.date LEFT JOIN (SELECT DISTINCT date FROM e WHERE code IS NULL) w ON w.date = b.date", "bars snapshots")
 def d47(d: Data):
-    e = d.snapshots.where("rec % 4 = 0").select(F.when(F.col("rec") % 20 != 0, F.col("code")).alias("code"), F.col("published").alias("date")).distinct()
+    e = d.snapshots.select(F.when(F.col("rec") % 20 != 0, F.col("code")).alias("code"), F.col("published").alias("date")).distinct()
     own = e.where("code is not null").withColumn("own", F.lit(1))
     every = e.where("code is null").select("date", F.lit(1).alias("every")).distinct()
     return d.bars.select("code", "date").join(own, ["code", "date"], "left").join(every, "date", "left").withColumn("flag", F.coalesce("own", "every", F.lit(0)))

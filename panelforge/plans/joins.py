@@ -28,9 +28,9 @@ def j1(d: Data):
 
 
 @query("j2_asof_market", "code date", "total",
-       "s AS (SELECT published AS date, sum(amount) AS total FROM snapshots WHERE rec % 7 = 0 GROUP BY published), g AS (SELECT c.date, total FROM (SELECT DISTINCT date FROM bars) c ASOF LEFT JOIN s ON c.date >= s.date) ;; SELECT code, b.date, total FROM bars b JOIN g ON b.date = g.date", "bars snapshots")
+       "s AS (SELECT published AS date, sum(amount) AS total FROM snapshots GROUP BY published), g AS (SELECT c.date, total FROM (SELECT DISTINCT date FROM bars) c ASOF LEFT JOIN s ON c.date >= s.date) ;; SELECT code, b.date, total FROM bars b JOIN g ON b.date = g.date", "bars snapshots")
 def j2(d: Data):
-    series = d.snapshots.where("rec % 7 = 0").groupBy(F.col("published").alias("date")).agg(F.sum("amount").alias("total"))
+    series = d.snapshots.groupBy(F.col("published").alias("date")).agg(F.sum("amount").alias("total"))
     dates = asof_join(d.bars.select("date").distinct(), series, [], "date", ["total"])  # one row for each date
     return d.bars.join(dates, "date")
 
@@ -46,14 +46,14 @@ def j4(d: Data):
     return asof_join(d.bars, s, ["code"], "date", ["rec", "amount", "until"]).where("date <= until")
 
 
-INTERVALS = """sp AS (SELECT priority, published, sum(amount) AS amount FROM snapshots WHERE rec % 11 = 0 GROUP BY ALL),
+INTERVALS = """sp AS (SELECT priority, published, sum(amount) AS amount FROM snapshots GROUP BY ALL),
 se AS (SELECT sp.*, c.date AS start FROM sp ASOF JOIN (SELECT date FROM calendar) c ON sp.published < c.date), s1 AS (SELECT priority, start, max(published) AS published, arg_max(amount, published) AS amount FROM se GROUP BY ALL),
 iv AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY priority ORDER BY start) - 1, DATE '2999-12-31') AS stop FROM s1)"""
 
 
 def intervals(d: Data):
     """Validity ranges by priority: from the business day after publication to the day before the next range."""
-    sums = d.snapshots.where("rec % 11 = 0").groupBy("priority", "published").agg(F.sum("amount").alias("amount"))
+    sums = d.snapshots.groupBy("priority", "published").agg(F.sum("amount").alias("amount"))
     starts = calendar.next_business_day(sums, "published", d.calendar, "start").where("start is not null")
     one = starts.groupBy("priority", "start").agg(F.max("published").alias("published"), F.max_by("amount", "published").alias("amount"))
     until = F.lead("start").over(Window.partitionBy("priority").orderBy("start"))
@@ -157,10 +157,10 @@ def j14(d: Data):
 
 
 @query("j15_fallback", "code date", "flow",
-       """f AS (SELECT published AS date, (rec % 5)::INT AS section, sum(amount) AS flow FROM snapshots WHERE rec % 3 <> 0 GROUP BY ALL), a AS (SELECT date, avg(flow) AS day FROM f GROUP BY date), p AS (SELECT code, date, CASE WHEN market = 4 THEN 0 ELSE market END AS section FROM panel) ;;
+       """f AS (SELECT published AS date, (rec % 5)::INT AS section, sum(amount) AS flow FROM snapshots GROUP BY ALL), a AS (SELECT date, avg(flow) AS day FROM f GROUP BY date), p AS (SELECT code, date, CASE WHEN market = 4 THEN 0 ELSE market END AS section FROM panel) ;;
 SELECT code, p.date, coalesce(f.flow, g.flow, day) AS flow FROM p LEFT JOIN f ON p.date = f.date AND p.section = f.section LEFT JOIN f g ON p.date = g.date AND g.section = 0 LEFT JOIN a ON p.date = a.date""", "panel snapshots")
 def j15(d: Data):
-    f = d.snapshots.where("rec % 3 <> 0").groupBy(F.col("published").alias("date"), (F.col("rec") % 5).cast("int").alias("section")).agg(F.sum("amount").alias("flow"))
+    f = d.snapshots.groupBy(F.col("published").alias("date"), (F.col("rec") % 5).cast("int").alias("section")).agg(F.sum("amount").alias("flow"))
     p = d.panel.select("code", "date", F.when(F.col("market") == 4, 0).otherwise(F.col("market")).alias("section"))
     default = f.where("section = 0").select("date", F.col("flow").alias("default"))
     day = f.groupBy("date").agg(F.avg("flow").alias("day"))

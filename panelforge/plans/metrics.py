@@ -55,14 +55,17 @@ def m3(d: Data):
     return d.pred.select("set", "date", diff.alias("dd")).groupBy("set", "date").agg((1 - ratio(6 * F.sum(F.col("dd") * F.col("dd")), n * (n * n - 1))).alias("rho"))
 
 
-@query("m4_deciles", "set decile", "mean_return mean_count",
+@query("m4_deciles", "set decile", "mean_return mean_count spread",
        """b AS (SELECT set, date, quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM pred GROUP BY set, date), k AS (SELECT p.*, len(list_filter(q, lambda x: x < score)) + 1 AS decile FROM pred p JOIN b ON p.set = b.set AND p.date = b.date),
-g AS (SELECT set, date, decile, avg(label) AS m, count(*) AS c FROM k GROUP BY ALL) ;; SELECT set, decile, avg(m) AS mean_return, avg(c) AS mean_count FROM g GROUP BY set, decile""", "pred")
+g AS (SELECT set, date, decile, avg(label) AS m, count(*) AS c FROM k GROUP BY ALL) , h AS (SELECT set, decile, avg(m) AS mean_return, avg(c) AS mean_count FROM g GROUP BY set, decile) ;;
+SELECT *, max(mean_return) FILTER (decile = 10) OVER (PARTITION BY set) - max(mean_return) FILTER (decile = 1) OVER (PARTITION BY set) AS spread FROM h""", "pred")
 def m4(d: Data):
     bounds = d.pred.groupBy("set", "date").agg(F.percentile("score", F.array(*[F.lit(k / 10) for k in range(1, 10)])).alias("q"))
     k = d.pred.join(bounds, ["set", "date"]).withColumn("decile", F.size(F.filter("q", lambda x: x < F.col("score"))) + 1)
     daily = k.groupBy("set", "date", "decile").agg(F.avg("label").alias("m"), F.count(F.lit(1)).alias("c"))
-    return daily.groupBy("set", "decile").agg(F.avg("m").alias("mean_return"), F.avg("c").alias("mean_count"))
+    means = daily.groupBy("set", "decile").agg(F.avg("m").alias("mean_return"), F.avg("c").alias("mean_count"))
+    of = lambda k: F.max(F.when(F.col("decile") == k, F.col("mean_return"))).over(Window.partitionBy("set"))
+    return means.withColumn("spread", of(10) - of(1))
 
 
 ORDERS = "o AS (SELECT *, row_number() OVER (PARTITION BY set, date ORDER BY score DESC, code) AS rs, row_number() OVER (PARTITION BY set, date ORDER BY label DESC, code) AS rl, count(*) OVER (PARTITION BY set, date) AS n FROM pred)"

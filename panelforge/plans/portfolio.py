@@ -164,23 +164,24 @@ def p15(d: Data):
     return daily(d).withColumn("value", F.exp(F.sum(F.log(1 + F.greatest(F.col("net"), F.lit(-0.99)))).over(by_set())))
 
 
-METRICS = WEIGHTS + """, x AS (SELECT set, date, greatest(net, -0.99) AS r, turnover, exp(sum(ln(1 + greatest(net, -0.99))) OVER w) AS v FROM dy WINDOW w AS (PARTITION BY set ORDER BY date)), y AS (SELECT *, ln(v) - ln(greatest(1, max(v) OVER (PARTITION BY set ORDER BY date))) AS dd FROM x)"""
+METRICS = WEIGHTS + """, rr AS (SELECT set, date, greatest(-0.03, least(0.03, net)) AS r, turnover FROM dy), x AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY set ORDER BY date) AS lv FROM rr), y AS (SELECT *, lv - greatest(0, max(lv) OVER (PARTITION BY set ORDER BY date)) AS dd FROM x)"""
 PMS = """count(*) AS days, exp(sum(ln(1 + r)) * 252 / count(*)) - 1 AS annual, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, avg(r) / nullif(sqrt(avg(least(r, 0) * least(r, 0))), 0) * sqrt(252) AS sortino,
-1 - exp(min(dd)) AS max_drawdown, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(turnover) AS mean_turnover"""
+1 - exp(min(dd)) AS max_drawdown, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(turnover) AS mean_turnover, exp(sum(ln(1 + r))) - 1 AS total, (exp(sum(ln(1 + r)) * 252 / count(*)) - 1) / nullif(1 - exp(min(dd)), 0) AS calmar, 0.0010::DOUBLE * sum(turnover) AS cost"""
 
 
 def valued(d: Data):
-    x = daily(d).withColumn("r", F.greatest(F.col("net"), F.lit(-0.99)))
+    """Log value and drawdown; returns are winsorised at 3 % a day, as the prices of the stand-in bars mix parts."""
+    x = daily(d).withColumn("r", F.greatest(F.lit(-0.03), F.least(F.lit(0.03), "net")))
     x = x.withColumn("lv", F.sum(F.log(1 + F.col("r"))).over(by_set()))
     return x.withColumn("dd", F.col("lv") - F.greatest(F.lit(0.0), F.max("lv").over(by_set())))
 
 
-@query("p16_portfolio_metrics", "set days", "annual sharpe sortino max_drawdown win_rate mean_turnover", METRICS + f" ;; SELECT set, {PMS} FROM y GROUP BY set", "pred")
+@query("p16_portfolio_metrics", "set days", "annual sharpe sortino max_drawdown win_rate mean_turnover total calmar cost", METRICS + f" ;; SELECT set, {PMS} FROM y GROUP BY set", "pred")
 def p16(d: Data):
     return valued(d).groupBy("set").agg(*book.performance())
 
 
-@query("p17_performance_by_year", "set yr days", "annual sharpe sortino max_drawdown win_rate mean_turnover", METRICS + f" ;; SELECT set, year(date) AS yr, {PMS} FROM y GROUP BY set, year(date)", "pred")
+@query("p17_performance_by_year", "set yr days", "annual sharpe sortino max_drawdown win_rate mean_turnover total calmar cost", METRICS + f" ;; SELECT set, year(date) AS yr, {PMS} FROM y GROUP BY set, year(date)", "pred")
 def p17(d: Data):
     return valued(d).groupBy("set", F.year("date").alias("yr")).agg(*book.performance())
 

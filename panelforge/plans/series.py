@@ -141,9 +141,9 @@ def n5(d: Data):
 
 
 @query("n6_label_ranges", "id start stop", "",
-       "w AS (SELECT CASE WHEN eid % 50 = 0 THEN NULL ELSE id END AS id, CAST(ts AS DATE) AS day FROM ev WHERE eid % 5 = 0), u AS (SELECT DISTINCT id FROM ev) ;; SELECT DISTINCT id, day - 1 AS start, day + 2 AS stop FROM w WHERE id IS NOT NULL UNION SELECT u.id, day - 1, day + 2 FROM (SELECT DISTINCT day FROM w WHERE id IS NULL) CROSS JOIN u", "ev")
+       "w AS (SELECT CASE WHEN eid % 50 = 0 THEN NULL ELSE id END AS id, CAST(ts AS DATE) AS day FROM ev), u AS (SELECT DISTINCT id FROM ev) ;; SELECT DISTINCT id, day - 1 AS start, day + 2 AS stop FROM w WHERE id IS NOT NULL UNION SELECT u.id, day - 1, day + 2 FROM (SELECT DISTINCT day FROM w WHERE id IS NULL) CROSS JOIN u", "ev")
 def n6(d: Data):
-    events = d.ev.where("eid % 5 = 0").select(F.when(F.col("eid") % 50 != 0, F.col("id")).alias("id"), F.to_date("ts").alias("day"))
+    events = d.ev.select(F.when(F.col("eid") % 50 != 0, F.col("id")).alias("id"), F.to_date("ts").alias("day"))
     return detect.label_ranges(events, d.ev.select("id").distinct(), before=1, after=2)
 
 
