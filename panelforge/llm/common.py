@@ -27,12 +27,14 @@ def partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is missing (tests, local sessions) it is set to a folder
-    below the warehouse, so that checkpoint() works as well.
+    Where the setting is missing in a local session (tests) it is set to a folder
+    below the warehouse, so that checkpoint() works as well; elsewhere that is an error.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)

@@ -5,10 +5,11 @@ other words lose case, punctuation is dropped. Windows
 of WINDOW consecutive template words of the documents are joined by hash with
 those of the benchmark items (items that are shorter by their whole length).
 Windows of one document and item on one diagonal (position in the document minus
-position in the item) form a run. The slots of a run must be consistent: one
-value of the item always stands for one value of the document, so that a
-re-parameterised copy passes and an accidental template does not. A document
-leaks an item if a consistent run covers LEAST_WORDS words, or the whole item.
+position in the item) form runs without gaps. The slots of a run must be
+consistent: one value of the item always stands for one value of the document, so
+that a re-parameterised copy passes and an accidental template does not; a run is
+cut where they are not. A document leaks an item if a consistent piece has
+LEAST_WORDS words, or is the whole item.
 
 Beside the templates, windows of the words as written (but for case) are joined
 and form runs of their own, so exact copies are found however many numbers and
@@ -29,7 +30,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -41,7 +42,7 @@ LEAST_LITERALS = 4
 #: Up to so many benchmark windows (24 bytes each) are broadcast; beyond, windows are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 # Units of measure and money.
-UNITS = "mm cm m km in ft yd mi g kg mg lb lbs oz t l ml cl gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent mph kmh km/h m/s degrees meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms pound pounds ounce ounces mile miles inch inches foot feet liter liters litre litres".split()
+UNITS = "mm cm m km in ft yd mi g kg mg lb lbs oz t l ml cl gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent mph kmh degrees meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms pound pounds ounce ounces mile miles inch inches foot feet liter liters litre litres".split()
 # Placeholders: private-use characters, which no word has.
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 _IN = r"\p{L}\p{M}\p{N}"
@@ -123,45 +124,63 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small = items.count() <= BROADCAST_WINDOWS
     side = items.withColumnRenamed("length", "_length")
     found = None
+    # outer: before an inner one the optimizer asks for the size of the array, and so makes it twice
     for length in lengths:
         of = side.where(F.col("_length") == length)
         hashed = cut.select("doc_id", "text_hash", *[windows(F.col(name), length).alias(name) for name in names])
-        placed = hashed.select("doc_id", "text_hash", F.posexplode(distinct_windows([F.col(name) for name in names])).alias("pos", "_each"))
-        rows = placed.select("doc_id", "text_hash", "pos", F.explode("_each").alias("hash"))
+        placed = hashed.select("doc_id", "text_hash", F.posexplode_outer(distinct_windows([F.col(name) for name in names])).alias("pos", "_each"))
+        rows = placed.select("doc_id", "text_hash", "pos", F.explode_outer("_each").alias("hash"))
         hits = rows.join(F.broadcast(of) if small else of, "hash")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return _no_leaks(docs, benchmark)
-    key = ["doc_id", "text_hash", "item_id", "item_words", "shift", "exact"]
-    runs = found.withColumn("shift", F.col("pos") + 1 - F.col("at")).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("at", "_length"))).alias("parts"))
-    covered = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).alias("n"), F.lit(1).alias("free")),
-        lambda a, p: F.struct(
-            (a["n"] + F.greatest(F.lit(0), p["at"] + p["_length"] - F.greatest(a["free"], p["at"]))).alias("n"),
-            F.greatest(a["free"], p["at"] + p["_length"]).alias("free"),
-        ),
-    )["n"]
-    runs = runs.withColumn("covered_words", covered).where(F.col("covered_words") >= F.least(F.lit(LEAST_WORDS), F.col("item_words")))
-    checked = stored(runs)
-
-    # Slots: only items with placeholders need the words themselves.
-    slotted = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    slotted = slotted.select("item_id", template(F.col("text")).alias("_t"), values(F.col("text")).alias("_v"))
-    slotted = slotted.select("item_id", F.filter(F.transform("_t", lambda t, i: F.struct((i + 1).alias("at"), F.get("_v", i).alias("value"), t.isin(NUM, NAME, UNIT).alias("slot"))), lambda x: x["slot"]).alias("slots"))
-    slotted = slotted.where(F.size("slots") > 0)
-    # exact runs need no check
-    plain = checked.where("exact").unionByName(checked.where("not exact").join(slotted.select("item_id"), "item_id", "left_anti"))
-    open_ = checked.where("not exact").join(slotted, "item_id")
-    sources = texts.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
-    open_ = open_.join(sources, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    inside = F.filter("slots", lambda s: F.exists("parts", lambda p: (s["at"] >= p["at"]) & (s["at"] < p["at"] + p["_length"])))
-    pairs = F.transform(inside, lambda s: F.struct(s["value"].alias("item"), F.get(F.col("_words"), s["at"] + F.col("shift") - 1).alias("doc")))
-    consistent = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["item"]))) == F.size(F.array_distinct("_pairs"))
-    open_ = open_.withColumn("_words", values(F.col("text"))).withColumn("_pairs", pairs).where(consistent)
-    every = plain.select(*key, "covered_words").unionByName(open_.select(*key, "covered_words"))
-    best = F.max(F.struct("covered_words", (-F.col("shift")).alias("_s"), "item_words"))
-    return every.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("_best")).select("doc_id", "text_hash", "item_id", F.col("_best.item_words").alias("item_words"), F.col("_best.covered_words").alias("covered_words"), (-F.col("_best._s")).alias("position"))
+    runs = stored(segments(found.withColumn("shift", F.col("pos") + 1 - F.col("at"))))
+    exact = runs.where("exact").select(*_DIAGONAL, "first", "last")
+    every = exact.unionByName(consistent_pieces(runs.where("not exact"), texts, benchmark)).where(_long_enough())
+    best = F.max(F.struct((F.col("last") - F.col("first")).alias("n"), (-(F.col("shift") + F.col("first") - 1)).alias("s"), "item_words"))
+    return every.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("_b")).select("doc_id", "text_hash", "item_id", F.col("_b.item_words").alias("item_words"), F.col("_b.n").alias("covered_words"), (-F.col("_b.s")).alias("position"))
+
+
+_DIAGONAL = ["doc_id", "text_hash", "item_id", "item_words", "shift", "exact"]
+
+
+def _long_enough() -> Column:
+    return F.col("last") - F.col("first") >= F.least(F.lit(LEAST_WORDS), F.col("item_words"))
+
+
+def segments(found: DataFrame) -> DataFrame:
+    """(diagonal, first, last): the item's words from first on, up to but not with last, that windows cover without a gap."""
+    order = Window.partitionBy(*_DIAGONAL).orderBy("at")
+    starts = (F.col("at") > F.lag(F.col("at") + F.col("_length")).over(order)).cast("int")
+    numbered = found.select(*_DIAGONAL, "at", "_length").distinct().withColumn("_new", F.coalesce(starts, F.lit(0))).withColumn("_segment", F.sum("_new").over(order))
+    return numbered.groupBy(*_DIAGONAL, "_segment").agg(F.min("at").alias("first"), F.max(F.col("at") + F.col("_length")).alias("last")).drop("_segment").where(_long_enough())
+
+
+def consistent_pieces(runs: DataFrame, texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(diagonal, first, last) of the longest pieces of segments in which an item's value stands for one value of the document."""
+    items = stored(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("_t", template(F.col("text"))).withColumn("_v", values(F.col("text"))).select("item_id", F.size("_t").alias("item_words"), "_t", "_v"))
+    slots = items.select("item_id", "item_words", F.filter(F.transform("_t", lambda t, i: F.struct((i + 1).alias("at"), F.get("_v", i).alias("value"), t.isin(NUM, NAME, UNIT).alias("slot"))), lambda s: s["slot"]).alias("_slots"))
+    slots = stored(slots.where(F.size("_slots") > 0))
+    # only items with placeholders need the words themselves
+    known = stored(runs.join(slots, ["item_id", "item_words"], "left").withColumn("_inside", F.filter("_slots", lambda s: (s["at"] >= F.col("first")) & (s["at"] < F.col("last")))).drop("_slots"))
+    free = known.where("_inside is null or size(_inside) = 0").select(*_DIAGONAL, "first", "last")
+    open_ = known.where("size(_inside) > 0")
+    owners = stored(open_.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    few = owners.count() <= BROADCAST_WINDOWS
+    sources = stored(hashed.join(F.broadcast(owners) if few else owners, same).select("_id", "_hash", values(F.col("text")).alias("_words")).dropDuplicates(["_id", "_hash"]))
+    pairs = F.transform("_inside", lambda s: F.struct(s["at"].alias("at"), s["value"].alias("item"), F.get("_words", s["at"] + F.col("shift") - 1).alias("doc")))
+    rows = stored(open_.join(sources, same).select(*_DIAGONAL, "first", "last", pairs.alias("_pairs"))).select(*_DIAGONAL, "first", "last", F.explode("_pairs").alias("_pair")).select(*_DIAGONAL, "first", "last", "_pair.*")
+    # before a slot, the last place where its item value stood for another value: a piece cannot reach back to it
+    run = [*_DIAGONAL, "first"]
+    of_value = Window.partitionBy(*run, "item").orderBy("at")
+    changed = F.when(~F.lag("doc").over(of_value).eqNullSafe(F.col("doc")), F.lag("at").over(of_value))
+    rows = rows.withColumn("_changed", changed).withColumn("_back", F.max("_changed").over(of_value.rowsBetween(Window.unboundedPreceding, 0)))
+    in_order = Window.partitionBy(*run).orderBy("at")
+    start = F.greatest(F.col("first"), F.coalesce(F.max("_back").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + 1, F.lit(0)))
+    pieces = rows.select(*_DIAGONAL, start.alias("_first"), F.coalesce(F.lead("at").over(in_order), F.col("last")).alias("last"))
+    return free.unionByName(pieces.withColumnRenamed("_first", "first"))
 
 
 def _no_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -171,8 +190,8 @@ def _no_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that leak an item."""
     bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return hashed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_anti").select("row.*")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,9 +294,9 @@ def without_near_copies(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     chosen = named.groupBy("label").agg(F.min("row").alias("row")).select("row._id", "row._hash")
     bare = profile.where("size = 0").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
     kept = chosen.unionByName(bare).distinct()
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_hash": F.xxhash64("text")})
-    once = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64(*docs.columns))
-    return keyed.join(kept, ["_id", "_hash"]).withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_hash"))
+    once = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("_row"))
+    return keyed.join(kept, ["_id", "_hash"]).withColumn("_number", F.row_number().over(once)).where("_number = 1").select("_row.*")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

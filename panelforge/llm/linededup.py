@@ -157,12 +157,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def _applied(docs: DataFrame, removed: DataFrame, without: Callable) -> DataFrame:
     """docs without what removed(_id, _text, _removed) lists for each document."""
-    changed = _joined(_identified(docs), removed, "left")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
+    changed = _joined(rows, removed, "left")
     changed = changed.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_removed"))))
     changed = changed.where("_removed is null or text is not null")
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return changed.select(*docs.columns)
+    length = F.when(F.col("_removed").isNull(), F.col("_row.n_chars")).otherwise(F.length("text")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": length.cast(dict(docs.dtypes)["n_chars"]) if length is not None else None}
+    return changed.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def spans(text: str) -> list[tuple[int, int, bytes]]:

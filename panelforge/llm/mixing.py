@@ -55,8 +55,8 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """docs with size, source_size, target and taken; its columns must not have these names."""
-    ids = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, text_hash, size, source_size, target, taken) of every row of docs."""
+    ids = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     quality = F.lit(PLAIN)
     if labels is not None:
         known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
@@ -64,7 +64,7 @@ def mixed(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
         quality = F.when(F.col("_quality") == 1, GOOD).when(F.col("_quality") == 0, BAD).otherwise(PLAIN)
     digits = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix"))), 1, 13), 16, 10)
     u = (digits.cast("long").cast("double") + 0.5) / float(2**52)
-    sized = stored(ids.select("doc_id", "source", "size", (-F.log(u) / quality).alias("_key")))
+    sized = stored(ids.select("doc_id", "source", "text_hash", "size", (-F.log(u) / quality).alias("_key")))
 
     sources = stored(targets(sized))
     small = sources.count() <= BROADCAST_SOURCES
@@ -81,14 +81,14 @@ def mixed(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     before = F.sum("_words").over(Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select(F.col("source").alias("_of"), F.col("_slice").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
     placed = joined.join(totals, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_at")))
-    inside = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id", "size")
+    inside = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id", "size", "text_hash")
     earlier = F.col("_before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = (earlier + F.col("size") / 2 <= F.col("_rest")).cast("long")
-    return placed.withColumn("taken", F.col("size") * (F.col("_epochs") + chosen)).select("doc_id", "size", "source_size", "target", "taken")
+    return placed.withColumn("taken", F.col("size") * (F.col("_epochs") + chosen)).select("doc_id", "source", "text_hash", "size", "source_size", "target", "taken")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,28 +57,23 @@ LEDGER = "blob string, found array<struct<rule:string,spans:array<struct<start:i
 
 
 def spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> of the matches: what lies between them and their own lengths give the positions."""
+    """array<struct<start, end>> of the matches: a running sum of what lies between them and of their own lengths gives the positions."""
     pattern = F.lit(rule.pattern)
-    total = lambda lengths, n: F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
     matched = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     values = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
-    parts = F.struct(between.alias("b"), matched.alias("m"), values.alias("v"))
-
-    def placed(p: Column) -> Column:
-        return F.transform(
-            p["m"],
-            lambda n, i: F.struct(
-                (total(p["b"], i + 1) + total(p["m"], i)).alias("start"),
-                (total(p["b"], i + 1) + total(p["m"], i + 1)).alias("end"),
-                F.element_at(p["v"], i + 1).alias("n"),
-            ),
-        )
+    # what lies between matches and they themselves, one after the other; behind the last match there is no further one
+    parts = F.filter(F.zip_with(F.zip_with(between, matched, lambda b, m: F.struct(b.alias("b"), m.alias("m"))), values, lambda x, v: F.struct(x["b"].alias("b"), x["m"].alias("m"), v.alias("v"))), lambda x: x["m"].isNotNull())
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + x["b"]
+        span = F.struct(start.alias("start"), (start + x["m"]).alias("end"))
+        return F.struct((start + x["m"]).alias("at"), F.when(x["v"] >= rule.least, F.array_append(state["found"], span)).otherwise(state["found"]).alias("found"))
 
-    found = F.filter(F.element_at(F.transform(F.array(parts), placed), 1), lambda s: s["n"] >= rule.least)
-    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda state: state["found"])
     # one cheap test first: nearly all texts have no match
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
 def blob(text: Column) -> Column:
@@ -105,6 +101,29 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     return found.dropDuplicates(["blob"])  # an owner's row may be repeated
 
 
+def merged(ledger: DataFrame, new: DataFrame) -> DataFrame:
+    """The ledger with the rows of a further run: one row for each blob, with every rule that has scanned it."""
+    every = ledger.unionByName(new).select("blob", F.explode("found").alias("f"))
+    return every.groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("found"))
+
+
+def append_ledger(spark: SparkSession, path: str, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger table at path lacks for docs, append it to the table, and return the whole ledger.
+
+    docs are all versions that are known, however old: rows of one id with
+    different texts are versions of one document. A run that dies before its rows
+    are written leaves the ledger as it was.
+    """
+    try:
+        seen = spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        seen = None
+    stored(scan_unseen(docs, seen, rules)).write.mode("append").parquet(path)
+    return merged(spark.read.schema(LEDGER).parquet(path), spark.createDataFrame([], LEDGER))
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans): every document with all spans of the current rules, by start, then by the order of the rules."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])

@@ -256,6 +256,16 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert {r.doc_id for r in decontam.leaks(documents(spark, rows), bench).collect()} == {1}
 
 
+def test_runs_are_cut_at_conflicts_and_gaps(spark):
+    item = "pack 5 red apples and then go to the far old market near the river bank with them and wait for 5 long hours of the day until the others come back home again"
+    words = item.split()
+    rows = [(1, item.replace("for 5", "for 8")), (2, " ".join([*words[:10], *"ab cd ef".split(), *words[13:]])), (3, " ".join([*words[:9], "zz", *words[10:19], "yy", *words[20:29]])), (4, "a car at 90 km/h is 5 km/h faster than the 5 old red cars that stand here")]
+    bench = spark.createDataFrame([(1, item), (2, rows[3][1].replace("90", "80"))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.covered_words for r in decontam.leaks(documents(spark, rows), bench).collect()}
+    # 1: from behind the first slot on; 2: behind the gap; 3: no piece of 13 words
+    assert got == {(1, 1): len(words) - 2, (2, 1): len(words) - 13, (4, 2): 20}
+
+
 def test_exact_copies_of_items_with_few_words_beside_numbers_leak(spark):
     items = {1: "What is 12 + 7?", 2: "2 4 8 16 32 64 128 256 512 1024 2048 then", 3: "Add the rows below for me 1 2 3 4 5 6 7 8 9 10 and report the total of them"}
     rows = [(k, f"{prose(k, 20)}. {t} {prose(k + 9, 20)}") for k, t in items.items()]
@@ -392,6 +402,29 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert len(again) == 2 and all([f["rule"] for f in r.found] == ["assign@2"] for r in again)
 
 
+def test_a_text_with_many_matches(spark):
+    text = " ".join(f"{i:08x}" * 4 + "x" for i in range(8000))
+    began = time.time()
+    got = secrets.report(secrets.findings(d := documents(spark, [(1, text)]), secrets.scan_unseen(d))).first()
+    spans = [tuple(map(int, s.split(":")[1:])) for s in got.spans.split(",")]
+    assert got.n_hex == 8000 and spans == [m.span() for m in re.finditer(r"[0-9a-f]{32,}", text)] and time.time() - began < 60
+
+
+def test_a_ledger_grows_over_runs(spark, tmp_path):
+    """Three runs over a growing history; the last one raises a rule."""
+    path = str(tmp_path / "ledger")
+    first = [(1, "password=abcdefgh1"), (2, "clean")]
+    history = [*first, (1, "password=abcdefgh1 and token=abcdefgh2"), (3, "clean")]
+    raised = (secrets.Rule("assign", 2, secrets.RULES[0].pattern, 1, 8), *secrets.RULES[1:])
+    sizes = []
+    for rows, rules in ((first, secrets.RULES), (history, secrets.RULES), (history, raised)):
+        ledger = secrets.append_ledger(spark, path, documents(spark, rows), rules)
+        sizes.append((spark.read.parquet(path).count(), ledger.count()))
+        found = sorted((r.doc_id, r.spans) for r in secrets.report(secrets.findings(documents(spark, rows), ledger, rules)).collect())
+    assert sizes == [(2, 2), (3, 3), (6, 3)]
+    assert found == [(1, "assign:0:18"), (1, "assign:0:18,assign:23:38"), (2, ""), (3, "")]
+
+
 # mixing
 
 def test_mix_of_odd_documents(spark):
@@ -502,10 +535,10 @@ def test_pipeline(spark, sf):
 
 def test_extra_columns_with_clashing_names(spark):
     docs = documents(spark, [(1, prose(1, 60)), (2, prose(1, 60)), (3, prose(3, 60))])
-    for extra in ("size", "blob", "hash", "words", "block", "score"):
+    for extra in ("size", "blob", "hash", "words", "block", "score", "target", "taken", "_hash", "_score"):
         docs = docs.withColumn(extra, F.lit("x"))
-    assert jaccard.without_near_copies(docs).columns == docs.columns and linededup.dedup_lines(docs).columns == docs.columns
-    assert mixing.mixed(docs, None).count() == 3 and secrets.scan_unseen(docs).count() == 2
     bench = spark.createDataFrame([(1, ITEM, "x")], "item_id long, text string, words string")
-    assert decontam.decontaminate(docs, bench).columns == docs.columns
+    for kept in (jaccard.without_near_copies(docs), linededup.dedup_lines(docs), linededup.dedup_passages(docs), decontam.decontaminate(docs, bench)):
+        assert kept.columns == docs.columns and all(r["_hash"] == "x" and r["size"] == "x" for r in kept.collect())
+    assert mixing.mixed(docs, None).count() == 3 and secrets.scan_unseen(docs).count() == 2
     assert fingerprint.with_next(docs).count() == 3
