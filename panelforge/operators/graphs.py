@@ -112,15 +112,22 @@ def core_numbers(e: DataFrame) -> DataFrame:
     return found if found is not None else left.select("win", F.col("src").alias("code"), F.lit(0).alias("core"))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
-    """The k nearest vectors of the same label, by cosine, for every query row."""
+def nearest(vectors: DataFrame, queries: Column, k: int, blocks: int = 32) -> DataFrame:
+    """The k nearest of all vectors, by cosine, for every query row.
+
+    Vectors are dealt into blocks by hash and every query goes to each block,
+    which keeps its k best before the blocks meet: a task holds one block of
+    vectors, and k rows of each block and query are shuffled.
+    """
     size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-    unit = vectors.withColumn("_s", size).withColumn("u", F.transform("e", lambda x: x / F.col("_s"))).select("vec_id", "label", "u")
-    q = unit.where(queries).select(F.col("vec_id").alias("query"), "label", F.col("u").alias("v"))
+    unit = vectors.withColumn("_s", size).select("vec_id", F.transform("e", lambda x: x / F.col("_s")).alias("u"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    q = unit.where(queries).select(F.col("vec_id").alias("query"), F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     sim = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    pairs = q.join(unit, "label").where("query <> vec_id").select("query", F.col("vec_id").alias("neighbour"), F.round(sim, 9).alias("sim"))
-    r = pairs.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "neighbour")))
-    return r.where(F.col("k") <= k).select(F.col("query").alias("vec_id"), "neighbour", "k", "sim")
+    pairs = q.join(unit, "block").where("query <> vec_id").select("block", "query", F.col("vec_id").alias("neighbour"), F.round(sim, 9).alias("sim"))
+    order = (F.desc("sim"), F.col("neighbour"))
+    of_block = pairs.withColumn("_b", F.row_number().over(Window.partitionBy("query", "block").orderBy(*order))).where(F.col("_b") <= k)
+    r = of_block.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("k") <= k)
+    return r.select(F.col("query").alias("vec_id"), "neighbour", "k", "sim")
 
 
 def rank_neighbours(b: DataFrame, group: str, value: str, k: int, tau: float) -> DataFrame:

@@ -87,9 +87,16 @@ def g7(d: Data):
     return labels.select("win", "code", size.alias("size"), (size / F.count(F.lit(1)).over(Window.partitionBy("win"))).alias("share"))
 
 
-@query("g8_pagerank", "win code", "rank", None, "panel")
+ROUNDS = 15
+RANKS = ", nn AS MATERIALIZED (SELECT win, src AS code, count(*) AS o, count(*) OVER (PARTITION BY win) AS n FROM sy GROUP BY win, src), ln AS MATERIALIZED (SELECT win, src, dst FROM sy), r0 AS (SELECT *, 1.0::DOUBLE / n AS rank FROM nn)" + "".join(
+    f", r{i} AS MATERIALIZED (SELECT nn.*, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(s, 0) AS rank FROM nn LEFT JOIN (SELECT ln.win, dst AS code, sum(r.rank / r.o) AS s FROM ln JOIN r{i - 1} r ON r.win = ln.win AND r.code = ln.src GROUP BY ln.win, dst) g ON g.win = nn.win AND g.code = nn.code)"
+    for i in range(1, ROUNDS + 1)
+)
+
+
+@query("g8_pagerank", "win code", "rank", MOMENTS + RANKS + f" ;; SELECT win, code, rank FROM r{ROUNDS}", "panel")
 def g8(d: Data):
-    return graphs.pagerank(edges(d), rounds=15)
+    return graphs.pagerank(edges(d), rounds=ROUNDS)
 
 
 @query("g9_core_number", "win code core", "", None, "panel")
@@ -98,9 +105,9 @@ def g9(d: Data):
 
 
 @query("g10_knn", "vec_id neighbour k", "sim",
-       """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v), s AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_sum(list_transform(list_zip(a.u, b.u), lambda p: p[1] * p[2])), 9) AS sim FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) AS k FROM s) ;; SELECT vec_id, neighbour, k, sim FROM r WHERE k <= 5""", "")
+       """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v), s AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_sum(list_transform(list_zip(a.u, b.u), lambda p: p[1] * p[2])), 9) AS sim FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) AS k FROM s) ;; SELECT vec_id, neighbour, k, sim FROM r WHERE k <= 5""", "")
 def g10(d: Data):
-    return graphs.nearest(d.table("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e")), F.col("vec_id") % 100 == 0, 5)
+    return graphs.nearest(d.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")), F.col("vec_id") % 100 == 0, 5)
 
 
 @query("g11_peer_sets", "win code n", "peer_mean diff",

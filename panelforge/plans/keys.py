@@ -46,7 +46,7 @@ DIMENSION = "ds AS (SELECT code, min(date) AS effective, row_number() OVER (ORDE
 
 def dimension(d: Data):
     first = d.bars.groupBy("code").agg(F.min("date").alias("effective"))
-    return first.withColumn("sec_id", F.row_number().over(Window.orderBy("code")))  # one row for each code
+    return select.global_rank(first, "code", "sec_id").withColumn("sec_id", F.col("sec_id").cast("long"))  # one row for each code, so ranks are numbers
 
 
 @query("k6_dim_security", "code effective sec_id", "", DIMENSION + " ;; SELECT * FROM ds")
