@@ -294,6 +294,34 @@ def test_leaks_equal_brute_force(spark, sf):
 
 # fingerprints
 
+def plain_codes(text):
+    """The digest of a text with loops: length code and 256 bucket codes."""
+    raw = text.encode()
+    if len(raw) < 3:
+        return len(raw), [0] * 256
+    counts = [0] * 256
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        counts[((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 24] += 1
+    quarters = [sorted(counts)[k] for k in (63, 127, 191)]
+    return 2 + int(4 * math.log2(len(raw))), [sum(q < n for q in quarters) for n in counts]
+
+
+def plain_likeness(a, b):
+    (m, x), (n, y) = plain_codes(a), plain_codes(b)
+    return 1 - (sum((0, 1, 2, 6)[abs(u - v)] for u, v in zip(x, y)) + min(12, abs(m - n))) / (256 * 6 + 12)
+
+
+def test_digests_equal_plain_ones(spark):
+    texts = ["", "a", "ab", "abc", prose(1, 5), prose(1, 300), prose(2, 300), "日本語 テキスト " * 9, "x" * 5000]
+    got = sorted(fingerprint.fingerprints(fingerprint.with_next(documents(spark, list(enumerate(texts))), blocks=3)).collect())
+    for r, t, n in zip(got, texts, texts[1:] + texts[:1], strict=True):
+        length, codes = plain_codes(t)
+        packed = bytes([length, *(codes[k] << 6 | codes[k + 1] << 4 | codes[k + 2] << 2 | codes[k + 3] for k in range(0, 256, 4))])
+        changed = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert r.fingerprint == packed.hex()
+        assert r.near_edited == pytest.approx(plain_likeness(t, changed)) and r.near_next == pytest.approx(plain_likeness(t, n))
+
+
 def test_fingerprints_equal_brute_force(spark):
     rows = [(i, t) for i, t in ODD if i is not None]
     got = fingerprint.fingerprints(fingerprint.with_next(documents(spark, rows), blocks=5)).collect()
