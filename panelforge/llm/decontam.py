@@ -78,16 +78,8 @@ def written(text: Column) -> Column:
 
 
 def forms_of(text: Column) -> list[Column]:
-    """The word lists whose windows a document is searched by: as written, and with placeholders, those for names or not."""
-    return [written(text), template(text, names=False), template(text)]
-
-
-def distinct_windows(hashes: list[Column]) -> Column:
-    """The distinct hashes of the forms at each position."""
-    found = F.transform(hashes[0], lambda h: F.array(h))
-    for more in hashes[1:]:
-        found = F.zip_with(found, more, lambda x, h: F.when(h.isNull() | F.coalesce(F.array_contains(x, h), F.lit(False)), x).when(x.isNull(), F.array(h)).otherwise(F.concat(x, F.array(h))))
-    return found
+    """The word lists whose windows a document is searched by: with placeholders, those for names or not, and as written where numbers make that another list."""
+    return [template(text, names=False), template(text), F.when(text.rlike(r"\p{N}"), written(text)).otherwise(F.array().cast("array<string>"))]
 
 
 def windows(words: Column, length: int) -> Column:
@@ -95,8 +87,8 @@ def windows(words: Column, length: int) -> Column:
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     count = F.size(words) - length + 1
     starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    # the hashes of the words are bound once, by an outer array of one element
-    return F.get(F.transform(F.array(hashed), lambda h: F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, F.lit(length))))), F.lit(0))
+    # the hashes of the words are bound once, by an outer array of one element; a slice would copy all of them for each window
+    return F.get(F.transform(F.array(hashed), lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i - 1 + k) for k in range(length)]))), F.lit(0))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -128,8 +120,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for length in lengths:
         of = side.where(F.col("_length") == length)
         hashed = cut.select("doc_id", "text_hash", *[windows(F.col(name), length).alias(name) for name in names])
-        placed = hashed.select("doc_id", "text_hash", F.posexplode_outer(distinct_windows([F.col(name) for name in names])).alias("pos", "_each"))
-        rows = placed.select("doc_id", "text_hash", "pos", F.explode_outer("_each").alias("hash"))
+        # one array for all forms, told apart by the place in it
+        ends = [F.size(names[0]).alias("_end0"), (F.size(names[0]) + F.size(names[1])).alias("_end1")]
+        placed = hashed.select("doc_id", "text_hash", *ends, F.posexplode_outer(F.concat(*names)).alias("_place", "hash"))
+        start = F.when(F.col("_place") < F.col("_end0"), 0).when(F.col("_place") < F.col("_end1"), F.col("_end0")).otherwise(F.col("_end1"))
+        rows = placed.select("doc_id", "text_hash", (F.col("_place") - start).alias("pos"), "hash")
         hits = rows.join(F.broadcast(of) if small else of, "hash")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
