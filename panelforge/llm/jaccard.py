@@ -8,12 +8,9 @@ prefixes and size are one group; groups meet in the posting lists of their
 prefix tokens, pairs that size and positions rule out are dropped, and the
 members of the remaining group pairs are verified on their whole sets.
 
-No posting list is turned into all of its pairs at once. First every group is
-compared with a few central groups of its list and of its size class (stars) and
-every member with the first of its group; what that links is one component, and only
-pairs of different components are then compared. A list of near copies thus
-costs as many pairs as it has members. The result has all links between
-different components, so components are exact.
+Posting lists are compared as in panelforge.llm.posting: with central groups
+first, then across components only, by token and size class. The result has all
+links between different components, so components are exact.
 
 The order of tokens uses document frequencies, counted over all texts in
 COUNT_BUCKETS hashed counters; any order gives the same links, this one keeps
@@ -29,7 +26,8 @@ and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -37,32 +35,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, stored, table
-from .components import components
+from .posting import list_components, size_passes
 from .shingles import overlap, shingle_set
 
 COUNT_BUCKETS = 1 << 20
 _SLICE = 1 << 16
 CELLS = 64
-#: Centres of a posting list that all its groups are compared with first.
-CENTRES = 3
 NULL_ID = -(2**63)
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
+def bucket_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(44)).astype(np.int64)  # 20 bits
 
 
-def bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """How many texts have a token of each bucket; COUNT_BUCKETS numbers, whatever the input."""
-    spark = docs.sparkSession
+def bucket_counts(rows: DataFrame, tokens_of: Callable[[Any], np.ndarray]) -> np.ndarray:
+    """How many values of the only column of rows have a token of each bucket; COUNT_BUCKETS numbers, whatever the input."""
+    spark = rows.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNT_BUCKETS, dtype=np.int64)
         some = False
         for batch in batches:
             some = True
-            for text in batch.column(0).to_pylist():
-                np.add.at(total, _bucket(shingle_set(text, n)), 1)
+            for value in batch.column(0).to_pylist():
+                np.add.at(total, bucket_of(tokens_of(value)), 1)
         if some:
             yield from _slices(total)
 
@@ -80,10 +76,10 @@ def bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
         for k, part in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["slice", "counts"])
 
-    parts = docs.select("text").where("text is not null").mapInArrow(count, "slice int, counts binary")
-    rows = parts.repartition(min(COUNT_BUCKETS // _SLICE, partitions(spark)), "slice").mapInArrow(add, "slice int, counts binary").collect()
+    parts = rows.mapInArrow(count, "slice int, counts binary")
+    sums = parts.repartition(min(COUNT_BUCKETS // _SLICE, partitions(spark)), "slice").mapInArrow(add, "slice int, counts binary").collect()
     counts = np.zeros(COUNT_BUCKETS, dtype=np.uint32)
-    for row in rows:
+    for row in sums:
         counts[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.frombuffer(row["counts"], dtype=np.uint32)
     return counts
 
@@ -97,7 +93,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _keys(tokens: np.ndarray) -> tuple[int, int]:
+def set_keys(tokens: np.ndarray) -> tuple[int, int]:
     """Two sums that tell sets apart (128 bits)."""
     a = int(np.bitwise_xor.reduce(tokens * np.uint64(0xD6E8FEB86659FD93) ^ (tokens >> np.uint64(29))))
     b = int(np.add.reduce(tokens ^ (tokens >> np.uint64(17))))
@@ -107,7 +103,7 @@ def _keys(tokens: np.ndarray) -> tuple[int, int]:
 def profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(id, hash, size, k1, k2, prefix, cells) of every row of docs; hash is that of the text, the keys are null without shingles."""
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(bucket_counts(docs, n))  # COUNT_BUCKETS * 4 bytes
+    counts = spark.sparkContext.broadcast(bucket_counts(docs.select("text").where("text is not null"), lambda text: shingle_set(text, n)))  # COUNT_BUCKETS * 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = counts.value
@@ -123,9 +119,9 @@ def profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     prefixes.append(None)
                     cells.append(None)
                     continue
-                k1, k2 = _keys(tokens)
+                k1, k2 = set_keys(tokens)
                 length = size - -(-num * size // den) + 1
-                order = np.lexsort((tokens, frequency[_bucket(tokens)]))[:length]
+                order = np.lexsort((tokens, frequency[bucket_of(tokens)]))[:length]
                 first.append(k1)
                 second.append(k2)
                 prefixes.append(_signed(tokens[order]))
@@ -157,9 +153,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: i
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
     near = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "cells_a", "cells_b")
-    near = stored(near.mapInArrow(bounded, "a long, b long"))
+    return confirmed(stored(near.mapInArrow(bounded, "a long, b long")), nodes, docs, n, num, den)
+
 
-    # the sets are made anew from the text of one document of each node that is left
+def confirmed(near: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets link; the sets are made anew from the text of one document of each node that is left."""
     left_over = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     owners = left_over.join(nodes.select("node", F.col("owner").alias("_id"), F.col("owner_hash").alias("_hash")), "node")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_hash"), "text").where("text is not null")
@@ -169,7 +167,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: i
             nodes_, found = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = shingle_set(text, n)
-                if len(tokens) and _keys(tokens)[0] == node:
+                if len(tokens) and set_keys(tokens)[0] == node:
                     nodes_.append(node)
                     found.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(found, pa.binary())], names=["node", "tokens"])
@@ -192,10 +190,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: i
 
 def _passes(x: str, y: str, num: int, den: int) -> Column:
     """Size and position filter for posting rows x and y at a token that both have (exact at their first one)."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    small, large = F.least(c(x, "size"), c(y, "size")), F.greatest(c(x, "size"), c(y, "size"))
-    rest = F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos"))
-    return (den * small >= num * large) & ((num + den) * rest >= num * (small + large))
+    rest = F.least(F.col(f"{x}.size") - F.col(f"{x}.pos"), F.col(f"{y}.size") - F.col(f"{y}.pos"))
+    return size_passes(x, y, num, den) & ((num + den) * rest >= num * (F.col(f"{x}.size") + F.col(f"{y}.size")))
 
 
 def node_components(profile: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -213,59 +209,10 @@ def node_components(profile: DataFrame, docs: DataFrame, n: int, num: int, den:
     members = stored(nodes.join(crowded, ["size", "prefix"]).select("node", "group"))
 
     posting = groups.select("group", "size", F.posexplode("prefix").alias("pos", "token"))
-    shared = posting.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = posting.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("token")
     lists = stored(posting.join(shared, "token"))
-
-    # Stars: every group with some centres of its list, and with one of its list and size class. Centres
-    # are groups whose tokens many others share: texts that others are edited copies of, where there are such.
-    shares = lists.groupBy("group").agg(F.sum("_n").alias("shares"))
-    of_class = F.floor(F.log(F.col("size").cast("double")) / float(np.log(den / num))) if num < den else F.col("size")
-    classed = lists.join(shares, "group").withColumn("class", of_class)
-    row = F.struct("shares", "group", "size", "pos")
-    part = F.pmod(F.xxhash64("group"), F.lit(CENTRES))
-    of = classed.groupBy("token", "class").agg(F.max(row).alias("own"), *[F.max(F.when(part == i, row)).alias(f"c{i}") for i in range(CENTRES)])
-    of_token = of.groupBy("token").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(CENTRES)])
-    star = classed.join(of.select("token", "class", "own"), ["token", "class"]).join(of_token, "token")
-    centres = F.filter(F.array_distinct(F.array("own", *[f"c{i}" for i in range(CENTRES)])), lambda c: c.isNotNull() & (c["group"] != F.col("group")))
-    star = star.select(F.struct("group", "size", "pos").alias("x"), F.explode(centres).alias("y")).where(_passes("x", "y", num, den))
-    stars = star.select(F.col("x.group").alias("a"), F.col("y.group").alias("b"))
-    inside = members.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
-    ordered = stored(stars.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = verified(ordered, nodes, docs, n, num, den)
-    labels = components(links)
-    rest = _other_pairs(lists, members, labels, num, den)
-    pairs = stored(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(ordered, ["a", "b"], "left_anti"))
-    if pairs.isEmpty():
-        return nodes, labels
-    return nodes, components(links.unionByName(verified(pairs, nodes, docs, n, num, den)))
-
-
-def _other_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes that share a list or a group and are not of one component yet."""
-    # A group of several nodes is one component only if all of them are.
-    of_member = members.join(labels, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label"))
-    mixed = of_member.groupBy("group").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select(F.col("group"), F.lit(True).alias("_mixed"))
-    named = labels.select(F.col("node").alias("_node"), "label")
-    rows = lists.join(named, F.col("group") == F.col("_node"), "left").join(mixed, "group", "left")
-    rows = rows.select("token", "group", "size", "pos", F.coalesce("label", "group").alias("label"), F.coalesce("_mixed", F.lit(False)).alias("mixed"))
-    # The label of the first row of a list marks its large component; lists of one component are done.
-    spread = rows.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max("mixed").alias("_any"), F.min(F.struct("group", "label")).getField("label").alias("_main"))
-    open_ = stored(rows.join(spread.where("_low <> _high or _any").select("token", "_main"), "token").withColumn("main", (F.col("label") == F.col("_main")) & ~F.col("mixed")).drop("_main"))
-    main, others = open_.where("main"), open_.where("not main")
-    x, y = main.alias("x"), others.alias("y")
-    differ = F.col("x.label") != F.col("y.label")
-    first = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") != F.col("y.group")) & (differ | F.col("y.mixed")) & _passes("x", "y", num, den))
-    x = others.alias("x")
-    second = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group")) & (differ | F.col("x.mixed") | F.col("y.mixed")) & _passes("x", "y", num, den))
-    pick = [F.col("x.group").alias("g"), F.col("y.group").alias("h")]
-    pairs = first.select(*pick).unionByName(second.select(*pick)).distinct()
-    # Groups are expanded to their members.
-    m = of_member.select(F.col("node"), F.col("group").alias("_group"), "label")
-    left = pairs.join(m, F.col("g") == F.col("_group"), "left").select(F.coalesce("node", "g").alias("a"), "h")
-    both = left.join(m, F.col("h") == F.col("_group"), "left").select("a", F.coalesce("node", "h").alias("b"))
-    p, q = of_member.join(mixed, "group").alias("p"), of_member.join(mixed, "group").alias("q")
-    within = p.join(q, (F.col("p.group") == F.col("q.group")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")))
-    return both.unionByName(within.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
+    labels = list_components(lists, members, lambda pairs: verified(pairs, nodes, docs, n, num, den), lambda x, y: _passes(x, y, num, den), num, den)
+    return nodes, labels
 
 
 def document_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.cumprod(np.full(64, _BASE, dtype=np.uint64))
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -29,7 +29,7 @@ def word_hashes(text: str) -> np.ndarray:
         _powers = np.cumprod(np.full(2 * longest, _BASE, dtype=np.uint64))
     inside = np.arange(len(at)) - np.repeat(starts, lengths)
     sums = np.add.reduceat((raw[at].astype(np.uint64) + np.uint64(1)) * _powers[inside], starts)
-    return _mix(sums ^ lengths.astype(np.uint64))
+    return mix(sums ^ lengths.astype(np.uint64))
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -41,7 +41,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     count = len(words) - k + 1
     folded = np.full(count, np.uint64(k), dtype=np.uint64)
     for i in range(k):
-        folded = _mix(folded * _BASE + words[i : i + count])
+        folded = mix(folded * _BASE + words[i : i + count])
     return np.unique(folded)
 
 
