@@ -1,25 +1,173 @@
-"""Graphs of codes by window: edges are rows (win, src, dst, w), and every step is a join or an aggregate by window."""
+"""Correlation graphs of codes: edges are rows (win, src, dst, n, w), win being the last date of a window.
+
+Returns of a window are one array for each code. Codes are dealt into blocks of
+about BLOCK by hash, and every pair of blocks is a group of its own: what a task
+holds does not grow with the number of codes, and n codes make n * n / 2 numbers
+for each window, never for each date of a window.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import average_rank
+from ..sources.files import shared_folder
+
+BLOCK = 256
+#: Days of the time chunks that rolling windows are computed in.
+CHUNK = 366
+#: Deviations below this are those of constant returns.
+FLAT = 1e-6
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iteration through a table in the shared folder."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _block_pairs(series: DataFrame, by: str) -> DataFrame:
+    """Rows of series(by, code, days, rs) for every pair (first, second) of code blocks that they belong to."""
+    series = stored(series)
+    codes = series.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = -(-codes // BLOCK)
+    block = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    paired = series.withColumn("block", block).withColumn("_other", other)
+    return paired.withColumns({"first": F.least("block", "_other"), "second": F.greatest("block", "_other")}).drop("_other")
+
+
+def _series(x: DataFrame, by: str) -> DataFrame:
+    """(by, code, days, rs): the returns of x(by, code, day, r) of a code in the order of their days."""
+    at = F.array_sort(F.collect_list(F.struct("day", "r")))
+    return x.groupBy(by, "code").agg(at.alias("s")).select(by, "code", F.col("s.day").alias("days"), F.col("s.r").alias("rs"))
+
 
+def _matrices(rows: pd.DataFrame, days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, returns (0 where there is none) and which there are, by code and day."""
+    rows = rows.sort_values("code")
+    x, m = np.zeros((len(rows), len(days))), np.zeros((len(rows), len(days)))
+    for i, (at, rs) in enumerate(zip(rows["days"], rows["rs"], strict=True)):
+        k = np.searchsorted(days, at)
+        x[i, k], m[i, k] = rs, 1.0
+    return rows["code"].to_numpy(), x, m
 
-def correlation_edges(x: DataFrame, least: int, edge: float) -> DataFrame:
-    """(win, src, dst, n, w) of pairs of codes with at least least common dates and |correlation| >= edge.
 
-    Pairs meet on (window, date) and are summed at once by map-side aggregates:
-    n codes of a date make n * n / 2 rows, whatever the length of the history.
+def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    days = np.unique(np.concatenate(pdf["days"].to_list()))
+    halves = [pdf[pdf["block"] == pdf[side].iat[0]] for side in ("first", "second")]
+    return days, [_matrices(half, days) for half in halves]
+
+
+def _rolled(x: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Sums of x over columns low[t] to t."""
+    total = np.concatenate((np.zeros((len(x), 1)), np.cumsum(x, axis=1)), axis=1)
+    return total[:, 1:] - total[:, low]
+
+
+def rolling_degrees(x: DataFrame, span: int, least: int, edge: float) -> DataFrame:
+    """(date, code, degree, mean_abs, max_abs) of x(code, date, r), for every date, in the graph of the span days before it and its own.
+
+    Means and deviations are those of a code in the window, products those of the
+    dates that two codes share; both need least of them. An edge is an absolute
+    correlation of edge or more. Moments of a block pair slide: the day that enters
+    is added, the one that leaves is taken off; every chunk starts them anew.
     """
-    a = x.select("win", "date", F.col("code").alias("src"), F.col("r").alias("x"))
-    b = x.select("win", "date", F.col("code").alias("dst"), F.col("r").alias("y"))
-    pairs = a.join(b, ["win", "date"]).where("src < dst")
-    g = pairs.groupBy("win", "src", "dst").agg(F.count(F.lit(1)).alias("n"), F.covar_pop("x", "y").alias("_c"), F.stddev_pop("x").alias("_a"), F.stddev_pop("y").alias("_b"))
-    g = g.where((F.col("n") >= least) & (F.col("_a") > 1e-12) & (F.col("_b") > 1e-12))
-    return g.select("win", "src", "dst", "n", F.try_divide(F.col("_c"), F.col("_a") * F.col("_b")).alias("w")).where(F.abs("w") >= edge)
+    day = F.unix_date("date")
+    own = F.floor(day / CHUNK).cast("int")
+    rows = x.select("code", "r", day.alias("day"), F.explode(F.array_distinct(F.array(own, F.floor((day + span) / CHUNK).cast("int")))).alias("chunk"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        days, ((ca, xa, ma), (cb, xb, mb)) = _sides(pdf)
+        start = int(pdf["chunk"].iat[0]) * CHUNK
+        diagonal = pdf["first"].iat[0] == pdf["second"].iat[0]
+        low = np.searchsorted(days, days - span)
+
+        def moments(values: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n = _rolled(mask, low)
+            mean = _rolled(values, low) / np.maximum(n, 1)
+            var = (_rolled(values * values, low) - n * mean * mean) / np.maximum(n - 1, 1)
+            dev = np.sqrt(np.maximum(var, 0))
+            return mean, dev, (n >= least) & (dev > FLAT)
+
+        mean_a, dev_a, fit_a = moments(xa, ma)
+        mean_b, dev_b, fit_b = moments(xb, mb)
+        above = ca[:, None] < cb[None, :] if diagonal else np.ones((len(ca), len(cb)), dtype=bool)
+        sums = [np.zeros((len(ca), len(cb))) for _ in range(4)]
+        at, found = 0, []
+
+        def slide(first: int, last: int, sign: float) -> None:
+            if last > first:
+                for total, (u, v) in zip(sums, ((ma, mb), (xa, mb), (ma, xb), (xa, xb)), strict=True):
+                    total += sign * (u[:, first:last] @ v[:, first:last].T)
+
+        begun = int(np.searchsorted(days, start))
+        if begun < len(days):
+            at = int(low[begun])
+            slide(at, begun, 1.0)
+        for t in range(begun, len(days)):
+            slide(t, t + 1, 1.0)
+            slide(at, int(low[t]), -1.0)
+            at = int(low[t])
+            i, j = np.flatnonzero(fit_a[:, t]), np.flatnonzero(fit_b[:, t])
+            n, sx, sy, xy = (total[np.ix_(i, j)] for total in sums)
+            m, k = mean_a[i, t][:, None], mean_b[j, t][None, :]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                c = np.abs((xy - m * sy - k * sx + n * m * k) / ((n - 1) * dev_a[i, t][:, None] * dev_b[j, t][None, :]))
+            c = np.where((n >= least) & (np.round(c, 9) >= edge) & above[np.ix_(i, j)], c, 0.0)
+            some = c > 0
+            for codes, axis in ((ca[i], 1), (cb[j], 0)):
+                degree = some.sum(axis)
+                keep = np.ones(len(codes), dtype=bool) if diagonal else degree > 0
+                if keep.any():
+                    top = c.max(axis, initial=0.0)
+                    found.append((np.full(keep.sum(), days[t]), codes[keep], degree[keep], c.sum(axis)[keep], top[keep]))
+        columns = [np.concatenate(v) for v in zip(*found, strict=True)] if found else [[]] * 5
+        return pd.DataFrame(dict(zip(("day", "code", "degree", "total", "top"), columns, strict=True)))
+
+    parts = _block_pairs(_series(rows, "chunk"), "chunk").groupBy("chunk", "first", "second").applyInPandas(run, "day int, code long, degree long, total double, top double")
+    g = parts.groupBy(F.date_from_unix_date("day").alias("date"), "code").agg(F.sum("degree").alias("degree"), F.sum("total").alias("_total"), F.max("top").alias("max_abs"))
+    return g.withColumn("mean_abs", F.when(F.col("degree") > 0, F.col("_total") / F.col("degree")).otherwise(0.0)).drop("_total")
+
+
+def windows(x: DataFrame, ends: DataFrame, span: int) -> DataFrame:
+    """(win, code, day, r): the rows of x(code, date, r) in the windows of the last dates ends(win), one at most in a month."""
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    at = ends.select("win", month("win").alias("_month"))
+    rows = x.withColumn("_month", F.explode(F.sequence(month("date"), month(F.date_add("date", span)))))
+    rows = rows.join(at, "_month").where((F.col("date") <= F.col("win")) & (F.datediff("win", "date") <= span))
+    return rows.select("win", "code", F.unix_date("date").alias("day"), "r")
+
+
+def correlation_edges(x: DataFrame, least: int, edge: float, half_life: float | None = None, shrink: float = 0.0) -> DataFrame:
+    """(win, src, dst, n, w) of the pairs of codes of x(win, code, day, r) with at least least common days and an absolute correlation of edge or more.
+
+    With half_life, a day weighs half as much as one so many days after it. shrink
+    draws correlations towards zero.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        days, ((ca, xa, ma), (cb, xb, mb)) = _sides(pdf)
+        last = (pd.Timestamp(pdf["win"].iat[0]) - pd.Timestamp(0)).days
+        weight = np.ones(len(days)) if half_life is None else np.exp2((days - last) / half_life)
+        n = ma @ mb.T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            total = (ma * weight) @ mb.T
+            mean = lambda u, v: ((u * weight) @ v.T) / total
+            mx, my = mean(xa, mb), mean(ma, xb)
+            dx, dy = (np.sqrt(np.maximum(v, 0)) for v in (mean(xa * xa, mb) - mx * mx, mean(ma, xb * xb) - my * my))
+            c = (mean(xa, xb) - mx * my) / (dx * dy) * (1 - shrink)
+        keep = (n >= least) & (dx > FLAT) & (dy > FLAT) & (np.round(np.abs(c), 9) >= edge)
+        if pdf["first"].iat[0] == pdf["second"].iat[0]:
+            keep &= ca[:, None] < cb[None, :]
+        i, j = np.nonzero(keep)
+        return pd.DataFrame({"win": pdf["win"].iat[0], "src": np.minimum(ca[i], cb[j]), "dst": np.maximum(ca[i], cb[j]), "n": n[i, j].astype(int), "w": c[i, j]})
+
+    return _block_pairs(_series(x, "win"), "win").groupBy("win", "first", "second").applyInPandas(run, "win date, src long, dst long, n long, w double")
 
 
 def ranked(x: DataFrame) -> DataFrame:
@@ -53,52 +201,73 @@ def clustering(e: DataFrame) -> DataFrame:
     return out.withColumn("clustering", F.try_divide("triangles", F.col("k") * (F.col("k") - 1) / 2))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration through a table in the shared folder."""
-    from ..sources.files import shared_folder
-
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(e: DataFrame) -> DataFrame:
-    """(win, code, label): label is the smallest code that can be reached."""
-    sym = _kept(symmetric(e).select("win", "src", "dst"))
-    labels = _kept(sym.select("win", F.col("src").alias("code")).distinct().withColumn("label", F.col("code")))
+    """(win, code, label): label is the smallest code that can be reached. A round takes the smallest label around a code, then the label of that label."""
+    sym = stored(symmetric(e).select("win", "src", "dst"))
+    labels = stored(sym.groupBy("win", F.col("src").alias("code")).agg(F.min("dst").alias("_near")).select("win", "code", F.least("code", "_near").alias("label")))
     while True:
         near = sym.join(labels.withColumnRenamed("code", "dst"), ["win", "dst"]).groupBy("win", F.col("src").alias("code")).agg(F.min("label").alias("_near"))
-        after = _kept(labels.join(near, ["win", "code"], "left").select("win", "code", F.col("label").alias("_old"), F.least("label", F.coalesce("_near", "label")).alias("label")))
+        lower = labels.join(near, ["win", "code"]).select("win", "code", F.col("label").alias("_old"), F.least("label", "_near").alias("_new"))
+        jump = labels.select("win", F.col("code").alias("_new"), F.col("label").alias("_of"))
+        after = stored(lower.join(jump, ["win", "_new"], "left").select("win", "code", "_old", F.least("_new", F.coalesce("_of", "_new")).alias("label")))
         labels = after.drop("_old")
         if after.where("_old <> label").isEmpty():
             return labels
 
 
+def within(values: DataFrame, labels: DataFrame, value: str) -> DataFrame:
+    """values(win, code, value) with the size of the component, the value's share of its sum, and its deviations from its mean (0 where all are equal)."""
+    w = Window.partitionBy("win", "label")
+    v = F.col(value)
+    spread = F.stddev_pop(v).over(w)
+    return values.join(labels, ["win", "code"]).withColumns(
+        {"size": F.count(F.lit(1)).over(w), "share": F.try_divide(v, F.sum(v).over(w)), "z": F.when(spread > 1e-12, (v - F.avg(v).over(w)) / spread).otherwise(0.0)}
+    )
+
+
+def closeness(e: DataFrame, depth: int) -> DataFrame:
+    """(win, code, reached, closeness) by searching in breadth from all codes at once, up to depth steps.
+
+    Distances are a table (win, src, dst, dist) that grows by its frontier; closeness
+    is the share of the other codes of the graph that are reached, over their mean
+    distance.
+    """
+    sym = stored(symmetric(e).select("win", "src", "dst"))
+    known = frontier = sym.withColumn("dist", F.lit(1))
+    for step in range(2, depth + 1):
+        ahead = frontier.select("win", F.col("src").alias("from"), F.col("dst").alias("src")).join(sym, ["win", "src"]).select("win", F.col("from").alias("src"), "dst").where("src <> dst").distinct()
+        frontier = stored(ahead.join(known, ["win", "src", "dst"], "left_anti").withColumn("dist", F.lit(step)))
+        known = known.unionByName(frontier)
+    n = sym.select("win", "src").distinct().groupBy("win").agg(F.count(F.lit(1)).alias("_n"))
+    g = known.groupBy("win", F.col("src").alias("code")).agg(F.count(F.lit(1)).alias("reached"), F.sum("dist").alias("_far")).join(n, "win")
+    return g.select("win", "code", "reached", (F.col("reached") / F.col("_far") * F.try_divide("reached", F.col("_n") - 1)).alias("closeness"))
+
+
 def pagerank(e: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
     """Rank of each code in the graph of its window, after so many rounds."""
     sym = symmetric(e).select("win", "src", "dst")
     out = sym.groupBy("win", "src").agg(F.count(F.lit(1)).alias("_out"))
-    sym = _kept(sym.join(out, ["win", "src"]))
+    sym = stored(sym.join(out, ["win", "src"]))
     n = Window.partitionBy("win")
-    nodes = _kept(sym.select("win", F.col("src").alias("code")).distinct().withColumn("_n", F.count(F.lit(1)).over(n)))
+    nodes = stored(sym.select("win", F.col("src").alias("code")).distinct().withColumn("_n", F.count(F.lit(1)).over(n)))
     ranks = nodes.withColumn("rank", 1.0 / F.col("_n"))
     for i in range(rounds):
         sent = sym.join(ranks.select("win", F.col("code").alias("src"), "rank"), ["win", "src"]).groupBy("win", F.col("dst").alias("code")).agg(F.sum(F.col("rank") / F.col("_out")).alias("_in"))
         ranks = nodes.join(sent, ["win", "code"], "left").withColumn("rank", (1 - damping) / F.col("_n") + damping * F.coalesce("_in", F.lit(0.0))).select("win", "code", "_n", "rank")
         if i % 5 == 4:
-            ranks = _kept(ranks)
+            ranks = stored(ranks)
     return ranks.select("win", "code", "rank")
 
 
 def core_numbers(e: DataFrame) -> DataFrame:
     """Core number of each code: nodes of less than k neighbours are peeled off until none is left, for rising k."""
-    left = _kept(symmetric(e).select("win", "src", "dst"))
+    left = stored(symmetric(e).select("win", "src", "dst"))
     found = None
     k = 1
     while not left.isEmpty():
         while True:  # peel all nodes of degree <= k
             low = left.groupBy("win", "src").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") <= k).select("win", F.col("src").alias("code"))
-            low = _kept(low)
+            low = stored(low)
             if low.isEmpty():
                 break
             part = low.withColumn("core", F.lit(k))
@@ -106,8 +275,8 @@ def core_numbers(e: DataFrame) -> DataFrame:
             rest = left.join(low.withColumnRenamed("code", "src"), ["win", "src"], "left_anti").join(low.withColumnRenamed("code", "dst"), ["win", "dst"], "left_anti")
             # a node that loses all its edges at once belongs to this core as well
             alone = left.select("win", F.col("src").alias("code")).distinct().join(rest.select("win", F.col("src").alias("code")).distinct(), ["win", "code"], "left_anti").join(low, ["win", "code"], "left_anti")
-            found = found.unionByName(_kept(alone).withColumn("core", F.lit(k)))
-            left = _kept(rest)
+            found = found.unionByName(stored(alone).withColumn("core", F.lit(k)))
+            left = stored(rest)
         k += 1
     return found if found is not None else left.select("win", F.col("src").alias("code"), F.lit(0).alias("core"))
 
@@ -130,6 +299,31 @@ def nearest(vectors: DataFrame, queries: Column, k: int, blocks: int = 32) -> Da
     return r.select(F.col("query").alias("vec_id"), "neighbour", "k", "sim")
 
 
+def symmetric_graph(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst): the edges of near(vec_id, neighbour) in both directions, each once, and a loop at every node of nodes(vec_id) that has none."""
+    one = near.select(F.col("vec_id").alias("src"), F.col("neighbour").alias("dst"))
+    edges = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    ends = edges.select(F.col("src").alias("vec_id")).distinct()
+    lonely = nodes.select("vec_id").join(ends, "vec_id", "left_anti")
+    return edges.unionByName(lonely.select(F.col("vec_id").alias("src"), F.col("vec_id").alias("dst")))
+
+
+def hybrid_peers(sector: DataFrame, correlated: DataFrame, k: int, share: float) -> DataFrame:
+    """(win, code, peer): of sector(win, code, peer, k) the first share of k places, then those of correlated that are new, up to k."""
+    first = sector.where(F.col("k") <= int(k * share)).select("win", "code", "peer", "k")
+    then = correlated.join(first.select("win", "code", "peer"), ["win", "code", "peer"], "left_anti").select("win", "code", "peer", (F.col("k") + k).alias("k"))
+    place = F.row_number().over(Window.partitionBy("win", "code").orderBy("k"))
+    return first.unionByName(then).withColumn("_place", place).where(F.col("_place") <= k).select("win", "code", "peer")
+
+
+def peer_statistics(peers: DataFrame, values: DataFrame) -> DataFrame:
+    """Of values(win, code, r) and peers(win, code, peer): count, mean and deviation of the peers, the distance from them in deviations, and the share of them below."""
+    theirs = values.select("win", F.col("code").alias("peer"), F.col("r").alias("_theirs"))
+    met = peers.join(theirs, ["win", "peer"]).join(values.select("win", "code", "r"), ["win", "code"])
+    g = met.groupBy("win", "code", "r").agg(F.count(F.lit(1)).alias("n"), F.avg("_theirs").alias("peer_mean"), F.stddev_pop("_theirs").alias("peer_std"), F.avg(F.when(F.col("_theirs") < F.col("r"), 1.0).otherwise(0.0)).alias("rank"))
+    return g.withColumn("diff", F.when(F.col("peer_std") > 1e-12, (F.col("r") - F.col("peer_mean")) / F.col("peer_std")).otherwise(0.0))
+
+
 def rank_neighbours(b: DataFrame, group: str, value: str, k: int, tau: float) -> DataFrame:
     """The k nearest codes by value among the k on either side in the order of the group; weights fall with distance."""
     w = Window.partitionBy(group).orderBy(value, "code")

@@ -5,65 +5,93 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import lead, ratio
 from ..operators import graphs
 from ..sources.tables import Data
-from .crosssection import P, panel
 from .registry import query
 from .sql import average_rank as saverage_rank
 
-# Windows of the graphs: months; a pair needs LEAST common dates.
-LEAST, EDGE = 8, 0.3
-MOMENTS = P + f""", x AS (SELECT code, date, year(date) * 12 + month(date) AS win, r FROM p WHERE r IS NOT NULL),
-pr AS (SELECT a.win, a.code AS src, b.code AS dst, count(*) AS n, corr(a.r, b.r) AS w FROM x a JOIN x b ON a.win = b.win AND a.date = b.date AND a.code < b.code GROUP BY a.win, a.code, b.code HAVING count(*) >= {LEAST} AND stddev_pop(a.r) > 1e-12 AND stddev_pop(b.r) > 1e-12),
-ed AS (SELECT win, src, dst, n, w FROM pr WHERE abs(w) >= {EDGE}), sy AS (SELECT win, src, dst, n, w FROM ed UNION ALL SELECT win, dst, src, n, w FROM ed)"""
+# Windows are SPAN days before a date and the date; a code and a pair need LEAST dates, an edge an absolute correlation of EDGE.
+SPAN, LEAST, EDGE = 60, 20, 0.3
+
+
+@query("g1_correlation_graph", "date code degree", "mean_abs max_abs",
+       f"""x AS MATERIALIZED (SELECT * FROM dense),
+own AS MATERIALIZED (SELECT code, date, count(*) OVER w AS n, avg(r) OVER w AS m, stddev_samp(r) OVER w AS s FROM x WINDOW w AS (PARTITION BY code ORDER BY date RANGE BETWEEN INTERVAL {SPAN} DAYS PRECEDING AND CURRENT ROW)),
+fit AS MATERIALIZED (SELECT * FROM own WHERE n >= {LEAST} AND s > {graphs.FLAT!r}),
+pr AS (SELECT a.code AS src, b.code AS dst, a.date, count(*) OVER w AS n, sum(a.r * b.r) OVER w AS xy, sum(a.r) OVER w AS sx, sum(b.r) OVER w AS sy FROM x a JOIN x b ON a.date = b.date AND a.code < b.code WINDOW w AS (PARTITION BY a.code, b.code ORDER BY a.date RANGE BETWEEN INTERVAL {SPAN} DAYS PRECEDING AND CURRENT ROW)),
+ed AS (SELECT src, dst, p.date, abs((xy - a.m * sy - b.m * sx + p.n * a.m * b.m) / ((p.n - 1) * a.s * b.s)) AS w FROM pr p JOIN fit a ON a.code = src AND a.date = p.date JOIN fit b ON b.code = dst AND b.date = p.date WHERE p.n >= {LEAST}),
+st AS MATERIALIZED (SELECT src, dst, date, w FROM ed WHERE round(w, 9) >= {EDGE}),
+dg AS (SELECT date, code, count(*) AS degree, avg(w) AS mean_abs, max(w) AS max_abs FROM (SELECT date, src AS code, w FROM st UNION ALL SELECT date, dst, w FROM st) GROUP BY date, code) ;;
+SELECT c.next_date AS date, f.code, coalesce(degree, 0) AS degree, coalesce(mean_abs, 0) AS mean_abs, coalesce(max_abs, 0) AS max_abs FROM fit f JOIN calendar c ON c.date = f.date LEFT JOIN dg ON dg.date = f.date AND dg.code = f.code WHERE c.next_date IS NOT NULL""", "dense calendar")
+def g1(d: Data):
+    """Degrees of every date, visible on the next one."""
+    following = d.calendar.where("next_date is not null").select("date", "next_date")
+    return graphs.rolling_degrees(d.dense, SPAN, LEAST, EDGE).join(following, "date").drop("date").withColumnRenamed("next_date", "date")
+
+
+# The other rows work on the graphs of the last date of each month.
+WINDOWS = f"""me AS (SELECT max(date) AS win FROM calendar GROUP BY year(date), month(date)), x AS MATERIALIZED (SELECT win, code, date, r FROM dense JOIN me ON date <= win AND date >= win - {SPAN})"""
+FLAT = f"stddev_pop(a.r) > {graphs.FLAT!r} AND stddev_pop(b.r) > {graphs.FLAT!r}"
+MOMENTS = WINDOWS + f""", pr AS (SELECT a.win, a.code AS src, b.code AS dst, count(*) AS n, corr(a.r, b.r) AS w FROM x a JOIN x b ON a.win = b.win AND a.date = b.date AND a.code < b.code GROUP BY a.win, a.code, b.code HAVING count(*) >= {LEAST} AND {FLAT}),
+ed AS MATERIALIZED (SELECT win, src, dst, n, w FROM pr WHERE round(abs(w), 9) >= {EDGE}), sy AS MATERIALIZED (SELECT win, src, dst, n, w FROM ed UNION ALL SELECT win, dst, src, n, w FROM ed)"""
+USES = "dense calendar"
 
 
 def returns_by_window(d: Data):
-    return panel(d).where("r is not null").select("code", "date", (F.year("date") * 12 + F.month("date")).alias("win"), "r")
+    ends = d.calendar.groupBy(F.year("date"), F.month("date")).agg(F.max("date").alias("win"))
+    return graphs.windows(d.dense, ends.select("win"), SPAN)
 
 
 def edges(d: Data):
     return graphs.correlation_edges(returns_by_window(d), LEAST, EDGE)
 
 
-@query("g1_correlation_graph", "win code degree", "mean_abs max_abs", MOMENTS + " ;; SELECT win, src AS code, count(*) AS degree, avg(abs(w)) AS mean_abs, max(abs(w)) AS max_abs FROM sy GROUP BY win, src", "panel")
-def g1(d: Data):
-    return graphs.symmetric(edges(d)).groupBy("win", F.col("src").alias("code")).agg(F.count(F.lit(1)).alias("degree"), F.avg(F.abs("w")).alias("mean_abs"), F.max(F.abs("w")).alias("max_abs"))
+HALF_LIFE, SHRINK = 20, 0.1
 
 
-@query("g2_spearman_graph", "win src dst n", "w",
-       P + f""", x AS (SELECT code, date, year(date) * 12 + month(date) AS win, r FROM p WHERE r IS NOT NULL), k AS (SELECT code, date, win, {saverage_rank('r', 'win, code')} AS r FROM x) ;;
-SELECT a.win, a.code AS src, b.code AS dst, count(*) AS n, corr(a.r, b.r) AS w FROM k a JOIN k b ON a.win = b.win AND a.date = b.date AND a.code < b.code GROUP BY a.win, a.code, b.code HAVING count(*) >= {LEAST} AND stddev_pop(a.r) > 1e-12 AND stddev_pop(b.r) > 1e-12""", "panel")
+@query("g2_spearman_graph", "win src dst n kind", "w",
+       WINDOWS + f""", k AS (SELECT win, code, date, {saverage_rank('r', 'win, code')} AS r FROM x),
+sp AS (SELECT a.win, a.code AS src, b.code AS dst, count(*) AS n, 'spearman' AS kind, corr(a.r, b.r) AS w FROM k a JOIN k b ON a.win = b.win AND a.date = b.date AND a.code < b.code GROUP BY a.win, a.code, b.code HAVING count(*) >= {LEAST} AND {FLAT}),
+ws AS (SELECT a.win, a.code AS src, b.code AS dst, count(*) AS n, sum(f) AS s, sum(f * a.r) / sum(f) AS mx, sum(f * b.r) / sum(f) AS my, sum(f * a.r * b.r) / sum(f) AS xy, sum(f * a.r * a.r) / sum(f) AS xx, sum(f * b.r * b.r) / sum(f) AS yy
+  FROM (SELECT *, pow(2::DOUBLE, (date - win) / {HALF_LIFE}::DOUBLE) AS f FROM x) a JOIN x b ON a.win = b.win AND a.date = b.date AND a.code < b.code GROUP BY a.win, a.code, b.code HAVING count(*) >= {LEAST}),
+ew AS (SELECT win, src, dst, n, 'weighted' AS kind, {1 - SHRINK!r}::DOUBLE * (xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) AS w FROM ws WHERE xx - mx * mx > {graphs.FLAT**2!r} AND yy - my * my > {graphs.FLAT**2!r}) ;;
+SELECT * FROM (SELECT * FROM sp UNION ALL SELECT * FROM ew) WHERE round(abs(w), 9) >= {EDGE}""", USES)
 def g2(d: Data):
-    return graphs.correlation_edges(graphs.ranked(returns_by_window(d)), LEAST, 0.0)
+    """Edges by rank correlation, and by exponentially weighted correlation drawn towards zero."""
+    x = returns_by_window(d)
+    ranked = graphs.correlation_edges(graphs.ranked(x), LEAST, EDGE).withColumn("kind", F.lit("spearman"))
+    return ranked.unionByName(graphs.correlation_edges(x, LEAST, EDGE, HALF_LIFE, SHRINK).withColumn("kind", F.lit("weighted")))
 
 
-@query("g3_top_k_edges", "win src dst same_sector", "attr",
+@query("g3_top_k_edges", "win src dst same_sector same_market", "attr",
        MOMENTS + """, t AS (SELECT *, row_number() OVER (PARTITION BY win, src ORDER BY round(abs(w), 9) DESC, dst) AS k FROM sy), u AS (SELECT DISTINCT win, least(src, dst) AS src, greatest(src, dst) AS dst, round(w, 9) AS w FROM t WHERE k <= 3) ;;
-SELECT win, src, dst, (w + 1) / 2 AS attr, a.sector = b.sector AS same_sector FROM u JOIN dim a ON a.code = src JOIN dim b ON b.code = dst""", "panel dim")
+SELECT win, src, dst, (w + 1) / 2 AS attr, a.sector = b.sector AS same_sector, a.market = b.market AS same_market FROM u JOIN dim a ON a.code = src JOIN dim b ON b.code = dst""", USES + " dim")
 def g3(d: Data):
     kept = graphs.top_k(graphs.symmetric(edges(d)), 3)
-    sector = d.dim.select("code", "sector")
-    a, b = sector.toDF("src", "sa"), sector.toDF("dst", "sb")
-    return kept.join(a, "src").join(b, "dst").select("win", "src", "dst", ((F.col("w") + 1) / 2).alias("attr"), (F.col("sa") == F.col("sb")).alias("same_sector"))
+    of = d.dim.select("code", "sector", "market")
+    both = kept.join(of.toDF("src", "sa", "ma"), "src").join(of.toDF("dst", "sb", "mb"), "dst")
+    return both.select("win", "src", "dst", ((F.col("w") + 1) / 2).alias("attr"), (F.col("sa") == F.col("sb")).alias("same_sector"), (F.col("ma") == F.col("mb")).alias("same_market"))
+
 
+MEANS = ", mr AS MATERIALIZED (SELECT win, code, avg(r) AS r FROM x GROUP BY win, code)"
 
-MONTHLY = ", mr AS (SELECT win, code, avg(r) AS r FROM x GROUP BY win, code)"
+
+def means(d: Data):
+    return returns_by_window(d).groupBy("win", "code").agg(F.avg("r").alias("r"))
 
 
 @query("g4_peer_returns", "win code n", "mean var strength",
-       MOMENTS + MONTHLY + ", s AS (SELECT sy.win, src, count(*) AS n, avg(r) AS mean, var_samp(r) AS var, avg(abs(w)) AS strength FROM sy JOIN mr ON mr.win = sy.win AND mr.code = dst GROUP BY sy.win, src) ;; SELECT mr.win, mr.code, coalesce(n, 0) AS n, coalesce(mean, 0) AS mean, coalesce(var, 1) AS var, coalesce(strength, 0) AS strength FROM mr LEFT JOIN s ON s.win = mr.win AND s.src = mr.code", "panel")
+       MOMENTS + MEANS + ", s AS (SELECT sy.win, src, count(*) AS n, avg(r) AS mean, var_samp(r) AS var, avg(abs(w)) AS strength FROM sy JOIN mr ON mr.win = sy.win AND mr.code = dst GROUP BY sy.win, src) ;; SELECT mr.win, mr.code, coalesce(n, 0) AS n, coalesce(mean, 0) AS mean, coalesce(var, 1) AS var, coalesce(strength, 0) AS strength FROM mr LEFT JOIN s ON s.win = mr.win AND s.src = mr.code", USES)
 def g4(d: Data):
-    monthly = returns_by_window(d).groupBy("win", "code").agg(F.avg("r").alias("r"))
-    near = graphs.symmetric(edges(d)).join(monthly.withColumnRenamed("code", "dst"), ["win", "dst"])
+    of = means(d)
+    near = graphs.symmetric(edges(d)).join(of.withColumnRenamed("code", "dst"), ["win", "dst"])
     s = near.groupBy("win", F.col("src").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.var_samp("r").alias("var"), F.avg(F.abs("w")).alias("strength"))
-    return monthly.select("win", "code").join(s, ["win", "code"], "left").fillna({"n": 0, "mean": 0.0, "var": 1.0, "strength": 0.0})
+    return of.select("win", "code").join(s, ["win", "code"], "left").fillna({"n": 0, "mean": 0.0, "var": 1.0, "strength": 0.0})
 
 
 @query("g5_degrees", "win code degree isolated", "z centrality neighbour_degree",
-       MOMENTS + MONTHLY + """, dg AS (SELECT mr.win, mr.code, count(sy.dst) AS degree FROM mr LEFT JOIN sy ON sy.win = mr.win AND sy.src = mr.code GROUP BY mr.win, mr.code), nd AS (SELECT sy.win, src, avg(degree) AS nd FROM sy JOIN dg ON dg.win = sy.win AND dg.code = dst GROUP BY sy.win, src) ;;
-SELECT dg.win, dg.code, degree, degree = 0 AS isolated, (degree - avg(degree) OVER (PARTITION BY dg.win)) / (stddev_samp(degree) OVER (PARTITION BY dg.win) + 1e-8) AS z, degree / nullif(count(*) OVER (PARTITION BY dg.win) - 1, 0)::DOUBLE AS centrality, nd AS neighbour_degree FROM dg LEFT JOIN nd ON nd.win = dg.win AND nd.src = dg.code""", "panel")
+       MOMENTS + MEANS + """, dg AS (SELECT mr.win, mr.code, count(sy.dst) AS degree FROM mr LEFT JOIN sy ON sy.win = mr.win AND sy.src = mr.code GROUP BY mr.win, mr.code), nd AS (SELECT sy.win, src, avg(degree) AS nd FROM sy JOIN dg ON dg.win = sy.win AND dg.code = dst GROUP BY sy.win, src) ;;
+SELECT dg.win, dg.code, degree, degree = 0 AS isolated, (degree - avg(degree) OVER (PARTITION BY dg.win)) / (stddev_samp(degree) OVER (PARTITION BY dg.win) + 1e-8) AS z, degree / nullif(count(*) OVER (PARTITION BY dg.win) - 1, 0)::DOUBLE AS centrality, nd AS neighbour_degree FROM dg LEFT JOIN nd ON nd.win = dg.win AND nd.src = dg.code""", USES)
 def g5(d: Data):
     nodes = returns_by_window(d).select("win", "code").distinct()
     sym = graphs.symmetric(edges(d))
@@ -73,56 +101,108 @@ def g5(d: Data):
     return degree.join(around, ["win", "code"], "left").withColumns({"isolated": F.col("degree") == 0, "z": (F.col("degree") - F.avg("degree").over(w)) / (F.stddev_samp("degree").over(w) + 1e-8), "centrality": F.try_divide(F.col("degree"), F.count(F.lit(1)).over(w) - 1)})
 
 
-@query("g6_clustering", "win code triangles", "clustering",
-       MOMENTS + ", dg AS (SELECT win, src AS code, count(*) AS k FROM sy GROUP BY win, src), tr AS (SELECT a.win, a.src AS code, count(*) AS t FROM sy a JOIN sy b ON a.win = b.win AND a.src = b.src AND a.dst < b.dst JOIN ed e ON e.win = a.win AND e.src = a.dst AND e.dst = b.dst GROUP BY a.win, a.src) ;; SELECT dg.win, dg.code, coalesce(t, 0) AS triangles, coalesce(t, 0) / nullif(k * (k - 1) / 2, 0) AS clustering FROM dg LEFT JOIN tr ON tr.win = dg.win AND tr.code = dg.code", "panel")
+@query("g6_clustering", "win code triangles", "clustering density",
+       MOMENTS + ", dg AS (SELECT win, src AS code, count(*) AS k FROM sy GROUP BY win, src), tr AS (SELECT a.win, a.src AS code, count(*) AS t FROM sy a JOIN sy b ON a.win = b.win AND a.src = b.src AND a.dst < b.dst JOIN ed e ON e.win = a.win AND e.src = a.dst AND e.dst = b.dst GROUP BY a.win, a.src) ;; SELECT dg.win, dg.code, coalesce(t, 0) AS triangles, coalesce(t, 0) / nullif(k * (k - 1) / 2, 0) AS clustering, 2 * (k + coalesce(t, 0)) / ((k + 1) * k)::DOUBLE AS density FROM dg LEFT JOIN tr ON tr.win = dg.win AND tr.code = dg.code", USES)
 def g6(d: Data):
-    return graphs.clustering(edges(d))
+    """Triangles, their share of the pairs of neighbours, and the density of the graph of a code and its neighbours."""
+    c, k = graphs.clustering(edges(d)), F.col("k")
+    return c.withColumn("density", 2 * (k + F.col("triangles")) / ((k + 1) * k))
+
+
+LABELS = ", nd AS (SELECT DISTINCT win, src AS code FROM sy), rc AS (SELECT win, code, code AS seen FROM nd UNION SELECT rc.win, rc.code, sy.dst FROM rc JOIN sy ON sy.win = rc.win AND sy.src = rc.seen), lb AS MATERIALIZED (SELECT win, code, min(seen) AS label FROM rc GROUP BY win, code)"
+
 
+def _within(value: str) -> str:
+    return f"{value} / nullif(sum({value}) OVER c, 0) AS share, CASE WHEN stddev_pop({value}) OVER c > 1e-12 THEN ({value} - avg({value}) OVER c) / stddev_pop({value}) OVER c ELSE 0 END AS z"
 
-@query("g7_components", "win code size", "share",
-       MOMENTS + ", nd AS (SELECT DISTINCT win, src AS code FROM sy), rc AS (SELECT win, code, code AS seen FROM nd UNION SELECT rc.win, rc.code, sy.dst FROM rc JOIN sy ON sy.win = rc.win AND sy.src = rc.seen), lb AS (SELECT win, code, min(seen) AS label FROM rc GROUP BY win, code) ;; SELECT win, code, count(*) OVER (PARTITION BY win, label) AS size, count(*) OVER (PARTITION BY win, label) / (count(*) OVER (PARTITION BY win))::DOUBLE AS share FROM lb", "panel")
+
+@query("g7_components", "win code size", "part share z",
+       MOMENTS + LABELS + f", dg AS (SELECT win, src AS code, count(*) AS degree FROM sy GROUP BY win, src) ;; SELECT lb.win, lb.code, count(*) OVER c AS size, count(*) OVER c / (count(*) OVER (PARTITION BY lb.win))::DOUBLE AS part, {_within('degree')} FROM lb JOIN dg ON dg.win = lb.win AND dg.code = lb.code WINDOW c AS (PARTITION BY lb.win, label)", USES)
 def g7(d: Data):
-    labels = graphs.components(edges(d))
-    size = F.count(F.lit(1)).over(Window.partitionBy("win", "label"))
-    return labels.select("win", "code", size.alias("size"), (size / F.count(F.lit(1)).over(Window.partitionBy("win"))).alias("share"))
+    """Size of the component, its part of the graph, and the degree within it."""
+    e = graphs.stored(edges(d))
+    degree = graphs.symmetric(e).groupBy("win", F.col("src").alias("code")).agg(F.count(F.lit(1)).alias("degree"))
+    return graphs.within(degree, graphs.components(e), "degree").withColumn("part", F.col("size") / F.count(F.lit(1)).over(Window.partitionBy("win")))
 
 
-ROUNDS = 15
+ROUNDS = 20
 RANKS = ", nn AS MATERIALIZED (SELECT win, src AS code, count(*) AS o, count(*) OVER (PARTITION BY win) AS n FROM sy GROUP BY win, src), ln AS MATERIALIZED (SELECT win, src, dst FROM sy), r0 AS (SELECT *, 1.0::DOUBLE / n AS rank FROM nn)" + "".join(
     f", r{i} AS MATERIALIZED (SELECT nn.*, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(s, 0) AS rank FROM nn LEFT JOIN (SELECT ln.win, dst AS code, sum(r.rank / r.o) AS s FROM ln JOIN r{i - 1} r ON r.win = ln.win AND r.code = ln.src GROUP BY ln.win, dst) g ON g.win = nn.win AND g.code = nn.code)"
     for i in range(1, ROUNDS + 1)
 )
 
 
-@query("g8_pagerank", "win code", "rank", MOMENTS + RANKS + f" ;; SELECT win, code, rank FROM r{ROUNDS}", "panel")
+@query("g8_pagerank", "win code", "rank share z", MOMENTS + LABELS + RANKS + f" ;; SELECT lb.win, lb.code, rank, {_within('rank')} FROM lb JOIN r{ROUNDS} q ON q.win = lb.win AND q.code = lb.code WINDOW c AS (PARTITION BY lb.win, label)", USES)
 def g8(d: Data):
-    return graphs.pagerank(edges(d), rounds=ROUNDS)
+    """PageRank, its share of the component's and its deviations within it."""
+    e = graphs.stored(edges(d))
+    return graphs.within(graphs.pagerank(e, rounds=ROUNDS), graphs.components(e), "rank")
+
 
+DEPTH = 3
+STEPS = ", d1 AS MATERIALIZED (SELECT win, src, dst, 1 AS dist FROM sy)" + "".join(
+    f", d{i} AS MATERIALIZED (SELECT * FROM d{i - 1} UNION ALL SELECT DISTINCT f.win, f.src, sy.dst, {i} FROM d{i - 1} f JOIN sy ON sy.win = f.win AND sy.src = f.dst WHERE f.dist = {i - 1} AND sy.dst <> f.src AND NOT EXISTS (SELECT 1 FROM d{i - 1} k WHERE k.win = f.win AND k.src = f.src AND k.dst = sy.dst))"
+    for i in range(2, DEPTH + 1)
+)
 
-@query("g9_core_number", "win code core", "", None, "panel")
+
+@query("g9_core_number", "win code core", "", None, USES)
 def g9(d: Data):
     return graphs.core_numbers(edges(d))
 
 
-@query("g10_knn", "vec_id neighbour k", "sim",
-       """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v), s AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_sum(list_transform(list_zip(a.u, b.u), lambda p: p[1] * p[2])), 9) AS sim FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) AS k FROM s) ;; SELECT vec_id, neighbour, k, sim FROM r WHERE k <= 5""", "")
-def g10(d: Data):
+@query("g9_closeness", "win code reached", "closeness",
+       MOMENTS + STEPS + f", n AS (SELECT win, count(DISTINCT src) AS n FROM sy GROUP BY win), g AS (SELECT win, src AS code, count(*) AS reached, sum(dist) AS far FROM d{DEPTH} GROUP BY win, src) ;; SELECT g.win, code, reached, reached / far::DOUBLE * reached / nullif(n - 1, 0) AS closeness FROM g JOIN n ON n.win = g.win", USES)
+def g9_closeness(d: Data):
+    """Closeness from a search in breadth of DEPTH steps."""
+    return graphs.closeness(edges(d), DEPTH)
+
+
+NEAR = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v), s AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_sum(list_transform(list_zip(a.u, b.u), lambda p: p[1] * p[2])), 9) AS sim FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) AS k FROM s)"""
+
+
+def nearest(d: Data):
     return graphs.nearest(d.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")), F.col("vec_id") % 100 == 0, 5)
 
 
-@query("g11_peer_sets", "win code n", "peer_mean diff",
-       MOMENTS + MONTHLY + """, t AS (SELECT *, row_number() OVER (PARTITION BY win, src ORDER BY round(abs(w), 9) DESC, dst) AS k FROM sy), q AS (SELECT t.win, src AS code, count(*) AS n, avg(r) AS peer_mean FROM t JOIN mr ON mr.win = t.win AND mr.code = dst WHERE k <= 5 GROUP BY t.win, src) ;;
-SELECT mr.win, mr.code, n, peer_mean, r - peer_mean AS diff FROM mr JOIN q ON q.win = mr.win AND q.code = mr.code""", "panel")
+@query("g10_knn", "vec_id neighbour k", "sim", NEAR + " ;; SELECT vec_id, neighbour, k, sim FROM r WHERE k <= 5", "")
+def g10(d: Data):
+    return nearest(d)
+
+
+@query("g10_knn_graph", "src dst", "", NEAR + ", o AS (SELECT vec_id AS src, neighbour AS dst FROM r WHERE k <= 5), e AS (SELECT src, dst FROM o UNION SELECT dst, src FROM o) ;; SELECT src, dst FROM e UNION ALL SELECT vec_id, vec_id FROM v WHERE vec_id NOT IN (SELECT src FROM e)", "")
+def g10_graph(d: Data):
+    """The graph of the nearest neighbours of the queries: symmetric, and every vector has a degree of one at least."""
+    return graphs.symmetric_graph(nearest(d), d.table("embeddings"))
+
+
+K, SHARE = 5, 0.6
+PEERS = f""", sp AS (SELECT a.win, a.code, b.code AS peer, row_number() OVER (PARTITION BY a.win, a.code ORDER BY abs(b.code - a.code), b.code) AS k FROM mr a JOIN dim da ON da.code = a.code JOIN dim db ON db.sector = da.sector AND db.code <> da.code JOIN mr b ON b.win = a.win AND b.code = db.code),
+cp AS (SELECT win, src AS code, dst AS peer, row_number() OVER (PARTITION BY win, src ORDER BY round(abs(w), 9) DESC, dst) AS k FROM sy),
+f AS (SELECT win, code, peer, k FROM sp WHERE k <= {int(K * SHARE)}), hy AS (SELECT win, code, peer, row_number() OVER (PARTITION BY win, code ORDER BY k) AS k FROM (SELECT * FROM f UNION ALL SELECT cp.win, cp.code, cp.peer, cp.k + {K} FROM cp ANTI JOIN f ON f.win = cp.win AND f.code = cp.code AND f.peer = cp.peer)),
+pe AS (SELECT win, code, peer, 'sector' AS kind FROM sp WHERE k <= {K} UNION ALL SELECT win, code, peer, 'correlation' FROM cp WHERE k <= {K} UNION ALL SELECT win, code, peer, 'hybrid' FROM hy WHERE k <= {K}),
+g AS (SELECT pe.kind, pe.win, pe.code, o.r, count(*) AS n, avg(t.r) AS peer_mean, stddev_pop(t.r) AS peer_std, avg(CASE WHEN t.r < o.r THEN 1.0 ELSE 0.0 END) AS rank FROM pe JOIN mr t ON t.win = pe.win AND t.code = pe.peer JOIN mr o ON o.win = pe.win AND o.code = pe.code GROUP BY pe.kind, pe.win, pe.code, o.r)"""
+
+
+@query("g11_peer_sets", "win code kind n", "peer_mean peer_std diff rank",
+       MOMENTS + MEANS + PEERS + " ;; SELECT win, code, kind, n, peer_mean, peer_std, rank, CASE WHEN peer_std > 1e-12 THEN (r - peer_mean) / peer_std ELSE 0 END AS diff FROM g", USES + " dim")
 def g11(d: Data):
-    monthly = returns_by_window(d).groupBy("win", "code").agg(F.avg("r").alias("r"))
-    t = graphs.symmetric(edges(d)).withColumn("k", F.row_number().over(Window.partitionBy("win", "src").orderBy(F.round(F.abs("w"), 9).desc(), "dst"))).where("k <= 5")
-    q = t.join(monthly.withColumnRenamed("code", "dst"), ["win", "dst"]).groupBy("win", F.col("src").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("peer_mean"))
-    return monthly.join(q, ["win", "code"]).withColumn("diff", F.col("r") - F.col("peer_mean"))
+    """Peers by sector (the nearest numbers), by correlation, and both; their statistics beside the code's own return."""
+    of = graphs.stored(means(d))
+    named = of.join(d.dim.select("code", "sector"), "code").select("win", "sector", "code")
+    inside = named.join(named.withColumnRenamed("code", "peer"), ["win", "sector"]).where("code <> peer")
+    place = lambda *order: F.row_number().over(Window.partitionBy("win", "code").orderBy(*order))
+    sector = inside.withColumn("k", place(F.abs(F.col("peer") - F.col("code")), "peer")).where(F.col("k") <= K).select("win", "code", "peer", "k")
+    e = graphs.symmetric(edges(d)).select("win", F.col("src").alias("code"), F.col("dst").alias("peer"), "w")
+    correlated = graphs.stored(e.withColumn("k", place(F.round(F.abs("w"), 9).desc(), "peer")).where(F.col("k") <= 2 * K).select("win", "code", "peer", "k"))
+    sets = {"sector": sector, "correlation": correlated.where(F.col("k") <= K), "hybrid": graphs.hybrid_peers(sector, correlated, K, SHARE)}
+    parts = [graphs.peer_statistics(peers, of).withColumn("kind", F.lit(kind)) for kind, peers in sets.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("g12_beta_neighbours", "code neighbour", "weight",
-       """b AS (SELECT code, any_value(sector) AS sector, round(avg(close) / 1000, 9) AS beta FROM panel GROUP BY code), o AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY beta, code) AS pos FROM b), c AS (SELECT a.code, n.code AS neighbour, abs(a.beta - n.beta) AS dist FROM o a JOIN o n ON a.sector = n.sector AND a.pos <> n.pos AND abs(a.pos - n.pos) <= 3),
+       """b AS (SELECT code, any_value(sector) AS sector, round(median(close) / 1000, 9) AS beta FROM panel GROUP BY code), o AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY beta, code) AS pos FROM b), c AS (SELECT a.code, n.code AS neighbour, abs(a.beta - n.beta) AS dist FROM o a JOIN o n ON a.sector = n.sector AND a.pos <> n.pos AND abs(a.pos - n.pos) <= 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY dist, neighbour) AS k FROM c) ;; SELECT code, neighbour, exp(-dist / 0.5) AS weight FROM r WHERE k <= 3""", "panel")
 def g12(d: Data):
-    b = d.panel.groupBy("code").agg(F.max("sector").alias("sector"), F.round(F.avg("close") / 1000, 9).alias("beta"))
+    b = d.panel.groupBy("code").agg(F.max("sector").alias("sector"), F.round(F.percentile("close", 0.5) / 1000, 9).alias("beta"))
     return graphs.rank_neighbours(b, "sector", "beta", 3, 0.5)

@@ -16,6 +16,12 @@ FRAMES = {
     "panel": ("SELECT bars.*, dim.sector, dim.balance, dim.market FROM bars LEFT JOIN dim USING (code)", ("bars", "dim")),
     "market": ("SELECT date, avg(price) AS m_close FROM trades GROUP BY date", ("trades",)),
     "calendar": ("SELECT date, row_number() OVER (ORDER BY date) AS idx, lead(date) OVER (ORDER BY date) AS next_date FROM (SELECT DISTINCT date FROM trades)", ("trades",)),
+    "dense": ("""SELECT code, calendar.date, CASE WHEN h.i = h.idx THEN ln(close / before) ELSE 0 END AS r FROM (
+  SELECT code, close, before, idx, unnest(range(idx, upto + 1)) AS i FROM (
+    SELECT code, close, lag(close) OVER w AS before, idx, coalesce(lead(idx) OVER w - 1, (SELECT max(idx) FROM calendar)) AS upto
+    FROM bars JOIN calendar USING (date) WINDOW w AS (PARTITION BY code ORDER BY date)) WHERE before IS NOT NULL) h JOIN calendar ON calendar.idx = h.i""", ("bars", "calendar")),
+    "levels": ("""SELECT code, date, level, lead(level) OVER (PARTITION BY code ORDER BY date) / level - 1 AS step FROM (
+  SELECT code, date, sum(turnover) OVER w / sum(volume) OVER w AS level FROM bars WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))""", ("bars",)),
     "snapshots": ("""SELECT (o_custkey - 1) % (SELECT count(*) FROM supplier) + 1 AS code, CAST(o_orderdate AS DATE) AS published, o_orderkey AS rec,
   o_totalprice AS amount, o_orderstatus AS status, o_orderpriority AS priority FROM orders""", ()),
     "ev": ("SELECT event_id AS eid, user_id AS id, ts, event_type AS type, value, props FROM events", ()),

@@ -13,8 +13,12 @@ MISSING = ("", "-", "--", "---")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, or below the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "files")
+    """A fresh folder that driver and executors share, below spark.checkpoint.dir; where that is unset, below the warehouse of a local session (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "files")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

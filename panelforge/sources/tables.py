@@ -62,6 +62,25 @@ class Data:
         by_date = Window.orderBy("date")
         return self.trades.select("date").distinct().select("date", F.row_number().over(by_date).alias("idx"), F.lead("date").over(by_date).alias("next_date"))
 
+    @property
+    def dense(self) -> DataFrame:
+        """(code, date, r): log returns of every business date from a code's second bar on, 0 where it has no bar (the last price stands)."""
+        w = Window.partitionBy("code").orderBy("idx")
+        calendar = self.calendar.select("date", F.col("idx").alias("_i"))
+        last = calendar.agg(F.max("_i").alias("_last"))
+        at = self.bars.join(calendar, "date").select("code", "close", F.col("_i").alias("idx"))
+        steps = at.withColumns({"_r": F.log(F.col("close") / F.lag("close").over(w)), "_next": F.lead("idx").over(w)}).where("_r is not null")
+        held = steps.join(F.broadcast(last)).select("code", "idx", "_r", F.explode(F.sequence("idx", F.coalesce(F.col("_next") - 1, "_last"))).alias("_i"))  # _last is one row
+        return held.join(calendar, "_i").select("code", "date", F.when(F.col("_i") == F.col("idx"), F.col("_r")).otherwise(0.0).alias("r"))
+
+    @property
+    def levels(self) -> DataFrame:
+        """(code, date, level, step): the price of the turnover-weighted index of a code over its last 60 bars, and its return to the next bar."""
+        w = Window.partitionBy("code").orderBy("date")
+        recent = w.rowsBetween(-59, 0)
+        levels = self.bars.select("code", "date", (F.sum("turnover").over(recent) / F.sum("volume").over(recent)).alias("level"))
+        return levels.withColumn("step", F.lead("level").over(w) / F.col("level") - 1)
+
     @property
     def snapshots(self) -> DataFrame:
         """Published records of codes (the code of a customer is mapped onto the codes of the bars)."""
