@@ -14,6 +14,10 @@ collisions are counted on both signatures.
 
 Texts with equal sets are one node. Posting lists are compared as in
 panelforge.llm.posting: with central texts first, then across components only.
+Lists that are still long after that (edited copies that are near one another, but
+below the threshold) are compared in blocks of BLOCK_ROWS: a pair counts its
+collisions in one list only, that of its smallest common prefix token, and leaves the
+task if its sets, hashed to 32 bits, have the similarity.
 
 Edge cases: null and empty texts, and texts of white space, have no shingle and
 link with nothing; fewer words than a shingle make one shingle of all; ties are
@@ -37,6 +41,8 @@ from .posting import list_components, size_passes
 from .shingles import mix, shingle_set
 
 COORDINATES, MATCHES = 64, 34
+#: Rows of a long list that a task compares with as many others.
+BLOCK_ROWS = 2048
 #: Tokens that are hashed at once, so that temporary arrays stay in the cache.
 _CHUNK = 1 << 15
 
@@ -110,20 +116,22 @@ def _signed_rows(docs: DataFrame, n: int, coordinates: int) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(group, size, prefix): the rarest coordinates - matches + 1 tokens of every node."""
+    """nodes with tokens, the rarest coordinates - matches + 1 of every node, and prefix, the bits of their coordinates."""
     counts = nodes.sparkSession.sparkContext.broadcast(bucket_counts(nodes.select("signature"), lambda raw: posted(_of_bytes(raw))))  # a table of fixed size
     length = coordinates - matches + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = counts.value
         for batch in batches:
-            rows = []
-            for raw in batch.column(2).to_pylist():
+            rows, bits = [], []
+            for raw in batch.column("signature").to_pylist():
                 tokens = posted(_of_bytes(raw))
-                rows.append(tokens[np.lexsort((tokens, frequency[bucket_of(tokens)]))[:length]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], names=["group", "size", "prefix"])
+                first = np.lexsort((tokens, frequency[bucket_of(tokens)]))[:length]
+                rows.append(tokens[first].view(np.int64))
+                bits.append(np.bitwise_or.reduce(np.uint64(1) << first.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int64())), pa.array(np.array(bits, dtype=np.uint64).view(np.int64))], names=[*batch.schema.names, "tokens", "prefix"])
 
-    return nodes.select(F.col("node").alias("group"), "size", "signature").mapInArrow(run, "group long, size long, prefix array<long>")
+    return stored(nodes.mapInArrow(run, "node long, size long, owner long, owner_hash long, signature binary, tokens array<long>, prefix long"))
 
 
 def collisions(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
@@ -142,10 +150,74 @@ def collisions(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
+def _sets32(groups: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(group, tokens): the sets of nodes, hashed to 32 bits, from the texts of their owners."""
+    owners = groups.join(nodes.select(F.col("node").alias("group"), F.col("owner").alias("_id"), F.col("owner_hash").alias("_hash")), "group")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_hash"), "text").where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique((shingle_set(text, n) >> np.uint64(32)).astype(np.uint32)).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["group", "tokens"])
+
+    return stored(texts.join(owners, ["_id", "_hash"]).select("group", "text").mapInArrow(run, "group long, tokens binary").dropDuplicates(["group"]))
+
+
+def _long_lists(rows: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int, matches: int) -> DataFrame:
+    """(a, b): pairs of different labels in the long lists rows(token, group, size, label, rows, ...) whose sets seem to link."""
+    rows = stored(rows.select("token", "group", "size", "label", "rows"))
+    groups = rows.select("group").distinct()
+    full = rows.join(nodes.select(F.col("node").alias("group"), "signature", "prefix"), "group").join(_sets32(groups, nodes, docs, n), "group")
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    of = full.withColumn("part", F.pmod(F.xxhash64("group"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    of = of.select("token", F.least("part", "_other").alias("first"), F.greatest("part", "_other").alias("second"), "part", "group", "size", "label", "signature", "prefix", "tokens")
+
+    def run(table: pa.Table) -> pa.Table:
+        token, first, second = (table.column(c)[0].as_py() for c in ("token", "first", "second"))
+        part, group, size, label = (table.column(c).to_numpy() for c in ("part", "group", "size", "label"))
+        sign = np.stack([_of_bytes(raw) for raw in table.column("signature").to_pylist()])
+        inside = (table.column("prefix").to_numpy().astype(np.uint64)[:, None] >> np.arange(sign.shape[1], dtype=np.uint64)) & np.uint64(1) == 1
+        at = posted(sign).view(np.int64)
+        sets = [_of_bytes(raw) for raw in table.column("tokens").to_pylist()]
+        values, index = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum([len(s) for s in sets])
+        starts = ends - [len(s) for s in sets]
+        marked, found = np.zeros(len(values), dtype=bool), []
+        large = np.bincount(np.unique(label, return_inverse=True)[1]).max() == np.unique(label, return_counts=True)[1]
+        common = np.isin(label, np.unique(label)[large][:1])  # pairs within the most frequent label need no look
+        for i in np.flatnonzero((part == first) | (part == second)):
+            if common[i]:
+                continue
+            other = (label != label[i]) & (common | (group > group[i]))
+            if first != second:
+                other &= part != part[i]
+            js = np.flatnonzero(other & (den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i])))
+            same = sign[js] == sign[i]
+            keep = same.sum(1) >= matches
+            js, same = js[keep], same[keep]
+            # in the list of the smallest prefix token that both have
+            js = js[np.where(same & inside[js] & inside[i], at[i], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == token]
+            if not len(js):
+                continue
+            marked[index[starts[i] : ends[i]]] = True
+            lengths = ends[js] - starts[js]
+            flat = np.repeat(starts[js] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+            both = np.add.reduceat(marked[index[flat]].astype(np.int64), np.concatenate(([0], np.cumsum(lengths)[:-1])))
+            marked[index[starts[i] : ends[i]]] = False
+            # two values of a set may have become one: as many are granted
+            both = both + (size[js] - lengths) + (size[i] - (ends[i] - starts[i]))
+            for j in js[den * both >= num * (size[js] + size[i] - both)]:
+                found.append((group[i], group[j]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return stored(of.groupBy("token", "first", "second").applyInArrow(run, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs: links are Jaccard similarities of n-word shingle sets of num / den or more.
 
-    matches must be low enough for num / den; see the module's docstring.
+    matches must be low enough for num / den (see the module's docstring), and there are at most 64 coordinates.
     """
     signed = _signed_rows(docs, n, coordinates)
     nodes = stored(
@@ -154,11 +226,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, coo
         .agg(F.min(F.struct("id", "hash")).alias("owner"), F.first("signature").alias("signature"))
         .select(F.col("k1").alias("node"), "size", F.col("owner.id").alias("owner"), F.col("owner.hash").alias("owner_hash"), "signature")
     )
-    posting = stored(_prefixes(nodes, coordinates, matches)).select("group", "size", F.posexplode("prefix").alias("pos", "token"))
+    nodes = _prefixes(nodes, coordinates, matches)
+    posting = nodes.select(F.col("node").alias("group"), "size", F.explode("tokens").alias("token"))
     shared = posting.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("token")
     lists = stored(posting.join(shared, "token"))
     alone = nodes.select("node", F.col("node").alias("group")).where("false")
-    labels = list_components(lists, alone, lambda pairs: confirmed(collisions(pairs, nodes, matches), nodes, docs, n, num, den), lambda x, y: size_passes(x, y, num, den), num, den)
+    labels = list_components(lists, alone, lambda pairs: confirmed(collisions(pairs, nodes, matches), nodes, docs, n, num, den), lambda x, y: size_passes(x, y, num, den), num, den, lambda rows: _long_lists(rows, nodes, docs, n, num, den, matches))
     named = nodes.join(labels, "node", "left").select("node", "owner", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("owner").alias("component_id"))
     of_node = stored(named.join(smallest, "label").select("node", "component_id"))

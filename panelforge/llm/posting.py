@@ -10,7 +10,9 @@ has members. The result has all links between different components.
 
 Lists meet on the token and the size class: sizes that can link differ by one
 class at most, so a very common token falls apart into lists of like sizes, and
-Spark splits the large ones of them on either side of the join.
+Spark splits the large ones of them on either side of the join. Lists of over
+LONG rows may be left to a function that compares them in blocks and returns
+only pairs that are as good as certain to link.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from .components import components
 #: Centres of a posting list that all its groups are compared with first.
 CENTRES = 3
 
+#: Lists of more rows go to the function for long lists, if there is one.
+LONG = 64
+
 #: (pairs of nodes) -> those that link
 Verify = Callable[[DataFrame], DataFrame]
 #: (alias of a posting row, alias of another) -> condition that pairs that link meet at their first common token
@@ -49,13 +54,13 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def list_components(lists: DataFrame, members: DataFrame, verify: Verify, passes: Passes, num: int, den: int) -> DataFrame:
+def list_components(lists: DataFrame, members: DataFrame, verify: Verify, passes: Passes, num: int, den: int, long_lists: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, label) of every node that links with another; label is the smallest node of its component."""
     lists = lists.withColumn("class", size_class(F.col("size"), num, den))
     ordered = stored(_ordered(_stars(lists, passes).unionByName(members.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b")))))
     links = verify(ordered)
     labels = components(links)
-    pairs = stored(_ordered(_other_pairs(lists, members, labels, passes)).join(ordered, ["a", "b"], "left_anti"))
+    pairs = stored(_ordered(_other_pairs(lists, members, labels, passes, long_lists)).join(ordered, ["a", "b"], "left_anti"))
     if pairs.isEmpty():
         return labels
     return components(links.unionByName(verify(pairs)))
@@ -80,7 +85,7 @@ def _stars(lists: DataFrame, passes: Passes) -> DataFrame:
     return star.select(F.col("x.group").alias("a"), F.col("y.group").alias("b"))
 
 
-def _other_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, passes: Passes) -> DataFrame:
+def _other_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, passes: Passes, long_lists: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """Pairs of nodes that share a list or a group and are not of one component yet."""
     # A group of several nodes is one component only if all of them are.
     of_member = members.join(labels, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label"))
@@ -89,8 +94,8 @@ def _other_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, passes
     rows = lists.join(named, "group", "left").join(mixed, "group", "left")
     rows = rows.withColumn("label", F.coalesce("label", "group")).withColumn("mixed", F.coalesce("mixed", F.lit(False)))
     # The label of the first row of a list marks its large component; lists of one component are done.
-    spread = rows.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max("mixed").alias("_any"), F.min(F.struct("group", "label")).getField("label").alias("_main"))
-    open_ = stored(rows.join(spread.where("_low <> _high or _any").select("token", "_main"), "token").withColumn("main", (F.col("label") == F.col("_main")) & ~F.col("mixed")).drop("_main"))
+    spread = rows.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max("mixed").alias("_any"), F.min(F.struct("group", "label")).getField("label").alias("_main"), F.count(F.lit(1)).alias("rows"))
+    open_ = stored(rows.join(spread.where("_low <> _high or _any").select("token", "_main", "rows"), "token").withColumn("main", (F.col("label") == F.col("_main")) & ~F.col("mixed")).drop("_main"))
 
     def met(x: DataFrame, y: DataFrame, classes: tuple[int, ...], order: Column) -> DataFrame:
         """Rows of x and y in one list, the class of y being that of x plus one of classes."""
@@ -99,10 +104,13 @@ def _other_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, passes
         on = (F.col("x.token") == F.col("y.token")) & (F.col("x._class") == F.col("y.class")) & order & differ & passes("x", "y")
         return near.join(y.alias("y"), on).select(F.col("x.group").alias("g"), F.col("y.group").alias("h"))
 
-    main, others = open_.where("main"), open_.where("not main")
+    short = open_ if long_lists is None else open_.where(F.col("rows") <= LONG)
+    main, others = short.where("main"), short.where("not main")
     first = met(others, main, (-1, 0, 1), F.col("x.group") != F.col("y.group"))
     second = met(others, others, (0, 1), (F.col("x.class") != F.col("y.class")) | (F.col("x.group") < F.col("y.group")))
     pairs = first.unionByName(second).distinct()
+    if long_lists is not None:
+        pairs = pairs.unionByName(long_lists(open_.where(F.col("rows") > LONG)).select(F.col("a").alias("g"), F.col("b").alias("h")))
     # Groups are expanded to their members.
     m = of_member.select("node", F.col("group").alias("_group"))
     left = pairs.join(m, F.col("g") == F.col("_group"), "left").select(F.coalesce("node", "g").alias("a"), "h")
