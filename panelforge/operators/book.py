@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,26 +86,62 @@ def performance(cost: float = 0.0010) -> list[Column]:
     ]
 
 
-def neutralised(df: DataFrame, keys: list[str], score: str, first: str, second: str, ridge: float, share: float = 0.5) -> DataFrame:
-    """Scores less a share of what a ridge regression on two standardised factors explains, by keys.
+def risk_neutral(df: DataFrame, keys: list[str], score: str, factors: list[str], group: str, levels: list[Column], alpha: float, gamma: float, cap: float) -> DataFrame:
+    """df with neutral: scores less the share gamma of what a ridge regression on factors explains, by keys; and whether it was used.
 
-    The two normal equations come from one aggregate; groups of fewer than four
-    names, or with less than 5 % explained, keep their scores.
+    Factors are the numeric ones and a column for each level of group (those that
+    the lowest group of the keys' rows is not), all standardised, missing values at the
+    mean; scores are standardised, too. The normal equations come from one aggregate
+    by keys and are solved in batches of keys, so no task holds the rows of a date.
+    Dates keep their scores if less than 5 % is explained or no t value reaches 2. What
+    is left is centred and scaled to the deviation of the scores, and no score
+    moves by more than cap deviations.
     """
     w = Window.partitionBy(*keys)
+    columns = [F.col(c).cast("double") for c in factors] + [((F.col(group) == v) & (F.col(group) > F.min(group).over(w))).cast("double") for v in levels]
+    n = len(columns)
+    raw = df.withColumns({f"_f{i}": c for i, c in enumerate(columns)})
 
     def standard(c: str) -> Column:
-        spread = F.stddev_pop(c).over(w)
-        return F.when(spread > 1e-9, F.try_divide(F.col(c) - F.avg(c).over(w), spread)).otherwise(0.0)
-
-    z = df.select(*keys, "code", score, (F.col(score) - F.avg(score).over(w)).alias("y"), standard(first).alias("a"), standard(second).alias("b"))
-    dot = lambda x, y: F.sum(F.col(x) * F.col(y))
-    s = z.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (dot("a", "a") + ridge).alias("aa"), (dot("b", "b") + ridge).alias("bb"), dot("a", "b").alias("ab"), dot("a", "y").alias("ay"), dot("b", "y").alias("by"), dot("y", "y").alias("yy"))
-    c = {k: F.col(k) for k in ("aa", "bb", "ab", "ay", "by")}
-    det = c["aa"] * c["bb"] - c["ab"] * c["ab"]
-    s = s.withColumns({"p": (c["ay"] * c["bb"] - c["by"] * c["ab"]) / det, "q": (c["by"] * c["aa"] - c["ay"] * c["ab"]) / det})
-    p, q = F.col("p"), F.col("q")
-    explained = 2 * (p * c["ay"] + q * c["by"]) - p * p * (c["aa"] - ridge) - q * q * (c["bb"] - ridge) - 2 * p * q * c["ab"]
-    s = s.select(*keys, "n", "p", "q", F.try_divide(explained, F.col("yy")).alias("r2"))
-    used = (F.col("n") >= 4) & (F.col("r2") >= 0.05)
-    return z.join(s, keys).withColumn("neutral", F.col(score) - F.when(used, share * (p * F.col("a") + q * F.col("b"))).otherwise(0.0))
+        spread = F.stddev_samp(c).over(w)
+        return F.coalesce((F.col(c) - F.avg(c).over(w)) / F.when(spread > 1e-12, spread).otherwise(1.0), F.lit(0.0))
+
+    z = raw.withColumns({f"_x{i}": standard(f"_f{i}") for i in range(n)} | {"_my": F.avg(score).over(w), "_sy": F.stddev_pop(score).over(w)})
+    z = z.withColumn("_y", F.when(F.col("_sy") > 1e-6, (F.col(score) - F.col("_my")) / F.col("_sy"))).drop(*[f"_f{i}" for i in range(n)])
+    x, y = [F.col(f"_x{i}") for i in range(n)], F.col("_y")
+    upper = [F.sum(x[i] * x[j]) for i in range(n) for j in range(i, n)]
+    sums = z.where("_y is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.count_distinct(group) - 1 + len(factors)).alias("_p"), F.array(*upper).alias("_xx"), F.array(*[F.sum(c * y) for c in x]).alias("_xy"), F.sum(y * y).alias("_yy"))
+    solved = ridge(sums, keys, n, alpha)
+    fit = sum((F.get("_beta", i) * x[i] for i in range(n)), F.lit(0.0))
+    joined = z.join(solved, keys, "left").withColumn("_h", y - gamma * fit)
+    spread = F.stddev_pop("_h").over(w)
+    moved = (F.col("_h") - F.avg("_h").over(w)) * F.when(spread > 1e-6, F.col("_sy") / spread).otherwise(1.0) + F.col("_my") - F.col(score)
+    bound = cap * F.col("_sy")
+    shift = F.when(F.col("_used"), F.greatest(-bound, F.least(bound, moved))).otherwise(0.0)
+    return joined.withColumn("neutral", F.col(score) + shift).withColumn("used", F.coalesce("_used", F.lit(False))).select(*df.columns, "neutral", "used")
+
+
+def ridge(sums: DataFrame, keys: list[str], n: int, alpha: float) -> DataFrame:
+    """(keys, _beta, _used): the ridge solutions of sums(keys, _n, _p, _xx (upper triangle), _xy, _yy), a batch of keys at a time."""
+    kept = sums.select(*keys).schema
+    at = np.triu_indices(n)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            upper, b = np.stack(pdf["_xx"].to_list()), np.stack(pdf["_xy"].to_list())
+            a = np.zeros((len(pdf), n, n))
+            a[:, at[0], at[1]] = upper
+            a[:, at[1], at[0]] = upper
+            beta = np.linalg.solve(a + alpha * np.eye(n), b[..., None])[..., 0]
+            rss = pdf["_yy"].to_numpy() - 2 * (beta * b).sum(1) + np.einsum("ki,kij,kj->k", beta, a, beta)
+            rows, p = pdf["_n"].to_numpy(), pdf["_p"].to_numpy()
+            free = rows - p - 1
+            error = np.sqrt((rss / np.maximum(free, 1))[:, None] / (np.einsum("kii->ki", a) + 1e-10))
+            t = np.abs(beta / (error + 1e-10)).max(1)
+            used = (np.round(1 - rss / pdf["_yy"].to_numpy(), 9) >= 0.05) & ((free <= 0) | (np.round(t, 9) >= 2))
+            yield pdf[keys].assign(_beta=list(beta), _used=used)
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return sums.mapInPandas(run, f"{types}, _beta array<double>, _used boolean")

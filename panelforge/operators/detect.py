@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -9,6 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
+
+
+#: Least share of what two ranges cover that they have in common.
+IOU = 0.25
+
 
 def by_id():
     return Window.partitionBy("id").orderBy("ts", "eid")
@@ -84,8 +91,58 @@ def evaluate(predicted: DataFrame, actual: DataFrame) -> DataFrame:
     return g.where("predicted > 0").withColumns({"precision": F.col("hits") / F.col("predicted"), "recall": F.try_divide("_found", "actual")})
 
 
+def _matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each predicted range, by falling score, takes the free label that it shares most with; ties go to the first label."""
+    for pdf in batches:
+        found = []
+        for predicted, actual in zip(pdf["predicted"], pdf["actual"], strict=True):
+            for kind in ("overlap", "iou"):
+                free = [(r["a"], r["b"]) for r in actual]
+                for r in predicted:
+                    best, at = 0.0, None
+                    for k, (a, b) in enumerate(free):
+                        common = min(r["b"], b) - max(r["a"], a) + 1
+                        value = common if kind == "overlap" else common / (r["b"] - r["a"] + b - a + 2 - common)
+                        if common > 0 and value > best:
+                            best, at = value, k
+                    hit = at is not None and (kind == "overlap" or best >= IOU)
+                    if hit:
+                        free.pop(at)
+                    found.append((kind, -r["down"], hit))
+        yield pd.DataFrame(found, columns=["kind", "score", "hit"])
+
+
+def sweep(predicted: DataFrame, actual: DataFrame, steps: int) -> DataFrame:
+    """(kind, step, threshold, selected, matched, labels, precision, recall, area) for thresholds on the score of predicted(id, a, b, score).
+
+    Ranges are matched one to one with those of actual(id, a, b), within an id and by
+    falling score: by common length (overlap), or by the share of what both cover
+    (iou, IOU at least). A threshold selects a prefix of that order, so one matching
+    holds for all of them. Only ranges of one chain of overlaps can meet: chains, not
+    ids, are matched in tasks. area is that under precision over recall, by trapezia.
+    """
+    every = predicted.select("id", "a", "b", (-F.col("score")).alias("down")).unionByName(actual.select("id", "a", "b", F.lit(None).cast("double").alias("down")))
+    w = Window.partitionBy("id").orderBy("a", "b")
+    begins = F.coalesce(F.col("a") > F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    chains = every.withColumn("_begins", begins).withColumn("chain", F.sum("_begins").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    of = chains.groupBy("id", "chain").agg(
+        F.array_sort(F.collect_list(F.when(F.col("down").isNotNull(), F.struct("down", "a", "b")))).alias("predicted"), F.array_sort(F.collect_list(F.when(F.col("down").isNull(), F.struct("a", "b")))).alias("actual")
+    )
+    matches = of.select("predicted", "actual").mapInPandas(_matched, "kind string, score double, hit boolean")
+    labels = actual.agg(F.count(F.lit(1)).alias("labels"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.struct(i.alias("step"), (F.lit(0.95) - (i - 1) * (0.9 / (steps - 1))).alias("threshold")))
+    tried = matches.withColumn("t", F.explode(at)).select("kind", "t.step", "t.threshold", "hit", (F.round(F.col("score") - F.col("t.threshold"), 9) >= 0).alias("in"))
+    counts = tried.groupBy("kind", "step", "threshold").agg(F.count_if("in").alias("selected"), F.count_if(F.col("in") & F.col("hit")).alias("matched"))
+    rows = counts.join(F.broadcast(labels)).withColumns({"precision": F.when(F.col("selected") > 0, F.col("matched") / F.col("selected")).otherwise(1.0), "recall": F.when(F.col("labels") > 0, F.col("matched") / F.col("labels")).otherwise(0.0)})  # labels is one row
+    # recall rises as the threshold falls; the curve begins at recall 0
+    curve = Window.partitionBy("kind").orderBy("step")
+    before = lambda c, first: F.coalesce(F.lag(c).over(curve), first)
+    piece = (F.col("recall") - before("recall", F.lit(0.0))) * (F.col("precision") + before("precision", F.col("precision"))) / 2
+    return rows.withColumn("_piece", piece).withColumn("area", F.sum("_piece").over(Window.partitionBy("kind"))).drop("_piece")
+
+
 def label_ranges(events: DataFrame, ids: DataFrame, before: int, after: int) -> DataFrame:
-    """Ranges around the days of events; events without id hold for all ids."""
+    """Ranges around the days of events; events without id hold for all ids: of those, the result has days x ids rows by definition."""
     own = events.where("id is not null")
     days = events.where("id is null").agg(F.collect_set("day").alias("days"))  # days of a calendar
     shared = ids.join(F.broadcast(days)).select("id", F.explode("days").alias("day"))
@@ -99,7 +156,8 @@ def stacked(scores: list[DataFrame], key: str) -> DataFrame:
 
 
 def platt(df: DataFrame, steps: int) -> DataFrame:
-    """Slope and intercept of a logistic calibration of score on y: each Newton step is one aggregate of five sums."""
+    """Slope and intercept of a logistic calibration of score on y: each Newton step is one aggregate of five sums, at most steps of them, over a stored table."""
+    df = stored(df.select("score", "y"))
     slope, intercept, n = 0.0, 0.0, 0
     for _ in range(steps):
         p = sigmoid(slope * F.col("score") + intercept)
@@ -111,6 +169,8 @@ def platt(df: DataFrame, steps: int) -> DataFrame:
         hessian = np.array([[row[2], row[3]], [row[3], row[4]]]) + 1e-6 * np.eye(2)
         step = np.linalg.solve(hessian, np.array([row[0], row[1]]))
         slope, intercept = slope - float(step[0]), intercept - float(step[1])
+        if np.abs(step).max() < 1e-10:
+            break
     return df.sparkSession.createDataFrame([(n, slope, intercept)], "n long, slope double, intercept double")
 
 

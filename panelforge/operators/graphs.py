@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import average_rank
-from ..sources.files import shared_folder
+from ..sources.files import stored
 
 BLOCK = 256
 #: Days of the time chunks that rolling windows are computed in.
@@ -23,13 +23,6 @@ CHUNK = 366
 FLAT = 1e-6
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration through a table in the shared folder."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _block_pairs(series: DataFrame, by: str) -> DataFrame:
     """Rows of series(by, code, days, rs) for every pair (first, second) of code blocks that they belong to."""
     series = stored(series)

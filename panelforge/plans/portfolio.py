@@ -12,6 +12,7 @@ from .registry import query
 from .sql import average_rank as saverage_rank
 from .sql import over
 from .sql import roll as sroll
+from .sql import solved
 
 
 def by_set():
@@ -61,13 +62,37 @@ def p4(d: Data):
     return book.hysteresis(d.pred, holdings, ["set", "date"], enter=5, leave=8)
 
 
-@query("p5_risk_neutralisation", "set date code", "neutral",
-       """z AS (SELECT set, date, code, score, score - avg(score) OVER w AS y, CASE WHEN stddev_pop(volume) OVER w > 1e-9 THEN (volume - avg(volume) OVER w) / stddev_pop(volume) OVER w ELSE 0 END AS a, CASE WHEN stddev_pop(turnover) OVER w > 1e-9 THEN (turnover - avg(turnover) OVER w) / stddev_pop(turnover) OVER w ELSE 0 END AS b FROM pred WINDOW w AS (PARTITION BY set, date)),
-s AS (SELECT set, date, count(*) AS n, sum(a * a) + 10 AS aa, sum(b * b) + 10 AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS byy, sum(y * y) AS yy FROM z GROUP BY set, date),
-c AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS p, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM s), e AS (SELECT *, (2 * (p * ay + q * byy) - p * p * (aa - 10) - q * q * (bb - 10) - 2 * p * q * ab) / nullif(yy, 0) AS r2 FROM c) ;;
-SELECT z.set, z.date, code, score - CASE WHEN n >= 4 AND r2 >= 0.05 THEN 0.5 * (p * a + q * b) ELSE 0 END AS neutral FROM z JOIN e ON z.set = e.set AND z.date = e.date""", "pred")
+FACTORS, ALPHA, GAMMA, CAP = ("volume", "turnover", "ret"), 10.0, 0.3, 0.25
+#: Markets are numbered from 0 to 4.
+GROUPS = 5
+
+
+def _p5() -> str:
+    w = "WINDOW w AS (PARTITION BY set, date)"
+    raw = [f"{c}::DOUBLE" for c in FACTORS] + [f"(market = {g} AND market > min(market) OVER (PARTITION BY set, date))::INT::DOUBLE" for g in range(1, GROUPS)]
+    n = len(raw)
+    raws = ", ".join(f"{c} AS f{i}" for i, c in enumerate(raw))
+    x = ", ".join(f"coalesce((f{i} - avg(f{i}) OVER w) / CASE WHEN coalesce(stddev_samp(f{i}) OVER w, 0) > 1e-12 THEN stddev_samp(f{i}) OVER w ELSE 1 END, 0)" for i in range(n))
+    rows = ", ".join("[" + ", ".join([f"sum(x[{i}] * x[{j}]) + {ALPHA if i == j else 0.0}" for j in range(1, n + 1)] + [f"sum(x[{i}] * y)"]) + "]" for i in range(1, n + 1))
+    squares = ", ".join(f"sum(x[{i}] * x[{i}])" for i in range(1, n + 1))
+    fit = " + ".join(f"b[{i}] * x[{i}]" for i in range(1, n + 1))
+    t = ", ".join(f"abs(b[{i}] / (sqrt(rss / (n - p - 1) / (q[{i}] + 1e-10)) + 1e-10))" for i in range(1, n + 1))
+    return f"""r AS (SELECT set, date, code, score, market, {raws} FROM pred),
+z AS (SELECT set, date, code, score, [{x}] AS x, avg(score) OVER w AS my, stddev_pop(score) OVER w AS sy FROM r {w}),
+u AS MATERIALIZED (SELECT *, (score - my) / sy AS y FROM z WHERE sy > 1e-6),
+c AS (SELECT set, date, [{rows}] AS m FROM u GROUP BY set, date), k AS (SELECT set, date, count(*) AS n, [{squares}] AS q, any_value(sy) AS sy FROM u GROUP BY set, date),
+g AS (SELECT set, date, count(DISTINCT market) - 1 + {len(FACTORS)} AS p FROM pred GROUP BY set, date), {solved("s", "c", "set, date", n)},
+f AS (SELECT u.*, {fit} AS fit FROM u JOIN s ON u.set = s.set AND u.date = s.date), e AS (SELECT set, date, sum((y - fit) * (y - fit)) AS rss, sum(y * y) AS tss FROM f GROUP BY set, date),
+t AS (SELECT e.set, e.date, round(1 - rss / tss, 9) >= 0.05 AND (n <= p + 1 OR round(greatest({t}), 9) >= 2) AS used FROM e JOIN k ON e.set = k.set AND e.date = k.date JOIN g ON e.set = g.set AND e.date = g.date JOIN s ON e.set = s.set AND e.date = s.date),
+v AS (SELECT f.*, used, y - {GAMMA} * fit - avg(y - {GAMMA} * fit) OVER o AS h, stddev_pop(y - {GAMMA} * fit) OVER o AS sh FROM f JOIN t ON f.set = t.set AND f.date = t.date WINDOW o AS (PARTITION BY f.set, f.date)),
+d AS (SELECT set, date, code, CASE WHEN used THEN greatest(-{CAP} * sy, least({CAP} * sy, h * CASE WHEN sh > 1e-6 THEN sy / sh ELSE 1 END + my - score)) ELSE 0 END AS shift, used FROM v) ;;
+SELECT pred.set, pred.date, pred.code, coalesce(used, false) AS used, score + coalesce(shift, 0) AS neutral FROM pred LEFT JOIN d ON d.set = pred.set AND d.date = pred.date AND d.code = pred.code"""
+
+
+@query("p5_risk_neutralisation", "set date code used", "neutral", _p5(), "pred")
 def p5(d: Data):
-    return book.neutralised(d.pred, ["set", "date"], "score", "volume", "turnover", ridge=10.0)
+    levels = [F.lit(g) for g in range(1, GROUPS)]
+    return book.risk_neutral(d.pred, ["set", "date"], "score", list(FACTORS), "market", levels, ALPHA, GAMMA, CAP)
 
 
 @query("p6_group_neutralise", "set date code", "weight",
@@ -90,12 +115,20 @@ def p7(d: Data):
     return d.pred.join(F.broadcast(m), "set").withColumn("residual", F.col("score") - F.col("my") - F.col("b") * (F.col("volume") - F.col("mx")))  # one row for each set
 
 
-WEIGHTS = """q AS (SELECT *, row_number() OVER (PARTITION BY set, date ORDER BY score DESC, code) AS rh, row_number() OVER (PARTITION BY set, date ORDER BY score, code) AS rl, greatest(1, floor(0.2::DOUBLE * count(*) OVER (PARTITION BY set, date))) AS k FROM pred),
-w AS (SELECT set, date, code, label, CASE WHEN rh <= k THEN 1.0 / k WHEN rl <= k THEN -1.0 / k END AS w FROM q WHERE rh <= k OR rl <= k),
-dd AS (SELECT set, date, lead(date) OVER (PARTITION BY set ORDER BY date) AS nd FROM (SELECT DISTINCT set, date FROM pred)),
-pv AS (SELECT w.set, dd.nd AS date, code, w AS pw FROM w JOIN dd ON w.set = dd.set AND w.date = dd.date WHERE nd IS NOT NULL),
-tr AS (SELECT coalesce(w.set, pv.set) AS set, coalesce(w.date, pv.date) AS date, coalesce(w.code, pv.code) AS code, coalesce(w.w, 0) - coalesce(pv.pw, 0) AS dw, coalesce(w.w, 0) AS w, coalesce(w.label, 0) AS label FROM w FULL JOIN pv ON w.set = pv.set AND w.date = pv.date AND w.code = pv.code),
-dy AS (SELECT set, date, sum(w * label) AS gross, sum(abs(dw)) / 2 AS turnover, sum(w * label) - 0.0010::DOUBLE * sum(abs(dw)) / 2 AS net FROM tr GROUP BY set, date)"""
+def _weights(modes: bool) -> str:
+    """Frames w (weights), tr (trades) and dy (daily returns), by set or by set and mode."""
+    key = ["set", "mode"] if modes else ["set"]
+    ks, same = ", ".join(key), lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in key)
+    w = "w AS (SELECT set, mode, date, code, step, w FROM v, (VALUES ('ls'), ('lo'), ('so')) m(mode) WHERE mode = 'ls' OR (mode = 'lo') = (w > 0))" if modes else "w AS (SELECT * FROM v)"
+    return f"""q AS (SELECT *, row_number() OVER (PARTITION BY set, date ORDER BY score DESC, code) AS rh, row_number() OVER (PARTITION BY set, date ORDER BY score, code) AS rl, greatest(1, floor(0.2::DOUBLE * count(*) OVER (PARTITION BY set, date))) AS k FROM pred),
+v AS (SELECT set, date, code, step, CASE WHEN rh <= k THEN 1.0 / k WHEN rl <= k THEN -1.0 / k END AS w FROM q WHERE rh <= k OR rl <= k), {w},
+dd AS (SELECT {ks}, date, lead(date) OVER (PARTITION BY {ks} ORDER BY date) AS nd FROM (SELECT DISTINCT {ks}, date FROM w)),
+pv AS (SELECT {", ".join(f"w.{k}" for k in key)}, dd.nd AS date, code, w AS pw FROM w JOIN dd ON {same("w", "dd")} AND w.date = dd.date WHERE nd IS NOT NULL),
+tr AS (SELECT {", ".join(f"coalesce(w.{k}, pv.{k}) AS {k}" for k in key)}, coalesce(w.date, pv.date) AS date, coalesce(w.code, pv.code) AS code, coalesce(w.w, 0) - coalesce(pv.pw, 0) AS dw, coalesce(w.w, 0) AS w, coalesce(w.step, 0) AS step FROM w FULL JOIN pv ON {same("w", "pv")} AND w.date = pv.date AND w.code = pv.code),
+dy AS (SELECT {ks}, date, sum(w * step) AS gross, sum(abs(dw)) / 2 AS turnover, sum(w * step) - 0.0010::DOUBLE * sum(abs(dw)) / 2 AS net FROM tr GROUP BY {ks}, date)"""
+
+
+WEIGHTS, MODES = _weights(False), _weights(True)
 
 
 def weights(d: Data):
@@ -103,16 +136,23 @@ def weights(d: Data):
     w = Window.partitionBy("set", "date")
     k = F.greatest(F.lit(1), F.floor(F.lit(0.2) * F.count(F.lit(1)).over(w)))
     q = d.pred.withColumns({"rh": F.row_number().over(w.orderBy(F.desc("score"), "code")), "rl": F.row_number().over(w.orderBy("score", "code")), "k": k})
-    return q.where("rh <= k or rl <= k").select("set", "date", "code", "label", (F.when(F.col("rh") <= F.col("k"), 1.0).otherwise(-1.0) / F.col("k")).alias("w"))
+    return q.where("rh <= k or rl <= k").select("set", "date", "code", F.col("step").alias("label"), (F.when(F.col("rh") <= F.col("k"), 1.0).otherwise(-1.0) / F.col("k")).alias("w"))
+
+
+def by_mode(d: Data):
+    """Daily returns of both sides (ls), the long (lo) and the short side (so) of each set."""
+    modes = F.array(F.lit("ls"), F.when(F.col("w") > 0, "lo").otherwise("so"))
+    return book.daily_returns(weights(d).withColumn("mode", F.explode(modes)), ["set", "mode"], cost=0.0010)
 
 
 def daily(d: Data):
     return book.daily_returns(weights(d), ["set"], cost=0.0010)
 
 
-@query("p8_long_short_returns", "set date", "gross turnover net", WEIGHTS + " ;; SELECT * FROM dy", "pred")
+@query("p8_long_short_returns", "set mode date", "gross turnover net sharpe", MODES + " ;; SELECT *, avg(net) OVER m / nullif(stddev_samp(net) OVER m, 0) * sqrt(252) AS sharpe FROM dy WINDOW m AS (PARTITION BY set, mode)", "pred")
 def p8(d: Data):
-    return daily(d)
+    whole = Window.partitionBy("set", "mode")  # one row for each date
+    return by_mode(d).withColumn("sharpe", ratio(F.avg("net").over(whole), F.stddev_samp("net").over(whole)) * F.sqrt(F.lit(252.0)))
 
 
 @query("p9_rebalance_calendar", "date daily weekly monthly", "",
@@ -164,14 +204,14 @@ def p15(d: Data):
     return daily(d).withColumn("value", F.exp(F.sum(F.log(1 + F.greatest(F.col("net"), F.lit(-0.99)))).over(by_set())))
 
 
-METRICS = WEIGHTS + """, rr AS (SELECT set, date, greatest(-0.03, least(0.03, net)) AS r, turnover FROM dy), x AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY set ORDER BY date) AS lv FROM rr), y AS (SELECT *, lv - greatest(0, max(lv) OVER (PARTITION BY set ORDER BY date)) AS dd FROM x)"""
+METRICS = WEIGHTS + """, rr AS (SELECT set, date, net AS r, turnover FROM dy), x AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY set ORDER BY date) AS lv FROM rr), y AS (SELECT *, lv - greatest(0, max(lv) OVER (PARTITION BY set ORDER BY date)) AS dd FROM x)"""
 PMS = """count(*) AS days, exp(sum(ln(1 + r)) * 252 / count(*)) - 1 AS annual, avg(r) / nullif(stddev_pop(r), 0) * sqrt(252) AS sharpe, avg(r) / nullif(sqrt(avg(least(r, 0) * least(r, 0))), 0) * sqrt(252) AS sortino,
 1 - exp(min(dd)) AS max_drawdown, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(turnover) AS mean_turnover, exp(sum(ln(1 + r))) - 1 AS total, (exp(sum(ln(1 + r)) * 252 / count(*)) - 1) / nullif(1 - exp(min(dd)), 0) AS calmar, 0.0010::DOUBLE * sum(turnover) AS cost"""
 
 
 def valued(d: Data):
-    """Log value and drawdown; returns are winsorised at 3 % a day, as the prices of the stand-in bars mix parts."""
-    x = daily(d).withColumn("r", F.greatest(F.lit(-0.03), F.least(F.lit(0.03), "net")))
+    """Log value and drawdown."""
+    x = daily(d).withColumn("r", F.col("net"))
     x = x.withColumn("lv", F.sum(F.log(1 + F.col("r"))).over(by_set()))
     return x.withColumn("dd", F.col("lv") - F.greatest(F.lit(0.0), F.max("lv").over(by_set())))
 

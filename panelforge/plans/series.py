@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import correlation, normal_cdf, ratio, roll
 from ..operators import detect, stats
 from ..sources.tables import Data
-from .portfolio import WEIGHTS, daily
+from .portfolio import MODES, WEIGHTS, by_mode, daily
 from .registry import query
-from .sql import over
+from .sql import over, solved
 from .sql import roll as sroll
 
 X = WEIGHTS + ", x AS (SELECT set, date, net AS x, row_number() OVER (PARTITION BY set ORDER BY date) AS i, net - avg(net) OVER (PARTITION BY set) AS e FROM dy)"
@@ -60,6 +62,24 @@ def q4(d: Data):
     return stats.deflated_sharpe(daily(d).select("set", F.col("net").alias("x")), "set", benchmark=0.05)
 
 
+PARTS = 8
+HALVES = ", ".join(f"({k}, {b}, {b in half})" for k, half in enumerate(combinations(range(PARTS), PARTS // 2)) for b in range(PARTS))
+
+
+@query("q4_overfitting", "combinations strategies", "pbo mean_logit",
+       MODES + f""", dn AS (SELECT date, (row_number() OVER (ORDER BY date) - 1) * {PARTS} // count(*) OVER () AS block FROM (SELECT DISTINCT date FROM dy)),
+s AS (SELECT set || mode AS strategy, block, count(*) AS n, sum(net) AS s, sum(net * net) AS q FROM dy JOIN dn ON dy.date = dn.date GROUP BY set, mode, block), c(combination, block, chooses) AS (VALUES {HALVES}),
+m AS (SELECT combination, strategy, chooses, round(sum(s) / sum(n) / sqrt(greatest(sum(q) / sum(n) - (sum(s) / sum(n)) * (sum(s) / sum(n)), 1e-18)), 9) AS sharpe FROM s JOIN c ON s.block = c.block GROUP BY combination, strategy, chooses),
+r AS (SELECT *, row_number() OVER (PARTITION BY combination, chooses ORDER BY sharpe DESC, strategy) AS best, row_number() OVER (PARTITION BY combination, chooses ORDER BY sharpe, strategy DESC) AS place, count(*) OVER (PARTITION BY combination, chooses) AS k FROM m),
+l AS (SELECT t.k, ln(t.place / (t.k + 1 - t.place)) AS logit FROM r t JOIN r w ON w.combination = t.combination AND w.strategy = t.strategy WHERE w.chooses AND w.best = 1 AND NOT t.chooses) ;;
+SELECT count(*) AS combinations, max(k) AS strategies, avg(CASE WHEN logit < 0 THEN 1.0 ELSE 0.0 END) AS pbo, avg(logit) AS mean_logit FROM l""", "pred")
+def q4_overfitting(d: Data):
+    """Probability of back-test over-fitting over the three sets in three modes."""
+    x = by_mode(d).select(F.concat("set", "mode").alias("strategy"), "date", F.col("net").alias("x"))
+    logits = stats.overfitting(x, PARTS)
+    return logits.agg(F.count(F.lit(1)).alias("combinations"), F.lit(9).alias("strategies"), F.avg(F.when(F.col("logit") < 0, 1.0).otherwise(0.0)).alias("pbo"), F.avg("logit").alias("mean_logit"))
+
+
 @query("q5_block_bootstrap", "set reps", "mean low high",
        WEIGHTS + """, bx AS (SELECT set, net, (row_number() OVER (PARTITION BY set ORDER BY date) - 1) // 20 AS blk FROM dy), b AS (SELECT set, blk, sum(net) AS s, count(*) AS c FROM bx GROUP BY ALL), bn AS (SELECT set, count(*) AS k FROM b GROUP BY set),
 br AS (SELECT set, k, unnest(range(0, 200)) AS rep FROM bn), bp AS (SELECT set, rep, k, unnest(range(0, k)) AS slot FROM br), bq AS (SELECT set, rep, CAST('0x' || substr(md5(rep || ':' || slot || ':' || set), 1, 8) AS BIGINT) % k AS blk FROM bp),
@@ -74,14 +94,35 @@ def q6(d: Data):
     return stats.variance_inflation(d.bars, ["close", "volume"])
 
 
-@query("q7_granger", "code n", "f",
-       """r AS (SELECT code, date, ln(close) - lag(ln(close)) OVER w AS y, ln(volume + 1) - lag(ln(volume + 1)) OVER w AS x FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)), l AS (SELECT code, y, lag(y) OVER w AS y1, lag(x) OVER w AS x1 FROM r WINDOW w AS (PARTITION BY code ORDER BY date)), k AS (SELECT * FROM l WHERE y IS NOT NULL AND y1 IS NOT NULL AND x1 IS NOT NULL),
-s AS (SELECT code, count(*) AS n, var_pop(y) AS yy, var_pop(y1) AS aa, var_pop(x1) AS bb, covar_pop(y, y1) AS ay, covar_pop(y, x1) AS byy, covar_pop(y1, x1) AS ab FROM k GROUP BY code),
-e AS (SELECT code, n, yy - ay * ay / aa AS r0, yy - (ay * (ay * bb - byy * ab) + byy * (byy * aa - ay * ab)) / (aa * bb - ab * ab) AS r1 FROM s WHERE n > 10 AND aa * bb - ab * ab > 1e-12) ;; SELECT code, n, (r0 - r1) / (r1 / (n - 3)) AS f FROM e""")
+DEEP = 3
+
+
+def _q7() -> str:
+    names = [f"{v}{i}" for v in "yx" for i in range(1, DEEP + 1)]
+    m, w = len(names), "OVER (PARTITION BY code ORDER BY date)"
+    lagged = ", ".join(f"lag({c[0]}, {c[1]}) {w} AS {c}" for c in names)
+    whole = " AND ".join(["y IS NOT NULL", *[f"({c} IS NOT NULL OR lag < {c[1]})" for c in names]])
+    used = ", ".join(f"CASE WHEN lag >= {c[1]} THEN {c} ELSE 0 END AS {c}" for c in names)
+    on = lambda c: f"(lag >= {c[1]} AND ({c[0] == 'y'} OR model = 1))"
+    cell = lambda a, b: f"CASE WHEN {on(a)} AND {on(b)} THEN covar_pop({a}, {b}) ELSE {1.0 if a == b else 0.0} END"
+    rows = ", ".join("[" + ", ".join([*[cell(a, b) for b in names], f"CASE WHEN {on(a)} THEN covar_pop({a}, y) ELSE 0 END"]) + "]" for a in names)
+    left = "yy - " + " - ".join(f"b[{i + 1}] * m[{i + 1}][{m + 1}]" for i in range(m))
+    return f"""r AS (SELECT code, date, ln(close) - lag(ln(close)) OVER w AS y, ln(volume + 1) - lag(ln(volume + 1)) OVER w AS x FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)), l AS (SELECT code, y, {lagged} FROM r),
+u AS (SELECT code, lag, model, y, {used} FROM l, (VALUES {", ".join(f"({i})" for i in range(1, DEEP + 1))}) t(lag), (VALUES (0), (1)) v(model) WHERE {whole}),
+s AS MATERIALIZED (SELECT code, lag, model, count(*) AS n, var_pop(y) AS yy, [{rows}] AS m FROM u GROUP BY code, lag, model HAVING count(*) > 2 * lag + 10), {solved("t", "s", "code, lag, model", m)},
+q AS (SELECT s.code, s.lag, s.model, n, {left} AS rss FROM s JOIN t ON s.code = t.code AND s.lag = t.lag AND s.model = t.model),
+f AS (SELECT a.code, a.lag, a.n, greatest(0, (a.rss - b.rss) / a.lag / (b.rss / (a.n - 2 * a.lag - 1))) AS f, a.n - 2 * a.lag - 1 AS d FROM q a JOIN q b ON a.code = b.code AND a.lag = b.lag AND a.model = 0 AND b.model = 1),
+k AS (SELECT *, lag * f / (lag * f + d) AS z, lag / 2.0::DOUBLE AS h, d / 2.0::DOUBLE AS g FROM f),
+e AS (SELECT code, lag, n, f, z, h, g, 0 AS i, 1.0::DOUBLE AS term, 1.0::DOUBLE AS total FROM k UNION ALL SELECT code, lag, n, f, z, h, g, i + 1, term * (h + g + i) / (h + 1 + i) * z, total + term * (h + g + i) / (h + 1 + i) * z FROM e WHERE i < 2000 AND term > 1e-17 * total),
+o AS (SELECT code, lag, n, f, CASE WHEN z > 0 THEN 1 - exp(h * ln(z) + g * ln(1 - z) - ln(h) - lgamma(h) - lgamma(g) + lgamma(h + g)) * max(total) ELSE 1 END AS p FROM e GROUP BY code, lag, n, f, z, h, g) ;;
+SELECT code, lag, n, f, greatest(0, p) AS p FROM o"""
+
+
+@query("q7_granger", "code lag n", "f p", _q7())
 def q7(d: Data):
     w = Window.partitionBy("code").orderBy("date")
     r = d.bars.select("code", "date", (F.log("close") - F.lag(F.log("close")).over(w)).alias("y"), (F.log(F.col("volume") + 1) - F.lag(F.log(F.col("volume") + 1)).over(w)).alias("x"))
-    return stats.granger(r.select("code", "y", F.lag("y").over(w).alias("y1"), F.lag("x").over(w).alias("x1")).dropna(), "code")
+    return stats.granger(r.withColumns({f"{v}{i}": F.lag(v, i).over(w) for v in "yx" for i in range(1, DEEP + 1)}), "code", DEEP)
 
 
 EV = "e AS (SELECT id, eid, ts, value AS x FROM ev)"
@@ -128,16 +169,50 @@ def n4(d: Data):
     return detect.ranges(observations(d), 0.7, 2)
 
 
-@query("n5_range_evaluation", "id predicted actual hits", "precision recall",
-       RANGES + """, lb AS (SELECT id, min(i) AS a, max(i) AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY id ORDER BY ts, eid) AS island FROM f WHERE value >= 0.8 * (SELECT max(value) FROM ev)) GROUP BY id, island),
+#: The true ranges: two or more events of these types in a row.
+TYPES = ("error", "signup")
+LABELS = f", lb AS MATERIALIZED (SELECT id, min(i) AS a, max(i) AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY id ORDER BY i) AS island FROM (SELECT id, type, row_number() OVER (PARTITION BY id ORDER BY ts, eid) AS i FROM ev) WHERE type IN {TYPES}) GROUP BY id, island HAVING count(*) >= 2)"
+
+
+def true_ranges(d: Data):
+    o = detect.numbered(d.ev.select("id", "eid", "ts", "type", F.col("value").alias("x"))).where(F.col("type").isin(*TYPES))
+    return detect.runs_of(o, 2).select("id", "a", "b")
+
+
+STEPS = 19
+
+
+def _n5() -> str:
+    common = "least(p.b, l.b) - greatest(p.a, l.a) + 1"
+    part = f"({common}) / (p.b - p.a + l.b - l.a + 2 - ({common}))::DOUBLE"
+    return RANGES + LABELS + f""", pq AS MATERIALIZED (SELECT id, a, b, top / (SELECT max(top) FROM rg) AS score, row_number() OVER (PARTITION BY id ORDER BY top DESC, a, b) AS k FROM rg),
+rec AS (SELECT DISTINCT id, kind, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::DOUBLE AS score, false AS hit FROM pq, (VALUES ('overlap'), ('iou')) t(kind)
+  UNION ALL SELECT id, kind, k, CASE WHEN coalesce(best.v >= least_, false) THEN list_append(used, -best.n) ELSE used END, score, coalesce(best.v >= least_, false) FROM (
+    SELECT s.id, s.kind, p.k, s.used, p.score, CASE WHEN s.kind = 'iou' THEN {detect.IOU} ELSE 1 END AS least_, max({{'v': CASE WHEN s.kind = 'iou' THEN {part} ELSE {common} END, 'n': -l.a}}) FILTER (l.a IS NOT NULL) AS best
+    FROM rec s JOIN pq p ON p.id = s.id AND p.k = s.k + 1 LEFT JOIN lb l ON l.id = s.id AND l.a <= p.b AND p.a <= l.b AND NOT list_contains(s.used, l.a) GROUP BY s.id, s.kind, p.k, s.used, p.score)),
+th AS (SELECT unnest(range(1, {STEPS + 1})) AS step), tt AS (SELECT step, 0.95::DOUBLE - (step - 1) * {0.9 / (STEPS - 1)!r}::DOUBLE AS threshold FROM th),
+c AS (SELECT kind, step, threshold, count(*) FILTER (round(score - threshold, 9) >= 0) AS selected, count(*) FILTER (round(score - threshold, 9) >= 0 AND hit) AS matched, (SELECT count(*) FROM lb) AS labels FROM rec, tt WHERE k > 0 GROUP BY kind, step, threshold),
+r AS (SELECT *, CASE WHEN selected > 0 THEN matched / selected::DOUBLE ELSE 1 END AS precision, coalesce(matched / nullif(labels, 0)::DOUBLE, 0) AS recall FROM c),
+pw AS (SELECT *, (recall - coalesce(lag(recall) OVER w, 0)) * (precision + coalesce(lag(precision) OVER w, precision)) / 2 AS piece FROM r WINDOW w AS (PARTITION BY kind ORDER BY step)) ;;
+SELECT *, sum(piece) OVER (PARTITION BY kind) AS area FROM pw"""
+
+
+@query("n5_range_evaluation", "kind step selected matched labels", "threshold precision recall area", _n5(), "ev")
+def n5(d: Data):
+    """Precision and recall of score ranges by threshold; scores are shares of the largest."""
+    found = detect.ranges(observations(d), 0.7, 2)
+    top = found.agg(F.max("top").alias("_most"))  # one row
+    return detect.sweep(found.join(F.broadcast(top)).select("id", "a", "b", (F.col("top") / F.col("_most")).alias("score")), true_ranges(d), STEPS)
+
+
+@query("n5_overlaps", "id predicted actual hits", "precision recall",
+       RANGES + LABELS + """,
 h AS (SELECT rg.id, rg.a FROM rg SEMI JOIN lb ON rg.id = lb.id AND rg.a <= lb.b AND lb.a <= rg.b), hl AS (SELECT lb.id, lb.a FROM lb SEMI JOIN rg ON rg.id = lb.id AND rg.a <= lb.b AND lb.a <= rg.b),
 c AS (SELECT id, count(*) AS predicted FROM rg GROUP BY id), k AS (SELECT id, count(*) AS actual FROM lb GROUP BY id), x AS (SELECT id, count(*) AS hits FROM h GROUP BY id), y AS (SELECT id, count(*) AS found FROM hl GROUP BY id) ;;
 SELECT c.id, predicted, coalesce(actual, 0) AS actual, coalesce(hits, 0) AS hits, coalesce(hits, 0) / predicted::DOUBLE AS precision, coalesce(found, 0) / nullif(actual, 0)::DOUBLE AS recall FROM c LEFT JOIN k ON c.id = k.id LEFT JOIN x ON c.id = x.id LEFT JOIN y ON c.id = y.id""", "ev")
-def n5(d: Data):
-    o = observations(d)
-    top = o.agg(F.max("x").alias("top"))
-    labels = detect.runs_of(detect.numbered(o).join(F.broadcast(top)).where(F.col("x") >= 0.8 * F.col("top")), 1).select("id", "a", "b")
-    return detect.evaluate(detect.ranges(o, 0.7, 2).select("id", "a", "b"), labels)
+def n5_overlaps(d: Data):
+    """Ranges of each id that overlap a true one."""
+    return detect.evaluate(detect.ranges(observations(d), 0.7, 2).select("id", "a", "b"), true_ranges(d))
 
 
 @query("n6_label_ranges", "id start stop", "",
@@ -158,7 +233,7 @@ def n7(d: Data):
 @query("n7_platt", "n", "slope intercept", None, "")
 def n7b(d: Data):
     j = d.table("documents").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("score")).join(d.table("labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
-    return detect.platt(j, steps=8)
+    return detect.platt(j, steps=25)
 
 
 @query("n8_champion_challenger", "model n promoted", "mae rmse mape",

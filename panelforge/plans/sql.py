@@ -20,14 +20,13 @@ FRAMES = {
   SELECT code, close, before, idx, unnest(range(idx, upto + 1)) AS i FROM (
     SELECT code, close, lag(close) OVER w AS before, idx, coalesce(lead(idx) OVER w - 1, (SELECT max(idx) FROM calendar)) AS upto
     FROM bars JOIN calendar USING (date) WINDOW w AS (PARTITION BY code ORDER BY date)) WHERE before IS NOT NULL) h JOIN calendar ON calendar.idx = h.i""", ("bars", "calendar")),
-    "levels": ("""SELECT code, date, level, lead(level) OVER (PARTITION BY code ORDER BY date) / level - 1 AS step FROM (
-  SELECT code, date, sum(turnover) OVER w / sum(volume) OVER w AS level FROM bars WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))""", ("bars",)),
     "snapshots": ("""SELECT (o_custkey - 1) % (SELECT count(*) FROM supplier) + 1 AS code, CAST(o_orderdate AS DATE) AS published, o_orderkey AS rec,
   o_totalprice AS amount, o_orderstatus AS status, o_orderpriority AS priority FROM orders""", ()),
     "ev": ("SELECT event_id AS eid, user_id AS id, ts, event_type AS type, value, props FROM events", ()),
-    "pred": ("""SELECT code, date, sector, market, close, volume, turnover, label, ret, set,
+    "pred": ("""SELECT code, date, sector, market, close, volume, turnover, label, ret, set, level, step,
   ((code * 37 + date_diff('day', DATE '1995-01-01', date) * 11 * set) % 101) / 101.0::DOUBLE + 0.1::DOUBLE * coalesce(sign(label), 0) AS score
-  FROM (SELECT *, lead(close) OVER w / close - 1 AS label, close / lag(close) OVER w - 1 AS ret FROM panel WINDOW w AS (PARTITION BY code ORDER BY date)), (VALUES (1), (2), (3)) s(set)
+  FROM (SELECT *, lead(close) OVER w / close - 1 AS label, close / lag(close) OVER w - 1 AS ret, lead(level) OVER w / level - 1 AS step
+  FROM (SELECT *, CASE WHEN count(*) OVER r = 60 THEN sum(turnover) OVER r / sum(volume) OVER r END AS level FROM panel WINDOW r AS (PARTITION BY code ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WINDOW w AS (PARTITION BY code ORDER BY date)), (VALUES (1), (2), (3)) s(set)
   WHERE label IS NOT NULL""", ("panel",)),
 }
 
@@ -111,3 +110,9 @@ def smooth(source: str, specs: dict[str, tuple[str, float]], name: str = "sm") -
         f"{name}_r AS (SELECT code, rn, {start} FROM {name}_n WHERE rn = 1 UNION ALL SELECT s.code, s.rn, {step} FROM {name}_r r JOIN {name}_n s ON s.code = r.code AND s.rn = r.rn + 1), "
         f"{name} AS (SELECT n.* EXCLUDE (rn), r.* EXCLUDE (code, rn), n.rn AS rn FROM {name}_n n JOIN {name}_r r ON n.code = r.code AND n.rn = r.rn)"
     )
+
+
+def solved(name: str, source: str, keys: str, n: int) -> str:
+    """Recursive frames that end in name: the rows of source(keys, m), m being n rows of n + 1 numbers, with the solution b of that system of equations."""
+    step = "list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END)"
+    return f"{name}_g AS (SELECT {keys}, 1 AS k, m FROM {source} UNION ALL SELECT {keys}, k + 1, {step} FROM {name}_g WHERE k <= {n}), {name} AS (SELECT {keys}, list_transform(m, lambda r: r[{n + 1}]) AS b FROM {name}_g WHERE k = {n + 1})"

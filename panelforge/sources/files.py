@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a table in the shared folder."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan(spark: SparkSession, paths: list[str], where: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Filter and column list reach the Parquet reader."""
     df = spark.read.parquet(*paths)

@@ -73,14 +73,6 @@ class Data:
         held = steps.join(F.broadcast(last)).select("code", "idx", "_r", F.explode(F.sequence("idx", F.coalesce(F.col("_next") - 1, "_last"))).alias("_i"))  # _last is one row
         return held.join(calendar, "_i").select("code", "date", F.when(F.col("_i") == F.col("idx"), F.col("_r")).otherwise(0.0).alias("r"))
 
-    @property
-    def levels(self) -> DataFrame:
-        """(code, date, level, step): the price of the turnover-weighted index of a code over its last 60 bars, and its return to the next bar."""
-        w = Window.partitionBy("code").orderBy("date")
-        recent = w.rowsBetween(-59, 0)
-        levels = self.bars.select("code", "date", (F.sum("turnover").over(recent) / F.sum("volume").over(recent)).alias("level"))
-        return levels.withColumn("step", F.lead("level").over(w) / F.col("level") - 1)
-
     @property
     def snapshots(self) -> DataFrame:
         """Published records of codes (the code of a customer is mapped onto the codes of the bars)."""
@@ -100,13 +92,19 @@ class Data:
 
     @property
     def pred(self) -> DataFrame:
-        """Predictions of three sets, a deterministic expression of the bars, and the next return as label."""
+        """Predictions of three sets, a deterministic expression of the bars, the next return as label, and that of the code's index as step.
+
+        The index is the mean price of all that was traded in the last 60 bars, from the 60th bar on: bars mix parts of very different prices.
+        """
         w = Window.partitionBy("code").orderBy("date")
+        recent = w.rowsBetween(-59, 0)
+        level = F.when(F.count(F.lit(1)).over(recent) == 60, F.sum("turnover").over(recent) / F.sum("volume").over(recent))
         base = self.panel.select(
             "code", "date", "sector", "market", "close", "volume", "turnover",
-            (F.lead("close").over(w) / F.col("close") - 1).alias("label"),
+            (F.lead("close").over(w) / F.col("close") - 1).alias("label"), level.alias("level"),
             (F.col("close") / F.lag("close").over(w) - 1).alias("ret"),
         )
+        base = base.withColumn("step", F.lead("level").over(w) / F.col("level") - 1)
         sets = base.where("label is not null").withColumn("set", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
         score = (F.col("code") * 37 + F.datediff("date", F.lit("1995-01-01")) * 11 * F.col("set")) % 101 / 101.0 + F.lit(0.1) * F.coalesce(F.signum("label"), F.lit(0.0))
         return sets.withColumn("score", score)
