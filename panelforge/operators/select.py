@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import by_date, correlation
+from ..sources.files import stored
 
 
 def ranked(df: DataFrame, score: str) -> DataFrame:
@@ -61,6 +62,33 @@ def global_rank(df: DataFrame, column: str, name: str, slices: int = 256) -> Dat
     return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], by: str | None = None, slices: int = 64) -> DataFrame:
+    """(by, q): the exact quantiles of value at shares, with linear interpolation, by group or of all rows.
+
+    No task holds the values of a group: distinct values are counted, cut into
+    slices at the marks of a mergeable sketch, and slices are counted; only those in
+    which a quantile lies are put in order. Groups without values have no row.
+    """
+    key = F.lit(0) if by is None else F.col(by)
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(key.alias("_by"), F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    marks = F.percentile_approx("_v", [i / slices for i in range(1, slices)], F.lit(20 * slices))
+    cuts = counts.groupBy(F.col("_by").alias("_of")).agg(F.array_distinct(marks).alias("_cuts"), F.sum("_n").alias("_all"))
+    sliced = counts.join(cuts, F.col("_by").eqNullSafe(F.col("_of"))).select("_by", "_v", "_n", "_all", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_slice"))
+    sums = sliced.groupBy("_by", "_slice").agg(F.sum("_n").alias("_m"), F.max("_all").alias("_all"))
+    upto = F.sum("_m").over(Window.partitionBy("_by").orderBy("_slice"))
+    at = [F.lit(q) * (F.col("_all") - 1) for q in shares]
+    # the two values around each quantile, counted from 0, and their weights
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.floor(p) + up).alias("k"), (p - F.floor(p) if up else 1 - (p - F.floor(p))).alias("w")) for i, p in enumerate(at) for up in (0, 1)])
+    inside = sums.withColumn("_below", upto - F.col("_m"))
+    inside = inside.select("_by", "_slice", "_below", F.filter(wanted, lambda t: (t["w"] > 0) & (t["k"] >= F.col("_below")) & (t["k"] < F.col("_below") + F.col("_m"))).alias("_wanted")).where(F.size("_wanted") > 0)
+    chosen = sliced.alias("s").join(inside.alias("t"), F.col("s._by").eqNullSafe(F.col("t._by")) & (F.col("s._slice") == F.col("t._slice"))).select("s._by", "s._slice", "_v", "_n", "_below", "_wanted")
+    running = chosen.withColumn("_upto", F.col("_below") + F.sum("_n").over(Window.partitionBy("_by", "_slice").orderBy("_v")))
+    hits = running.select("_by", "_v", F.explode(F.filter("_wanted", lambda t: (t["k"] < F.col("_upto")) & (t["k"] >= F.col("_upto") - F.col("_n")))).alias("t"))
+    each = hits.groupBy("_by", "t.i").agg(F.sum(F.col("t.w") * F.col("_v")).alias("_x"))
+    out = each.groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("i", "_x"))).alias("_q")).select("_by", F.col("_q._x").alias("q"))
+    return out.select("q") if by is None else out.withColumnRenamed("_by", by)
+
+
 def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Spearman correlation of every pair of columns, in one aggregate over the ranks."""
     ranks = df.select(*columns)

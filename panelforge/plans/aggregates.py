@@ -48,7 +48,8 @@ def a5(d: Data):
 
 @query("a6_quantiles", "sector", "med q10 q90", "SELECT sector, median(close) AS med, quantile_cont(close, 0.1) AS q10, quantile_cont(close, 0.9) AS q90 FROM panel GROUP BY sector", "panel")
 def a6(d: Data):
-    return d.panel.groupBy("sector").agg(F.median("close").alias("med"), F.percentile("close", 0.1).alias("q10"), F.percentile("close", 0.9).alias("q90"))
+    q = select.quantiles(d.panel, "close", [0.5, 0.1, 0.9], "sector")
+    return q.select("sector", F.col("q")[0].alias("med"), F.col("q")[1].alias("q10"), F.col("q")[2].alias("q90"))
 
 
 @query("a7_correlation", "sector", "c", "SELECT sector, corr(close, volume) AS c FROM panel GROUP BY sector", "panel")
@@ -80,8 +81,10 @@ PROFILED = ("close", "volume", "turnover")
 @query("a10_profile", "name rows nulls", "mean std p01 p50 p99",
        " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS nulls, avg({c}) AS mean, stddev_samp({c}) AS std, quantile_cont({c}, 0.01) AS p01, median({c}) AS p50, quantile_cont({c}, 0.99) AS p99 FROM bars" for c in PROFILED))
 def a10(d: Data):
-    stats = [F.struct(F.lit(c).alias("name"), F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count(c)).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.percentile(c, 0.01).alias("p01"), F.median(c).alias("p50"), F.percentile(c, 0.99).alias("p99")).alias(c) for c in PROFILED]
-    return d.bars.agg(*stats).select(F.explode(F.array(*PROFILED)).alias("s")).select("s.*")
+    long = d.bars.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in PROFILED])).alias("s")).select("s.*")
+    g = long.groupBy("name").agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count("x")).alias("nulls"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+    q = select.quantiles(long, "x", [0.01, 0.5, 0.99], "name")
+    return g.join(q, "name", "left").select("*", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p99"))
 
 
 @query("t1_sorted_head", "code date", "close", "SELECT code, date, close FROM bars WHERE high > 1.5 * low ORDER BY code, date LIMIT 500")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import by_date, by_sector, EPS, average_rank, clip, frame, lag, lead, lroll, rank01, ratio, roll
+from ..operators import select
 from ..sources.tables import Data
 from .registry import query
 from .sql import average_rank as saverage_rank
@@ -71,7 +72,7 @@ def x6(d: Data):
     return p.join(s, "date", "left").join(F.broadcast(g)).select("code", "date", clip(z, -5.0, 5.0).alias("z"))  # g is one row
 
 
-@query("x7_winsorise_sigma", "code date", "w", P.replace("p AS (", "p AS MATERIALIZED (", 1) + f", g AS (SELECT avg(r) AS m, stddev_samp(r) AS s FROM p WHERE date < {CUT}) ;; SELECT code, date, CASE WHEN r IS NOT NULL THEN greatest(m - 2 * s, least(m + 2 * s, r)) END AS w FROM p, g", "panel")
+@query("x7_winsorise_sigma", "code date", "w", P.replace("p AS (", "p AS MATERIALIZED (", 1) + f", g AS (SELECT avg(r) AS m, stddev_samp(r) AS s FROM p WHERE date < {CUT}) ;; SELECT code, date, CASE WHEN r IS NOT NULL THEN greatest((SELECT m - 2 * s FROM g), least((SELECT m + 2 * s FROM g), r)) END AS w FROM p", "panel")
 def x7(d: Data):
     p = panel(d)
     g = p.where(_train()).agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
@@ -79,11 +80,12 @@ def x7(d: Data):
 
 
 @query("x8_quantile_clip", "code date", "clipped anomaly",
-       P.replace("p AS (", "p AS MATERIALIZED (", 1) + ", g AS (SELECT quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi, avg(r) AS m, stddev_samp(r) AS s FROM p) ;; SELECT code, date, CASE WHEN r IS NOT NULL THEN greatest(lo, least(hi, r)) END AS clipped, abs((r - m) / (s + 1e-8)) AS anomaly FROM p, g", "panel")
+       P.replace("p AS (", "p AS MATERIALIZED (", 1) + ", g AS (SELECT quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi, avg(r) AS m, stddev_samp(r) AS s FROM p) ;; SELECT code, date, CASE WHEN r IS NOT NULL THEN greatest((SELECT lo FROM g), least((SELECT hi FROM g), r)) END AS clipped, abs((r - (SELECT m FROM g)) / ((SELECT s FROM g) + 1e-8)) AS anomaly FROM p", "panel")
 def x8(d: Data):
     p = panel(d)
-    g = p.agg(F.percentile("r", F.array(F.lit(0.01), F.lit(0.99))).alias("q"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
-    return p.join(F.broadcast(g)).select("code", "date", F.when(F.col("r").isNotNull(), F.greatest(F.col("q")[0], F.least(F.col("q")[1], F.col("r")))).alias("clipped"), F.abs((F.col("r") - F.col("m")) / (F.col("s") + 1e-8)).alias("anomaly"))
+    g = p.agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
+    q = select.quantiles(p, "r", [0.01, 0.99])  # one row, as g
+    return p.join(F.broadcast(g)).join(F.broadcast(q)).select("code", "date", F.when(F.col("r").isNotNull(), F.greatest(F.col("q")[0], F.least(F.col("q")[1], F.col("r")))).alias("clipped"), F.abs((F.col("r") - F.col("m")) / (F.col("s") + 1e-8)).alias("anomaly"))
 
 
 @query("x9_entity_winsorise", "code date", "w",
@@ -99,8 +101,8 @@ def x9(d: Data):
 def x10(d: Data):
     p = panel(d)
     sample = p.where("code % 2 = 0")
-    m = sample.agg(F.median("r").alias("med"))
-    a = sample.join(F.broadcast(m)).agg(F.median(F.abs(F.col("r") - F.col("med"))).alias("mad"))
+    m = select.quantiles(sample, "r", [0.5]).select(F.col("q")[0].alias("med"))  # one row, as a
+    a = select.quantiles(sample.join(F.broadcast(m)).select(F.abs(F.col("r") - F.col("med")).alias("d")), "d", [0.5]).select(F.col("q")[0].alias("mad"))
     return p.join(F.broadcast(m)).join(F.broadcast(a)).select("code", "date", clip((F.col("r") - F.col("med")) / (1.4826 * F.col("mad") + 1e-8), -5.0, 5.0).alias("z"))
 
 

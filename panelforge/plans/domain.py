@@ -462,7 +462,7 @@ def d37(d: Data):
        CHAIN + ", q AS (SELECT quantile_cont(oi, 0.9) AS cut FROM oc) ;; SELECT date, sum(iv * oi) FILTER (is_put) / sum(oi) FILTER (is_put) AS put_iv, sum(iv * oi) FILTER (NOT is_put) / sum(oi) FILTER (NOT is_put) AS call_iv, coalesce(sum(oi) FILTER (is_put AND oi >= cut), 0) / sum(oi) AS large_put FROM oc, q GROUP BY date", "trades")
 def d38(d: Data):
     o = chain(d)
-    q = o.agg(F.percentile("oi", 0.9).alias("cut"))
+    q = select.quantiles(o, "oi", [0.9]).select(F.col("q")[0].alias("cut"))  # one row
     put = F.col("is_put")
     side = lambda c: ratio(F.sum(F.when(c, F.col("iv") * F.col("oi"))), F.sum(F.when(c, F.col("oi"))))
     return o.join(F.broadcast(q)).groupBy("date").agg(side(put).alias("put_iv"), side(~put).alias("call_iv"), (F.coalesce(F.sum(F.when(put & (F.col("oi") >= F.col("cut")), F.col("oi"))), F.lit(0.0)) / F.sum("oi")).alias("large_put"))

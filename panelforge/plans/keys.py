@@ -193,5 +193,5 @@ def k24(d: Data):
     g = d.bars.select("code", "date", F.when((F.col("code") + F.dayofmonth("date")) % 3 != 0, F.col("close")).alias("v"))
     before, after = F.last("v", ignorenulls=True).over(frame(Window.unboundedPreceding, 0)), F.first("v", ignorenulls=True).over(frame(0, Window.unboundedFollowing))
     f = g.select("code", "date", F.coalesce(before, after).alias("w"))
-    q = f.agg(F.percentile("w", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    q = select.quantiles(f, "w", [0.01, 0.99])  # one row
     return f.join(F.broadcast(q)).select("code", "date", F.when(F.col("w").isNotNull(), F.greatest(F.col("q")[0], F.least(F.col("q")[1], F.col("w")))).alias("x"))

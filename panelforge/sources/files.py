@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
 
 #: Texts that stand for missing values.
 MISSING = ("", "-", "--", "---")
@@ -36,14 +39,24 @@ def scan(spark: SparkSession, paths: list[str], where: str | None = None, column
     return df.select(*columns) if columns else df
 
 
+#: Fields of quotes, and what their records name them; volume and turnover are counts.
+FIELDS = {"open": "Open", "high": "High", "low": "Low", "close": "Close", "volume": "Volume", "turnover": "TurnoverValue"}
+
+
 def parse_quotes(raw: DataFrame) -> DataFrame:
-    """Typed quotes (lower-case names, fixed order) from records of texts; signs for missing values become null."""
+    """Typed quotes (lower-case names, fixed order) from records of texts: of each field the adjusted value, or the raw one where that is missing.
+
+    Signs for missing values and texts that are no numbers become null; columns that the records lack are null, too.
+    """
 
     def number(name: str, kind: str):
+        if name not in raw.columns:
+            return F.lit(None).cast(kind)
         text = F.trim(F.col(name))
         return F.when(~text.isin(*MISSING), text).try_cast(kind)
 
-    return raw.select(number("Code", "long").alias("code"), F.to_date(F.try_to_timestamp("Date", F.lit("yyyy-MM-dd"))).alias("date"), *[number(c, "double").alias(c.lower()) for c in ("Open", "Close", "Volume")])
+    fields = [F.coalesce(number(f"Adjustment{c}", "double"), number(c, "double")).alias(name) for name, c in FIELDS.items()]
+    return raw.select(number("Code", "long").alias("code"), F.to_date(F.try_to_timestamp("Date", F.lit("yyyy-MM-dd"))).alias("date"), *fields, number("AdjustmentFactor", "double").alias("factor"))
 
 
 def read_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -72,22 +85,75 @@ def write_panel(df: DataFrame, name: str) -> str:
     return path
 
 
-def metadata(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.lit(len(df.columns)).alias("columns"))
+def fingerprint(schema: StructType) -> str:
+    """A hash of names and types in their order."""
+    return hashlib.md5(",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema).encode()).hexdigest()
 
 
-def append_months(df: DataFrame, name: str) -> str:
-    """Shards by month; a month that comes again replaces its shard only."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    sharded = df.withColumn("yyyymm", F.date_format("date", "yyyyMM").cast("int"))
-    sharded.repartition("yyyymm").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("yyyymm").parquet(path)
-    return path
+def checksum(df: DataFrame) -> Column:
+    """An aggregate over all columns that does not depend on the order of rows; decimal numbers count to six places."""
+
+    def text(f: StructField) -> Column:
+        c = F.col(f.name)
+        if isinstance(f.dataType, (FloatType, DoubleType)):
+            c = c.cast("decimal(38,6)")
+        return F.coalesce(c.cast("string"), F.lit("-"))
+
+    row = F.substring(F.md5(F.concat_ws(":", *[text(f) for f in df.schema])), 1, 13)
+    return F.sum(F.conv(row, 16, 10).cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
+def metadata(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.lit(len(df.columns)).alias("columns"), F.lit(fingerprint(df.schema)).alias("schema"))
+
+
+def _index(shards: DataFrame) -> DataFrame:
+    """(yyyymm, rows, first, last, checksum, schema) of every shard."""
+    own = shards.drop("yyyymm")
+    return shards.groupBy("yyyymm").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"), checksum(own).alias("checksum")).withColumn("schema", F.lit(fingerprint(own.schema)))
+
+
+def append_months(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Add df to the shards by month below path, and their rows, dates, checksum and schema to the index beside them.
+
+    Of equal keys the row of df stays. A month whose shard has another schema is
+    written anew. Shards of other months are not touched.
+    """
+    spark = df.sparkSession
+    new = df.withColumn("yyyymm", F.date_format("date", "yyyyMM").cast("int"))
+    index = read_index(spark, path)
+    if index is not None:
+        months = new.select("yyyymm").distinct()
+        alike = index.where(F.col("schema") == fingerprint(df.schema)).join(months, "yyyymm", "left_semi").select("yyyymm")
+        kept = stored(alike)
+        if not kept.isEmpty():
+            old = spark.read.schema(new.schema).parquet(f"{path}/shards").join(kept, "yyyymm", "left_semi")
+            new = upsert(old.select(new.columns), new, keys)
+    whole = stored(new.select(*df.columns, "yyyymm"))
+    dynamic = lambda x: x.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("yyyymm")
+    dynamic(whole.repartition("yyyymm")).parquet(f"{path}/shards")
+    dynamic(_index(whole)).parquet(f"{path}/index")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("rows long, first date, last date, checksum decimal(38,0), schema string, yyyymm int").parquet(f"{path}/index")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def collect_months(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
-    """Rows of a date window: other months are never opened."""
+    """Rows of a date window: shards of other months are never opened, and those read are checked against the index first."""
     months = F.col("yyyymm").between(int(start[:7].replace("-", "")), int(end[:7].replace("-", "")))
-    return spark.read.parquet(path).where(months & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).drop("yyyymm")
+    shards = spark.read.parquet(f"{path}/shards").where(months)
+    index = read_index(spark, path).where(months)
+    names = ["yyyymm", "rows", "checksum", "schema"]
+    wrong = index.select(*names).exceptAll(_index(shards).select(*names))
+    if bad := [r["yyyymm"] for r in wrong.select("yyyymm").distinct().limit(12).collect()]:
+        raise ValueError(f"shards differ from their index: {sorted(bad)}")
+    return shards.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).drop("yyyymm")
 
 
 def extract_range(df: DataFrame, start: str, end: str, name: str) -> str:
