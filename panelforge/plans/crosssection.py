@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import by_date, by_sector, EPS, average_rank, clip, frame, lag, lead, lroll, rank01, ratio, roll
-from ..operators import select
+from ..functions.kernels import by_date, by_sector, EPS, average_rank, clip, frame, lag, lead, lroll, rank01, ratio, roll, zscore
+from ..operators import recursive, select
 from ..sources.tables import Data
+from .indicators import MOVES, adjusted_mean, with_moves
 from .registry import query
 from .sql import average_rank as saverage_rank
 from .sql import clip as sclip
@@ -15,14 +16,15 @@ from .sql import lag as slag
 from .sql import over
 from .sql import rank01 as srank01
 from .sql import roll as sroll
+from .sql import z as sz
 from .windows import WITH_MARKET, with_market
 
-P = "p AS (SELECT *, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS r FROM panel)"
+P = "p AS (SELECT *, close / lag(close) OVER w - 1 AS r, close / lag(close, 5) OVER w - 1 AS r_5 FROM panel WINDOW w AS (PARTITION BY code ORDER BY date))"
 CUT = "DATE '1999-01-01'"
 
 
 def panel(d: Data):
-    return d.panel.withColumn("r", F.col("close") / lag("close") - 1)
+    return d.panel.withColumns({"r": F.col("close") / lag("close") - 1, "r_5": F.col("close") / lag("close", 5) - 1})
 
 
 def _train():
@@ -132,7 +134,7 @@ def x12(d: Data):
     return m.select("code", "date", "peer_mean", F.when((F.col("n") > 1) & F.col("r").isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))).alias("peer_std"), (F.col("r") - F.col("peer_mean")).alias("diff"), ratio("r", "peer_mean").alias("ratio"))
 
 
-SECTOR = P + ", g AS (SELECT date, sector, median(r) AS s1, count(*) AS members, avg(r) AS eq, sum(r * turnover) / nullif(sum(CASE WHEN r IS NOT NULL THEN turnover END), 0) AS cw FROM p GROUP BY date, sector)"
+SECTOR = P + ", g AS (SELECT date, sector, median(r) AS s1, median(r_5) AS s5, count(*) AS members, avg(r) AS eq, sum(r * turnover) / nullif(sum(CASE WHEN r IS NOT NULL THEN turnover END), 0) AS cw FROM p GROUP BY date, sector)"
 
 
 def by_sector_series():
@@ -140,37 +142,59 @@ def by_sector_series():
 
 
 def sectors(d: Data):
-    """One row for each date and sector: median, mean and turnover-weighted return, and the number of members."""
-    return panel(d).groupBy("date", "sector").agg(F.median("r").alias("s1"), F.count(F.lit(1)).alias("members"), F.avg("r").alias("eq"), ratio(F.sum(F.col("r") * F.col("turnover")), F.sum(F.when(F.col("r").isNotNull(), F.col("turnover")))).alias("cw"))
+    """One row for each date and sector: median returns of one and five rows, mean and turnover-weighted return, and the number of members."""
+    return panel(d).groupBy("date", "sector").agg(F.median("r").alias("s1"), F.median("r_5").alias("s5"), F.count(F.lit(1)).alias("members"), F.avg("r").alias("eq"), ratio(F.sum(F.col("r") * F.col("turnover")), F.sum(F.when(F.col("r").isNotNull(), F.col("turnover")))).alias("cw"))
 
 
-@query("x13_sector_aggregates", "code date members small", "s1 s_mom s_vol s_z rel",
-       SECTOR + f""", h AS (SELECT *, {sroll('sum', 's1', 20, 10, by='sector')} AS s_mom, {sroll('stddev_samp', 's1', 20, 10, by='sector')} AS s_vol, (s1 - ({sroll('avg', 's1', 252, 60, by='sector')})) / (({sroll('stddev_samp', 's1', 252, 60, by='sector')}) + 1e-8) AS s_z FROM g) ;;
-SELECT code, p.date, members, members < 3 AS small, s1, s_mom, s_vol, s_z, r - s1 AS rel FROM p JOIN h ON p.date = h.date AND p.sector = h.sector""", "panel")
+@query("x13_sector_aggregates", "code date members small", "s1 s5 s_mom s_vol s_z vol_z ema_5 ema_20 gap rel rel_5",
+       SECTOR + ", sk AS (SELECT sector AS code, date, s1, s5, members FROM g), " + adjusted_mean("sk", "ema_5", "s1", 2 / 6, "e1") + ", " + adjusted_mean("e1", "ema_20", "s1", 2 / 21, "e2")
+       + f""", v AS (SELECT *, {sroll('sum', 's1', 20, 10)} AS s_mom, sqrt(252) * ({sroll('stddev_samp', 's1', 20, 10)}) AS s_vol, {sz('s1', 252, 60)} AS s_z FROM e2), h AS (SELECT *, {sz('s_vol', 252, 60)} AS vol_z, (ema_5 - ema_20) / (abs(ema_20) + 1e-12) AS gap FROM v) ;;
+SELECT p.code, p.date, members, members < 3 AS small, s1, s5, s_mom, s_vol, s_z, vol_z, ema_5, ema_20, gap, r - s1 AS rel, r_5 - s5 AS rel_5 FROM p JOIN h ON p.date = h.date AND p.sector = h.code""", "panel")
 def x13(d: Data):
-    h = sectors(d).withColumns({
-        "s_mom": roll(F.sum, "s1", 20, 10, by_sector_series()), "s_vol": roll(F.stddev_samp, "s1", 20, 10, by_sector_series()),
-        "s_z": (F.col("s1") - roll(F.avg, "s1", 252, 60, by_sector_series())) / (roll(F.stddev_samp, "s1", 252, 60, by_sector_series()) + 1e-8),
-    })
-    return panel(d).join(h, ["date", "sector"]).withColumns({"small": F.col("members") < 3, "rel": F.col("r") - F.col("s1")})
-
-
-@query("x14_sector_beta", "code date", "beta z",
-       SECTOR + f""", j AS (SELECT p.*, eq FROM p JOIN g ON p.date = g.date AND p.sector = g.sector), b AS (SELECT *, (({sroll('avg', 'r * eq', 60, 30)}) - ({sroll('avg', 'r', 60, 30)}) * ({sroll('avg', 'eq', 60, 30)})) / (({sroll('avg', 'eq * eq', 60, 30)}) - ({sroll('avg', 'eq', 60, 30)}) * ({sroll('avg', 'eq', 60, 30)}) + 1e-12) AS beta FROM j) ;;
-SELECT code, date, beta, (beta - avg(beta) OVER {GROUP}) / (stddev_samp(beta) OVER {GROUP} + 1e-8) AS z FROM b""", "panel")
+    """Series of each sector, and the code's returns against them."""
+    # a sector's series is the code of the recursions: its group has one row for each date
+    k = sectors(d).select(F.col("sector").alias("code"), "date", "s1", "s5", "members")
+    h = recursive.smooth(k, {"ema_5": ("s1", recursive.span(5)), "ema_20": ("s1", recursive.span(20))}, adjust=True)
+    h = h.withColumns({"s_mom": roll(F.sum, "s1", 20, 10), "s_vol": roll(F.stddev_samp, "s1", 20, 10) * F.sqrt(F.lit(252.0)), "s_z": zscore("s1", 252, 60)})
+    h = h.withColumns({"vol_z": zscore("s_vol", 252, 60), "gap": (F.col("ema_5") - F.col("ema_20")) / (F.abs("ema_20") + EPS)}).withColumnRenamed("code", "sector")
+    return panel(d).join(h, ["date", "sector"]).withColumns({"small": F.col("members") < 3, "rel": F.col("r") - F.col("s1"), "rel_5": F.col("r_5") - F.col("s5")})
+
+
+@query("x14_sector_beta", "code date", "beta alpha z alpha_z",
+       SECTOR + f""", j AS (SELECT p.*, eq FROM p JOIN g ON p.date = g.date AND p.sector = g.sector), m AS (SELECT *, {sroll('avg', 'r * eq', 60, 30)} AS xy, {sroll('avg', 'r', 60, 30)} AS x, {sroll('avg', 'eq', 60, 30)} AS y, {sroll('avg', 'eq * eq', 60, 30)} AS yy FROM j),
+b AS (SELECT *, (xy - x * y) / (yy - y * y + 1e-12) AS beta FROM m), a AS (SELECT *, x - beta * y AS alpha FROM b) ;;
+SELECT code, date, beta, alpha, (beta - avg(beta) OVER {GROUP}) / (stddev_samp(beta) OVER {GROUP} + 1e-8) AS z, (alpha - avg(alpha) OVER {GROUP}) / (stddev_samp(alpha) OVER {GROUP} + 1e-8) AS alpha_z FROM a""", "panel")
 def x14(d: Data):
     j = panel(d).join(sectors(d).select("date", "sector", "eq"), ["date", "sector"])
     m = lambda c: roll(F.avg, c, 60, 30)
     b = j.withColumn("beta", (m(F.col("r") * F.col("eq")) - m("r") * m("eq")) / (m(F.col("eq") * F.col("eq")) - m("eq") * m("eq") + EPS))
-    return b.select("code", "date", "beta", ((F.col("beta") - F.avg("beta").over(by_sector())) / (F.stddev_samp("beta").over(by_sector()) + 1e-8)).alias("z"))
+    b = b.withColumn("alpha", m("r") - F.col("beta") * m("eq"))
+    z = lambda c: (F.col(c) - F.avg(c).over(by_sector())) / (F.stddev_samp(c).over(by_sector()) + 1e-8)
+    return b.select("code", "date", "beta", "alpha", z("beta").alias("z"), z("alpha").alias("alpha_z"))
+
+
+#: Inputs of the statistics within sectors: returns known before the row, volume, volatility, RSI and slope.
+WITHIN = ("r1", "r5", "r10", "volume", "vol", "rsi", "slope")
+
+
+def _inside(x: str) -> str:
+    return f"({x} - avg({x}) OVER {GROUP}) / (stddev_samp({x}) OVER {GROUP} + 1e-12) AS {x}_z"
 
 
-@query("x15_within_sector", "code date valid", "demeaned z rank",
-       P + f", l AS (SELECT *, {slag('r')} AS x FROM p) ;; SELECT code, date, x - avg(x) OVER {GROUP} AS demeaned, (x - avg(x) OVER {GROUP}) / (stddev_samp(x) OVER {GROUP} + 1e-8) AS z, {srank01('x', 'date, sector')} AS rank, CAST(count(x) OVER {GROUP} >= 2 AS INT) AS valid FROM l", "panel")
+@query("x15_within_sector", "code date valid", "r1_demeaned r5_demeaned r10_demeaned " + " ".join(f"{x}_z" for x in WITHIN) + " r1_rank volume_rank r1_x_volume r1_x_vol",
+       P.replace("p AS (", "q AS (", 1) + ", " + MOVES.replace("FROM bars", "FROM q")
+       + f""", k AS (SELECT *, {slag('r')} AS r1, {slag('r_5', 5)} AS r5, close / {slag('close', 10)} - 1 AS r_10, {sroll('stddev_samp', 'r', 20, 10)} AS vol, 100 - 100 / (1 + ({sroll('avg', 'up', 14)}) / (({sroll('avg', 'down', 14)}) + 1e-12)) AS rsi, (close - {slag('close', 5)}) / (5 * close) AS slope FROM mv),
+l AS (SELECT *, {slag('r_10', 10)} AS r10 FROM k), z AS (SELECT *, {', '.join(map(_inside, WITHIN))}, {', '.join(f'{x} - avg({x}) OVER {GROUP} AS {x}_demeaned' for x in ('r1', 'r5', 'r10'))}, {srank01('r1', 'date, sector')} AS r1_rank, {srank01('volume', 'date, sector')} AS volume_rank, CAST(count(r1) OVER {GROUP} >= 2 AS INT) AS valid FROM l) ;;
+SELECT *, r1_z * volume_z AS r1_x_volume, r1_z * vol_z AS r1_x_vol FROM z""", "panel bars")
 def x15(d: Data):
-    l = panel(d).withColumn("x", lag("r"))  # noqa: E741
-    centred = F.col("x") - F.avg("x").over(by_sector())
-    return l.select("code", "date", centred.alias("demeaned"), (centred / (F.stddev_samp("x").over(by_sector()) + 1e-8)).alias("z"), rank01("x", "date", "sector").alias("rank"), (F.count("x").over(by_sector()) >= 2).cast("int").alias("valid"))
+    """Deviations, z values and ranks within date and sector of lagged returns (h rows back for h rows), volume, volatility, RSI and slope."""
+    m = with_moves(panel(d)).withColumn("r_10", F.col("close") / lag("close", 10) - 1)
+    rsi = 100 - 100 / (1 + roll(F.avg, "up", 14) / (roll(F.avg, "down", 14) + EPS))
+    l = m.withColumns({"r1": lag("r"), "r5": lag("r_5", 5), "r10": lag("r_10", 10), "vol": roll(F.stddev_samp, "r", 20, 10), "rsi": rsi, "slope": (F.col("close") - lag("close", 5)) / (5 * F.col("close"))})  # noqa: E741
+    centred = lambda x: F.col(x) - F.avg(x).over(by_sector())
+    z = l.withColumns({f"{x}_z": centred(x) / (F.stddev_samp(x).over(by_sector()) + EPS) for x in WITHIN} | {f"{x}_demeaned": centred(x) for x in ("r1", "r5", "r10")})
+    z = z.withColumns({"r1_rank": rank01("r1", "date", "sector"), "volume_rank": rank01("volume", "date", "sector"), "valid": (F.count("r1").over(by_sector()) >= 2).cast("int")})
+    return z.withColumns({"r1_x_volume": F.col("r1_z") * F.col("volume_z"), "r1_x_vol": F.col("r1_z") * F.col("vol_z")})
 
 
 @query("x16_group_relative", "code date", "rel mom_lag",
@@ -249,12 +273,17 @@ def x22(d: Data):
     return g.withColumn("roll_std", roll(F.avg, "std", 20, 10, Window.orderBy("date")))  # one row for each date
 
 
-@query("x23_segments", "code date", "seg_mean seg_std rel_pos liquidity",
-       f"SELECT code, date, avg(close) OVER m AS seg_mean, stddev_samp(close) OVER m AS seg_std, (close - avg(close) OVER m) / (stddev_samp(close) OVER m + 1e-8) AS rel_pos, ln(1 + ({sroll('avg', 'turnover', 20, 5)})) AS liquidity FROM panel WINDOW m AS (PARTITION BY date, market)", "panel")
+@query("x23_segments", "code date", "seg_mean seg_std rel_pos liquidity sector_mom sector_mom_rank",
+       SECTOR + f""", h AS (SELECT date, sector, {sroll('sum', 'eq', 20, 10, by='sector')} AS sector_mom FROM g), k AS (SELECT *, {srank01('sector_mom', 'date')} AS sector_mom_rank FROM h) ;;
+SELECT p.code, p.date, avg(close) OVER m AS seg_mean, stddev_samp(close) OVER m AS seg_std, (close - avg(close) OVER m) / (stddev_samp(close) OVER m + 1e-8) AS rel_pos, ln(1 + ({sroll('avg', 'turnover', 20, 5, order='p.date')})) AS liquidity, sector_mom, sector_mom_rank
+FROM p LEFT JOIN k ON k.date = p.date AND k.sector = p.sector WINDOW m AS (PARTITION BY p.date, market)""", "panel")
 def x23(d: Data):
+    """Place within the market of the date, liquidity, and the momentum of the sector with its rank among sectors."""
     m = Window.partitionBy("date", "market")
     mean, std = F.avg("close").over(m), F.stddev_samp("close").over(m)
-    return d.panel.select("code", "date", mean.alias("seg_mean"), std.alias("seg_std"), ((F.col("close") - mean) / (std + 1e-8)).alias("rel_pos"), F.log(1 + roll(F.avg, "turnover", 20, 5)).alias("liquidity"))
+    mom = sectors(d).select("date", "sector", roll(F.sum, "eq", 20, 10, by_sector_series()).alias("sector_mom")).withColumn("sector_mom_rank", rank01("sector_mom", "date"))
+    own = panel(d).select("code", "date", "sector", mean.alias("seg_mean"), std.alias("seg_std"), ((F.col("close") - mean) / (std + 1e-8)).alias("rel_pos"), F.log(1 + roll(F.avg, "turnover", 20, 5)).alias("liquidity"))
+    return own.join(mom, ["date", "sector"], "left")
 
 
 @query("x24_rank_buckets", "code size_bucket liquidity_bucket", "",

@@ -35,7 +35,7 @@ def w9(d: Data):
     return recursive.smooth(d.bars.select("code", "date", lag("close").alias("x")), {"ewm_20": ("x", span(20))})
 
 
-def _adjusted(source: str, out: str, x: str, a: float, name: str) -> str:
+def adjusted_mean(source: str, out: str, x: str, a: float, name: str) -> str:
     """Adjusted exponential mean: weighted sums and their weights, both by recursion."""
     return f"""{name}_n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS rn FROM {source}),
 {name}_r AS (SELECT code, rn, coalesce({x}, 0)::DOUBLE AS a, CASE WHEN {x} IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS b FROM {name}_n WHERE rn = 1 UNION ALL
@@ -43,23 +43,28 @@ SELECT s.code, s.rn, CASE WHEN s.{x} IS NULL THEN r.a ELSE s.{x} + {1 - a} * r.a
 {name} AS (SELECT n.* EXCLUDE (rn), r.a / nullif(r.b, 0) AS {out} FROM {name}_n n JOIN {name}_r r ON n.code = r.code AND n.rn = r.rn)"""
 
 
-@query("r2_ema_adjusted", "code date", "ema_r20", B + ", " + _adjusted("b", "ema_r20", "r", span(20), "ad") + " ;; SELECT * FROM ad")
+@query("r2_ema_adjusted", "code date", "ema_r20", B + ", " + adjusted_mean("b", "ema_r20", "r", span(20), "ad") + " ;; SELECT * FROM ad")
 def r2(d: Data):
     return recursive.smooth(_returns(d), {"ema_r20": ("r", span(20))}, adjust=True)
 
 
 @query("r3_macd", "code date", "macd signal hist slope",
-       _adjusted("bars", "fast", "close", span(12), "f1") + ", " + _adjusted("f1", "slow", "close", span(26), "f2") + ", f3 AS (SELECT *, fast - slow AS macd FROM f2), "
-       + _adjusted("f3", "signal", "macd", span(9), "f4") + f" ;; SELECT code, date, macd, signal, macd - signal AS hist, macd - signal - {slag('macd - signal')} AS slope FROM f4")
+       adjusted_mean("bars", "fast", "close", span(12), "f1") + ", " + adjusted_mean("f1", "slow", "close", span(26), "f2") + ", f3 AS (SELECT *, fast - slow AS macd FROM f2), "
+       + adjusted_mean("f3", "signal", "macd", span(9), "f4") + f" ;; SELECT code, date, macd, signal, macd - signal AS hist, macd - signal - {slag('macd - signal')} AS slope FROM f4")
 def r3(d: Data):
     m = recursive.smooth(d.bars, {"fast": ("close", span(12)), "slow": ("close", span(26))}, adjust=True).withColumn("macd", F.col("fast") - F.col("slow"))
     m = recursive.smooth(m, {"signal": ("macd", span(9))}, adjust=True).withColumn("hist", F.col("macd") - F.col("signal"))
     return m.withColumn("slope", F.col("hist") - lag("hist"))
 
 
-def moves(d: Data):
+def with_moves(bars):
+    """bars with the rise (up) and the fall (down) of the close."""
     change = F.col("close") - lag("close")
-    return d.bars.withColumn("up", F.greatest(change, F.lit(0.0) * change)).withColumn("down", F.greatest(-change, F.lit(0.0) * change))
+    return bars.withColumn("up", F.greatest(change, F.lit(0.0) * change)).withColumn("down", F.greatest(-change, F.lit(0.0) * change))
+
+
+def moves(d: Data):
+    return with_moves(d.bars)
 
 
 MOVES = f"mv AS (SELECT *, CASE WHEN close - {slag('close')} IS NOT NULL THEN greatest(close - {slag('close')}, 0) END AS up, CASE WHEN close - {slag('close')} IS NOT NULL THEN greatest({slag('close')} - close, 0) END AS down FROM bars)"
@@ -326,17 +331,22 @@ def r27(d: Data):
     return x.select("code", "date", (rsi * v).alias("rsi_x_vol"), (mom * vr).alias("mom_confirmed"), (hinge(rsi - 70) * mom).alias("x_up"), (hinge(30 - rsi) * mom).alias("x_down"), (mom * F.exp(-v)).alias("x_decay"), (F.signum(mom) * v * vr).alias("x_trend_vol"))
 
 
-@query("r28_variance_ratio", "code date", "vr_2 vr_5 inefficiency vol_slope consensus",
-       B + f""", l AS (SELECT *, ln(close) AS p FROM bars), k AS (SELECT *, p - {slag('p', 1)} AS l1, p - {slag('p', 2)} AS l2, p - {slag('p', 5)} AS l5, p - {slag('p', 10)} AS l10 FROM l),
-v AS (SELECT *, ({sroll('var_samp', 'l2', 21)}) / (2 * ({sroll('var_samp', 'l1', 21)}) + 1e-12) AS vr_2, ({sroll('var_samp', 'l5', 21)}) / (5 * ({sroll('var_samp', 'l1', 21)}) + 1e-12) AS vr_5, {sroll('stddev_samp', 'l1', 5)} AS s5, {sroll('stddev_samp', 'l1', 21)} AS s21 FROM k) ;;
-SELECT code, date, vr_2, vr_5, (abs(vr_2 - 1) + abs(vr_5 - 1)) / 2 AS inefficiency, s5 / (s21 + 1e-12) - 1 AS vol_slope, (sign(l1) + sign(l5) + sign(l10)) / 3 AS consensus FROM v""")
+@query("r28_variance_ratio", "code date consensus", "vr_2 vr_5 vr_10 inefficiency slope_short slope_long slope_total agree_5_10 agree_10_21",
+       f"""l AS (SELECT *, ln(close) AS p FROM bars), k AS (SELECT *, {', '.join(f"p - {slag('p', n)} AS l{n}" for n in (1, 2, 5, 10, 21))} FROM l),
+v AS (SELECT *, {', '.join(f"({sroll('var_samp', f'l{n}', 21)}) / ({n} * ({sroll('var_samp', 'l1', 21)}) + 1e-12) AS vr_{n}" for n in (2, 5, 10))}, {', '.join(f"{sroll('stddev_samp', 'l1', n)} AS s{n}" for n in (5, 21, 63))} FROM k) ;;
+SELECT code, date, vr_2, vr_5, vr_10, (abs(vr_2 - 1) + abs(vr_5 - 1) + abs(vr_10 - 1)) / 3 AS inefficiency, (s21 - s5) / (s5 + 1e-12) AS slope_short, (s63 - s21) / (s21 + 1e-12) AS slope_long, (s63 - s5) / (s5 + 1e-12) AS slope_total,
+(l5 > 0)::INT + (l10 > 0)::INT + (l21 > 0)::INT AS consensus, CASE WHEN l10 IS NOT NULL THEN (l5 * l10 > 0)::INT END AS agree_5_10, CASE WHEN l21 IS NOT NULL THEN (l10 * l21 > 0)::INT END AS agree_10_21 FROM v""")
 def r28(d: Data):
+    """Variance ratios over 2, 5 and 10 rows, slopes of the volatility over 5, 21 and 63 rows, and how far momenta agree."""
     k = d.bars.withColumn("p", F.log("close"))
-    k = k.withColumns({f"l{n}": F.col("p") - lag("p", n) for n in (1, 2, 5, 10)})
+    k = k.withColumns({f"l{n}": F.col("p") - lag("p", n) for n in (1, 2, 5, 10, 21)})
     var = lambda c: roll(F.var_samp, c, 21)
-    k = k.withColumns({"vr_2": var("l2") / (2 * var("l1") + EPS), "vr_5": var("l5") / (5 * var("l1") + EPS)})
-    return k.select("code", "date", "vr_2", "vr_5", ((F.abs(F.col("vr_2") - 1) + F.abs(F.col("vr_5") - 1)) / 2).alias("inefficiency"), (roll(F.stddev_samp, "l1", 5) / (roll(F.stddev_samp, "l1", 21) + EPS) - 1).alias("vol_slope"),
-                    ((F.signum("l1") + F.signum("l5") + F.signum("l10")) / 3).alias("consensus"))
+    k = k.withColumns({f"vr_{n}": var(f"l{n}") / (n * var("l1") + EPS) for n in (2, 5, 10)} | {f"s{n}": roll(F.stddev_samp, "l1", n) for n in (5, 21, 63)})
+    slope = lambda a, b: (F.col(b) - F.col(a)) / (F.col(a) + EPS)
+    up = lambda c: (F.col(c) > 0).cast("int")
+    off = sum((F.abs(F.col(f"vr_{n}") - 1) for n in (2, 5, 10)), F.lit(0.0)) / 3
+    return k.withColumns({"inefficiency": off, "slope_short": slope("s5", "s21"), "slope_long": slope("s21", "s63"), "slope_total": slope("s5", "s63"), "consensus": up("l5") + up("l10") + up("l21"),
+                          "agree_5_10": (F.col("l5") * F.col("l10") > 0).cast("int"), "agree_10_21": (F.col("l10") * F.col("l21") > 0).cast("int")})
 
 
 @query("r29_uncertainty_index", "code date", "cui",

@@ -160,17 +160,20 @@ def _smoment_beta(n: int, least: int) -> str:
     return f"({m('r * ml')} - {m('r')} * {m('ml')}) / nullif({m('ml * ml')} - {m('ml')} * {m('ml')} + 1e-12, 0)"
 
 
-@query("w17_moment_beta", "code date", "beta alpha rel_strength idio_ratio beta_stability",
-       WITH_MARKET + f""", l AS (SELECT *, {slag('mr')} AS ml FROM bm), g AS (SELECT *, coalesce({_smoment_beta(60, 60)}, {_smoment_beta(20, 20)}) AS beta FROM l),
-h AS (SELECT *, r - beta * ml AS idio FROM g) ;;
-SELECT code, date, beta, ({sroll('avg', 'r', 20, 20)}) - beta * ({sroll('avg', 'ml', 20, 20)}) AS alpha, ({sroll('sum', 'r', 20, 20)}) - ({sroll('sum', 'ml', 20, 20)}) AS rel_strength,
+@query("w17_moment_beta", "code date aligned fallback", "beta beta20 alpha rel_strength idio_ratio beta_stability",
+       WITH_MARKET + f""", l AS (SELECT *, {slag('mr')} AS ml FROM bm), g AS (SELECT *, {_smoment_beta(60, 60)} AS b60, {_smoment_beta(20, 20)} AS beta20, {sroll('avg', 'r', 20, 20)} AS a, {sroll('avg', 'ml', 20, 20)} AS m FROM l), f AS (SELECT *, coalesce(b60, beta20) AS beta FROM g),
+h AS (SELECT *, r - beta * ml AS idio FROM f) ;;
+SELECT code, date, beta, beta20, CAST(b60 IS NULL AND beta20 IS NOT NULL AS INT) AS fallback, CAST(coalesce(sign(a) = sign(m), false) AS INT) AS aligned, a - beta * m AS alpha, ({sroll('sum', 'r', 20, 20)}) - ({sroll('sum', 'ml', 20, 20)}) AS rel_strength,
 ({sroll('stddev_samp', 'idio', 20, 10)}) / (({sroll('stddev_samp', 'r', 20, 10)}) + 1e-12) AS idio_ratio, {sroll('stddev_samp', 'beta', 20, 10)} AS beta_stability FROM h""", "bars market")
 def w17(d: Data):
-    b = with_market(d).withColumn("ml", lag("mr")).withColumn("beta", F.coalesce(_moment_beta(60, 60), _moment_beta(20, 20)))
+    b = with_market(d).withColumn("ml", lag("mr")).withColumns({"b60": _moment_beta(60, 60), "beta20": _moment_beta(20, 20), "a": roll(F.avg, "r", 20), "m": roll(F.avg, "ml", 20)})
+    b = b.withColumn("beta", F.coalesce("b60", "beta20"))
     b = b.withColumn("idio", F.col("r") - F.col("beta") * F.col("ml"))
     return b.select(
-        "code", "date", "beta",
-        (roll(F.avg, "r", 20) - F.col("beta") * roll(F.avg, "ml", 20)).alias("alpha"),
+        "code", "date", "beta", "beta20",
+        (F.col("b60").isNull() & F.col("beta20").isNotNull()).cast("int").alias("fallback"),
+        F.coalesce(F.signum("a") == F.signum("m"), F.lit(False)).cast("int").alias("aligned"),
+        (F.col("a") - F.col("beta") * F.col("m")).alias("alpha"),
         (roll(F.sum, "r", 20) - roll(F.sum, "ml", 20)).alias("rel_strength"),
         (roll(F.stddev_samp, "idio", 20, 10) / (roll(F.stddev_samp, "r", 20, 10) + EPS)).alias("idio_ratio"),
         roll(F.stddev_samp, "beta", 20, 10).alias("beta_stability"),
@@ -298,15 +301,24 @@ SESSIONS = "t AS (SELECT code, date, " + ", ".join(
 ) + " FROM trades GROUP BY code, date), s AS (SELECT bars.*, t.* EXCLUDE (code, date) FROM bars JOIN t USING (code, date))"
 
 
-@query("w26_sessions", "code date", "am_gap am_range am_range_share am_vol_share pm_gap pm_range",
+#: A morning at or beyond this share from the last close is at its limit.
+LIMIT = 0.3
+FLAGS = "am_up_limit am_down_limit"
+SHARES = "am_gap am_range am_range_share am_vol_share pm_gap pm_range"
+
+
+@query("w26_sessions", "code date " + FLAGS, SHARES,
        SESSIONS + f""", f AS (SELECT code, date, am_open / {slag('close')} - 1 AS am_gap, am_high / am_low - 1 AS am_range, (am_high - am_low) / nullif(high - low, 0) AS am_range_share, am_vol / volume AS am_vol_share,
-pm_open / am_low - 1 AS pm_gap, pm_high / pm_low - 1 AS pm_range FROM s) ;; SELECT code, date, {', '.join(f'{slag(c)} AS {c}' for c in 'am_gap am_range am_range_share am_vol_share pm_gap pm_range'.split())} FROM f""")
+CAST(coalesce(am_high >= {1 + LIMIT} * {slag('close')}, false) AS INT) AS am_up_limit, CAST(coalesce(am_low <= {1 - LIMIT} * {slag('close')}, false) AS INT) AS am_down_limit,
+pm_open / am_low - 1 AS pm_gap, pm_high / pm_low - 1 AS pm_range FROM s) ;; SELECT code, date, {', '.join(f'{slag(c)} AS {c}' for c in (SHARES + " " + FLAGS).split())} FROM f""")
 def w26(d: Data):
+    at_limit = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     f = sessions(d).select(
         "code", "date",
         (F.col("am_open") / lag("close") - 1).alias("am_gap"), (F.col("am_high") / F.col("am_low") - 1).alias("am_range"),
         F.try_divide(F.col("am_high") - F.col("am_low"), F.col("high") - F.col("low")).alias("am_range_share"), (F.col("am_vol") / F.col("volume")).alias("am_vol_share"),
         (F.col("pm_open") / F.col("am_low") - 1).alias("pm_gap"), (F.col("pm_high") / F.col("pm_low") - 1).alias("pm_range"),
+        at_limit(F.col("am_high") >= (1 + LIMIT) * lag("close")).alias("am_up_limit"), at_limit(F.col("am_low") <= (1 - LIMIT) * lag("close")).alias("am_down_limit"),
     )
     return f.select("code", "date", *[lag(c).alias(c) for c in f.columns[2:]])  # end-of-day mode: known on the next row
 
