@@ -89,8 +89,8 @@ def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.nda
 
 
 def posted(signature_: np.ndarray) -> np.ndarray:
-    """One token for each coordinate-value pair."""
-    return mix((signature_.astype(np.uint64) << np.uint64(16)) + np.arange(len(signature_), dtype=np.uint64))
+    """One token for each coordinate-value pair of a signature, or of several."""
+    return mix((signature_.astype(np.uint64) << np.uint64(16)) + np.arange(signature_.shape[-1], dtype=np.uint64))
 
 
 def _of_bytes(raw: bytes) -> np.ndarray:

@@ -57,6 +57,26 @@ def test_near_duplicates_equal_brute_force(spark, n, num, den):
     assert got == plain_components(rows, n, num, den)
 
 
+@pytest.mark.parametrize("block", [2048, 24])
+def test_long_lists_of_texts_near_the_threshold(spark, monkeypatch, block):
+    """Copies of one text with so many edits that some link with some others only."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    rng = random.Random(8)
+    base = prose(81, 150).split()
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 9)):
+            words[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(words)))
+    seen = []
+    long_lists = minhash._long_lists
+    monkeypatch.setattr(minhash, "_long_lists", lambda rows, *a: seen.append(rows.count()) or long_lists(rows, *a))
+    got = got_components(minhash.near_duplicates(documents(spark, rows), 4, 80, 100))
+    assert got == plain_components(rows, 4, 80, 100) and seen[0] > 0
+    assert 2 < len({c for *_, c in got}) < 100
+
+
 def test_kept_rows_and_odd_tables(spark):
     docs = documents(spark, ODD).withColumn("component_id", F.lit("mine")).withColumn("size", F.lit(1)).withColumn("signature", F.lit("x"))
     out = minhash.near_duplicates(docs)
