@@ -32,12 +32,34 @@ def attached(d: Data):
     return asof_join(d.bars, daily_snapshots(d).withColumn("eff", F.col("date")), ["code"], "date", ["rec", "amount", "status", "eff"])
 
 
-@query("d1_ttm", "code date obs", "ttm avg2 margin yoy",
-       SNAP + f""" ;; SELECT code, date, count(*) OVER {over('all', 0)} AS obs, {slroll('sum', 'amount', 4, 1)} AS ttm, {slroll('avg', 'amount', 2, 1)} AS avg2, amount / nullif({slroll('sum', 'amount', 4, 1)}, 0) AS margin, (amount - {slag('amount', 4)}) / (abs({slag('amount', 4)}) + 1e-12) AS yoy FROM sn""", "snapshots")
+#: Accounts of a record: sales, profit, assets, equity, cash flow, shares (not in every record), and the end of the period.
+ACCOUNTS = SNAP + ", ac AS (SELECT *, amount AS sales, amount * (rec % 7 - 2) / 20.0 AS profit, amount * (3 + rec % 3) AS assets, amount * (3 + rec % 3) * (6 + rec % 5) / 20.0 AS equity, amount * (rec % 7 - 1) / 25.0 AS cash, CASE WHEN rec % 4 <> 1 THEN 1000 + rec % 100 END AS shares, rec % 4 AS quarter, date - CAST(20 + rec % 40 AS INT) AS period_end FROM sn)"
+SUMS = ("sales", "profit", "cash")
+
+
+def accounts(d: Data):
+    rec, amount = F.col("rec"), F.col("amount")
+    assets = amount * (3 + rec % 3)
+    return daily_snapshots(d).withColumns({
+        "sales": amount, "profit": amount * (rec % 7 - 2) / 20.0, "assets": assets, "equity": assets * (6 + rec % 5) / 20.0, "cash": amount * (rec % 7 - 1) / 25.0,
+        "shares": F.when(rec % 4 != 1, 1000 + rec % 100), "quarter": rec % 4, "period_end": F.date_sub("date", (20 + rec % 40).cast("int")),
+    })
+
+
+@query("d1_ttm", "code date obs valid lag_days shares", "sales_ttm profit_ttm cash_ttm equity_avg assets_avg margin roe roa accruals sales_yoy profit_yoy",
+       ACCOUNTS + f""", t AS (SELECT *, count(*) OVER {over('all', 0)} AS obs, {', '.join(f"{slroll('sum', c, 4, 1)} AS {c}_ttm" for c in SUMS)}, {slroll('avg', 'equity', 2, 1)} AS equity_avg, {slroll('avg', 'assets', 2, 1)} AS assets_avg, last_value(shares IGNORE NULLS) OVER {over('all', 0)} AS held, {slag('sales', 4)} AS s4, {slag('profit', 4)} AS p4 FROM ac) ;;
+SELECT code, date, obs, CAST(obs > 4 AS INT) AS valid, date - period_end AS lag_days, held AS shares, sales_ttm, profit_ttm, cash_ttm, equity_avg, assets_avg, profit_ttm / nullif(sales_ttm, 0) AS margin, profit_ttm / nullif(equity_avg, 0) AS roe, profit_ttm / nullif(assets_avg, 0) AS roa,
+(profit_ttm - cash_ttm) / nullif(assets_avg, 0) AS accruals, (sales - s4) / (abs(s4) + 1e-12) AS sales_yoy, (profit - p4) / (abs(p4) + 1e-12) AS profit_yoy FROM t""", "snapshots")
 def d1(d: Data):
-    s = daily_snapshots(d)
-    ttm = lroll(F.sum, "amount", 4, 1)
-    return s.select("code", "date", F.count(F.lit(1)).over(frame(Window.unboundedPreceding, 0)).alias("obs"), ttm.alias("ttm"), lroll(F.avg, "amount", 2, 1).alias("avg2"), ratio("amount", ttm).alias("margin"), ((F.col("amount") - lag("amount", 4)) / (F.abs(lag("amount", 4)) + EPS)).alias("yoy"))
+    """What the four records before say: sums, averages of two, profitability, accruals; change against four records ago; shares carried forward."""
+    upto = frame(Window.unboundedPreceding, 0)
+    t = accounts(d).withColumns({f"{c}_ttm": lroll(F.sum, c, 4, 1) for c in SUMS} | {"equity_avg": lroll(F.avg, "equity", 2, 1), "assets_avg": lroll(F.avg, "assets", 2, 1), "obs": F.count(F.lit(1)).over(upto), "held": F.last("shares", ignorenulls=True).over(upto)})
+    change = lambda c: (F.col(c) - lag(c, 4)) / (F.abs(lag(c, 4)) + EPS)
+    return t.select(
+        "code", "date", "obs", (F.col("obs") > 4).cast("int").alias("valid"), F.datediff("date", "period_end").alias("lag_days"), F.col("held").alias("shares"), *[f"{c}_ttm" for c in SUMS], "equity_avg", "assets_avg",
+        ratio("profit_ttm", "sales_ttm").alias("margin"), ratio("profit_ttm", "equity_avg").alias("roe"), ratio("profit_ttm", "assets_avg").alias("roa"), ratio(F.col("profit_ttm") - F.col("cash_ttm"), "assets_avg").alias("accruals"),
+        change("sales").alias("sales_yoy"), change("profit").alias("profit_yoy"),
+    )
 
 
 @query("d2_document_flags", "rec period is_fy is_urgent revised", "",
@@ -56,18 +78,35 @@ def filings(d: Data):
     return asof_join(d.bars, s, ["code"], "date", ["eff", "nxt"]).join(medians, "code", "left")
 
 
-@query("d3_attach_statements", "code date days_since days_to near", "gap_median",
-       GAPS + " ;; SELECT att.code, date, date - eff AS days_since, nxt - date AS days_to, CAST(coalesce(date - eff <= 5, false) AS INT) AS near, gap_median FROM att LEFT JOIN md ON att.code = md.code", "bars snapshots")
+@query("d3_attach_statements", "code date days_since days_to business_since near pre_window post_window overdue", "gap_median recency",
+       GAPS + """, e AS (SELECT DISTINCT eff FROM att WHERE eff IS NOT NULL), ei AS (SELECT e.eff, coalesce(c.idx, 0) AS ei FROM e ASOF LEFT JOIN calendar c ON e.eff >= c.date) ;;
+SELECT att.code, att.date, att.date - att.eff AS days_since, nxt - att.date AS days_to, calendar.idx - ei AS business_since, CAST(coalesce(att.date - att.eff <= 5, false) AS INT) AS near, CAST(coalesce(nxt - att.date BETWEEN 1 AND 3, false) AS INT) AS pre_window, CAST(coalesce(att.date - att.eff BETWEEN 0 AND 3, false) AS INT) AS post_window,
+CAST(coalesce(att.date - att.eff > 1.5 * gap_median, false) AS INT) AS overdue, gap_median, exp(-(att.date - att.eff) / 30.0) AS recency FROM att JOIN calendar ON calendar.date = att.date LEFT JOIN ei ON ei.eff = att.eff LEFT JOIN md ON att.code = md.code""", "bars snapshots calendar")
 def d3(d: Data):
-    since = F.datediff("date", "eff")
-    return filings(d).withColumns({"days_since": since, "days_to": F.datediff("nxt", "date"), "near": F.coalesce(since <= 5, F.lit(False)).cast("int")})
-
-
-@query("d4_forecast_progress", "code date raised", "progress revision",
-       SNAP + f", f AS (SELECT *, amount * 4 AS forecast FROM sn) ;; SELECT code, date, ({sroll('sum', 'amount', 4, 1)}) / forecast AS progress, forecast / {slag('forecast')} - 1 AS revision, coalesce(forecast > {slag('forecast')}, false) AS raised FROM f", "snapshots")
+    """Days and business days since the last record, windows around records, the usual gap of the code, and whether it is overrun."""
+    f = filings(d)
+    days = f.select(F.col("eff").alias("date")).where("date is not null").distinct()
+    on = asof_join(days, d.calendar.select("date", "idx"), [], "date", ["idx"]).select(F.col("date").alias("eff"), F.coalesce("idx", F.lit(0)).alias("_then"))
+    j = f.join(on, "eff", "left").join(d.calendar.select("date", "idx"), "date")
+    since, to = F.datediff("date", "eff"), F.datediff("nxt", "date")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return j.withColumns({"days_since": since, "days_to": to, "business_since": F.col("idx") - F.col("_then"), "near": flag(since <= 5), "pre_window": flag(to.between(1, 3)), "post_window": flag(since.between(0, 3)), "overdue": flag(since > 1.5 * F.col("gap_median")), "recency": F.exp(-since / 30.0)})
+
+
+@query("d4_forecast_progress", "code date raised cut changed", "progress profit_progress margin forecast_margin revision profit_revision",
+       ACCOUNTS + f""", f AS (SELECT *, amount * 4 AS forecast, profit * 4 + amount / 10 AS profit_forecast FROM ac) ;;
+SELECT code, date, ({sroll('sum', 'amount', 4, 1)}) / forecast AS progress, ({sroll('sum', 'profit', 4, 1)}) / nullif(profit_forecast, 0) AS profit_progress, profit / nullif(sales, 0) AS margin, profit_forecast / nullif(forecast, 0) AS forecast_margin, forecast / {slag('forecast')} - 1 AS revision,
+(profit_forecast - {slag('profit_forecast')}) / (abs({slag('profit_forecast')}) + 1e-12) AS profit_revision, coalesce(forecast > {slag('forecast')}, false) AS raised, coalesce(forecast < {slag('forecast')}, false) AS cut, status = 'P' AS changed FROM f""", "snapshots")
 def d4(d: Data):
-    f = daily_snapshots(d).withColumn("forecast", F.col("amount") * 4)
-    return f.select("code", "date", (roll(F.sum, "amount", 4, 1) / F.col("forecast")).alias("progress"), (F.col("forecast") / lag("forecast") - 1).alias("revision"), F.coalesce(F.col("forecast") > lag("forecast"), F.lit(False)).alias("raised"))
+    """Progress towards the forecasts of sales and profit, margins, and revisions."""
+    f = accounts(d).withColumns({"forecast": F.col("amount") * 4, "profit_forecast": F.col("profit") * 4 + F.col("amount") / 10})
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    before = lag("profit_forecast")
+    return f.select(
+        "code", "date", (roll(F.sum, "amount", 4, 1) / F.col("forecast")).alias("progress"), ratio(roll(F.sum, "profit", 4, 1), "profit_forecast").alias("profit_progress"), ratio("profit", "sales").alias("margin"), ratio("profit_forecast", "forecast").alias("forecast_margin"),
+        (F.col("forecast") / lag("forecast") - 1).alias("revision"), ((F.col("profit_forecast") - before) / (F.abs(before) + EPS)).alias("profit_revision"),
+        flag(F.col("forecast") > lag("forecast")).alias("raised"), flag(F.col("forecast") < lag("forecast")).alias("cut"), (F.col("status") == "P").alias("changed"),
+    )
 
 
 @query("d5_dividends", "code date special stale", "sum12 next_amount",
@@ -86,14 +125,20 @@ def ex_dates(d: Data):
     return asof_join(d.bars, ex.withColumn("ex_date", F.col("date")), ["code"], "date", ["ex_date", "dps"], forward=True)
 
 
-@query("d6_attach_dividends", "code date days_to_ex pre_window", "yield expected_drop gap_miss",
-       EX + f" ;; SELECT code, date, ex_date - date AS days_to_ex, CAST(coalesce(ex_date - date <= 5, false) AS INT) AS pre_window, dps / close AS yield, CASE WHEN date = ex_date THEN dps / {slag('close')} END AS expected_drop, CASE WHEN date = ex_date THEN open / {slag('close')} - 1 + dps / {slag('close')} END AS gap_miss FROM j", "bars snapshots")
+@query("d6_attach_dividends", "code date days_to_ex pre_window post_window", "yield expected_drop gap_miss cycle_z",
+       EX + f""", l AS (SELECT j.*, x.date AS last_ex FROM j ASOF LEFT JOIN ex x ON j.code = x.code AND j.date >= x.date) ;;
+SELECT code, date, ex_date - date AS days_to_ex, CAST(coalesce(ex_date - date <= 5, false) AS INT) AS pre_window, CAST(coalesce(date - last_ex BETWEEN 0 AND 5, false) AS INT) AS post_window, dps / close AS yield, CASE WHEN date = ex_date THEN dps / {slag('close')} END AS expected_drop, CASE WHEN date = ex_date THEN open / {slag('close')} - 1 + dps / {slag('close')} END AS gap_miss,
+(dps / close - ({sroll('avg', 'dps / close', 60, 20)})) / (({sroll('stddev_samp', 'dps / close', 60, 20)}) + 1e-8) AS cycle_z FROM l""", "bars snapshots")
 def d6(d: Data):
     j = ex_dates(d)
-    days = F.datediff("ex_date", "date")
+    ex = daily_snapshots(d).select("code", F.date_add("date", 10).alias("date")).distinct()
+    j = asof_join(j, ex.withColumn("last_ex", F.col("date")), ["code"], "date", ["last_ex"])
+    days, since = F.datediff("ex_date", "date"), F.datediff("date", "last_ex")
     on = F.col("date") == F.col("ex_date")
     drop = F.col("dps") / lag("close")
-    return j.withColumns({"days_to_ex": days, "pre_window": F.coalesce(days <= 5, F.lit(False)).cast("int"), "yield": F.col("dps") / F.col("close"), "expected_drop": F.when(on, drop), "gap_miss": F.when(on, F.col("open") / lag("close") - 1 + drop)})
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    j = j.withColumn("yield", F.col("dps") / F.col("close"))
+    return j.withColumns({"days_to_ex": days, "pre_window": flag(days <= 5), "post_window": flag(since.between(0, 5)), "expected_drop": F.when(on, drop), "gap_miss": F.when(on, F.col("open") / lag("close") - 1 + drop), "cycle_z": zscore("yield", 60, 20)})
 
 
 BREAK = "bd AS (SELECT code, date, sum(amount) FILTER (part % 2 = 0) AS buy, sum(amount) FILTER (part % 2 = 1) AS sell, sum(amount) FILTER (part % 10 = 3) AS short, sum(amount) AS total FROM trades GROUP BY code, date), bn AS (SELECT *, (coalesce(buy, 0) - coalesce(sell, 0)) / total AS net_ratio, coalesce(short, 0) / total AS short_share FROM bd)"
@@ -108,21 +153,28 @@ def breakdown(d: Data):
     return b.withColumns({"net_ratio": (zero("buy") - zero("sell")) / F.col("total"), "short_share": zero("short") / F.col("total")})
 
 
-@query("d7_breakdown", "code date turned", "net_ratio short_share activity z20",
-       BREAK + f" ;; SELECT code, date, net_ratio, short_share, total / nullif({slroll('avg', 'total', 20, 10)}, 0) AS activity, {sz('net_ratio', 20, 10, left=True)} AS z20, coalesce(sign(net_ratio) <> sign({slag('net_ratio')}), false) AS turned FROM bn", "trades")
+@query("d7_breakdown", "code date turned peak trough", "buy_5 sell_5 short_5 net_ratio short_share activity z20 z260",
+       BREAK + f""" ;; SELECT code, date, {', '.join(f"{sroll('sum', f'coalesce({c}, 0)', 5, 1)} AS {c}_5" for c in ('buy', 'sell', 'short'))}, net_ratio, short_share, total / nullif({slroll('avg', 'total', 20, 10)}, 0) AS activity, {sz('net_ratio', 20, 10, left=True)} AS z20, {sz('net_ratio', 260, 60, left=True)} AS z260, coalesce(sign(net_ratio) <> sign({slag('net_ratio')}), false) AS turned,
+coalesce({slag('net_ratio')} > {slag('net_ratio', 2)} AND {slag('net_ratio')} > net_ratio, false) AS peak, coalesce({slag('net_ratio')} < {slag('net_ratio', 2)} AND {slag('net_ratio')} < net_ratio, false) AS trough FROM bn""", "trades")
 def d7(d: Data):
-    return breakdown(d).select("code", "date", "net_ratio", "short_share", ratio("total", lroll(F.avg, "total", 20, 10)).alias("activity"), zscore("net_ratio", 20, 10, left=True).alias("z20"), F.coalesce(F.signum("net_ratio") != F.signum(lag("net_ratio")), F.lit(False)).alias("turned"))
+    """Sums by side over five rows, net ratio and its deviations, and whether the row before was an extreme."""
+    b, one, two = breakdown(d), lag("net_ratio"), lag("net_ratio", 2)
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return b.withColumns({f"{c}_5": roll(F.sum, F.coalesce(c, F.lit(0.0)), 5, 1) for c in ("buy", "sell", "short")} | {
+        "activity": ratio("total", lroll(F.avg, "total", 20, 10)), "z20": zscore("net_ratio", 20, 10, left=True), "z260": zscore("net_ratio", 260, 60, left=True), "turned": flag(F.signum("net_ratio") != F.signum(one)),
+        "peak": flag((one > two) & (one > F.col("net_ratio"))), "trough": flag((one < two) & (one < F.col("net_ratio"))),
+    })
 
 
-@query("d8_earnings_proximity", "code date days_to w1 w5 upcoming recent", "",
-       SNAP + ", f AS (SELECT b.code, b.date, s.date AS nxt FROM bars b ASOF LEFT JOIN sn s ON b.code = s.code AND b.date <= s.date), p AS (SELECT f.*, s.date AS prv FROM f ASOF LEFT JOIN sn s ON f.code = s.code AND f.date >= s.date) ;; SELECT code, date, nxt - date AS days_to, coalesce(nxt - date <= 1 OR date - prv <= 1, false) AS w1, coalesce(nxt - date <= 5 OR date - prv <= 5, false) AS w5, coalesce(nxt - date BETWEEN 1 AND 5, false) AS upcoming, coalesce(date - prv BETWEEN 1 AND 5, false) AS recent FROM p", "bars snapshots")
+@query("d8_earnings_proximity", "code date days_to w1 w3 w5 upcoming recent", "",
+       SNAP + ", f AS (SELECT b.code, b.date, s.date AS nxt FROM bars b ASOF LEFT JOIN sn s ON b.code = s.code AND b.date <= s.date), p AS (SELECT f.*, s.date AS prv FROM f ASOF LEFT JOIN sn s ON f.code = s.code AND f.date >= s.date) ;; SELECT code, date, nxt - date AS days_to, coalesce(nxt - date <= 1 OR date - prv <= 1, false) AS w1, coalesce(nxt - date <= 3 OR date - prv <= 3, false) AS w3, coalesce(nxt - date <= 5 OR date - prv <= 5, false) AS w5, coalesce(nxt - date BETWEEN 1 AND 5, false) AS upcoming, coalesce(date - prv BETWEEN 1 AND 5, false) AS recent FROM p", "bars snapshots")
 def d8(d: Data):
     s = daily_snapshots(d).select("code", "date", F.col("date").alias("nxt"), F.col("date").alias("prv"))
     p = asof_join(asof_join(d.bars.select("code", "date"), s, ["code"], "date", ["nxt"], forward=True), s, ["code"], "date", ["prv"])
     to, since = F.datediff("nxt", "date"), F.datediff("date", "prv")
     within = lambda c: F.coalesce(c, F.lit(False))
     any_of = lambda n: within(to <= n) | within(since <= n)
-    return p.withColumns({"days_to": to, "w1": any_of(1), "w5": any_of(5), "upcoming": within(to.between(1, 5)), "recent": within(since.between(1, 5))})
+    return p.withColumns({"days_to": to, "w1": any_of(1), "w3": any_of(3), "w5": any_of(5), "upcoming": within(to.between(1, 5)), "recent": within(since.between(1, 5))})
 
 
 @query("d9_event_index", "code date idx_since pre post", "",
@@ -170,12 +222,11 @@ def margin(d: Data):
     return s.withColumn("net", F.col("lg") - F.col("sh"))
 
 
-@query("d13_margin_core", "code date spike", "net total lsr imbalance diff z20",
-       MARGIN + f", mz AS (SELECT *, {sz('net', 20, 5, left=True)} AS z20 FROM mc) ;; SELECT code, date, net, lg + sh AS total, lg / (sh + 1) AS lsr, net / (lg + sh + 1e-12) AS imbalance, net - {slag('net')} AS diff, z20, coalesce(abs(z20) > 2, false) AS spike FROM mz", "snapshots")
+@query("d13_margin_core", "code date spike", "net total lsr log_ratio imbalance diff total_diff z20",
+       MARGIN + f", mz AS (SELECT *, {sz('net', 20, 5, left=True)} AS z20 FROM mc) ;; SELECT code, date, net, lg + sh AS total, lg / (sh + 1) AS lsr, ln((lg + 1) / (sh + 1)) AS log_ratio, net / (lg + sh + 1e-12) AS imbalance, net - {slag('net')} AS diff, lg + sh - {slag('lg + sh')} AS total_diff, z20, coalesce(abs(z20) > 2, false) AS spike FROM mz", "snapshots")
 def d13(d: Data):
-    m = margin(d).withColumn("z20", zscore("net", 20, 5, left=True))
-    total = F.col("lg") + F.col("sh")
-    return m.select("code", "date", "net", total.alias("total"), (F.col("lg") / (F.col("sh") + 1)).alias("lsr"), (F.col("net") / (total + EPS)).alias("imbalance"), (F.col("net") - lag("net")).alias("diff"), "z20", F.coalesce(F.abs("z20") > 2, F.lit(False)).alias("spike"))
+    m = margin(d).withColumn("z20", zscore("net", 20, 5, left=True)).withColumn("total", F.col("lg") + F.col("sh"))
+    return m.withColumns({"lsr": F.col("lg") / (F.col("sh") + 1), "log_ratio": F.log((F.col("lg") + 1) / (F.col("sh") + 1)), "imbalance": F.col("net") / (F.col("total") + EPS), "diff": F.col("net") - lag("net"), "total_diff": F.col("total") - lag("total"), "spike": F.coalesce(F.abs("z20") > 2, F.lit(False))})
 
 
 def attached_margin(d: Data, wait: int):
@@ -188,11 +239,18 @@ def amargin(wait: int) -> str:
     return MARGIN + f", mw AS (SELECT code, date + {wait} AS date, date AS eff, lg, sh, net FROM mc), am AS (SELECT b.*, w.eff, w.lg, w.sh, w.net FROM bars b ASOF LEFT JOIN mw w ON b.code = w.code AND b.date >= w.date)"
 
 
-@query("d14_margin_attach", "code date staleness obs", "net_adv delta z20",
-       amargin(1) + f" ;; SELECT code, date, date - eff AS staleness, count(net) OVER {over('all', 0)} AS obs, net / nullif({slroll('avg', 'turnover', 20, 5)}, 0) AS net_adv, net - {slag('net')} AS delta, {sz('net', 20, 10, '1.0')} AS z20 FROM am", "bars snapshots")
+@query("d14_margin_attach", "code date staleness obs reason", "long_value short_value net_value net_adv net_adv60 delta delta_5 z20",
+       amargin(1) + f""", rs AS (SELECT code, published + 1 AS date, max(priority) AS reason FROM snapshots GROUP BY code, published), ar AS (SELECT am.*, r.reason FROM am LEFT JOIN rs r ON r.code = am.code AND r.date = am.eff + 1) ;;
+SELECT code, date, date - eff AS staleness, count(net) OVER {over('all', 0)} AS obs, coalesce(reason, 'none') AS reason, lg * close AS long_value, sh * close AS short_value, net * close AS net_value, net / nullif({slroll('avg', 'turnover', 20, 5)}, 0) AS net_adv, net / nullif({slroll('avg', 'turnover', 60, 20)}, 0) AS net_adv60, net - {slag('net')} AS delta, net - {slag('net', 5)} AS delta_5, {sz('net', 20, 10, '1.0')} AS z20 FROM ar""", "bars snapshots")
 def d14(d: Data):
-    a = attached_margin(d, 1)
-    return a.select("code", "date", F.datediff("date", "eff").alias("staleness"), F.count("net").over(frame(Window.unboundedPreceding, 0)).alias("obs"), ratio("net", lroll(F.avg, "turnover", 20, 5)).alias("net_adv"), (F.col("net") - lag("net")).alias("delta"), zscore("net", 20, 10, 1.0).alias("z20"))
+    """Balances in money and in days of turnover, changes, and the reason code of the record that they come from."""
+    reasons = d.snapshots.groupBy("code", F.col("published").alias("eff")).agg(F.max("priority").alias("reason"))
+    a = attached_margin(d, 1).join(reasons, ["code", "eff"], "left")
+    return a.select(
+        "code", "date", F.datediff("date", "eff").alias("staleness"), F.count("net").over(frame(Window.unboundedPreceding, 0)).alias("obs"), F.coalesce("reason", F.lit("none")).alias("reason"),
+        *[(F.col(c) * F.col("close")).alias(n) for c, n in (("lg", "long_value"), ("sh", "short_value"), ("net", "net_value"))],
+        ratio("net", lroll(F.avg, "turnover", 20, 5)).alias("net_adv"), ratio("net", lroll(F.avg, "turnover", 60, 20)).alias("net_adv60"), (F.col("net") - lag("net")).alias("delta"), (F.col("net") - lag("net", 5)).alias("delta_5"), zscore("net", 20, 10, 1.0).alias("z20"),
+    )
 
 
 @query("d15_margin_legacy", "code date impulse days_since urgent", "z26 z52",
@@ -209,53 +267,86 @@ def d15(d: Data):
 WEEKLY = "wk AS (SELECT code, date_trunc('week', published)::DATE + 6 AS date, sum(amount) FILTER (rec % 2 = 0) AS lg, sum(amount) FILTER (rec % 2 = 1) AS sh FROM snapshots GROUP BY ALL)"
 
 
-@query("d16_weekly_margin", "code date staleness", "net lsr week_diff z52",
-       WEEKLY + f", wn AS (SELECT code, date, coalesce(lg, 0) - coalesce(sh, 0) AS net, coalesce(lg, 0) / (coalesce(sh, 0) + 1) AS lsr FROM wk), a AS (SELECT b.code, b.date, w.date AS eff, net, lsr FROM bars b ASOF LEFT JOIN wn w ON b.code = w.code AND b.date >= w.date) ;; SELECT code, date, date - eff AS staleness, net, lsr, {slag('net', 1)} - {slag('net', 6)} AS week_diff, {sz('net', 52, 20, '1.0')} AS z52 FROM a", "bars snapshots")
+@query("d16_weekly_margin", "code date staleness", "net lsr long_share net_adv week_diff z20 z52",
+       WEEKLY + f", wn AS (SELECT code, date, coalesce(lg, 0) - coalesce(sh, 0) AS net, coalesce(lg, 0) / (coalesce(sh, 0) + 1) AS lsr, coalesce(lg, 0) / (coalesce(lg, 0) + coalesce(sh, 0)) AS long_share FROM wk), a AS (SELECT b.code, b.date, b.turnover, w.date AS eff, net, lsr, long_share FROM bars b ASOF LEFT JOIN wn w ON b.code = w.code AND b.date >= w.date) ;; SELECT code, date, date - eff AS staleness, net, lsr, long_share, net / nullif({slroll('avg', 'turnover', 20, 5)}, 0) AS net_adv, {slag('net', 1)} - {slag('net', 6)} AS week_diff, {sz('net', 20, 10, '1.0')} AS z20, {sz('net', 52, 20, '1.0')} AS z52 FROM a", "bars snapshots")
 def d16(d: Data):
     week = F.date_add(F.to_date(F.date_trunc("week", "published")), 6)
     s = d.snapshots.groupBy("code", week.alias("date")).agg(*[F.coalesce(F.sum(F.when(F.col("rec") % 2 == k, F.col("amount"))), F.lit(0.0)).alias(n) for k, n in ((0, "lg"), (1, "sh"))])
-    s = s.withColumns({"net": F.col("lg") - F.col("sh"), "lsr": F.col("lg") / (F.col("sh") + 1), "eff": F.col("date")})
-    a = asof_join(d.bars, s, ["code"], "date", ["net", "lsr", "eff"])
-    return a.select("code", "date", F.datediff("date", "eff").alias("staleness"), "net", "lsr", (lag("net", 1) - lag("net", 6)).alias("week_diff"), zscore("net", 52, 20, 1.0).alias("z52"))
+    s = s.withColumns({"net": F.col("lg") - F.col("sh"), "lsr": F.col("lg") / (F.col("sh") + 1), "long_share": F.col("lg") / (F.col("lg") + F.col("sh")), "eff": F.col("date")})
+    a = asof_join(d.bars, s, ["code"], "date", ["net", "lsr", "long_share", "eff"])
+    return a.withColumns({"staleness": F.datediff("date", "eff"), "net_adv": ratio("net", lroll(F.avg, "turnover", 20, 5)), "week_diff": lag("net", 1) - lag("net", 6), "z20": zscore("net", 20, 10, 1.0), "z52": zscore("net", 52, 20, 1.0)})
 
 
 SHORTS = "sm AS (SELECT date, sum(amount) FILTER (part % 10 = 3) / sum(amount) AS ratio FROM trades GROUP BY date), sr AS (SELECT date, coalesce(ratio, 0) AS ratio FROM sm)"
 
 
-@query("d17_short_market", "date extreme", "ratio diff z20",
-       SHORTS + ", z AS (SELECT *, ratio - lag(ratio) OVER (ORDER BY date) AS diff, CASE WHEN count(*) OVER o >= 10 THEN (ratio - avg(ratio) OVER o) / (stddev_samp(ratio) OVER o + 1e-8) END AS z20 FROM sr WINDOW o AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) ;; SELECT date, ratio, diff, z20, coalesce(abs(z20) > 2, false) AS extreme FROM z", "trades")
+SECTOR_SHORTS = f"ss AS (SELECT date, sector, coalesce(sum(amount) FILTER (part % 10 = 3), 0) / sum(amount) AS sector_ratio FROM trades JOIN dim USING (code) GROUP BY date, sector), sz AS (SELECT *, sector_ratio - {slag('sector_ratio', by='sector')} AS sector_diff, (sector_ratio - ({sroll('avg', 'sector_ratio', 20, 10, by='sector')})) / (({sroll('stddev_samp', 'sector_ratio', 20, 10, by='sector')}) + 1e-8) AS sector_z FROM ss)"
+
+
+@query("d17_short_market", "code date extreme switched staleness", "ratio diff z20 sector_ratio sector_diff sector_z",
+       SHORTS + ", " + SECTOR_SHORTS + """, z AS (SELECT *, ratio - lag(ratio) OVER w AS diff, CASE WHEN count(*) OVER o >= 10 THEN (ratio - avg(ratio) OVER o) / (stddev_samp(ratio) OVER o + 1e-8) END AS z20 FROM sr WINDOW w AS (ORDER BY date), o AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), y AS (SELECT *, coalesce(sign(z20) <> sign(lag(z20) OVER (ORDER BY date)), false) AS switched FROM z),
+m AS (SELECT p.code, p.date, p.sector, y.date AS eff, ratio, diff, z20, switched FROM panel p ASOF LEFT JOIN y ON p.date > y.date) ;;
+SELECT m.code, m.date, coalesce(abs(z20) > 2, false) AS extreme, coalesce(switched, false) AS switched, m.date - eff AS staleness, ratio, diff, z20, sector_ratio, sector_diff, sector_z FROM m ASOF LEFT JOIN sz ON m.sector = sz.sector AND m.date > sz.date""", "trades panel")
 def d17(d: Data):
-    s = d.trades.groupBy("date").agg(F.coalesce(F.sum(F.when(F.col("part") % 10 == 3, F.col("amount"))) / F.sum("amount"), F.lit(0.0)).alias("ratio"))
+    """Short ratios of the market and of the sector as known from the day before, with extremes and switches of sign."""
+    part = F.sum(F.when(F.col("part") % 10 == 3, F.col("amount")))
+    s = d.trades.groupBy("date").agg(F.coalesce(part / F.sum("amount"), F.lit(0.0)).alias("ratio"))
     w = Window.orderBy("date")  # one row for each date
     z = (F.col("ratio") - roll(F.avg, "ratio", 20, 10, w)) / (roll(F.stddev_samp, "ratio", 20, 10, w) + 1e-8)
-    return s.withColumns({"diff": F.col("ratio") - F.lag("ratio").over(w), "z20": z}).withColumn("extreme", F.coalesce(F.abs("z20") > 2, F.lit(False)))
-
-
-@query("d18_short_by_code", "code date high low", "short_share mean20 z",
-       BREAK + f", q AS (SELECT *, {sroll('quantile_cont({}, 0.95)', 'short_share', 60, 20)} AS hi, {sroll('quantile_cont({}, 0.05)', 'short_share', 60, 20)} AS lo FROM bn) ;; SELECT code, date, short_share, {sroll('avg', 'short_share', 20, 5)} AS mean20, {sz('short_share', 20, 5)} AS z, coalesce(short_share > hi, false) AS high, coalesce(short_share < lo, false) AS low FROM q", "trades")
+    s = s.withColumns({"diff": F.col("ratio") - F.lag("ratio").over(w), "z20": z})
+    s = s.withColumns({"switched": F.coalesce(F.signum("z20") != F.signum(F.lag("z20").over(w)), F.lit(False)), "eff": F.col("date")})
+    own = Window.partitionBy("sector").orderBy("date")
+    g = d.trades.join(d.dim.select("code", "sector"), "code").groupBy("date", "sector").agg((F.coalesce(part, F.lit(0.0)) / F.sum("amount")).alias("sector_ratio"))
+    g = g.withColumns({"sector_diff": F.col("sector_ratio") - lag("sector_ratio", 1, own), "sector_z": (F.col("sector_ratio") - roll(F.avg, "sector_ratio", 20, 10, own)) / (roll(F.stddev_samp, "sector_ratio", 20, 10, own) + 1e-8)})
+    columns = ["ratio", "diff", "z20", "switched", "eff"]
+    days = asof_join(d.calendar.select("date"), s, [], "date", columns, strict=True)  # one row for each date
+    j = asof_join(d.panel.select("code", "date", "sector").join(days, "date", "left"), g, ["sector"], "date", ["sector_ratio", "sector_diff", "sector_z"], strict=True)
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return j.withColumns({"extreme": flag(F.abs("z20") > 2), "switched": flag(F.col("switched")), "staleness": F.datediff("date", "eff")})
+
+
+@query("d18_short_by_code", "code date high low", "short_share mean5 mean20 std20 z short_adv",
+       BREAK + f", q AS (SELECT *, {sroll('quantile_cont({}, 0.95)', 'short_share', 60, 20)} AS hi, {sroll('quantile_cont({}, 0.05)', 'short_share', 60, 20)} AS lo FROM bn) ;; SELECT code, date, short_share, {sroll('avg', 'short_share', 5, 2)} AS mean5, {sroll('avg', 'short_share', 20, 5)} AS mean20, {sroll('stddev_samp', 'short_share', 20, 5)} AS std20, {sz('short_share', 20, 5)} AS z, coalesce(short, 0) / nullif({sroll('avg', 'total', 20, 5)}, 0) AS short_adv, coalesce(short_share >= hi AND hi > lo, false) AS high, coalesce(short_share <= lo AND hi > lo, false) AS low FROM q", "trades")
 def d18(d: Data):
+    """Share of short sales with its means, deviations and extremes, and its size in days of turnover."""
     edge = lambda q: roll(lambda x: F.percentile(x, q), "short_share", 60, 20)
     b = breakdown(d).withColumns({"hi": edge(0.95), "lo": edge(0.05)})
-    return b.select("code", "date", "short_share", roll(F.avg, "short_share", 20, 5).alias("mean20"), zscore("short_share", 20, 5).alias("z"), F.coalesce(F.col("short_share") > F.col("hi"), F.lit(False)).alias("high"), F.coalesce(F.col("short_share") < F.col("lo"), F.lit(False)).alias("low"))
-
-
-@query("d19_short_by_sector", "date sector", "share mom market_share breadth",
-       f"""t AS (SELECT trades.*, sector FROM trades JOIN dim USING (code)), s AS (SELECT date, sector, coalesce(sum(amount) FILTER (part % 10 = 3), 0) AS short, sum(amount) AS total FROM t GROUP BY ALL), q AS (SELECT *, short / total AS share, short / nullif(sum(short) OVER (PARTITION BY date), 0) AS market_share FROM s), c AS (SELECT date, quantile_cont(share, 0.8) AS cut FROM q GROUP BY date) ;;
-SELECT q.date, sector, share, {sroll('avg', 'share', 5, 2, by='sector', order='q.date')} AS mom, market_share, avg(CASE WHEN share > cut THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY q.date) AS breadth FROM q JOIN c ON q.date = c.date""", "trades dim")
+    spread = F.col("hi") > F.col("lo")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return b.withColumns({
+        "mean5": roll(F.avg, "short_share", 5, 2), "mean20": roll(F.avg, "short_share", 20, 5), "std20": roll(F.stddev_samp, "short_share", 20, 5), "z": zscore("short_share", 20, 5),
+        "short_adv": ratio(F.coalesce("short", F.lit(0.0)), roll(F.avg, "total", 20, 5)), "high": flag((F.col("short_share") >= F.col("hi")) & spread), "low": flag((F.col("short_share") <= F.col("lo")) & spread),
+    })
+
+
+@query("d19_short_by_sector", "date sector pressure squeeze", "share restricted diff mom z market_share relative breadth",
+       f"""t AS (SELECT trades.*, sector FROM trades JOIN dim USING (code)), s AS (SELECT date, sector, coalesce(sum(amount) FILTER (part % 10 = 3), 0) AS short, coalesce(sum(amount) FILTER (part % 20 = 3), 0) AS tied, sum(amount) AS total FROM t GROUP BY ALL), q AS (SELECT *, short / total AS share, tied / nullif(short, 0) AS restricted, short / nullif(sum(short) OVER (PARTITION BY date), 0) AS market_share, short / total - sum(short) OVER (PARTITION BY date) / sum(total) OVER (PARTITION BY date) AS relative FROM s), c AS (SELECT date, quantile_cont(share, 0.8) AS cut FROM q GROUP BY date),
+r AS (SELECT q.*, cut, share - lag(share) OVER (PARTITION BY sector ORDER BY q.date) AS diff, {sroll('avg', 'share', 5, 2, by='sector', order='q.date')} AS mom, (share - ({sroll('avg', 'share', 20, 10, by='sector', order='q.date')})) / (({sroll('stddev_samp', 'share', 20, 10, by='sector', order='q.date')}) + 1e-8) AS z FROM q JOIN c ON q.date = c.date) ;;
+SELECT date, sector, coalesce(z > 1 AND diff > 0, false) AS pressure, coalesce(z > 1 AND diff < 0, false) AS squeeze, share, restricted, diff, mom, z, market_share, relative, avg(CASE WHEN share > cut THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY date) AS breadth FROM r""", "trades dim")
 def d19(d: Data):
+    """Short share of each sector, the restricted part of it, its momentum and deviations, its place in the market, and flags of pressure and squeeze."""
     t = d.trades.join(d.dim.select("code", "sector"), "code")
-    s = t.groupBy("date", "sector").agg(F.coalesce(F.sum(F.when(F.col("part") % 10 == 3, F.col("amount"))), F.lit(0.0)).alias("short"), F.sum("amount").alias("total"))
-    by_date = Window.partitionBy("date")
-    q = s.withColumns({"share": F.col("short") / F.col("total"), "market_share": ratio("short", F.sum("short").over(by_date))})
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("amount"))), F.lit(0.0))
+    s = t.groupBy("date", "sector").agg(part(F.col("part") % 10 == 3).alias("short"), part(F.col("part") % 20 == 3).alias("tied"), F.sum("amount").alias("total"))
+    by_date, own = Window.partitionBy("date"), Window.partitionBy("sector").orderBy("date")
+    share = F.col("short") / F.col("total")
+    q = s.withColumns({"share": share, "restricted": ratio("tied", "short"), "market_share": ratio("short", F.sum("short").over(by_date)), "relative": share - F.sum("short").over(by_date) / F.sum("total").over(by_date)})
     cuts = q.groupBy("date").agg(F.percentile("share", 0.8).alias("cut"))
-    return q.join(cuts, "date").withColumns({"mom": roll(F.avg, "share", 5, 2, Window.partitionBy("sector").orderBy("date")), "breadth": F.avg(F.when(F.col("share") > F.col("cut"), 1.0).otherwise(0.0)).over(by_date)})
+    r = q.join(cuts, "date").withColumns({"diff": F.col("share") - lag("share", 1, own), "mom": roll(F.avg, "share", 5, 2, own), "z": (F.col("share") - roll(F.avg, "share", 20, 10, own)) / (roll(F.stddev_samp, "share", 20, 10, own) + 1e-8)})
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return r.withColumns({"pressure": flag((F.col("z") > 1) & (F.col("diff") > 0)), "squeeze": flag((F.col("z") > 1) & (F.col("diff") < 0)), "breadth": F.avg(F.when(F.col("share") > F.col("cut"), 1.0).otherwise(0.0)).over(by_date)})
 
 
-@query("d20_short_positions", "code date reporters new", "total top hhi delta",
-       "p AS (SELECT code, published AS date, count(*) AS reporters, sum(amount) AS total, max(amount) AS top, sum(amount * amount) / (sum(amount) * sum(amount)) AS hhi FROM snapshots GROUP BY ALL) ;; SELECT code, date, reporters, total, top, hhi, total - lag(total) OVER w AS delta, lag(total) OVER w IS NULL AS new FROM p WINDOW w AS (PARTITION BY code ORDER BY date)", "snapshots")
+@query("d20_short_positions", "code date reporters new staleness valid", "total top hhi delta mean10 z20",
+       f"""p AS (SELECT code, published AS date, count(*) AS reporters, sum(amount) AS total, max(amount) AS top, sum(amount * amount) / (sum(amount) * sum(amount)) AS hhi FROM snapshots GROUP BY ALL), q AS (SELECT *, total - {slag('total')} AS delta, {slag('total')} IS NULL AS new FROM p), a AS (SELECT b.code, b.date, q.date AS eff, reporters, new, total, top, hhi, delta FROM bars b ASOF LEFT JOIN q ON b.code = q.code AND b.date > q.date) ;;
+SELECT code, date, reporters, new, date - eff AS staleness, CAST(coalesce(date - eff <= 60, false) AS INT) AS valid, total, top, hhi, delta, {sroll('avg', 'total', 10, 3)} AS mean10, {sz('total', 20, 10, '1.0')} AS z20 FROM a""", "bars snapshots")
 def d20(d: Data):
+    """Positions reported on a day, known from the next day on, with their age, means and deviations along the bars."""
     p = d.snapshots.groupBy("code", F.col("published").alias("date")).agg(F.count(F.lit(1)).alias("reporters"), F.sum("amount").alias("total"), F.max("amount").alias("top"), (F.sum(F.col("amount") * F.col("amount")) / (F.sum("amount") * F.sum("amount"))).alias("hhi"))
-    return p.withColumns({"delta": F.col("total") - lag("total"), "new": lag("total").isNull()})
+    p = p.withColumns({"delta": F.col("total") - lag("total"), "new": lag("total").isNull(), "eff": F.col("date")})
+    a = asof_join(d.bars.select("code", "date"), p, ["code"], "date", ["reporters", "new", "total", "top", "hhi", "delta", "eff"], strict=True)
+    age = F.datediff("date", "eff")
+    return a.withColumns({"staleness": age, "valid": F.coalesce(age <= 60, F.lit(False)).cast("int"), "mean10": roll(F.avg, "total", 10, 3), "z20": zscore("total", 20, 10, 1.0)})
 
 
 @query("d21_float_crowding", "code date", "float_turnover crowding roc5 mean_known",
@@ -282,13 +373,19 @@ def d23(d: Data):
     return f.withColumn("score", 0.4 * rank01("cover_days", "code") + 0.4 * rank01("b", "code") + 0.2 * rank01("c", "code"))
 
 
-@query("d24_margin_stress", "code date", "velocity momentum stress",
-       MARGIN + f", v AS (SELECT code, date, net - {slag('net')} AS velocity, net - {slag('net', 4)} AS momentum FROM mc) ;; SELECT code, date, velocity, momentum, ({srank01('velocity', 'date')} + {srank01('momentum', 'date')}) / 2 AS stress FROM v", "snapshots")
+@query("d24_margin_stress", "code date", "velocity momentum stress cap_share",
+       MARGIN + f", ca AS (SELECT code, date, close * volume AS cap FROM bars), v AS (SELECT mc.code, mc.date, net, cap, net - lag(net) OVER w AS velocity, net - lag(net, 4) OVER w AS momentum FROM mc ASOF LEFT JOIN ca ON mc.code = ca.code AND mc.date >= ca.date WINDOW w AS (PARTITION BY mc.code ORDER BY mc.date))"
+       + f" ;; SELECT code, date, velocity, momentum, ({srank01('velocity', 'date')} + {srank01('momentum', 'date')}) / 2 AS stress, net / nullif(cap, 0) AS cap_share FROM v", "snapshots bars")
 def d24(d: Data):
-    v = margin(d).select("code", "date", (F.col("net") - lag("net")).alias("velocity"), (F.col("net") - lag("net", 4)).alias("momentum"))
+    """Changes of the margin balance, their ranks of the date, and the balance against the value traded (the stand-in of the market value)."""
+    caps = d.bars.select("code", "date", (F.col("close") * F.col("volume")).alias("cap"))
+    v = asof_join(margin(d), caps, ["code"], "date", ["cap"]).withColumns({"velocity": F.col("net") - lag("net"), "momentum": F.col("net") - lag("net", 4), "cap_share": ratio("net", "cap")})
     return v.withColumn("stress", (rank01("velocity", "date") + rank01("momentum", "date")) / 2)
 
 
+#: Investors whose flows lead, and those whose flows lag.
+SMART, CROWD = "1-URGENT", "5-LOW"
+
 FLOW = "fl AS (SELECT published AS date, priority AS who, sum(CASE WHEN rec % 2 = 0 THEN amount ELSE -amount END) AS net, sum(amount) AS gross FROM snapshots GROUP BY ALL), fd AS (SELECT date, sum(net) AS net, sum(gross) AS gross, sum(gross * gross) / (sum(gross) * sum(gross)) AS hhi, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS breadth FROM fl GROUP BY date)"
 
 
@@ -296,37 +393,50 @@ def flows(d: Data, *keys):
     sign = F.when(F.col("rec") % 2 == 0, 1.0).otherwise(-1.0)
     who = d.snapshots.groupBy(F.col("published").alias("date"), *keys, F.col("priority").alias("who")).agg(F.sum(sign * F.col("amount")).alias("net"), F.sum("amount").alias("gross"))
     names = [k if isinstance(k, str) else "section" for k in keys]
-    return who.groupBy("date", *names).agg(F.sum("net").alias("net"), F.sum("gross").alias("gross"), (F.sum(F.col("gross") * F.col("gross")) / (F.sum("gross") * F.sum("gross"))).alias("hhi"), F.avg(F.when(F.col("net") > 0, 1.0).otherwise(0.0)).alias("breadth"))
+    return who.groupBy("date", *names).agg(F.sum("net").alias("net"), F.sum("gross").alias("gross"), (F.sum(F.col("gross") * F.col("gross")) / (F.sum("gross") * F.sum("gross"))).alias("hhi"), F.avg(F.when(F.col("net") > 0, 1.0).otherwise(0.0)).alias("breadth"),
+                                        *[(F.coalesce(F.sum(F.when(F.col("who") == k, F.col("net"))), F.lit(0.0)) / F.sum("gross")).alias(n) for k, n in ((SMART, "smart"), (CROWD, "crowd"))])
+
+
+FLOW2 = FLOW + f", fs AS (SELECT date, coalesce(sum(net) FILTER (who = '{SMART}'), 0) / sum(gross) AS smart, coalesce(sum(net) FILTER (who = '{CROWD}'), 0) / sum(gross) AS crowd FROM fl GROUP BY date)"
 
 
-@query("d25_investor_flow", "date", "net sentiment hhi persistence",
-       FLOW + " ;; SELECT date, net, net / gross AS sentiment, hhi, avg(sign(net)) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS persistence FROM fd", "snapshots")
+@query("d25_investor_flow", "date", "net sentiment hhi persistence divergence smart_flow smart_mom",
+       FLOW2 + """ ;; SELECT fd.date, net, net / gross AS sentiment, hhi, avg(sign(net)) OVER p AS persistence, smart - crowd AS divergence, smart AS smart_flow, avg(smart) OVER s - avg(smart) OVER l AS smart_mom
+FROM fd JOIN fs ON fd.date = fs.date WINDOW p AS (ORDER BY fd.date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), s AS (ORDER BY fd.date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), l AS (ORDER BY fd.date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", "snapshots")
 def d25(d: Data):
-    w = Window.orderBy("date").rowsBetween(-9, 0)  # one row for each date
-    return flows(d).withColumns({"sentiment": F.col("net") / F.col("gross"), "persistence": F.avg(F.signum("net")).over(w)})
+    w = lambda n: Window.orderBy("date").rowsBetween(-n, 0)  # noqa: E731  one row for each date
+    f = flows(d).withColumns({"sentiment": F.col("net") / F.col("gross"), "divergence": F.col("smart") - F.col("crowd"), "smart_flow": F.col("smart")})
+    return f.withColumns({"persistence": F.avg(F.signum("net")).over(w(9)), "smart_mom": F.avg("smart").over(w(4)) - F.avg("smart").over(w(19))})
 
 
-SFLOW = "sw AS (SELECT published AS date, code % 3 AS section, priority AS who, sum(CASE WHEN rec % 2 = 0 THEN amount ELSE -amount END) AS net, sum(amount) AS gross FROM snapshots GROUP BY ALL), sf2 AS (SELECT date, section, sum(net) AS net, sum(gross) AS gross, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS breadth FROM sw GROUP BY ALL)"
+SFLOW = "sw AS (SELECT published AS date, code % 3 AS section, priority AS who, sum(CASE WHEN rec % 2 = 0 THEN amount ELSE -amount END) AS net, sum(amount) AS gross FROM snapshots GROUP BY ALL), sf2 AS (SELECT date, section, sum(net) AS net, sum(gross) AS gross, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS breadth, coalesce(sum(net) FILTER (who = '1-URGENT'), 0) / sum(gross) - coalesce(sum(net) FILTER (who = '5-LOW'), 0) / sum(gross) AS smart FROM sw GROUP BY ALL)"
 
 
 def by_section():
     return Window.partitionBy("section").orderBy("date")
 
 
-@query("d26_flow_by_section", "date section shock", "net_ratio breadth z52",
-       SFLOW + f", z AS (SELECT date, section, net / gross AS net_ratio, breadth, (net - ({sroll('avg', 'net', 52, 10, by='section')})) / (({sroll('stddev_samp', 'net', 52, 10, by='section')}) + 1e-8) AS z52 FROM sf2) ;; SELECT *, coalesce(abs(z52) > 2, false) AS shock FROM z", "snapshots")
+@query("d26_flow_by_section", "date section shock", "net_ratio breadth z52 activity smart smart_mom",
+       SFLOW + f", z AS (SELECT date, section, net / gross AS net_ratio, breadth, (net - ({sroll('avg', 'net', 52, 10, by='section')})) / (({sroll('stddev_samp', 'net', 52, 10, by='section')}) + 1e-8) AS z52, gross / nullif({sroll('avg', 'gross', 52, 10, by='section')}, 0) AS activity, smart, smart - ({sroll('avg', 'smart', 4, 2, by='section')}) AS smart_mom FROM sf2) ;; SELECT *, coalesce(abs(z52) > 2, false) AS shock FROM z", "snapshots")
 def d26(d: Data):
     f = flows(d, (F.col("code") % 3).alias("section"))
     z = (F.col("net") - roll(F.avg, "net", 52, 10, by_section())) / (roll(F.stddev_samp, "net", 52, 10, by_section()) + 1e-8)
-    return f.withColumns({"net_ratio": F.col("net") / F.col("gross"), "z52": z}).withColumn("shock", F.coalesce(F.abs("z52") > 2, F.lit(False)))
+    smart = F.col("smart") - F.col("crowd")
+    f = f.withColumns({"net_ratio": F.col("net") / F.col("gross"), "z52": z, "activity": ratio("gross", roll(F.avg, "gross", 52, 10, by_section())), "smart": smart})
+    return f.withColumns({"shock": F.coalesce(F.abs("z52") > 2, F.lit(False)), "smart_mom": F.col("smart") - roll(F.avg, "smart", 4, 2, by_section())})
+
+
+#: Names of the sections that market codes belong to.
+SECTIONS = {0: "prime", 1: "standard", 2: "growth"}
 
 
-@query("d27_section_flow", "date section turned staleness", "wow z20",
-       SFLOW + f" ;; SELECT date, section, net - {slag('net', 5, by='section')} AS wow, (net - ({slroll('avg', 'net', 20, 10, by='section')})) / (({slroll('stddev_samp', 'net', 20, 10, by='section')}) + 1e-8) AS z20, coalesce(sign(net) <> sign({slag('net', by='section')}), false) AS turned, date - {slag('date', by='section')} AS staleness FROM sf2", "snapshots")
+@query("d27_section_flow", "date section name turned staleness", "net_ratio wow z20 z65 z260",
+       SFLOW + f" ;; SELECT date, section, CASE section {' '.join(f"WHEN {k} THEN '{v}'" for k, v in SECTIONS.items())} END AS name, net / gross AS net_ratio, net - {slag('net', 5, by='section')} AS wow, {', '.join(f"(net - ({slroll('avg', 'net', n, m, by='section')})) / (({slroll('stddev_samp', 'net', n, m, by='section')}) + 1e-8) AS z{n}" for n, m in ((20, 10), (65, 20), (260, 60)))}, coalesce(sign(net) <> sign({slag('net', by='section')}), false) AS turned, date - {slag('date', by='section')} AS staleness FROM sf2", "snapshots")
 def d27(d: Data):
     f = flows(d, (F.col("code") % 3).alias("section"))
-    z = (F.col("net") - lroll(F.avg, "net", 20, 10, by_section())) / (lroll(F.stddev_samp, "net", 20, 10, by_section()) + 1e-8)
-    return f.withColumns({"wow": F.col("net") - lag("net", 5, by_section()), "z20": z, "turned": F.coalesce(F.signum("net") != F.signum(lag("net", 1, by_section())), F.lit(False)), "staleness": F.datediff("date", lag("date", 1, by_section()))})
+    z = lambda n, m: (F.col("net") - lroll(F.avg, "net", n, m, by_section())) / (lroll(F.stddev_samp, "net", n, m, by_section()) + 1e-8)
+    name = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])[F.col("section").cast("int")]
+    return f.withColumns({"name": name, "net_ratio": F.col("net") / F.col("gross"), "wow": F.col("net") - lag("net", 5, by_section()), "z20": z(20, 10), "z65": z(65, 20), "z260": z(260, 60), "turned": F.coalesce(F.signum("net") != F.signum(lag("net", 1, by_section())), F.lit(False)), "staleness": F.datediff("date", lag("date", 1, by_section()))})
 
 
 # Contracts: the records of a code and day by the fifth part that they belong to are contracts of different months.
