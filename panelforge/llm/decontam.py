@@ -9,11 +9,17 @@ position in the item) form runs without gaps. The slots of a run must be
 consistent: one value of the item always stands for one value of the document, so
 that a re-parameterised copy passes and an accidental template does not; a run is
 cut where they are not. A document leaks an item if a consistent piece has
-LEAST_WORDS words, or is the whole item.
+LEAST_WORDS words, or is the whole item, and if LEAST_LITERALS of its words are no
+placeholders; one such word is enough in a whole item of LEAST_WORDS words.
+
+Windows of nothing but numbers and units say nothing by themselves: they are not
+joined, but where another window of the item has put a document on a diagonal, they
+count as met there, and each of their slots is then compared with the word of
+the document that stands at its place.
 
 Beside the templates, windows of the words as written (but for case) are joined
 and form runs of their own, so exact copies are found however many numbers and
-names they have. Only template windows need LEAST_LITERALS other words.
+names they have.
 
 Numbers are words with a digit. Names are capitalised words that follow a
 lower-case word or a comma; windows of items and documents are kept with and
@@ -37,7 +43,7 @@ from .common import stored, table
 
 WINDOW = 8
 LEAST_WORDS = 13
-#: Words of a template window that must not be placeholders.
+#: Words of a piece that must not be placeholders.
 LEAST_LITERALS = 4
 #: Up to so many benchmark windows (24 bytes each) are broadcast; beyond, windows are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
@@ -92,7 +98,7 @@ def windows(words: Column, length: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(hash, item_id, item_words, at, length, exact): windows of the items, as written and with placeholders, those for names or not."""
+    """(hash, item_id, item_words, at, length, exact): windows of the items, as written and with placeholders, those for names or not; hash is null for windows of numbers and units only."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     form = lambda words, exact: items.select("item_id", words.alias("words"), F.lit(exact).alias("exact"))
     text = F.col("text")
@@ -100,14 +106,15 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     sized = forms.withColumn("item_words", F.size("words")).where("item_words > 0").withColumn("length", F.least(F.col("item_words"), F.lit(WINDOW)))
     rows = sized.select("item_id", "item_words", "length", "exact", "words", F.explode(F.sequence(F.lit(1), F.col("item_words") - F.col("length") + 1)).alias("at"))
     part = F.slice("words", F.col("at"), F.col("length"))
-    literals = F.size(F.filter(part, lambda w: ~w.isin(NUM, NAME, UNIT)))
-    rows = rows.where(F.col("exact") | (literals >= F.least(F.lit(LEAST_LITERALS), F.col("length"))))
-    return rows.select(F.xxhash64(F.transform(part, lambda w: F.xxhash64(w))).alias("hash"), "item_id", "item_words", F.col("at").cast("int").alias("at"), "length", "exact").distinct()
+    rows = rows.where(F.col("exact") | F.exists(part, lambda w: w != NAME))
+    bare = ~F.col("exact") & ~F.exists(part, lambda w: ~w.isin(NUM, UNIT))
+    return rows.select(F.when(~bare, F.xxhash64(F.transform(part, lambda w: F.xxhash64(w)))).alias("hash"), "item_id", "item_words", F.col("at").cast("int").alias("at"), "length", "exact").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, item_words, covered_words, position): the best consistent run of each document and item."""
-    items = stored(item_windows(benchmark))
+    every_window = stored(item_windows(benchmark))
+    items, bare = every_window.where("hash is not null"), every_window.where("hash is null")
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # WINDOW numbers at most
     texts = docs.select("doc_id", F.col("text")).where("text is not null")
     forms = forms_of(F.col("text"))
@@ -129,7 +136,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return _no_leaks(docs, benchmark)
-    runs = stored(segments(found.withColumn("shift", F.col("pos") + 1 - F.col("at"))))
+    found = stored(found.withColumn("shift", F.col("pos") + 1 - F.col("at")).select(*_DIAGONAL, "at", "_length"))
+    # windows of numbers and units count as met on the diagonals that others of their item have found
+    met = found.where("not exact").select(*_DIAGONAL).distinct().join(bare.select("item_id", "item_words", "at", F.col("length").alias("_length")), ["item_id", "item_words"])
+    runs = stored(segments(found.unionByName(met.select(*_DIAGONAL, "at", "_length"))))
     exact = runs.where("exact").select(*_DIAGONAL, "first", "last")
     every = exact.unionByName(consistent_pieces(runs.where("not exact"), texts, benchmark)).where(_long_enough())
     best = F.max(F.struct((F.col("last") - F.col("first")).alias("n"), (-(F.col("shift") + F.col("first") - 1)).alias("s"), "item_words"))
@@ -154,7 +164,7 @@ def segments(found: DataFrame) -> DataFrame:
 def consistent_pieces(runs: DataFrame, texts: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(diagonal, first, last) of the longest pieces of segments in which an item's value stands for one value of the document."""
     items = stored(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("_t", template(F.col("text"))).withColumn("_v", values(F.col("text"))).select("item_id", F.size("_t").alias("item_words"), "_t", "_v"))
-    slots = items.select("item_id", "item_words", F.filter(F.transform("_t", lambda t, i: F.struct((i + 1).alias("at"), F.get("_v", i).alias("value"), t.isin(NUM, NAME, UNIT).alias("slot"))), lambda s: s["slot"]).alias("_slots"))
+    slots = items.select("item_id", "item_words", F.filter(F.transform("_t", lambda t, i: F.struct((i + 1).alias("at"), F.get("_v", i).alias("value"), t.alias("slot"))), lambda s: s["slot"].isin(NUM, NAME, UNIT)).alias("_slots"))
     slots = stored(slots.where(F.size("_slots") > 0))
     # only items with placeholders need the words themselves
     known = stored(runs.join(slots, ["item_id", "item_words"], "left").withColumn("_inside", F.filter("_slots", lambda s: (s["at"] >= F.col("first")) & (s["at"] < F.col("last")))).drop("_slots"))
@@ -165,7 +175,7 @@ def consistent_pieces(runs: DataFrame, texts: DataFrame, benchmark: DataFrame) -
     hashed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     few = owners.count() <= BROADCAST_WINDOWS
     sources = stored(hashed.join(F.broadcast(owners) if few else owners, same).select("_id", "_hash", values(F.col("text")).alias("_words")).dropDuplicates(["_id", "_hash"]))
-    pairs = F.transform("_inside", lambda s: F.struct(s["at"].alias("at"), s["value"].alias("item"), F.get("_words", s["at"] + F.col("shift") - 1).alias("doc")))
+    pairs = F.transform("_inside", lambda s: F.struct(s["at"].alias("at"), s["value"].alias("item"), s["slot"].alias("slot"), F.get("_words", s["at"] + F.col("shift") - 1).alias("doc")))
     rows = stored(open_.join(sources, same).select(*_DIAGONAL, "first", "last", pairs.alias("_pairs"))).select(*_DIAGONAL, "first", "last", F.explode("_pairs").alias("_pair")).select(*_DIAGONAL, "first", "last", "_pair.*")
     # before a slot, the last place where its item value stood for another value: a piece cannot reach back to it
     run = [*_DIAGONAL, "first"]
@@ -173,9 +183,17 @@ def consistent_pieces(runs: DataFrame, texts: DataFrame, benchmark: DataFrame) -
     changed = F.when(~F.lag("doc").over(of_value).eqNullSafe(F.col("doc")), F.lag("at").over(of_value))
     rows = rows.withColumn("_changed", changed).withColumn("_back", F.max("_changed").over(of_value.rowsBetween(Window.unboundedPreceding, 0)))
     in_order = Window.partitionBy(*run).orderBy("at")
-    start = F.greatest(F.col("first"), F.coalesce(F.max("_back").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + 1, F.lit(0)))
-    pieces = rows.select(*_DIAGONAL, start.alias("_first"), F.coalesce(F.lead("at").over(in_order), F.col("last")).alias("last"))
-    return free.unionByName(pieces.withColumnRenamed("_first", "first"))
+    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    # nor can it hold a number or a unit where the document has none
+    kept = F.coalesce(F.when(F.col("slot") == NUM, F.col("doc").rlike(r"\p{N}")).when(F.col("slot") == UNIT, F.col("doc").isin(*UNITS)).otherwise(True), F.lit(False))
+    barred = F.max(F.when(~kept, F.col("at"))).over(upto)
+    start = F.greatest(F.col("first"), F.coalesce(F.max("_back").over(upto) + 1, F.lit(0)), F.coalesce(barred + 1, F.lit(0)))
+    pieces = rows.select(*_DIAGONAL, start.alias("_first"), F.coalesce(F.lead("at").over(in_order), F.col("last")).alias("last")).withColumnRenamed("_first", "first")
+    within = F.size(F.filter("_slots", lambda s: (s["at"] >= F.col("first")) & (s["at"] < F.col("last"))))
+    said = pieces.join(slots, ["item_id", "item_words"]).withColumn("_literals", F.col("last") - F.col("first") - within)
+    whole = (F.col("last") - F.col("first") == F.col("item_words")) & (F.col("item_words") >= LEAST_WORDS) & (F.col("_literals") >= 1)
+    said = said.where(whole | (F.col("_literals") >= F.least(F.lit(LEAST_LITERALS), F.col("item_words"))))
+    return free.unionByName(said.select(*_DIAGONAL, "first", "last"))
 
 
 def _no_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

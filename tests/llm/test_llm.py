@@ -276,6 +276,15 @@ def test_exact_copies_of_items_with_few_words_beside_numbers_leak(spark):
     assert all(got[k, k].covered_words == got[k, k].item_words for k in items)
 
 
+def test_items_of_numbers_with_other_numbers_leak(spark):
+    item = "Compute 12 34 56 78 90 11 13 15 17 19 21 23 25 minus 80"
+    other = "Compute 92 39 59 71 91 18 14 16 27 29 31 33 35 minus 70"
+    rows = [(1, f"{prose(1, 20)}. {other} {prose(2, 20)}"), (2, item), (3, other.replace("59", "cats")), (4, "Compute 5 minus 8"), (5, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"), (6, other.replace("minus", "plus"))]
+    bench = spark.createDataFrame([(1, item), (2, "5 m 6 m 7 m")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.covered_words for r in decontam.leaks(documents(spark, rows), bench).collect()}
+    assert got == {(1, 1): 16, (2, 1): 16}
+
+
 def test_short_items_in_the_midst_of_a_sentence_leak(spark):
     item = "Sam sells 5 red apples and 3 green pears to Ann today"
     rows = [(1, "we saw that " + item), (2, "we saw that " + item.replace("5", "9").replace("3", "4")), (3, "we saw that Sam sells 9 red apples")]
