@@ -50,8 +50,8 @@ def _matrices(rows: pd.DataFrame, days: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows["code"].to_numpy(), x, m
 
 
-def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    days = np.unique(np.concatenate(pdf["days"].to_list()))
+def _sides(pdf: pd.DataFrame, days: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    days = np.unique(np.concatenate(pdf["days"].to_list())) if days is None else days
     halves = [pdf[pdf["block"] == pdf[side].iat[0]] for side in ("first", "second")]
     return days, [_matrices(half, days) for half in halves]
 
@@ -72,11 +72,14 @@ def rolling_degrees(x: DataFrame, span: int, least: int, edge: float) -> DataFra
     """
     day = F.unix_date("date")
     own = F.floor(day / CHUNK).cast("int")
+    length = CHUNK
     rows = x.select("code", "r", day.alias("day"), F.explode(F.array_distinct(F.array(own, F.floor((day + span) / CHUNK).cast("int")))).alias("chunk"))
+    every = np.array(sorted(r[0] for r in x.select(day).distinct().collect()), dtype=np.int64)  # the dates of the calendar
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        days, ((ca, xa, ma), (cb, xb, mb)) = _sides(pdf)
-        start = int(pdf["chunk"].iat[0]) * CHUNK
+        start = int(pdf["chunk"].iat[0]) * length
+        # a block pair has numbers on every date, whether one of its codes has a row there or not
+        days, ((ca, xa, ma), (cb, xb, mb)) = _sides(pdf, every[(every >= start - span) & (every < start + length)])
         diagonal = pdf["first"].iat[0] == pdf["second"].iat[0]
         low = np.searchsorted(days, days - span)
 
