@@ -119,9 +119,9 @@ def _weights(modes: bool) -> str:
     """Frames w (weights), tr (trades) and dy (daily returns), by set or by set and mode."""
     key = ["set", "mode"] if modes else ["set"]
     ks, same = ", ".join(key), lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in key)
-    w = "w AS (SELECT set, mode, date, code, step, w FROM v, (VALUES ('ls'), ('lo'), ('so')) m(mode) WHERE mode = 'ls' OR (mode = 'lo') = (w > 0))" if modes else "w AS (SELECT * FROM v)"
+    w = "w AS (SELECT set, mode, date, code, step, w FROM wv, (VALUES ('ls'), ('lo'), ('so')) m(mode) WHERE mode = 'ls' OR (mode = 'lo') = (w > 0))" if modes else "w AS (SELECT * FROM wv)"
     return f"""q AS (SELECT *, row_number() OVER (PARTITION BY set, date ORDER BY score DESC, code) AS rh, row_number() OVER (PARTITION BY set, date ORDER BY score, code) AS rl, greatest(1, floor(0.2::DOUBLE * count(*) OVER (PARTITION BY set, date))) AS k FROM pred),
-v AS (SELECT set, date, code, step, CASE WHEN rh <= k THEN 1.0 / k WHEN rl <= k THEN -1.0 / k END AS w FROM q WHERE rh <= k OR rl <= k), {w},
+wv AS (SELECT set, date, code, step, CASE WHEN rh <= k THEN 1.0 / k WHEN rl <= k THEN -1.0 / k END AS w FROM q WHERE rh <= k OR rl <= k), {w},
 dd AS (SELECT {ks}, date, lead(date) OVER (PARTITION BY {ks} ORDER BY date) AS nd FROM (SELECT DISTINCT {ks}, date FROM w)),
 pv AS (SELECT {", ".join(f"w.{k}" for k in key)}, dd.nd AS date, code, w AS pw FROM w JOIN dd ON {same("w", "dd")} AND w.date = dd.date WHERE nd IS NOT NULL),
 tr AS (SELECT {", ".join(f"coalesce(w.{k}, pv.{k}) AS {k}" for k in key)}, coalesce(w.date, pv.date) AS date, coalesce(w.code, pv.code) AS code, coalesce(w.w, 0) - coalesce(pv.pw, 0) AS dw, coalesce(w.w, 0) AS w, coalesce(w.step, 0) AS step FROM w FULL JOIN pv ON {same("w", "pv")} AND w.date = pv.date AND w.code = pv.code),
