@@ -460,21 +460,30 @@ def d28(d: Data):
     return chosen(d)
 
 
-@query("d29_futures_block", "code date", "ret overnight intraday oi_change slope",
-       CONTRACTS + f" ;; SELECT code, date, near / {slag('near')} - 1 AS ret, near_open / {slag('near')} - 1 AS overnight, near / near_open - 1 AS intraday, oi - {slag('oi')} AS oi_change, far / near - 1 AS slope FROM nr", "trades")
+@query("d29_futures_block", "code date days_to_roll roll_soon", "ret overnight intraday oi_change slope basis carry",
+       CONTRACTS + f""", j AS (SELECT nr.*, close, date_diff('day', nr.date, last_day(nr.date)) AS left_ FROM nr JOIN bars b ON b.code = nr.code AND b.date = nr.date) ;; SELECT code, date, left_ AS days_to_roll, CAST(left_ <= 5 AS INT) AS roll_soon, near / {slag('near')} - 1 AS ret, near_open / {slag('near')} - 1 AS overnight, near / near_open - 1 AS intraday, oi - {slag('oi')} AS oi_change, far / near - 1 AS slope, near / close - 1 AS basis, (near / close - 1) * 365.0 / (left_ + 1) AS carry FROM j""", "trades bars")
 def d29(d: Data):
-    n = chosen(d)
-    return n.select("code", "date", (F.col("near") / lag("near") - 1).alias("ret"), (F.col("near_open") / lag("near") - 1).alias("overnight"), (F.col("near") / F.col("near_open") - 1).alias("intraday"), (F.col("oi") - lag("oi")).alias("oi_change"), (F.col("far") / F.col("near") - 1).alias("slope"))
+    """Returns and term structure of the front contract, its basis against the close, and the days to the end of the month, when it rolls."""
+    n = chosen(d).join(d.bars.select("code", "date", "close"), ["code", "date"]).withColumn("days_to_roll", F.datediff(F.last_day("date"), "date"))
+    basis = F.col("near") / F.col("close") - 1
+    return n.withColumns({
+        "roll_soon": (F.col("days_to_roll") <= 5).cast("int"), "ret": F.col("near") / lag("near") - 1, "overnight": F.col("near_open") / lag("near") - 1, "intraday": F.col("near") / F.col("near_open") - 1,
+        "oi_change": F.col("oi") - lag("oi"), "slope": F.col("far") / F.col("near") - 1, "basis": basis, "carry": basis * 365.0 / (F.col("days_to_roll") + 1),
+    })
 
 
-@query("d30_continuous_contract", "code date rolled quadrant", "log_link",
-       CONTRACTS + f""", c AS (SELECT *, coalesce(month <> {slag('month')}, false) AS rolled, {slag('far')} AS pf, {slag('near')} AS pn, near > {slag('near')} AS pu, oi > {slag('oi')} AS ou FROM nr) ;;
-SELECT code, date, rolled, CASE WHEN pu AND ou THEN 1 WHEN pu THEN 2 WHEN ou THEN 3 WHEN pu IS NULL THEN 0 ELSE 4 END AS quadrant, sum(CASE WHEN rolled AND pf IS NOT NULL THEN ln(pf / pn) ELSE 0 END) OVER {over('all', 0)} AS log_link FROM c""", "trades")
+@query("d30_continuous_contract", "code date rolled quadrant", "log_link ret z252 oi_z252",
+       CONTRACTS + f""", c AS (SELECT *, coalesce(month <> {slag('month')}, false) AS rolled, {slag('far')} AS pf, {slag('near')} AS pn, near > {slag('near')} AS pu, oi > {slag('oi')} AS ou FROM nr),
+k AS (SELECT *, sum(CASE WHEN rolled AND pf IS NOT NULL THEN ln(pf / pn) ELSE 0 END) OVER {over('all', 0)} AS log_link FROM c), l AS (SELECT *, ln(near) - log_link AS level FROM k), m AS (SELECT *, level - {slag('level')} AS ret FROM l) ;;
+SELECT code, date, rolled, CASE WHEN pu AND ou THEN 1 WHEN pu THEN 2 WHEN ou THEN 3 WHEN pu IS NULL THEN 0 ELSE 4 END AS quadrant, log_link, ret, {sz('ret', 252, 60)} AS z252, {sz('oi', 252, 60)} AS oi_z252 FROM m""", "trades")
 def d30(d: Data):
+    """The front contracts linked at their rolls: log returns of the linked series and their deviations."""
     c = chosen(d).withColumns({"rolled": F.coalesce(F.col("month") != lag("month"), F.lit(False)), "pf": lag("far"), "pn": lag("near"), "pu": F.col("near") > lag("near"), "ou": F.col("oi") > lag("oi")})
     step = F.when(F.col("rolled") & F.col("pf").isNotNull(), F.log(F.col("pf") / F.col("pn"))).otherwise(0.0)
     quadrant = F.when(F.col("pu") & F.col("ou"), 1).when(F.col("pu"), 2).when(F.col("ou"), 3).when(F.col("pu").isNull(), 0).otherwise(4)
-    return c.select("code", "date", "rolled", quadrant.alias("quadrant"), F.sum(step).over(frame(Window.unboundedPreceding, 0)).alias("log_link"))
+    k = c.withColumns({"quadrant": quadrant, "log_link": F.sum(step).over(frame(Window.unboundedPreceding, 0))})
+    m = k.withColumn("level", F.log("near") - F.col("log_link")).withColumn("ret", F.col("level") - lag("level"))
+    return m.withColumns({"z252": zscore("ret", 252, 60), "oi_z252": zscore("oi", 252, 60)})
 
 
 @query("d31_overnight_attach", "code date", "same_day next_day",
@@ -511,12 +520,19 @@ def _scdf(x: str) -> str:
     return f"CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END"
 
 
-@query("d33_option_chain", "seq", "moneyness d1 delta gamma rank",
-       CHAIN + f" ;; SELECT seq, price / strike AS moneyness, d1, ({_scdf('d1')}) - CASE WHEN is_put THEN 1 ELSE 0 END AS delta, exp(-d1 * d1 / 2) / 2.5066282746310002 / (price * iv * sqrt(tau)) AS gamma, {srank01('iv', 'code, date, expiry')} AS rank FROM og", "trades")
+@query("d33_option_chain", "seq days", "moneyness d1 d2 delta gamma vega iv_spread ret rank",
+       CHAIN + f""" ;; SELECT seq, CAST(round(tau * 365) AS BIGINT) AS days, price / strike AS moneyness, d1, d1 - iv * sqrt(tau) AS d2, ({_scdf('d1')}) - CASE WHEN is_put THEN 1 ELSE 0 END AS delta, exp(-d1 * d1 / 2) / 2.5066282746310002 / (price * iv * sqrt(tau)) AS gamma, price * exp(-d1 * d1 / 2) / 2.5066282746310002 * sqrt(tau) AS vega,
+iv - avg(iv) OVER (PARTITION BY code, date) AS iv_spread, price / lag(price) OVER (PARTITION BY code, strike, is_put ORDER BY date, seq) - 1 AS ret, {srank01('iv', 'code, date, expiry')} AS rank FROM og""", "trades")
 def d33(d: Data):
+    """Moneyness, greeks, spread of the volatility against the chain's mean, return of the contract, and the rank of its volatility."""
     o = chain(d)
     pdf = F.exp(-F.col("d1") * F.col("d1") / 2) / 2.5066282746310002
-    return o.select("seq", (F.col("price") / F.col("strike")).alias("moneyness"), "d1", (normal_cdf("d1") - F.when(F.col("is_put"), 1.0).otherwise(0.0)).alias("delta"), (pdf / (F.col("price") * F.col("iv") * F.sqrt("tau"))).alias("gamma"), rank01("iv", "code", "date", "expiry").alias("rank"))
+    root = F.sqrt("tau")
+    own = Window.partitionBy("code", "strike", "is_put").orderBy("date", "seq")
+    return o.select(
+        "seq", F.round(F.col("tau") * 365).cast("long").alias("days"), (F.col("price") / F.col("strike")).alias("moneyness"), "d1", (F.col("d1") - F.col("iv") * root).alias("d2"), (normal_cdf("d1") - F.when(F.col("is_put"), 1.0).otherwise(0.0)).alias("delta"),
+        (pdf / (F.col("price") * F.col("iv") * root)).alias("gamma"), (F.col("price") * pdf * root).alias("vega"), (F.col("iv") - F.avg("iv").over(Window.partitionBy("code", "date"))).alias("iv_spread"), (F.col("price") / F.lag("price").over(own) - 1).alias("ret"), rank01("iv", "code", "date", "expiry").alias("rank"),
+    )
 
 
 CMIV = CHAIN + ", g AS (SELECT date, tau, avg(iv) AS iv FROM oc GROUP BY date, tau), c AS (SELECT date, " + ", ".join(f"max(tau) FILTER (tau <= {t}) AS lo{n}, arg_max(iv, tau) FILTER (tau <= {t}) AS il{n}, min(tau) FILTER (tau > {t}) AS hi{n}, arg_min(iv, tau) FILTER (tau > {t}) AS ih{n}" for n, t in ((30, "30 / 365.0"), (60, "60 / 365.0"))) + " FROM g GROUP BY date), cm AS (SELECT date, " + ", ".join(f"CASE WHEN lo{n} IS NULL THEN ih{n} WHEN hi{n} IS NULL THEN il{n} ELSE il{n} + (ih{n} - il{n}) * ({n} / 365.0 - lo{n}) / (hi{n} - lo{n}) END AS iv{n}" for n in (30, 60)) + " FROM c)"
@@ -544,28 +560,46 @@ def d34(d: Data):
     return constant_maturity(d).withColumn("slope", F.col("iv60") - F.col("iv30"))
 
 
-@query("d35_option_market", "date", "near_iv skew put_call",
-       CHAIN + " ;; SELECT date, median(iv) FILTER (expiry = 0) AS near_iv, median(iv) FILTER (is_put AND price < strike) - median(iv) FILTER (NOT is_put AND price > strike) AS skew, sum(oi) FILTER (is_put) / nullif(sum(oi) FILTER (NOT is_put), 0) AS put_call FROM oc GROUP BY date", "trades")
+@query("d35_option_market", "date", "near_iv next_iv skew smile put_call shock",
+       CHAIN + """, g AS (SELECT date, median(iv) FILTER (expiry = 0) AS near_iv, median(iv) FILTER (expiry = 1) AS next_iv, median(iv) FILTER (is_put AND price < strike) - median(iv) FILTER (NOT is_put AND price > strike) AS skew, median(iv) FILTER (abs(price / strike - 1) > 0.2) - median(iv) FILTER (abs(price / strike - 1) <= 0.2) AS smile, sum(oi) FILTER (is_put) / nullif(sum(oi) FILTER (NOT is_put), 0) AS put_call FROM oc GROUP BY date) ;;
+SELECT *, CASE WHEN count(near_iv) OVER o >= 10 THEN (near_iv - avg(near_iv) OVER o) / (stddev_samp(near_iv) OVER o + 1e-8) END AS shock FROM g WINDOW o AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", "trades")
 def d35(d: Data):
+    """Medians of the volatility of a date by tenor, side and distance from the money, and how unusual the nearest is."""
     iv = lambda c: F.median(F.when(c, F.col("iv")))
-    put = F.col("is_put")
-    return chain(d).groupBy("date").agg(iv(F.col("expiry") == 0).alias("near_iv"), (iv(put & (F.col("price") < F.col("strike"))) - iv(~put & (F.col("price") > F.col("strike")))).alias("skew"), ratio(F.sum(F.when(put, F.col("oi"))), F.sum(F.when(~put, F.col("oi")))).alias("put_call"))
+    put, off = F.col("is_put"), F.abs(F.col("price") / F.col("strike") - 1)
+    g = chain(d).groupBy("date").agg(
+        iv(F.col("expiry") == 0).alias("near_iv"), iv(F.col("expiry") == 1).alias("next_iv"), (iv(put & (F.col("price") < F.col("strike"))) - iv(~put & (F.col("price") > F.col("strike")))).alias("skew"),
+        (iv(off > 0.2) - iv(off <= 0.2)).alias("smile"), ratio(F.sum(F.when(put, F.col("oi"))), F.sum(F.when(~put, F.col("oi")))).alias("put_call"),
+    )
+    w = Window.orderBy("date")  # one row for each date
+    return g.withColumn("shock", (F.col("near_iv") - roll(F.avg, "near_iv", 20, 10, w)) / (roll(F.stddev_samp, "near_iv", 20, 10, w) + 1e-8))
 
 
-@query("d36_underlying_iv", "code date", "e0 e1 e2 slope",
-       CHAIN + ", w AS (SELECT code, date, " + ", ".join(f"sum(iv * oi) FILTER (expiry = {k}) / sum(oi) FILTER (expiry = {k}) AS e{k}" for k in range(3)) + " FROM oc GROUP BY code, date) ;; SELECT *, e1 - e0 AS slope FROM w", "trades")
+@query("d36_underlying_iv", "code date", "e0 e1 e2 slope put_call put_call_value skew",
+       CHAIN + ", w AS (SELECT code, date, " + ", ".join(f"sum(iv * oi) FILTER (expiry = {k}) / sum(oi) FILTER (expiry = {k}) AS e{k}" for k in range(3)) + ", coalesce(sum(oi) FILTER (is_put), 0) / nullif(sum(oi) FILTER (NOT is_put), 0) AS put_call, coalesce(sum(oi * price) FILTER (is_put), 0) / nullif(sum(oi * price) FILTER (NOT is_put), 0) AS put_call_value, sum(iv * oi) FILTER (is_put AND price > strike) / sum(oi) FILTER (is_put AND price > strike) - sum(iv * oi) FILTER (NOT is_put AND price < strike) / sum(oi) FILTER (NOT is_put AND price < strike) AS skew FROM oc GROUP BY code, date) ;; SELECT *, e1 - e0 AS slope FROM w", "trades")
 def d36(d: Data):
-    wide = chain(d).withColumn("e", F.concat(F.lit("e"), F.col("expiry").cast("string"))).groupBy("code", "date").pivot("e", ["e0", "e1", "e2"]).agg(F.sum(F.col("iv") * F.col("oi")) / F.sum("oi"))
-    return wide.withColumn("slope", F.col("e1") - F.col("e0"))
+    """Volatility by expiry, weighted by open interest, ratios of puts to calls, and the skew of what is out of the money."""
+    o, put = chain(d), F.col("is_put")
+    wide = o.withColumn("e", F.concat(F.lit("e"), F.col("expiry").cast("string"))).groupBy("code", "date").pivot("e", ["e0", "e1", "e2"]).agg(F.sum(F.col("iv") * F.col("oi")) / F.sum("oi"))
+    of = lambda c, x: F.sum(F.when(c, x))
+    value, oi = F.col("oi") * F.col("price"), F.col("oi")
+    weighted = lambda c: ratio(of(c, F.col("iv") * oi), of(c, oi))
+    sides = o.groupBy("code", "date").agg(
+        ratio(F.coalesce(of(put, oi), F.lit(0.0)), of(~put, oi)).alias("put_call"), ratio(F.coalesce(of(put, value), F.lit(0.0)), of(~put, value)).alias("put_call_value"),
+        (weighted(put & (F.col("price") > F.col("strike"))) - weighted(~put & (F.col("price") < F.col("strike")))).alias("skew"),
+    )
+    return wide.join(sides, ["code", "date"]).withColumn("slope", F.col("e1") - F.col("e0"))
 
 
-@query("d37_vrp", "date", "iv30 rv vrp_gap vrp_ratio",
-       CMIV + ", m AS (SELECT date, m_close / lag(m_close) OVER (ORDER BY date) - 1 AS r FROM market), v AS (SELECT date, CASE WHEN count(r) OVER o >= 10 THEN stddev_samp(r) OVER o * sqrt(252) END AS rv FROM m WINDOW o AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) ;; SELECT cm.date, iv30, rv, iv30 - rv AS vrp_gap, iv30 / (rv + 1e-12) AS vrp_ratio FROM cm JOIN v ON cm.date = v.date", "trades market")
+@query("d37_vrp", "date", "iv30 iv60 rv rv60 blend vrp_gap vrp_ratio z20",
+       CMIV + ", m AS (SELECT date, m_close / lag(m_close) OVER (ORDER BY date) - 1 AS r FROM market), v AS (SELECT date, CASE WHEN count(r) OVER o >= 10 THEN stddev_samp(r) OVER o * sqrt(252) END AS rv, CASE WHEN count(r) OVER l >= 20 THEN stddev_samp(r) OVER l * sqrt(252) END AS rv60 FROM m WINDOW o AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), l AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)), k AS (SELECT cm.date, iv30, iv60, rv, rv60, 0.5 * iv30 + 0.3 * rv + 0.2 * rv60 AS blend, iv30 - rv AS vrp_gap, iv30 / (rv + 1e-12) AS vrp_ratio FROM cm JOIN v ON cm.date = v.date) ;; SELECT *, CASE WHEN count(vrp_gap) OVER o >= 10 THEN (vrp_gap - avg(vrp_gap) OVER o) / (stddev_samp(vrp_gap) OVER o + 1e-8) END AS z20 FROM k WINDOW o AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", "trades market")
 def d37(d: Data):
     w = Window.orderBy("date")  # one row for each date
     m = d.market.withColumn("r", F.col("m_close") / F.lag("m_close").over(w) - 1)
-    v = m.select("date", (roll(F.stddev_samp, "r", 20, 10, w) * F.sqrt(F.lit(252.0))).alias("rv"))
-    return constant_maturity(d).join(v, "date").withColumns({"vrp_gap": F.col("iv30") - F.col("rv"), "vrp_ratio": F.col("iv30") / (F.col("rv") + EPS)})
+    year = F.sqrt(F.lit(252.0))
+    v = m.select("date", (roll(F.stddev_samp, "r", 20, 10, w) * year).alias("rv"), (roll(F.stddev_samp, "r", 60, 20, w) * year).alias("rv60"))
+    k = constant_maturity(d).join(v, "date").withColumns({"vrp_gap": F.col("iv30") - F.col("rv"), "vrp_ratio": F.col("iv30") / (F.col("rv") + EPS), "blend": 0.5 * F.col("iv30") + 0.3 * F.col("rv") + 0.2 * F.col("rv60")})
+    return k.withColumn("z20", (F.col("vrp_gap") - roll(F.avg, "vrp_gap", 20, 10, w)) / (roll(F.stddev_samp, "vrp_gap", 20, 10, w) + 1e-8))
 
 
 @query("d38_option_sentiment", "date", "put_iv call_iv large_put",
@@ -586,11 +620,15 @@ def index_series(d: Data):
     return ix.withColumn("r", F.col("close") / lag("close") - 1)
 
 
-@query("d39_index_regime", "code date halted", "vol20 trend_gap vol_z regime",
-       INDEX + f", v AS (SELECT *, {sroll('stddev_samp', 'r', 20, 10)} AS vol20, close / nullif({sroll('avg', 'close', 60, 20)}, 0) - 1 AS trend_gap FROM ir) ;; SELECT code, date, vol20, trend_gap, {sz('vol20', 60, 20)} AS vol_z, trend_gap / (vol20 + 1e-12) AS regime, high = low AS halted FROM v", "panel")
+@query("d39_index_regime", "code date halted", "ret1 ret5 ret20 atr natr vol20 vol60 trend_gap vol_z regime",
+       INDEX + f", v AS (SELECT *, close / {slag('close', 5)} - 1 AS ret5, close / {slag('close', 20)} - 1 AS ret20, greatest(high - low, abs(high - {slag('close')}), abs(low - {slag('close')})) AS tr, {sroll('stddev_samp', 'r', 20, 10)} AS vol20, {sroll('stddev_samp', 'r', 60, 20)} AS vol60, close / nullif({sroll('avg', 'close', 60, 20)}, 0) - 1 AS trend_gap FROM ir), a AS (SELECT *, {sroll('avg', 'tr', 14, 14)} AS atr FROM v) ;; SELECT code, date, r AS ret1, ret5, ret20, atr, atr / close AS natr, vol20, vol60, trend_gap, {sz('vol20', 60, 20)} AS vol_z, trend_gap / (vol20 + 1e-12) AS regime, high = low AS halted FROM a", "panel")
 def d39(d: Data):
-    v = index_series(d).withColumns({"vol20": roll(F.stddev_samp, "r", 20, 10), "trend_gap": ratio("close", roll(F.avg, "close", 60, 20)) - 1})
-    return v.withColumns({"vol_z": zscore("vol20", 60, 20), "regime": F.col("trend_gap") / (F.col("vol20") + EPS), "halted": F.col("high") == F.col("low")})
+    """Returns, true range, volatilities and trend of the index series; days without a range are halts."""
+    close, before = F.col("close"), lag("close")
+    v = index_series(d).withColumns({"ret1": F.col("r"), "ret5": close / lag("close", 5) - 1, "ret20": close / lag("close", 20) - 1, "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)),
+                                     "vol20": roll(F.stddev_samp, "r", 20, 10), "vol60": roll(F.stddev_samp, "r", 60, 20), "trend_gap": ratio("close", roll(F.avg, "close", 60, 20)) - 1})
+    v = v.withColumn("atr", roll(F.avg, "tr", 14))
+    return v.withColumns({"natr": F.col("atr") / close, "vol_z": zscore("vol20", 60, 20), "regime": F.col("trend_gap") / (F.col("vol20") + EPS), "halted": F.col("high") == F.col("low")})
 
 
 @query("d40_index_relative", "code date family", "rel spread breadth",
@@ -648,11 +686,14 @@ def d44(d: Data):
     return w.withColumns({"spread01": F.col("c0") - F.col("c1"), "ratio23": F.col("c2") / F.col("c3")})
 
 
-@query("d45_calendar_features", "date dow month_end quarter_end fiscal_end sq_day to_weekend", "",
-       "SELECT date, isodow(date) - 1 AS dow, last_day(date) = date AS month_end, last_day(date) = date AND month(date) % 3 = 0 AS quarter_end, last_day(date) = date AND month(date) = 3 AS fiscal_end, isodow(date) = 5 AND day(date) BETWEEN 8 AND 14 AS sq_day, greatest(0, 5 - (isodow(date) - 1)) AS to_weekend FROM calendar", "calendar")
+@query("d45_calendar_features", "date dow month_end quarter_end fiscal_end sq_day sq_week to_weekend", "",
+       "SELECT date, isodow(date) - 1 AS dow, last_day(date) = date AS month_end, last_day(date) = date AND month(date) % 3 = 0 AS quarter_end, last_day(date) = date AND month(date) = 3 AS fiscal_end, isodow(date) = 5 AND day(date) BETWEEN 8 AND 14 AS sq_day, isodow(date) <= 5 AND day(date + CAST(5 - isodow(date) AS INT)) BETWEEN 8 AND 14 AS sq_week, greatest(0, 5 - (isodow(date) - 1)) AS to_weekend FROM calendar", "calendar")
 def d45(d: Data):
+    """Weekday and period ends; the second Friday of a month settles contracts, and its week is Monday to Friday."""
     dow, end = F.weekday("date"), F.last_day("date") == F.col("date")
-    return d.calendar.select("date", dow.alias("dow"), end.alias("month_end"), (end & (F.month("date") % 3 == 0)).alias("quarter_end"), (end & (F.month("date") == 3)).alias("fiscal_end"), ((dow == 4) & F.dayofmonth("date").between(8, 14)).alias("sq_day"), F.greatest(F.lit(0), 5 - dow).alias("to_weekend"))
+    friday = F.dayofmonth(F.date_add("date", (4 - dow).cast("int")))
+    return d.calendar.select("date", dow.alias("dow"), end.alias("month_end"), (end & (F.month("date") % 3 == 0)).alias("quarter_end"), (end & (F.month("date") == 3)).alias("fiscal_end"), ((dow == 4) & F.dayofmonth("date").between(8, 14)).alias("sq_day"),
+                             ((dow <= 4) & friday.between(8, 14)).alias("sq_week"), F.greatest(F.lit(0), 5 - dow).alias("to_weekend"))
 
 
 @query("d46_gap_predictor", "code date", "signal z rel",
