@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import by_sector, EPS, average_rank, clip, frame, lag, lead, lroll, normal_cdf, rank01, ratio, roll, zscore
-from ..operators import calendar, select
+from ..operators import calendar, recursive, select
 from ..operators.asof import asof_join
 from ..sources.tables import Data
 from .crosssection import P, SECTOR, panel, sectors
+from .indicators import with_moves
 from .joins import SNAP, STATEMENTS, daily_snapshots, statements
 from .registry import query
 from .sql import average_rank as saverage_rank
@@ -358,12 +359,20 @@ def d21(d: Data):
     return f.withColumns({"roc5": ratio("crowding", lag("crowding", 5)) - 1, "mean_known": F.try_divide(sum(F.coalesce(F.col(c), F.lit(0.0)) for c in parts), known)})
 
 
-@query("d22_squeeze_risk", "code date", "pain squeeze",
-       amargin(1) + f", f AS (SELECT *, close / nullif({sroll('avg', 'close', 20, 5)}, 0) - 1 AS mom, sh / (lg + 1) AS sr FROM am) ;; SELECT code, date, coalesce(-mom * lg / nullif(turnover, 0), 0) AS pain, coalesce({sz('sr', 20, 5, '0.01', left=True)}, 0) + coalesce({sz('mom', 20, 5, left=True)}, 0) AS squeeze FROM f", "bars snapshots")
+@query("d22_squeeze_risk", "code date", "pain squeeze pre_flow impact",
+       amargin(1) + f""", nx AS (SELECT DISTINCT code, published AS date FROM snapshots), f AS (SELECT am.*, x.date AS nxt, am.close / nullif({sroll('avg', 'close', 20, 5, by='am.code', order='am.date')}, 0) - 1 AS mom, sh / (lg + 1) AS sr, abs(am.close / lag(am.close) OVER (PARTITION BY am.code ORDER BY am.date) - 1) / nullif(turnover, 0) AS illiq FROM am ASOF LEFT JOIN nx x ON am.code = x.code AND am.date < x.date) ;;
+SELECT code, date, coalesce(-mom * lg / nullif(turnover, 0), 0) AS pain, coalesce({sz('sr', 20, 5, '0.01', left=True)}, 0) + coalesce({sz('mom', 20, 5, left=True)}, 0) AS squeeze, CASE WHEN nxt - date <= 10 THEN coalesce(net / nullif({slroll('avg', 'turnover', 20, 5)}, 0), 0) ELSE 0 END AS pre_flow,
+(coalesce({sz('illiq', 20, 5, '1e-8', left=True)}, 0) + coalesce(net / nullif({slroll('avg', 'turnover', 20, 5)}, 0), 0)) / 2 AS impact FROM f""", "bars snapshots")
 def d22(d: Data):
-    f = attached_margin(d, 1).withColumns({"mom": ratio("close", roll(F.avg, "close", 20, 5)) - 1, "sr": F.col("sh") / (F.col("lg") + 1)})
+    """Pain of long holders, squeeze of short ones, balances ahead of a record within ten days, and their size against illiquidity."""
+    a = asof_join(attached_margin(d, 1), daily_snapshots(d).select("code", "date", F.col("date").alias("nxt")), ["code"], "date", ["nxt"], forward=True, strict=True)
+    f = a.withColumns({"mom": ratio("close", roll(F.avg, "close", 20, 5)) - 1, "sr": F.col("sh") / (F.col("lg") + 1), "illiq": ratio(F.abs(F.col("close") / lag("close") - 1), "turnover")})
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return f.select("code", "date", zero(ratio(-F.col("mom") * F.col("lg"), "turnover")).alias("pain"), (zero(zscore("sr", 20, 5, 0.01, left=True)) + zero(zscore("mom", 20, 5, left=True))).alias("squeeze"))
+    size = zero(ratio("net", lroll(F.avg, "turnover", 20, 5)))
+    return f.select(
+        "code", "date", zero(ratio(-F.col("mom") * F.col("lg"), "turnover")).alias("pain"), (zero(zscore("sr", 20, 5, 0.01, left=True)) + zero(zscore("mom", 20, 5, left=True))).alias("squeeze"),
+        F.when(F.datediff("nxt", "date") <= 10, size).otherwise(0.0).alias("pre_flow"), ((zero(zscore("illiq", 20, 5, 1e-8, left=True)) + size) / 2).alias("impact"),
+    )
 
 
 @query("d23_squeeze_score", "code date", "score cover_days",
@@ -655,12 +664,22 @@ def market_series(d: Data):
     return m.withColumn("r", F.col("close") / lag("close") - 1)
 
 
-@query("d42_market_block", "date bull", "ret5 vol20 z252 drawdown pct_b",
-       MKT + f", v AS (SELECT *, {sroll('avg', 'close', 20, 20)} AS m, {sroll('stddev_samp', 'close', 20, 20)} AS s FROM mk0) ;; SELECT date, close / {slag('close', 5)} - 1 AS ret5, {sroll('stddev_samp', 'r', 20, 10)} AS vol20, {sz('close', 252, 60)} AS z252, close / max(close) OVER {over(-251, 0)} - 1 AS drawdown, (close - (m - 2 * s)) / (4 * s + 1e-12) AS pct_b, coalesce(close > m, false) AS bull FROM v", "market")
+@query("d42_market_block", "date bull high_vol crossed", "ret1 ret5 ret20 rsi14 vol20 z252 drawdown pct_b width gap_5_20 gap_20_60",
+       MKT + f", u AS (SELECT *, CASE WHEN close - {slag('close')} IS NOT NULL THEN greatest(close - {slag('close')}, 0) END AS up, CASE WHEN close - {slag('close')} IS NOT NULL THEN greatest({slag('close')} - close, 0) END AS down FROM mk0), " + smooth("u", {f"e{n}": ("close", 2 / (n + 1)) for n in (5, 20, 60)}, "es")
+       + f""", v AS (SELECT *, {sroll('avg', 'close', 20, 20)} AS m, {sroll('stddev_samp', 'close', 20, 20)} AS s, {sroll('stddev_samp', 'r', 20, 10)} AS vol20, e5 / e20 - 1 AS gap_5_20, e20 / e60 - 1 AS gap_20_60 FROM es) ;;
+SELECT date, r AS ret1, close / {slag('close', 5)} - 1 AS ret5, close / {slag('close', 20)} - 1 AS ret20, 100 - 100 / (1 + ({sroll('avg', 'up', 14)}) / (({sroll('avg', 'down', 14)}) + 1e-12)) AS rsi14, vol20, {sz('close', 252, 60)} AS z252, close / max(close) OVER {over(-251, 0)} - 1 AS drawdown, (close - (m - 2 * s)) / (4 * s + 1e-12) AS pct_b, 4 * s / (m + 1e-12) AS width, gap_5_20, gap_20_60,
+coalesce(close > m, false) AS bull, coalesce({sz('vol20', 252, 60)} > 1, false) AS high_vol, coalesce(sign(gap_5_20) <> sign({slag('gap_5_20')}), false) AS crossed FROM v""", "market")
 def d42(d: Data):
-    v = market_series(d).withColumns({"m": roll(F.avg, "close", 20), "s": roll(F.stddev_samp, "close", 20)})
+    """Returns, RSI, volatility, bands and gaps of exponential means of the market series, with flags of its regime."""
+    v = recursive.smooth(with_moves(market_series(d)), {f"e{n}": ("close", recursive.span(n)) for n in (5, 20, 60)})  # one series, a row for each date
     c = F.col("close")
-    return v.select("date", (c / lag("close", 5) - 1).alias("ret5"), roll(F.stddev_samp, "r", 20, 10).alias("vol20"), zscore("close", 252, 60).alias("z252"), (c / F.max("close").over(frame(-251, 0)) - 1).alias("drawdown"), ((c - (F.col("m") - 2 * F.col("s"))) / (4 * F.col("s") + EPS)).alias("pct_b"), F.coalesce(c > F.col("m"), F.lit(False)).alias("bull"))
+    v = v.withColumns({"m": roll(F.avg, "close", 20), "s": roll(F.stddev_samp, "close", 20), "vol20": roll(F.stddev_samp, "r", 20, 10), "gap_5_20": F.col("e5") / F.col("e20") - 1, "gap_20_60": F.col("e20") / F.col("e60") - 1})
+    flag = lambda x: F.coalesce(x, F.lit(False))
+    return v.withColumns({
+        "ret1": F.col("r"), "ret5": c / lag("close", 5) - 1, "ret20": c / lag("close", 20) - 1, "rsi14": 100 - 100 / (1 + roll(F.avg, "up", 14) / (roll(F.avg, "down", 14) + EPS)), "z252": zscore("close", 252, 60),
+        "drawdown": c / F.max("close").over(frame(-251, 0)) - 1, "pct_b": (c - (F.col("m") - 2 * F.col("s"))) / (4 * F.col("s") + EPS), "width": 4 * F.col("s") / (F.col("m") + EPS),
+        "bull": flag(c > F.col("m")), "high_vol": flag(zscore("vol20", 252, 60) > 1), "crossed": flag(F.signum("gap_5_20") != F.signum(lag("gap_5_20"))),
+    })
 
 
 ASSETS = "as0 AS (SELECT part % 4 AS code, date, avg(price) AS close FROM trades GROUP BY ALL), ar AS (SELECT *, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS r FROM as0)"

@@ -151,6 +151,22 @@ def m12(d: Data):
     return summary(daily.withColumn("half", half), "ic", "set", "half", "sector")
 
 
+HORIZONS = (1, 5)
+
+
+@query("m12_by_fold_and_horizon", "set fold horizon days", "mean std ir",
+       "y AS (SELECT set, date, year(date) AS fold, score, code, close, " + ", ".join(f"lead(close, {h}) OVER (PARTITION BY set, code ORDER BY date) / close - 1 AS y{h}" for h in HORIZONS) + " FROM pred), "
+       + "i AS (" + " UNION ALL ".join(f"SELECT set, date, fold, {h} AS horizon, {_scorr('score', f'y{h}')} AS ic FROM y WHERE y{h} IS NOT NULL GROUP BY set, date, fold" for h in HORIZONS) + f") ;; SELECT set, fold, horizon, {SUMMARY} FROM i GROUP BY set, fold, horizon", "pred")
+def m12_folds(d: Data):
+    """Daily correlations of scores with returns over several horizons, by year."""
+    w = Window.partitionBy("set", "code").orderBy("date")
+    ahead = d.pred.select("set", "date", F.year("date").alias("fold"), "score", *[(F.lead("close", h).over(w) / F.col("close") - 1).alias(f"y{h}") for h in HORIZONS])
+    future = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y{h}").alias("y")) for h in HORIZONS])
+    y = ahead.withColumn("f", F.explode(future)).select("set", "date", "fold", "score", "f.*").where("y is not null")
+    daily = y.groupBy("set", "date", "fold", "horizon").agg(correlation("score", "y").alias("ic"))
+    return summary(daily, "ic", "set", "fold", "horizon")
+
+
 FACTORS = ("close", "volume", "turnover", "ret")
 
 
