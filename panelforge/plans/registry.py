@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
-MODULES = ("aggregates", "windows", "indicators", "crosssection", "joins", "keys", "metrics", "portfolio", "splits", "audits", "domain", "sources", "series", "graph", "macro")
+MODULES = ("aggregates", "windows", "indicators", "crosssection", "joins", "keys", "metrics", "portfolio", "splits", "audits", "domain", "sources", "series", "graph", "macro", "blocks")
 
 
 def finished(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
