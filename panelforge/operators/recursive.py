@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,14 +21,19 @@ def _per_code(df: DataFrame, outputs: list[str], f) -> DataFrame:
     return df.groupBy("code").applyInPandas(run, schema)
 
 
-def smooth(df: DataFrame, specs: dict[str, tuple[str, float]], adjust: bool = False) -> DataFrame:
+def smooth(df: DataFrame, specs: dict[str, tuple[str | Callable[[pd.DataFrame], pd.Series], float]], adjust: bool = False) -> DataFrame:
     """Exponential means out = (column, alpha), starting at the first value; nulls keep the last mean.
 
+    A function in place of a column gets the rows with the means before it, so that means of means take one shuffle.
     adjust weighs the values so far by (1 - alpha) ** age instead of starting from the first one.
     """
 
     def f(pdf: pd.DataFrame) -> dict:
-        return {o: pdf[x].astype(float).ewm(alpha=a, adjust=adjust, ignore_na=True).mean() for o, (x, a) in specs.items()}
+        found = {}
+        for o, (x, a) in specs.items():
+            values = x(pdf.assign(**found)) if callable(x) else pdf[x]
+            found[o] = values.astype(float).ewm(alpha=a, adjust=adjust, ignore_na=True).mean()
+        return found
 
     return _per_code(df, list(specs), f)
 
