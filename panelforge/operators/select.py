@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from functools import reduce
 
 import numpy as np
@@ -9,33 +11,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import by_date, correlation
+from ..functions.kernels import correlation
 from ..sources.files import stored
 
 
-def ranked(df: DataFrame, score: str) -> DataFrame:
-    return df.withColumns({"rank": F.row_number().over(by_date().orderBy(F.desc(score), "code")), "n": F.count(F.lit(1)).over(by_date())})
+def ranked(df: DataFrame, score: str, by: Sequence[str] = ("date",)) -> DataFrame:
+    """rank (1 for the best; ties by code) and the number n of rows within by."""
+    return df.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), "code")), "n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
 
 
-def top_k(df: DataFrame, score: str, k: int | None = None, ratio: float = 0.1) -> DataFrame:
-    """The k best of each date, or a share of it, at least one."""
+def top_k(df: DataFrame, score: str, k: int | None = None, ratio: float = 0.1, by: Sequence[str] = ("date",)) -> DataFrame:
+    """The k best within by, or a share of them, at least one."""
     size = F.lit(k) if k else F.greatest(F.lit(1), F.floor(F.lit(ratio) * F.col("n")))
-    return ranked(df, score).where(F.col("rank") <= size)
+    return ranked(df, score, by).where(F.col("rank") <= size)
 
 
-def above_percentile(df: DataFrame, score: str, ratio: float, least: int) -> DataFrame:
-    """Rows at or above the (1 - ratio) quantile of their date; the best ones where those are too few."""
-    cuts = df.groupBy("date").agg(F.percentile(score, 1 - ratio).alias("cut"))
-    r = ranked(df, score).join(cuts, "date").withColumn("above", F.col(score) >= F.col("cut"))
-    return r.withColumn("m", F.count_if("above").over(by_date())).where(F.when(F.col("m") >= least, F.col("above")).otherwise(F.col("rank") <= least))
+def above_percentile(df: DataFrame, score: str, ratio: float, least: int, by: Sequence[str] = ("date",)) -> DataFrame:
+    """Rows at or above the (1 - ratio) quantile within by; the best ones where those are too few."""
+    cuts = df.groupBy(*by).agg(F.percentile(score, 1 - ratio).alias("cut"))
+    r = ranked(df, score, by).join(cuts, list(by)).withColumn("above", F.col(score) >= F.col("cut"))
+    return r.withColumn("m", F.count_if("above").over(Window.partitionBy(*by))).where(F.when(F.col("m") >= least, F.col("above")).otherwise(F.col("rank") <= least))
 
 
-def long_short(df: DataFrame, score: str, ratio: float) -> DataFrame:
-    """The best share of a date long, the worst short, equally weighted on each side."""
-    r = ranked(df, score).withColumn("low", F.row_number().over(by_date().orderBy(score, "code")))
+def long_short(df: DataFrame, score: str, ratio: float, by: Sequence[str] = ("date",)) -> DataFrame:
+    """The best share within by long, the worst short, equally weighted on each side."""
+    r = ranked(df, score, by).withColumn("low", F.row_number().over(Window.partitionBy(*by).orderBy(score, "code")))
     k = F.greatest(F.lit(1), F.floor(F.lit(ratio) * F.col("n")))
     r = r.withColumn("side", F.when(F.col("rank") <= k, "long").when(F.col("low") <= k, "short")).where("side is not null")
-    return r.withColumn("weight", F.when(F.col("side") == "long", 1.0).otherwise(-1.0) / F.count(F.lit(1)).over(Window.partitionBy("date", "side")))
+    return r.withColumn("weight", F.when(F.col("side") == "long", 1.0).otherwise(-1.0) / F.count(F.lit(1)).over(Window.partitionBy(*by, "side")))
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

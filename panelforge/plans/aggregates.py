@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import by_date, clip, correlation, normal_cdf
+from ..functions.kernels import clip, correlation, normal_cdf
 from ..operators import select
 from ..sources.tables import Data
 from .registry import query
 from .sql import average_rank as saverage_rank
 from .sql import clip as sclip
 from .sql import over
+from .windows import RETURNS, _returns
 
 
 @query("a1_hash_aggregate", "l_returnflag l_linestatus n", "sum_qty sum_base sum_disc sum_charge avg_qty avg_price",
@@ -92,35 +93,32 @@ def t1(d: Data):
     return d.bars.where("high > 1.5 * low").orderBy("code", "date").limit(500)
 
 
-TOP = "q AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS rank, count(*) OVER (PARTITION BY date) AS n FROM pred WHERE set = 1)"
+TOP = "q AS (SELECT *, row_number() OVER (PARTITION BY set, date ORDER BY score DESC, code) AS rank, count(*) OVER (PARTITION BY set, date) AS n FROM pred)"
+BY = ("set", "date")
 
 
-def first_set(d: Data):
-    return d.pred.where("set = 1")
-
-
-@query("t2_top_k", "date code rank", "score", TOP + " ;; SELECT date, code, rank, score FROM q WHERE rank <= greatest(1, CAST(floor(0.1::DOUBLE * n) AS BIGINT))", "pred")
+@query("t2_top_k", "set date code rank", "score", TOP + " ;; SELECT set, date, code, rank, score FROM q WHERE rank <= greatest(1, CAST(floor(0.1::DOUBLE * n) AS BIGINT))", "pred")
 def t2(d: Data):
-    return select.top_k(first_set(d), "score", ratio=0.1)
+    return select.top_k(d.pred, "score", ratio=0.1, by=BY)
 
 
-@query("t3_percentile_selection", "date code", "score",
-       TOP + ", c AS (SELECT date, quantile_cont(score, 0.8) AS cut FROM q GROUP BY date), s AS (SELECT q.*, score >= cut AS above, count(*) FILTER (score >= cut) OVER (PARTITION BY q.date) AS m FROM q JOIN c ON q.date = c.date) ;; SELECT date, code, score FROM s WHERE CASE WHEN m >= 3 THEN above ELSE rank <= 3 END", "pred")
+@query("t3_percentile_selection", "set date code", "score",
+       TOP + ", c AS (SELECT set, date, quantile_cont(score, 0.8) AS cut FROM q GROUP BY set, date), s AS (SELECT q.*, score >= cut AS above, count(*) FILTER (score >= cut) OVER (PARTITION BY q.set, q.date) AS m FROM q JOIN c ON q.set = c.set AND q.date = c.date) ;; SELECT set, date, code, score FROM s WHERE CASE WHEN m >= 3 THEN above ELSE rank <= 3 END", "pred")
 def t3(d: Data):
-    return select.above_percentile(first_set(d), "score", 0.2, 3)
+    return select.above_percentile(d.pred, "score", 0.2, 3, BY)
 
 
-@query("t4_adaptive_ratio", "date n", "ratio", "SELECT date, count(*) AS n, greatest(0.05, least(1.0, ceil(0.5 * 10) / count(*)::DOUBLE)) AS ratio FROM pred WHERE set = 1 GROUP BY date", "pred")
+@query("t4_adaptive_ratio", "set date n", "ratio", "SELECT set, date, count(*) AS n, greatest(0.05, least(1.0, ceil(0.5 * 10) / count(*)::DOUBLE)) AS ratio FROM pred GROUP BY set, date", "pred")
 def t4(d: Data):
-    return first_set(d).groupBy("date").agg(F.count(F.lit(1)).alias("n")).withColumn("ratio", clip(F.ceil(F.lit(0.5 * 10)) / F.col("n"), 0.05, 1.0))
+    return d.pred.groupBy(*BY).agg(F.count(F.lit(1)).alias("n")).withColumn("ratio", clip(F.ceil(F.lit(0.5 * 10)) / F.col("n"), 0.05, 1.0))
 
 
-@query("t5_long_short", "date code side", "weight",
-       """q AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS rh, row_number() OVER (PARTITION BY date ORDER BY score, code) AS rl, count(*) OVER (PARTITION BY date) AS n FROM pred WHERE set = 1),
+@query("t5_long_short", "set date code side", "weight",
+       """q AS (SELECT *, row_number() OVER (PARTITION BY set, date ORDER BY score DESC, code) AS rh, row_number() OVER (PARTITION BY set, date ORDER BY score, code) AS rl, count(*) OVER (PARTITION BY set, date) AS n FROM pred),
 s AS (SELECT *, CASE WHEN rh <= greatest(1, floor(0.2::DOUBLE * n)) THEN 'long' WHEN rl <= greatest(1, floor(0.2::DOUBLE * n)) THEN 'short' END AS side FROM q) ;;
-SELECT date, code, side, CASE side WHEN 'long' THEN 1.0 ELSE -1.0 END / count(*) OVER (PARTITION BY date, side) AS weight FROM s WHERE side IS NOT NULL""", "pred")
+SELECT set, date, code, side, CASE side WHEN 'long' THEN 1.0 ELSE -1.0 END / count(*) OVER (PARTITION BY set, date, side) AS weight FROM s WHERE side IS NOT NULL""", "pred")
 def t5(d: Data):
-    return select.long_short(first_set(d), "score", 0.2)
+    return select.long_short(d.pred, "score", 0.2, BY)
 
 
 @query("t6_feature_pairs", "a b", "rho",
@@ -129,9 +127,9 @@ def t6(d: Data):
     return select.rank_correlations(d.bars, ["close", "volume", "turnover", "high"])
 
 
-@query("t7_extreme_days", "date kind", "m", "m AS (SELECT date, avg(ret) AS m FROM pred WHERE set = 1 AND ret IS NOT NULL GROUP BY date) ;; (SELECT date, 'best' AS kind, m FROM m ORDER BY m DESC, date LIMIT 10) UNION ALL (SELECT date, 'worst' AS kind, m FROM m ORDER BY m, date LIMIT 10)", "pred")
+@query("t7_extreme_days", "date kind", "m", RETURNS.replace(" ;;", "") + ", m AS (SELECT date, avg(r) AS m FROM b WHERE r IS NOT NULL GROUP BY date) ;; (SELECT date, 'best' AS kind, m FROM m ORDER BY m DESC, date LIMIT 10) UNION ALL (SELECT date, 'worst' AS kind, m FROM m ORDER BY m, date LIMIT 10)")
 def t7(d: Data):
-    m = first_set(d).where("ret is not null").groupBy("date").agg(F.avg("ret").alias("m"))
+    m = _returns(d).where("r is not null").groupBy("date").agg(F.avg("r").alias("m"))
     best = m.orderBy(F.desc("m"), "date").limit(10).withColumn("kind", F.lit("best"))
     return best.unionByName(m.orderBy("m", "date").limit(10).withColumn("kind", F.lit("worst")))
 
@@ -154,13 +152,13 @@ def u3(d: Data):
     return a.join(b, ["code", "date"], "left_anti").withColumn("side", F.lit("left")).unionByName(a.join(b, ["code", "date"], "left_semi").withColumn("side", F.lit("both")))
 
 
-@query("u4_selection_stability", "date", "jaccard",
-       TOP + """, s AS (SELECT date, list(code) AS c FROM q WHERE rank <= 5 GROUP BY date), l AS (SELECT date, c, lag(c) OVER (ORDER BY date) AS p FROM s) ;;
-SELECT date, len(list_intersect(c, p)) / len(list_distinct(list_concat(c, p)))::DOUBLE AS jaccard FROM l WHERE p IS NOT NULL""", "pred")
+@query("u4_selection_stability", "set date", "jaccard",
+       TOP + """, s AS (SELECT set, date, list(code) AS c FROM q WHERE rank <= 5 GROUP BY set, date), l AS (SELECT set, date, c, lag(c) OVER (PARTITION BY set ORDER BY date) AS p FROM s) ;;
+SELECT set, date, len(list_intersect(c, p)) / len(list_distinct(list_concat(c, p)))::DOUBLE AS jaccard FROM l WHERE p IS NOT NULL""", "pred")
 def u4(d: Data):
-    s = select.top_k(first_set(d), "score", k=5).groupBy("date").agg(F.collect_set("code").alias("c"))
-    l = s.withColumn("p", F.lag("c").over(Window.orderBy("date"))).where("p is not null")  # noqa: E741  one row for each date
-    return l.select("date", (F.size(F.array_intersect("c", "p")) / F.size(F.array_union("c", "p"))).alias("jaccard"))
+    s = select.top_k(d.pred, "score", k=5, by=BY).groupBy(*BY).agg(F.collect_set("code").alias("c"))
+    l = s.withColumn("p", F.lag("c").over(Window.partitionBy("set").orderBy("date"))).where("p is not null")  # noqa: E741
+    return l.select("set", "date", (F.size(F.array_intersect("c", "p")) / F.size(F.array_union("c", "p"))).alias("jaccard"))
 
 
 @query("u5_label_union", "id start type", "", "SELECT DISTINCT id, CAST(ts AS DATE) AS start, type FROM ev WHERE value > 50 UNION SELECT DISTINCT id, CAST(ts AS DATE), type FROM ev WHERE id % 2 = 0", "ev")

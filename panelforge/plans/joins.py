@@ -131,10 +131,11 @@ def j11(d: Data):
 
 
 @query("j12_outer_join", "date", "a b c",
-       "x AS (SELECT date, avg(price) AS a FROM trades WHERE code % 2 = 0 GROUP BY date), y AS (SELECT date, avg(price) AS b FROM trades WHERE part % 3 = 0 GROUP BY date), z AS (SELECT published AS date, sum(amount) AS c FROM snapshots GROUP BY published) ;; SELECT coalesce(x.date, y.date, z.date) AS date, a, b, c FROM x FULL JOIN y ON x.date = y.date FULL JOIN z ON coalesce(x.date, y.date) = z.date", "trades snapshots")
+       "x AS (SELECT date, avg(price) AS a FROM trades GROUP BY date), y AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS b FROM ev GROUP BY ALL), z AS (SELECT published AS date, sum(amount) AS c FROM snapshots GROUP BY published) ;; SELECT coalesce(x.date, y.date, z.date) AS date, a, b, c FROM x FULL JOIN y ON x.date = y.date FULL JOIN z ON coalesce(x.date, y.date) = z.date", "trades ev snapshots")
 def j12(d: Data):
-    x = d.trades.where("code % 2 = 0").groupBy("date").agg(F.avg("price").alias("a"))
-    y = d.trades.where("part % 3 = 0").groupBy("date").agg(F.avg("price").alias("b"))
+    """Three daily series side by side; a date that any of them has stays."""
+    x = d.trades.groupBy("date").agg(F.avg("price").alias("a"))
+    y = d.ev.groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("b"))
     z = d.snapshots.groupBy(F.col("published").alias("date")).agg(F.sum("amount").alias("c"))
     return x.join(y, "date", "full").join(z, "date", "full")
 
