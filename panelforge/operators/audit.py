@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,27 @@ def parity(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str
     diff = lambda c: F.abs(F.col(f"_l_{c}") - F.col(f"_r_{c}"))
     row = j.agg(*[F.struct(F.lit(c).alias("name"), F.count_if(there & here).alias("matched"), F.count_if(~here).alias("only_left"), F.count_if(~there).alias("only_right"), F.max(diff(c)).alias("max_diff"), F.avg(diff(c)).alias("mean_diff")).alias(c) for c in columns])
     return _long(row)
+
+
+def identity(df: DataFrame, whole: str, parts: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """(rows, bad, worst) of whole against the product of parts; rows without whole are left out, those without a part are bad."""
+    product = F.lit(1.0)
+    for p in parts:
+        product = product * F.col(p)
+    gap = F.abs(F.col(whole) - product)
+    wrong = gap.isNull() | (gap > tolerance)
+    return df.where(F.col(whole).isNotNull()).agg(F.count(F.lit(1)).alias("rows"), F.count_if(wrong).alias("bad"), F.max(gap).alias("worst"))
+
+
+def label_mismatches(df: DataFrame, label: str, horizon: int, key: str = "code", tolerance: float = 1e-9) -> DataFrame:
+    """(key, mismatches, tail_nulls): labels of a key that differ from the return over the next horizon rows, and those missing in its last rows.
+
+    The return is the product of those rows' own returns, so that a label with another horizon or start is found. A
+    label where the rows are too few counts as a mismatch.
+    """
+    w = Window.partitionBy(key).orderBy("date")
+    ahead = w.rowsBetween(1, horizon)
+    r = df.withColumns({"_r": F.log(F.col("close") / F.lag("close").over(w)), "_left": F.row_number().over(Window.partitionBy(key).orderBy(F.desc("date")))})
+    r = r.withColumn("_true", F.when(F.count("_r").over(ahead) == horizon, F.exp(F.sum("_r").over(ahead)) - 1))
+    wrong = F.when(F.col("_true").isNull(), F.col(label).isNotNull()).otherwise(F.col(label).isNull() | (F.abs(F.col(label) - F.col("_true")) > tolerance))
+    return r.groupBy(key).agg(F.count_if(wrong).alias("mismatches"), F.count_if(F.col(label).isNull() & (F.col("_left") <= horizon)).alias("tail_nulls"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import by_code, correlation, frame, lag, lead, lroll
+from ..functions.kernels import by_code, correlation, lag, lead, lroll
 from ..operators import audit, runs
 from ..sources.tables import Data
 from .crosssection import P as PANEL
@@ -98,18 +98,20 @@ def y11(d: Data):
     return flags.where("valid_history and valid_trade")
 
 
+# Faults are planted where audits would otherwise never meet one: some stored returns leave the night out.
 @query("y12_return_identity", "rows bad", "worst",
-       f"r AS (SELECT close / {slag('close')} AS a, open / {slag('close')} AS b, close / open AS c FROM bars) ;; SELECT count(*) AS rows, count(*) FILTER (abs(a - b * c) > 1e-9) AS bad, round(max(abs(a - b * c)), 9) AS worst FROM r WHERE a IS NOT NULL")
+       f"r AS (SELECT close / CASE WHEN code % 10 = 0 AND day(date) = 13 THEN open ELSE {slag('close')} END AS a, open / {slag('close')} AS b, close / open AS c FROM bars) ;; SELECT count(*) AS rows, count(*) FILTER (coalesce(abs(a - b * c) > 1e-9, true)) AS bad, max(abs(a - b * c)) AS worst FROM r WHERE a IS NOT NULL")
 def y12(d: Data):
-    r = d.bars.select((F.col("close") / lag("close")).alias("a"), (F.col("open") / lag("close")).alias("b"), (F.col("close") / F.col("open")).alias("c")).where("a is not null")
-    gap = F.abs(F.col("a") - F.col("b") * F.col("c"))
-    return r.agg(F.count(F.lit(1)).alias("rows"), F.count_if(gap > 1e-9).alias("bad"), F.round(F.max(gap), 9).alias("worst"))
+    before = F.when((F.col("code") % 10 == 0) & (F.dayofmonth("date") == 13), F.col("open")).otherwise(lag("close"))
+    r = d.bars.select((F.col("close") / before).alias("a"), (F.col("open") / lag("close")).alias("b"), (F.col("close") / F.col("open")).alias("c"))
+    return audit.identity(r, "a", ["b", "c"])
 
 
 @query("y13_coverage", "block bad", "coverage",
-       "SELECT 'price' AS block, count(close) / count(*)::DOUBLE AS coverage, count(*) FILTER (close <= 0) AS bad FROM panel UNION ALL SELECT 'volume', count(volume) / count(*)::DOUBLE, count(*) FILTER (volume < 0) FROM panel UNION ALL SELECT 'sector', count(sector) / count(*)::DOUBLE, count(*) FILTER (sector NOT BETWEEN 0 AND 24) FROM panel UNION ALL SELECT 'balance', count(balance) / count(*)::DOUBLE, count(*) FILTER (balance < 0) FROM panel", "panel")
+       PANEL + ", l AS (SELECT *, " + slag("r_5", 20) + " AS old FROM p) ;; SELECT 'price' AS block, count(close) / count(*)::DOUBLE AS coverage, count(*) FILTER (close <= 0) AS bad FROM l UNION ALL SELECT 'return', count(r) / count(*)::DOUBLE, count(*) FILTER (abs(r) > 1) FROM l UNION ALL SELECT 'old_return', count(old) / count(*)::DOUBLE, count(*) FILTER (abs(old) > 1) FROM l UNION ALL SELECT 'sector', count(sector) / count(*)::DOUBLE, count(*) FILTER (sector NOT BETWEEN 0 AND 24) FROM l UNION ALL SELECT 'balance', count(balance) / count(*)::DOUBLE, count(*) FILTER (balance < 0) FROM l", "panel")
 def y13(d: Data):
-    return audit.coverage(d.panel, {"price": ("close", "close <= 0"), "volume": ("volume", "volume < 0"), "sector": ("sector", "sector not between 0 and 24"), "balance": ("balance", "balance < 0")})
+    blocks = {"price": ("close", "close <= 0"), "return": ("r", "abs(r) > 1"), "old_return": ("old", "abs(old) > 1"), "sector": ("sector", "sector not between 0 and 24"), "balance": ("balance", "balance < 0")}
+    return audit.coverage(panel(d).withColumn("old", lag("r_5", 20)), blocks)
 
 
 @query("y14_feature_audit", "rule n", "",
@@ -119,14 +121,12 @@ def y14(d: Data):
     return audit.counts(l, {"loo_equals_own": (F.col("loo") == F.col("r")) & (F.col("r") != 0), "loo_missing": F.col("loo").isNull()}, "rule")
 
 
+# The stored label of some codes looks four rows ahead instead of five.
 @query("y16_label_validation", "code mismatches tail_nulls", "",
-       f"l AS (SELECT code, {slead('close', 5)} / close - 1 AS y, {slead('close', 5)} / close - 1 AS e, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS b FROM bars) ;; SELECT code, count(*) FILTER (abs(y - e) > 1e-9) AS mismatches, count(*) FILTER (y IS NULL AND b <= 5) AS tail_nulls FROM l GROUP BY code")
+       f"l AS (SELECT code, CASE WHEN code % 10 = 0 THEN {slead('close', 4)} ELSE {slead('close', 5)} END / close - 1 AS y, {slead('close', 5)} / close - 1 AS e, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS b FROM bars) ;; SELECT code, count(*) FILTER (CASE WHEN e IS NULL THEN y IS NOT NULL ELSE y IS NULL OR abs(y - e) > 1e-9 END) AS mismatches, count(*) FILTER (y IS NULL AND b <= 5) AS tail_nulls FROM l GROUP BY code")
 def y16(d: Data):
-    # the stored label against the product of the next five one-row returns
-    r = _returns(d).withColumns({"y": lead("close", 5) / F.col("close") - 1, "b": F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))})
-    product = F.exp(F.sum(F.log(1 + F.col("r"))).over(frame(1, 5))) - 1
-    r = r.withColumn("e", F.when(F.count("r").over(frame(1, 5)) == 5, product))
-    return r.groupBy("code").agg(F.count_if(F.abs(F.col("y") - F.col("e")) > 1e-9).alias("mismatches"), F.count_if(F.col("y").isNull() & (F.col("b") <= 5)).alias("tail_nulls"))
+    stored = F.when(F.col("code") % 10 == 0, lead("close", 4)).otherwise(lead("close", 5)) / F.col("close") - 1
+    return audit.label_mismatches(d.bars.withColumn("y", stored), "y", 5)
 
 
 @query("y17_quality_filter", "code date", "close",

@@ -188,9 +188,11 @@ def m14(d: Data):
     return summary(a.groupBy("stage", "date").agg(correlation("score", "label").alias("ic")), "ic", "stage")
 
 
-@query("m15_target_variance", "date n zero", "std", "SELECT date, count(*) AS n, stddev_samp(label) AS std, coalesce(stddev_samp(label), 0) < 1e-12 AS zero FROM pred WHERE set = 1 GROUP BY date", "pred")
+@query("m15_target_variance", "date market n zero", "std", "l AS (SELECT date, market, lead(close) OVER (PARTITION BY code ORDER BY date) / close - 1 AS y FROM panel) ;; SELECT date, market, count(*) AS n, stddev_samp(y) AS std, coalesce(stddev_samp(y), 0) < 1e-12 AS zero FROM l WHERE y IS NOT NULL GROUP BY date, market", "panel")
 def m15(d: Data):
-    g = d.pred.where("set = 1").groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("std"))
+    """Deviation of the labels of each date and market; one label alone has none."""
+    y = d.panel.select("date", "market", (F.lead("close").over(Window.partitionBy("code").orderBy("date")) / F.col("close") - 1).alias("y")).where("y is not null")
+    g = y.groupBy("date", "market").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("y").alias("std"))
     return g.withColumn("zero", F.coalesce("std", F.lit(0.0)) < 1e-12)
 
 

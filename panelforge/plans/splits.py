@@ -51,9 +51,10 @@ def c6(d: Data):
     return folds.by_ratio(d.bars, 0.7, 0.15)
 
 
-@query("c7_gap_check", "fold gap_days ok", "",
-       FOLDS + " ;; SELECT fold, y.date - x.date AS gap_days, y.date - x.date >= 5 AS ok FROM fo JOIN dt x ON x.idx = fo.b JOIN dt y ON y.idx = fo.c")
+@query("c7_gap_check", "fold least gap_days ok", "",
+       FOLDS + " ;; SELECT fold, least, y.date - x.date AS gap_days, y.date - x.date >= least AS ok FROM fo JOIN dt x ON x.idx = fo.b JOIN dt y ON y.idx = fo.c, (VALUES (5), (10)) v(least)")
 def c7(d: Data):
+    """Days between training and test of each fold, against two least gaps, the second of which the folds miss."""
     parts = folds.sizes(folds.assigned(d.bars, d.calendar, train=500, test=120, step=120, gap=5))
     gaps = parts.groupBy("fold").agg(F.datediff(F.min(F.when(F.col("part") == "test", F.col("first"))), F.max(F.when(F.col("part") == "train", F.col("last")))).alias("gap_days"))
-    return gaps.withColumn("ok", F.col("gap_days") >= 5)
+    return gaps.withColumn("least", F.explode(F.array(F.lit(5), F.lit(10)))).withColumn("ok", F.col("gap_days") >= F.col("least"))
