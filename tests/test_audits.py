@@ -84,7 +84,7 @@ def test_audits_meet_faults_and_clean_rows(spark, sf, name):
 
 #: Block queries in which no number may be the same in every row, and one that is: in the smallest tables a sector has one code.
 ALONE = {"x_rel_sec_mom"}
-VARIED = ("d43_regime_block", "d44_coin_series", "p18_regime_signals", "r27_products", "r_technical_block")
+VARIED = ("d15_margin_daily", "d15_margin_weekly", "d43_regime_block", "d44_coin_series", "p18_regime_signals", "r27_products", "r_technical_block")
 
 
 @pytest.mark.parametrize("name", VARIED)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import interactions, macro, technical
+from panelforge.operators import interactions, macro, margin, technical
 
 START = dt.date(2020, 1, 1)
 BARS = "code long, date date, open double, high double, low double, close double, volume double, turnover double"
@@ -162,3 +162,24 @@ def test_products_hinge_and_decay(spark):
     assert a["x_credit_rev_bias"] == 0.0  # fewer than 26 rows of credit count as none
     assert (b["x_squeeze_pressure"], b["x_rev_gate"], b["x_pead_effect"], b["x_rvol5_dir"]) == (3.0, 0.0, 0.0, -1.0)
     assert (c["x_squeeze_pressure"], c["x_rev_gate"], c["x_credit_rev_bias"]) == (None, None, None)
+
+
+def test_balances_equal_pandas(spark):
+    rng = np.random.default_rng(9)
+    rows = [(c, START + dt.timedelta(days=3 * t), float(rng.integers(0, 50)) * 10, float(rng.integers(0, 50)) * 10) for c in range(2) for t in range(40)]
+    df = spark.createDataFrame(rows, "code int, date date, lg double, sh double")
+    p, got = one(df), one(margin.balances(df, 26))
+    z = lambda x: (x - x.rolling(26).mean()) / (x.rolling(26).std() + 1e-8)
+    close_to(got["z_short"], z(p["sh"]))
+    close_to(got["z_credit"], z(p["lg"] / (p["sh"] + 1)))
+    close_to(got["z_d_short"], z(p["sh"].diff()))
+    close_to(got["total_mom"], p["lg"] + p["sh"] - (p["lg"] + p["sh"]).rolling(4).mean())
+    days = one(margin.scaled(margin.balances(df, 26).withColumn("adv20", F.when(F.col("lg") > 100, 20.0).otherwise(0.0))))
+    close_to(days["short_adv"], np.where(p["lg"] > 100, p["sh"] / 20, np.nan))
+
+
+def test_setups_of_planted_rows(spark):
+    rows = [(1, 5.0, 0.0, 1.0, 0.1, 0.2), (2, 5.0, 2.0, -1.0, -0.1, 0.2), (3, 1.0, 2.0, -1.0, 0.1, -0.2), (4, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "i int, short_adv double, z_long double, d_net double, r_1 double, r_3 double")
+    got = [(r["squeeze"], r["unwinding"], r["with_trend"]) for r in margin.setups(df, F.lit(4.0)).orderBy("i").collect()]
+    assert got == [(1, 0, 1), (0, 1, 0), (0, 0, 1), (0, 0, 1)]

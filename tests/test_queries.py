@@ -14,7 +14,7 @@ SAMPLE = (
     "m2_rank_ic m4_deciles m6_ndcg n4_score_ranges n5_range_evaluation p4_hysteresis p5_risk_neutralisation p8_long_short_returns p14_cost_aware_targets q1_newey_west "
     "r1_ema r9_atr r23_kama s5_month_shards s7_upsert t3_percentile_selection t6_feature_pairs u2_dedup_keep_last w4_left_closed_mean w8_left_closed_quantile "
     "d17_short_market d19_short_by_sector g9_closeness g11_peer_sets p16_portfolio_metrics q4_overfitting q7_granger s2_parse_quotes s5_shard_index x13_sector_aggregates x15_within_sector "
-    "r_technical_block r27_products d43_regime_block d44_coin_series p18_regime_signals "
+    "d15_margin_daily d15_margin_weekly r_technical_block r27_products d43_regime_block d44_coin_series p18_regime_signals "
     "w16_beta_alpha w29_price_freeze x1_average_rank x12_peers x20_target_encoding y8_parity y10_leak_checks"
 ).split()
 NAMES = sorted(registry.oracles()) if os.environ.get("ALL_QUERIES") else SAMPLE
