@@ -32,10 +32,11 @@ def setups(df: DataFrame, crowded: Column, unwind: float = 1.5) -> DataFrame:
     """df(short_adv, z_long, d_net, r_1, r_3) with squeeze, unwinding and with_trend as 0 or 1; unknown values count as 0.
 
     A squeeze is a short balance above crowded that meets a rise, an unwinding a long balance of a score above unwind that meets a fall.
+    Balances are compared with crowded to six places, as a quantile may be one of them up to an error of its interpolation.
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return df.withColumns({
-        "squeeze": F.coalesce((F.col("short_adv") > crowded) & (zero("r_1") > 0), F.lit(False)).cast("int"),
+        "squeeze": F.coalesce((F.round("short_adv", 6) > F.round(crowded, 6)) & (zero("r_1") > 0), F.lit(False)).cast("int"),
         "unwinding": ((zero("z_long") > unwind) & (zero("r_1") < 0)).cast("int"),
         "with_trend": (F.signum(zero("d_net")) == F.signum(zero("r_3"))).cast("int"),
     })
