@@ -77,7 +77,9 @@ def s5(d: Data):
 @query("s5_shard_index", "yyyymm rows first last checksum", "",
        SHARDS + " ;; SELECT year(date) * 100 + month(date) AS yyyymm, count(*) AS rows, min(date) AS first, max(date) AS last, CAST(sum(CAST('0x' || substr(md5(code || ':' || date || ':' || CAST(close AS DECIMAL(38, 6))), 1, 13) AS BIGINT)) AS BIGINT) AS checksum FROM sh GROUP BY ALL")
 def s5_index(d: Data):
-    return files.read_index(d.spark, _shards(d)).withColumn("checksum", F.col("checksum").cast("long"))
+    # the sums of large shards exceed 64 bits, whose last 64 are returned; smaller ones stay as they are
+    half, whole = (F.lit(str(2**n)).cast("decimal(38,0)") for n in (63, 64))
+    return files.read_index(d.spark, _shards(d)).withColumn("checksum", (F.pmod(F.col("checksum") + half, whole) - half).cast("long"))
 
 
 @query("s6_date_range", "code date", "close", "SELECT code, date, close FROM bars WHERE date BETWEEN DATE '1996-02-01' AND DATE '1996-12-31'")
