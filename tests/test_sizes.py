@@ -2,12 +2,24 @@
 
 from decimal import Decimal
 
+
+from panelforge.operators import recursive
 from panelforge.plans import registry
 from panelforge.sources import files
 
+
 def test_checksums_beyond_64_bits_keep_their_last_bits(spark, sf, monkeypatch):
     sums = {199701: 5, 199702: 2**63 - 1, 199703: 2**63, 199704: 3 * 2**64 + 7}
     index = spark.createDataFrame([(1, None, None, Decimal(v), "x", k) for k, v in sums.items()], "rows long, first date, last date, checksum decimal(38,0), schema string, yyyymm int")
     monkeypatch.setattr(files, "read_index", lambda spark, path: index)
     got = {r.yyyymm: r.checksum for r in registry.queries()["s5_shard_index"](spark, sf).collect()}
     assert got == {199701: 5, 199702: 2**63 - 1, 199703: -(2**63), 199704: 7}
+
+
+def test_recursions_send_their_inputs_only_to_python(spark):
+    x = spark.createDataFrame([(c, t, float(c * t), "text") for c in range(1, 4) for t in (3, 1, 2)], "code long, date long, close double, other string").repartition("code")
+    s = recursive.smooth(x, {"e": ("close", 0.5), "f": (lambda p: p["e"] * 2, 0.5)})
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("Exchange") == 1
+    got = {(r.code, r.date): (r.other, r.e, r.f) for r in s.collect()}
+    assert got == {(c, t): ("text", c * e, c * f) for c in range(1, 4) for t, e, f in ((1, 1.0, 2.0), (2, 1.5, 2.5), (3, 2.25, 3.5))}
