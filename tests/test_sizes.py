@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 
+from panelforge.functions.kernels import rank01
 from panelforge.operators import recursive
 from panelforge.plans import registry
 from panelforge.sources import files
@@ -23,3 +24,13 @@ def test_recursions_send_their_inputs_only_to_python(spark):
     assert "FlatMapGroupsInPandas" not in plan and plan.count("Exchange") == 1
     got = {(r.code, r.date): (r.other, r.e, r.f) for r in s.collect()}
     assert got == {(c, t): ("text", c * e, c * f) for c in range(1, 4) for t, e, f in ((1, 1.0, 2.0), (2, 1.5, 2.5), (3, 2.25, 3.5))}
+
+
+def test_a_rank_takes_one_sort_and_one_window(spark):
+    x = [5.0, None, 1.0, 5.0, 0.0, -0.0, 7.0, float("nan")]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)] + [(2, 8, 3.0), (3, 9, None)], "code long, i long, x double").repartition("code")
+    ranked = df.withColumn("r", rank01("x", "code"))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == plan.count("Window [") == 1
+    got = {r.i: r.r for r in ranked.collect()}
+    assert got == {0: 3.5 / 6, 1: None, 2: 2 / 6, 3: 3.5 / 6, 4: 0.5 / 6, 5: 0.5 / 6, 6: 5 / 6, 7: 1.0, 8: 0.5, 9: None}
