@@ -52,6 +52,23 @@ def smooth(df: DataFrame, specs: dict[str, tuple[str | Callable[[pd.DataFrame],
     return _per_code(df, sorted({x for x, _ in specs.values() if isinstance(x, str)}), list(specs), f)
 
 
+def rolling_quantiles(df: DataFrame, specs: dict[str, tuple[str | Callable[[pd.DataFrame], pd.Series], int, int, float, str]]) -> DataFrame:
+    """Quantiles out = (column, n, least, q, interpolation) of the last n rows, null with fewer than least values.
+
+    A row enters and leaves an ordered frame; no row counts or sorts its frame anew. A function in place of a column
+    gets the columns and quantiles before it.
+    """
+
+    def f(pdf: pd.DataFrame) -> dict:
+        found = {}
+        for o, (x, n, least, q, interpolation) in specs.items():
+            values = x(pdf.assign(**found)) if callable(x) else pdf[x]
+            found[o] = values.astype(float).rolling(n, min_periods=least).quantile(q, interpolation=interpolation)
+        return found
+
+    return _per_code(df, sorted({x for x, *_ in specs.values() if isinstance(x, str)}), list(specs), f)
+
+
 def span(n: int) -> float:
     return 2.0 / (n + 1.0)
 

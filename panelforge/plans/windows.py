@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import by_code, EPS, clip, correlation, frame, lag, lead, lroll, ratio, ret, roll, zscore
-from ..operators import runs
+from ..operators import recursive, runs
 from ..sources.tables import Data
 from .registry import query
 from .sql import clip as sclip
@@ -88,12 +89,10 @@ v AS (SELECT *, list_sort(list(lr) FILTER (lr IS NOT NULL) OVER {over(-62, 0)})
 SELECT code, date, {', '.join(sroll(f'quantile_cont({{}}, {q})', 'close', 63, 63) + f' AS rq{int(q * 100)}' for q in (0.1, 0.5, 0.9))},
 CASE WHEN len(a) >= 25 THEN a[CAST(round(0.5::DOUBLE * (len(a) - 1)) AS INT) + 1] END AS lr50 FROM v""")
 def w11(d: Data):
-    w = frame(-62, 0)
-    b = d.bars.withColumn("lr", F.log("close") - F.log(lag("close")))
-    q = F.percentile("close", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).over(w)
-    full = F.count("close").over(w) >= 63
-    return b.select("code", "date", *[F.when(full, q[i]).alias(n) for i, n in enumerate(("rq10", "rq50", "rq90"))],
-                    F.when(F.count("lr").over(w) >= 25, nearest_quantile("lr", 0.5, w)).alias("lr50"))
+    specs = {f"rq{int(q * 100)}": ("close", 63, 63, q, "linear") for q in (0.1, 0.5, 0.9)}
+    # the value at round(0.5 * (n - 1)) is the higher one of two in the middle
+    specs["lr50"] = (lambda p: np.log(p["close"]).diff(), 63, 25, 0.5, "higher")
+    return recursive.rolling_quantiles(d.bars.select("code", "date", "close"), specs)
 
 
 @query("w12_rolling_z_outlier", "code date outlier", "z20",
@@ -119,9 +118,9 @@ def w14(d: Data):
        f"""m AS (SELECT *, {sroll('median', 'close', 252, 60)} AS med FROM bars), a AS (SELECT *, abs(close - med) AS dev FROM m) ;;
 SELECT code, date, (close - med) / (({sroll('median', 'dev', 252, 60)}) + 1e-8) AS robust_z FROM a""")
 def w15(d: Data):
-    half = lambda x: F.percentile(x, 0.5)
-    m = d.bars.withColumn("med", roll(half, "close", 252, 60)).withColumn("dev", F.abs(F.col("close") - F.col("med")))
-    return m.select("code", "date", ((F.col("close") - F.col("med")) / (roll(half, "dev", 252, 60) + 1e-8)).alias("robust_z"))
+    specs = {"med": ("close", 252, 60, 0.5, "linear"), "mad": (lambda p: (p["close"] - p["med"]).abs(), 252, 60, 0.5, "linear")}
+    m = recursive.rolling_quantiles(d.bars.select("code", "date", "close"), specs)
+    return m.select("code", "date", ((F.col("close") - F.col("med")) / (F.col("mad") + 1e-8)).alias("robust_z"))
 
 
 def with_market(d: Data):

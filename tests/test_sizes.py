@@ -2,6 +2,8 @@
 
 from decimal import Decimal
 
+import numpy as np
+import pytest
 
 from panelforge.functions.kernels import rank01
 from panelforge.operators import recursive
@@ -34,3 +36,23 @@ def test_a_rank_takes_one_sort_and_one_window(spark):
     assert plan.count("Sort [") == plan.count("Window [") == 1
     got = {r.i: r.r for r in ranked.collect()}
     assert got == {0: 3.5 / 6, 1: None, 2: 2 / 6, 3: 3.5 / 6, 4: 0.5 / 6, 5: 0.5 / 6, 6: 5 / 6, 7: 1.0, 8: 0.5, 9: None}
+
+
+@pytest.mark.parametrize("name", ["w11_rolling_quantiles", "w15_robust_z"])
+def test_rolling_quantiles_keep_an_ordered_frame(spark, sf, name):
+    assert "Window [" not in registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rolling_quantiles_equal_plain_quantiles_of_each_frame(spark):
+    x = [3.0, None, 3.0, -1.0, 8.0, 2.5, None, None, None, 4.0, 4.0]
+    df = spark.createDataFrame([(1, t, v) for t, v in enumerate(x)], "code long, date long, x double").repartition("code")
+    specs = {"a": ("x", 4, 2, 0.1, "linear"), "b": ("x", 4, 2, 0.5, "higher"), "c": (lambda p: p["x"] - p["a"], 3, 1, 0.5, "linear")}
+    got = {r.date: (r.a, r.b, r.c) for r in recursive.rolling_quantiles(df, specs).collect()}
+
+    def plain(values, t, n, least, q, method):
+        v = [y for y in values[max(t - n + 1, 0) : t + 1] if y is not None]
+        return pytest.approx(np.quantile(v, q, method=method)) if len(v) >= least else None
+
+    for t in got:
+        rest = [None if v is None or got[i][0] is None else v - got[i][0] for i, v in enumerate(x)]
+        assert got[t] == (plain(x, t, 4, 2, 0.1, "linear"), plain(x, t, 4, 2, 0.5, "higher"), plain(rest, t, 3, 1, 0.5, "linear"))
