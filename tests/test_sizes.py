@@ -4,9 +4,10 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.functions.kernels import rank01
-from panelforge.operators import recursive
+from panelforge.operators import graphs, recursive
 from panelforge.plans import registry
 from panelforge.sources import files
 
@@ -56,3 +57,20 @@ def test_rolling_quantiles_equal_plain_quantiles_of_each_frame(spark):
     for t in got:
         rest = [None if v is None or got[i][0] is None else v - got[i][0] for i, v in enumerate(x)]
         assert got[t] == (plain(x, t, 4, 2, 0.1, "linear"), plain(x, t, 4, 2, 0.5, "higher"), plain(rest, t, 3, 1, 0.5, "linear"))
+
+
+def test_nearest_vectors_are_found_by_blocks_of_vectors_with_ties_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "VECTORS", 4)
+    rng = np.random.default_rng(3)
+    x = {i: [float(v) for v in rng.integers(1, 4, 3)] for i in range(40)} | {5: None, 20: None, 7: [1.0, None, 2.0]}
+    df = spark.createDataFrame(list(x.items()), "vec_id long, e array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in x.items() if v and None not in v}
+    expected = set()
+    for q in range(0, 40, 10):
+        sims = {i: round(float(unit[q] @ unit[i]), 9) if q in unit and i in unit else None for i in x if i != q}
+        best = sorted(sims, key=lambda i: (sims[i] is None, -(sims[i] or 0), i))[:6]
+        expected |= {(q, i, k + 1, sims[i]) for k, i in enumerate(best)}
+    found = graphs.nearest(df, F.col("vec_id") % 10 == 0, 6, blocks=3)
+    assert {tuple(r) for r in found.collect()} == expected
+    # the vectors meet as blocks, not as pairs of rows
+    assert "zip_with" not in found._jdf.queryExecution().executedPlan().toString()
