@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.kernels import rank01
 from panelforge.operators import graphs, recursive
 from panelforge.plans import registry
-from panelforge.sources import files
+from panelforge.sources import files, tables
 
 
 def test_checksums_beyond_64_bits_keep_their_last_bits(spark, sf, monkeypatch):
@@ -74,3 +74,22 @@ def test_nearest_vectors_are_found_by_blocks_of_vectors_with_ties_and_nulls(spar
     assert {tuple(r) for r in found.collect()} == expected
     # the vectors meet as blocks, not as pairs of rows
     assert "zip_with" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["j13_semi_anti", "m14_ablation", "p3_uncertainty_filter"])
+def test_shuffle_partitions_rise_with_the_records(spark, sf, monkeypatch, name):
+    before = spark.conf.get(tables.PARTITIONS)
+    small = registry.queries()[name](spark, sf)
+    expected = sorted(map(tuple, small.collect()))
+    assert spark.conf.get(tables.PARTITIONS) == before
+    monkeypatch.setattr(tables, "RECORDS", 500)
+    monkeypatch.setattr(tables, "SMALL", 1000)
+    try:
+        df = registry.queries()[name](spark, sf)
+        n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+        assert n > int(before) and int(spark.conf.get(tables.PARTITIONS)) == n
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f", {n}), REPARTITION_BY_NUM" in plan
+        assert sorted(map(tuple, df.collect())) == expected
+    finally:
+        spark.conf.set(tables.PARTITIONS, before)
