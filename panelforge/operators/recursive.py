@@ -69,6 +69,23 @@ def rolling_quantiles(df: DataFrame, specs: dict[str, tuple[str | Callable[[pd.D
     return _per_code(df, sorted({x for x, *_ in specs.values() if isinstance(x, str)}), list(specs), f)
 
 
+def rolling_scores(df: DataFrame, specs: dict[str, tuple[str, int, int, float]]) -> DataFrame:
+    """Deviations out = (column, n, least, eps) of a row from the mean of the last n rows, by their standard deviation and eps, null with fewer than least values.
+
+    As with quantiles, a row enters and leaves a frame, which is not summed anew.
+    """
+
+    def f(pdf: pd.DataFrame) -> dict:
+        found = {}
+        for o, (x, n, least, eps) in specs.items():
+            values = pdf[x].astype(float)
+            frames = values.rolling(n, min_periods=least)
+            found[o] = (values - frames.mean()) / (frames.std() + eps)
+        return found
+
+    return _per_code(df, sorted({x for x, *_ in specs.values()}), list(specs), f)
+
+
 def span(n: int) -> float:
     return 2.0 / (n + 1.0)
 

@@ -491,8 +491,8 @@ def d30(d: Data):
     step = F.when(F.col("rolled") & F.col("pf").isNotNull(), F.log(F.col("pf") / F.col("pn"))).otherwise(0.0)
     quadrant = F.when(F.col("pu") & F.col("ou"), 1).when(F.col("pu"), 2).when(F.col("ou"), 3).when(F.col("pu").isNull(), 0).otherwise(4)
     k = c.withColumns({"quadrant": quadrant, "log_link": F.sum(step).over(frame(Window.unboundedPreceding, 0))})
-    m = k.withColumn("level", F.log("near") - F.col("log_link")).withColumn("ret", F.col("level") - lag("level"))
-    return m.withColumns({"z252": zscore("ret", 252, 60), "oi_z252": zscore("oi", 252, 60)})
+    m = k.withColumn("level", F.log("near") - F.col("log_link")).select("code", "date", "rolled", "quadrant", "log_link", (F.col("level") - lag("level")).alias("ret"), "oi")
+    return recursive.rolling_scores(m, {"z252": ("ret", 252, 60, 1e-8), "oi_z252": ("oi", 252, 60, 1e-8)})
 
 
 @query("d31_overnight_attach", "code date", "same_day next_day",

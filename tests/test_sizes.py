@@ -93,3 +93,14 @@ def test_shuffle_partitions_rise_with_the_records(spark, sf, monkeypatch, name):
         assert sorted(map(tuple, df.collect())) == expected
     finally:
         spark.conf.set(tables.PARTITIONS, before)
+
+
+def test_rolling_scores_equal_plain_ones_and_sum_no_frame_anew(spark, sf):
+    x = [3.0, None, 3.0, -1.0, 8.0, 2.5, None, None, None, 4.0, 4.0]
+    df = spark.createDataFrame([(1, t, v) for t, v in enumerate(x)], "code long, date long, x double").repartition("code")
+    got = {r.date: r.z for r in recursive.rolling_scores(df, {"z": ("x", 4, 2, 0.5)}).collect()}
+    for t, value in enumerate(x):
+        v = [y for y in x[max(t - 3, 0) : t + 1] if y is not None]
+        expected = (value - np.mean(v)) / (np.std(v, ddof=1) + 0.5) if value is not None and len(v) >= 2 else None
+        assert got[t] == (expected if expected is None else pytest.approx(expected))
+    assert "stddev_samp" not in registry.queries()["d30_continuous_contract"](spark, sf)._jdf.queryExecution().executedPlan().toString()
