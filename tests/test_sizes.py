@@ -104,3 +104,15 @@ def test_rolling_scores_equal_plain_ones_and_sum_no_frame_anew(spark, sf):
         expected = (value - np.mean(v)) / (np.std(v, ddof=1) + 0.5) if value is not None and len(v) >= 2 else None
         assert got[t] == (expected if expected is None else pytest.approx(expected))
     assert "stddev_samp" not in registry.queries()["d30_continuous_contract"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["r27_products", "x14_sector_beta"])
+def test_series_of_dates_and_sectors_do_not_move_the_bars(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(tables, "SMALL", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("strategy=broadcast") >= {"r27_products": 3, "x14_sector_beta": 1}[name]
