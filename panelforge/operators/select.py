@@ -48,13 +48,14 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, "_row.*")
 
 
-def global_rank(df: DataFrame, column: str, name: str, slices: int = 256) -> DataFrame:
+def global_rank(df: DataFrame, column: str, name: str, slices: int = 256, cuts: list[float] | None = None) -> DataFrame:
     """df with the average rank of column over all rows, without a sort in one task.
 
     Distinct values are counted, cut into slices by approximate quantiles,
-    ranked within their slice and shifted by what lies in the slices below.
+    ranked within their slice and shifted by what lies in the slices below. cuts
+    are such quantiles, where they are known.
     """
-    cuts = sorted(set(df.approxQuantile(column, [i / slices for i in range(1, slices)], 0.2 / slices)))
+    cuts = sorted(set(cuts if cuts is not None else df.approxQuantile(column, [i / slices for i in range(1, slices)], 0.2 / slices)))
     bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     slice_ = F.size(F.filter(bounds, lambda c: c <= F.col("_v")))
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_slice", slice_)
@@ -94,9 +95,11 @@ def quantiles(df: DataFrame, value: str, shares: list[float], by: str | None = N
 
 def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Spearman correlation of every pair of columns, in one aggregate over the ranks."""
-    ranks = df.select(*columns)
-    for c in columns:
-        ranks = global_rank(ranks, c, f"rank_{c}")
+    ranks = stored(df.select(*columns))
+    slices = 256
+    cuts = ranks.approxQuantile(columns, [i / slices for i in range(1, slices)], 0.2 / slices)  # of all columns in one pass
+    for c, own in zip(columns, cuts, strict=True):
+        ranks = global_rank(ranks, c, f"rank_{c}", slices, own)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     row = ranks.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(f"rank_{a}", f"rank_{b}").alias("rho")).alias(f"{a}_{b}") for a, b in pairs])
     return row.select(F.explode(F.array(*row.columns)).alias("p")).select("p.*")

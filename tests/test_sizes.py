@@ -116,3 +116,12 @@ def test_series_of_dates_and_sectors_do_not_move_the_bars(spark, sf, monkeypatch
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("strategy=broadcast") >= {"r27_products": 3, "x14_sector_beta": 1}[name]
+
+
+def test_rank_correlations_find_the_marks_of_all_columns_in_one_pass(spark, sf, monkeypatch):
+    calls = []
+    kind = type(spark.range(0))
+    plain = kind.approxQuantile
+    monkeypatch.setattr(kind, "approxQuantile", lambda self, col, *a: calls.append(col) or plain(self, col, *a))
+    registry.queries()["t6_feature_pairs"](spark, sf)
+    assert calls == [["close", "volume", "turnover", "high"]]
