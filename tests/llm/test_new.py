@@ -6,10 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm import manifest, minhash, negatives
+from panelforge.llm import common, manifest, minhash, negatives
 from panelforge.llm.shingles import shingle_set
 from tests.llm.test_llm import DOCS, ODD, chain_of_edits, documents, prose
 
@@ -263,3 +264,26 @@ def test_bounds_hold_and_rule_out_far_blocks():
     far = block + 10_000
     least, _ = negatives.interval_bounds(np.abs(anchors) + 1, far.min(0)[None], far.max(0)[None])
     assert (least > products.max()).all()
+
+
+# batches
+
+
+def test_texts_go_to_python_in_small_batches(spark, sf):
+    before = spark.conf.get(common.BATCH)
+    try:
+        spark.conf.set(common.BATCH, "10000")
+        docs = common.table(spark, sf, "documents").select("doc_id")
+        many = docs.crossJoin(spark.range(20)).coalesce(1).select("doc_id")
+        sizes = [r.n for r in many.mapInArrow(batch_sizes, "n long").collect()]
+        assert sum(sizes) == 20 * docs.count() and max(sizes) <= common.BATCH_ROWS
+        spark.conf.set(common.BATCH, "10")
+        common.table(spark, sf, "documents")
+        assert spark.conf.get(common.BATCH) == "10"
+    finally:
+        spark.conf.set(common.BATCH, before)
+
+
+def batch_sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
