@@ -53,8 +53,8 @@ UNITS = "mm cm m km in ft yd mi g kg mg lb lbs oz t l ml cl gal s sec secs secon
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 _IN = r"\p{L}\p{M}\p{N}"
 NUMBER = rf"(?<![{_IN}])[\p{{L}}\p{{M}}]*+\p{{N}}[{_IN}]*+(?:[.,:/-]\p{{N}}++)*+"
-NAMED = rf"(?<=[\p{{Ll}},;{NUM}]\x20)\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*+"
-AFTER_NUMBER = rf"(?<={NUM}\x20)(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![{_IN}])"
+NAMED = rf"(?=\p{{Lu}})(?<=[\p{{Ll}},;{NUM}]\x20)\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*+"
+AFTER_NUMBER = rf"{NUM}\x20({NAME}?)(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![{_IN}])"
 BETWEEN = rf"[^{_IN}{NUM}{NAME}{UNIT}]+"
 
 
@@ -62,14 +62,24 @@ def _cut(text: Column) -> Column:
     return F.filter(F.split(text, BETWEEN), lambda w: w != "")
 
 
-def template(text: Column, names: bool = True) -> Column:
-    """The template words of a text."""
+def marked(text: Column) -> Column:
+    """The template words of a text, with NAME before each word that is a name."""
     clean = F.regexp_replace(text, f"[{NUM}{NAME}{UNIT}]", " ")
     clean = F.when(text.rlike(f"[{NUM}{NAME}{UNIT}]"), clean).otherwise(text)
     counted = F.regexp_replace(clean, NUMBER, NUM)
-    named = (lambda t: F.regexp_replace(t, NAMED, NAME)) if names else (lambda t: t)
-    with_units = F.regexp_replace(F.lower(named(counted)), AFTER_NUMBER, UNIT)
-    return _cut(F.when(text.rlike(r"\p{N}"), with_units).otherwise(F.lower(named(clean))))
+    named = lambda t: F.lower(F.regexp_replace(t, NAMED, f"{NAME}$0"))
+    with_units = F.regexp_replace(named(counted), AFTER_NUMBER, f"{NUM} $1{UNIT}")
+    return _cut(F.when(text.rlike(r"\p{N}"), with_units).otherwise(named(clean)))
+
+
+def of_marked(words: Column, names: bool = True) -> Column:
+    """The template of marked() words: with placeholders for names, or with the names as they are."""
+    return F.transform(words, lambda w: F.when(w.startswith(NAME), F.lit(NAME) if names else w.substr(2, 1 << 30)).otherwise(w))
+
+
+def template(text: Column, names: bool = True) -> Column:
+    """The template words of a text."""
+    return of_marked(marked(text), names)
 
 
 def values(text: Column) -> Column:
@@ -83,9 +93,14 @@ def written(text: Column) -> Column:
     return F.when(text.rlike(r"\p{N}"), values(clean)).otherwise(_cut(F.lower(clean)))
 
 
-def forms_of(text: Column) -> list[Column]:
-    """The word lists whose windows a document is searched by: with placeholders, those for names or not, and as written where numbers make that another list."""
-    return [template(text, names=False), template(text), F.when(text.rlike(r"\p{N}"), written(text)).otherwise(F.array().cast("array<string>"))]
+def forms_of(texts: DataFrame, *names: str) -> DataFrame:
+    """texts(text, ...) with the word lists, in columns of these names, whose windows a document is searched by.
+
+    They are those with placeholders, the names as they are or not, and as written where numbers make that another list. Both templates are cut from one list.
+    """
+    text, words = F.col("text"), F.col("_marked")
+    forms = [of_marked(words, names=False), of_marked(words), F.when(text.rlike(r"\p{N}"), written(text)).otherwise(F.array().cast("array<string>"))]
+    return texts.withColumn("_marked", marked(text)).withColumns(dict(zip(names, forms, strict=True))).drop("_marked")
 
 
 def windows(words: Column, length: int) -> Column:
@@ -117,9 +132,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items, bare = every_window.where("hash is not null"), every_window.where("hash is null")
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # WINDOW numbers at most
     texts = docs.select("doc_id", F.col("text")).where("text is not null")
-    forms = forms_of(F.col("text"))
-    names = [f"_words{k}" for k in range(len(forms))]
-    cut = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), *[words.alias(name) for words, name in zip(forms, names, strict=True)])
+    names = ["_words0", "_words1", "_words2"]
+    cut = forms_of(texts, *names).select("doc_id", F.xxhash64("text").alias("text_hash"), *names)
     small = items.count() <= BROADCAST_WINDOWS
     side = items.withColumnRenamed("length", "_length")
     found = None

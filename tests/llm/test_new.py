@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm import common, manifest, minhash, negatives
+from panelforge.llm import common, decontam, manifest, minhash, negatives
 from panelforge.llm.shingles import shingle_set
 from tests.llm.test_llm import DOCS, ODD, chain_of_edits, documents, prose
 
@@ -266,7 +266,22 @@ def test_bounds_hold_and_rule_out_far_blocks():
     assert (least > products.max()).all()
 
 
-# batches
+# templates and batches
+
+
+def test_templates_are_cut_from_one_list(spark):
+    rows = [(1, "we met John Smith, then Ann-Marie 5 Meters and 3 km away"), (2, "by \U00010400\U00010428 Bob's car"), (3, "")]
+    found = decontam.forms_of(documents(spark, rows).select("doc_id", "text"), "plain", "named", "written")
+    got = {r.doc_id: (r.plain, r.named, r.written) for r in found.collect()}
+    num, name, unit = decontam.NUM, decontam.NAME, decontam.UNIT
+    assert got == {
+        1: (["we", "met", "john", "smith", "then", "ann", "marie", num, unit, "and", num, unit, "away"], ["we", "met", name, name, "then", name, "marie", num, name, "and", num, unit, "away"], ["we", "met", "john", "smith", "then", "ann", "marie", "5", "meters", "and", "3", "km", "away"]),
+        2: (["by", "\U00010428\U00010428", "bob", "s", "car"], ["by", name, "bob", "s", "car"], []),
+        3: ([], [], []),
+    }
+    # one cut for both templates, one for texts as written
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
 
 
 def test_texts_go_to_python_in_small_batches(spark, sf):
