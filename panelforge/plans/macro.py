@@ -106,7 +106,6 @@ SELECT *, CASE WHEN crisis THEN 'crisis' WHEN bear THEN 'bear' WHEN bull THEN 'b
 greatest(0.1, least(1.0, CASE WHEN crisis THEN 0.2 WHEN bear THEN 0.5 ELSE 1.0 END * CASE WHEN vol > 0 THEN least(1.0, {TARGET} / vol) ELSE 1.0 END * CASE WHEN confidence < 0.5 THEN 0.7 ELSE 1.0 END)) AS exposure FROM f""", "bars dense")
 def p18_signals(d: Data):
     """Volatility, momentum, deepest fall and mean absolute correlation of the codes by date, with the regime, its confidence and the exposure."""
-    degrees = graphs.rolling_degrees(d.dense, SPAN, LEAST, EDGE)
-    pairs = degrees.groupBy("date").agg((F.sum(F.col("degree") * F.col("mean_abs")) / F.nullif(F.sum("degree"), F.lit(0))).alias("_corr"))
+    pairs = graphs.rolling_mean(d.dense, SPAN, LEAST, EDGE).withColumnRenamed("mean_abs", "_corr")
     s = macro.regime_signals(level_returns(d), SPAN).join(pairs, "date", "left").withColumn("mean_corr", F.coalesce("_corr", F.lit(0.5)))
     return macro.regimes(s, LIMITS, TARGET)
